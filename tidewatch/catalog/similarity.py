@@ -69,7 +69,7 @@ def similarity_to_recent_events(spark, sf_dir):
 SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(x), 6) + 0.0 AS x FROM x GROUP BY label, pos""",
 )
 def group_mean_vector(spark, sf_dir):
-    means = mean_vector(vectors(spark, sf_dir), ["label"], "vec", DIM, "m")
+    means = mean_vector(vectors(spark, sf_dir), ["label"], "vec", "m")
     return rounded(means.select("label", F.posexplode("m").alias("pos", "x")), "x")
 
 
@@ -102,7 +102,7 @@ WINDOW w AS (PARTITION BY label ORDER BY day)""",
 def day_to_day_similarity(spark, sf_dir):
     days = vectors(spark, sf_dir).withColumn("day", F.floor(F.col("vec_id") / 20))
     return rounded(
-        day_similarity(days, ["label"], "day", "vec", DIM).select("label", "day", "lag_sim"), "lag_sim"
+        day_similarity(days, ["label"], "day", "vec").select("label", "day", "lag_sim"), "lag_sim"
     )
 
 
@@ -114,7 +114,7 @@ WHERE n_days > 21 WINDOW w AS (PARTITION BY label ORDER BY day)""",
 )
 def rolling_day_similarity_query(spark, sf_dir):
     days = vectors(spark, sf_dir).withColumn("day", F.floor(F.col("vec_id") / 20))
-    sims = rolling_day_similarity(days, ["label"], "day", "vec", DIM, min_days=21)
+    sims = rolling_day_similarity(days, ["label"], "day", "vec", min_days=21)
     return rounded(sims.select("label", "day", "rolling_sim"), "rolling_sim")
 
 

@@ -72,7 +72,10 @@ def words(text, lower: bool = True) -> Column:
 
 
 def phrases(tokens: Column, size: int) -> Column:
-    """Runs of ``size`` neighbouring words, joined by one blank."""
+    """Runs of ``size`` neighbouring words, joined by one blank.
+
+    ``tokens`` must be a column, not an expression, which would be computed for every run.
+    """
     if size == 1:
         return tokens
     runs = F.transform(

@@ -50,8 +50,9 @@ def cosine(a, b, zero_norm: float | None = None) -> Column:
 
 def unit_vector(a) -> Column:
     """Scaled to length one; a zero vector stays as it is."""
-    size = norm(a)
-    return F.when(size > 0, F.transform(_col(a), lambda x: x / size)).otherwise(_col(a))
+    # the length goes in as an array, as a lambda would compute it again for every element
+    sizes = F.array_repeat(norm(a), F.size(_col(a)))
+    return F.zip_with(_col(a), sizes, lambda x, s: F.when(s > 0, x / s).otherwise(x))
 
 
 def mean_of(vectors, dim: int) -> Column:

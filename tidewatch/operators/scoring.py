@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import STOP_WORDS, count_blank_separated, phrases, stem, words
-from tidewatch.functions.vectors import unit_vector
 from tidewatch.session import is_bounded, small_side
 
 
@@ -54,9 +55,9 @@ def dictionary_hits(df: DataFrame, key: str, text: str, entries: DataFrame) -> D
     longest, shortest = shape["longest"] or 1, shape["shortest"]
     small = is_bounded(table)
     side: Callable[[DataFrame], DataFrame] = F.broadcast if small else (lambda d: d)
-    w = words(text)
-    runs = F.concat(*[phrases(w, n) for n in range(1, longest + 1)])
-    texts = df.select(key, F.posexplode(runs).alias("_at", "token"))
+    runs = F.concat(*[phrases(F.col("_words"), n) for n in range(1, longest + 1)])
+    texts = df.select(key, words(text).alias("_words"))
+    texts = texts.select(key, F.posexplode(runs).alias("_at", "token"))
     if not small:
         # a dictionary too long to broadcast: shuffle each distinct word of a text once
         texts = texts.groupBy(key, "token").agg(F.count(F.lit(1)).alias("_times"))
@@ -110,12 +111,10 @@ told torn understood undone upset won worn wound woven wrung
 """.split()
 
 
-def passive_rule(text) -> Column:
-    """Passive auxiliaries in a text: a form of be or get, at most two adverbs, a participle.
-
-    An approximation by rule of what a dependency parser labels.
+def passive_rule(w: Column) -> Column:
+    """Passive auxiliaries among the words of a text: a form of be or get, at most two adverbs, a
+    participle. An approximation by rule of what a dependency parser labels.
     """
-    w = words(text)
 
     def adverb(x: Column) -> Column:
         return F.coalesce(x.rlike(r"^.{2,}ly$") | x.isin("not", "never", "also", "being", "been"), F.lit(False))
@@ -135,10 +134,12 @@ def passive_rule(text) -> Column:
 
 
 def passive_voice(df: DataFrame, text: str, ratio: bool = True, name: str = "PV_aux_pas"):
-    count = passive_rule(text)
+    # the words are a column of their own, as a lambda would cut the text again for every word
+    df = df.withColumn("_words", words(text))
+    count = passive_rule(F.col("_words"))
     if ratio:
         count = F.try_divide(count.cast("double"), count_blank_separated(text))
-    return df.withColumn(name, count)
+    return df.withColumn(name, count).drop("_words")
 
 
 # -- sentiment ---------------------------------------------------------------------------------------
@@ -261,14 +262,17 @@ def text_vectors(
         F.log((F.lit(n_docs) + 1) / (F.count(F.lit(1)) + 1)).alias("idf")
     )
     weighted = counts.join(F.broadcast(idf), "bucket").withColumn("w", F.col("tf") * F.col("idf"))
-    cells = weighted.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("_cells")
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.element_at(F.col("_cells"), i), F.lit(0.0)),
-    )
-    return cells.withColumn(name, dense).select(key, unit_vector(F.col(name)).alias(name))
+    cells = weighted.groupBy(key).agg(F.collect_list(F.struct("bucket", "w")).alias("_cells"))
+
+    @F.pandas_udf("array<double>")
+    def dense(buckets: pd.Series, weights: pd.Series) -> pd.Series:
+        out = np.zeros((len(buckets), dim))
+        for row, b, x in zip(out, buckets, weights):
+            row[b] = x
+        sizes = np.linalg.norm(out, axis=1, keepdims=True)
+        return pd.Series(list(out / np.where(sizes > 0, sizes, 1.0)))
+
+    return cells.select(key, dense(F.col("_cells.bucket"), F.col("_cells.w")).alias(name))
 
 
 def new_text_vectors(df: DataFrame, stored: DataFrame, key: str, text: str, **options) -> DataFrame:

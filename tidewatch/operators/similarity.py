@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,8 +58,6 @@ def similarity_to_recent(
             seq.rows.join(lengths, unit, "left"), seq.unit, seq.order, seq.block_rows, True, seq.ordinal
         )
     else:
-        from pyspark.sql import Window
-
         whole = Window.partitionBy(*unit)
         seq = seq.with_columns({"_n": F.count(F.lit(1)).over(whole)})
     full = (F.col("_rows") == k) & (F.col("_n") > 2 * k)
@@ -86,14 +84,14 @@ def unit_similarity(
     return seq.rows
 
 
-def mean_vector(df: DataFrame, by: list[str], vector: str, dim: int, name: str) -> DataFrame:
+def mean_vector(df: DataFrame, by: list[str], vector: str, name: str) -> DataFrame:
     """Element-wise mean per group. Partial sums leave each task, never the vectors."""
     v = doubles(vector)
     parts = df.select(*by, F.posexplode(v).alias("_pos", "_x"))
     cells = parts.groupBy(*by, "_pos").agg(F.avg("_x").alias("_x"))
-    packed = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_x"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.element_at(F.col("_m"), i))
-    return packed.select(*by, dense.alias(name))
+    # every position occurs, so the sorted cells are the vector
+    packed = F.array_sort(F.collect_list(F.struct("_pos", "_x")))["_x"]
+    return cells.groupBy(*by).agg(packed.alias(name))
 
 
 def day_similarity(
@@ -101,23 +99,22 @@ def day_similarity(
     unit: list[str],
     day: str,
     vector: str,
-    dim: int,
     name: str = "lag_sim",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Cosine of a day's mean vector with that of the unit's previous day that has events."""
-    days = mean_vector(df, [*unit, day], vector, dim, "mean_embedding")
+    days = mean_vector(df, [*unit, day], vector, "mean_embedding")
     seq = in_order(days, unit, [day], block_rows=block_rows)
     return similarity_to_previous(seq, "mean_embedding", name, zero_norm=0.0).rows
 
 
 def rolling_day_similarity(
-    df: DataFrame, unit: list[str], day: str, vector: str, dim: int, min_days: int = 120,
+    df: DataFrame, unit: list[str], day: str, vector: str, min_days: int = 120,
     name: str = "rolling_sim",
 ) -> DataFrame:
     """Units with more than ``min_days`` days: mean pairwise cosine of a day and the one before,
     which for two days is their cosine."""
-    days = mean_vector(df, [*unit, day], vector, dim, "mean_embedding")
+    days = mean_vector(df, [*unit, day], vector, "mean_embedding")
     kept = groups_of_size(days, unit, min_days + 1)
     return similarity_to_previous(in_order(kept, unit, [day]), "mean_embedding", name, 0.0).rows
 
