@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidewatch.catalog.book import ORACLE, QUERIES
 
-for _module in ("signals", "similarity", "tables", "text"):
+for _module in ("signals", "joint", "similarity", "tables", "text", "shaping"):
     import_module(f"tidewatch.catalog.{_module}")
 
 __all__ = ["ORACLE", "QUERIES"]
