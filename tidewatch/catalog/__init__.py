@@ -4,7 +4,9 @@ from importlib import import_module
 
 from tidewatch.catalog.book import ORACLE, QUERIES
 
-for _module in ("signals", "joint", "similarity", "tables", "text", "shaping"):
+for _module in (
+    "signals", "joint", "similarity", "tables", "text", "shaping", "screening",
+):
     import_module(f"tidewatch.catalog.{_module}")
 
 __all__ = ["ORACLE", "QUERIES"]
