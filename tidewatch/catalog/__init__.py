@@ -5,7 +5,7 @@ from importlib import import_module
 from tidewatch.catalog.book import ORACLE, QUERIES
 
 for _module in (
-    "signals", "joint", "similarity", "tables", "text", "shaping", "screening",
+    "signals", "joint", "similarity", "tables", "text", "shaping", "screening", "causality",
 ):
     import_module(f"tidewatch.catalog.{_module}")
 

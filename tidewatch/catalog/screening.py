@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog.book import load, query, r6, rounded
+from tidewatch.catalog.book import ORACLE, load, query, r6, rounded
 from tidewatch.catalog.signals import EVENT_SERIES, ORDER, UNIT, event_series
 from tidewatch.functions.columns import to_long
 from tidewatch.operators import factors as FA
@@ -54,7 +54,11 @@ def column_spread(spark, sf_dir):
     return rounded(S.column_spread(screened(spark, sf_dir), SCREENED), "sd", "median", "mad")
 
 
-@query("varying_columns", "SELECT unnest(['l_linenumber', 'l_discount']) AS variable")
+@query(
+    "varying_columns",
+    f"""SELECT variable FROM ({ORACLE['near_zero_variance']}) JOIN ({ORACLE['column_spread']}) USING (variable)
+WHERE NOT nzv AND sd > 0 AND mad > 0""",
+)
 def varying_columns(spark, sf_dir):
     df = screened(spark, sf_dir)
     return spark.createDataFrame([(c,) for c in S.varying_columns(df, SCREENED)], "variable string")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.quantiles import quantiles
 from tidewatch.session import small_side
 
 
@@ -57,31 +58,37 @@ def date_spine(daily: DataFrame, day: str) -> DataFrame:
 
 
 def ordered_text(
-    df: DataFrame, by: list[str], order: list[str], text: str, name: str, sep: str = " "
+    df: DataFrame, by: list[str], order: list[str], text: str, name: str, sep: str = " ",
+    max_chars: int = 100_000_000,
 ) -> DataFrame:
-    """The texts of a group, in order, pasted together. The group's text is one value by intent."""
+    """The texts of a group, in order, pasted together.
+
+    The group's text is one value, so it must fit into one; for the terms of groups of any size,
+    count them by group with ``term_counts`` instead of pasting first.
+    """
+    longest = df.groupBy(*by).agg(F.sum(F.length(text) + len(sep)).alias("n")).agg(F.max("n")).first()[0]
+    if (longest or 0) > max_chars:
+        raise ValueError(f"a group holds {longest} characters, which is no single text any more")
     parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
     return df.groupBy(*by).agg(F.array_join(parts["_text"], sep).alias(name))
 
 
-def profile(df: DataFrame, columns: list[str], quantiles=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Rows, missing values, mean, sd and quantiles of every column, from one melted pass."""
-    long = df.select(
-        F.inline(F.array(*[
-            F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x"))
-            for c in columns
-        ]))
-    )
-    stats = [
+def profile(df: DataFrame, columns: list[str], shares=(0.25, 0.5, 0.75)) -> DataFrame:
+    """Rows, missing values, mean, sd and quantiles of every column: one row per column."""
+    stats = df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("x").isNull()).alias("n_missing"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("sd"),
-        F.min("x").alias("p0"),
-        *[F.percentile("x", q).alias(f"p{round(q * 100)}") for q in quantiles],
-        F.max("x").alias("p100"),
+        *[s for i, c in enumerate(columns) for x in [F.col(c).cast("double")] for s in (
+            F.count_if(x.isNull()).alias(f"missing{i}"), F.avg(x).alias(f"mean{i}"),
+            F.stddev_samp(x).alias(f"sd{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"))],
+    ).first()
+    cuts = quantiles(df, columns, list(shares))
+    rows = [
+        (c, stats["n"], *[stats[f"{k}{i}"] for k in ("missing", "mean", "sd", "lo")], *cuts[c], stats[f"hi{i}"])
+        for i, c in enumerate(columns)
     ]
-    return long.groupBy("variable").agg(*stats)
+    names = ["mean double", "sd double", "p0 double", *[f"p{round(q * 100)} double" for q in shares], "p100 double"]
+    schema = "variable string, n bigint, n_missing bigint, " + ", ".join(names)
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
@@ -93,7 +100,3 @@ def with_group_end(df: DataFrame, by: list[str]) -> DataFrame:
     """One extra row per group holding only its key, to part the series of two groups."""
     ends = df.select(*by).distinct().withColumn("group_end", F.lit(True))
     return df.withColumn("group_end", F.lit(False)).unionByName(ends, allowMissingColumns=True)
-
-
-def expanding(column: str, by: list[str], order: list[str]):
-    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

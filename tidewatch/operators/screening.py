@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.quantiles import quantiles
+
 MAD_SCALE = 1.4826  # fixed value: consistent with the standard deviation of a normal distribution
 
 
@@ -48,12 +50,14 @@ def near_zero_variance(
 
 def column_spread(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: sd, median and scaled median absolute deviation."""
-    long = melted(df, columns).filter("x IS NOT NULL")
-    centre = long.groupBy("variable").agg(F.stddev_samp("x").alias("sd"), F.median("x").alias("median"))
-    off = long.join(F.broadcast(centre), "variable").groupBy("variable").agg(
-        (F.median(F.abs(F.col("x") - F.col("median"))) * MAD_SCALE).alias("mad")
+    sds = df.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    medians = {c: q[0] for c, q in quantiles(df, columns, [0.5]).items()}
+    off = df.select(*[F.abs(F.col(c).cast("double") - F.lit(medians[c])).alias(c) for c in columns])
+    mads = {c: q[0] for c, q in quantiles(off, columns, [0.5]).items()}
+    return df.sparkSession.createDataFrame(
+        [(c, sds[c], medians[c], None if mads[c] is None else mads[c] * MAD_SCALE) for c in columns],
+        "variable string, sd double, median double, mad double",
     )
-    return centre.join(off, "variable", "left")
 
 
 def varying_columns(df: DataFrame, columns: list[str], screen_frequency: bool = True) -> list[str]:
