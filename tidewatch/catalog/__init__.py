@@ -6,6 +6,7 @@ from tidewatch.catalog.book import ORACLE, QUERIES
 
 for _module in (
     "signals", "joint", "similarity", "tables", "text", "shaping", "screening", "causality",
+    "plans",
 ):
     import_module(f"tidewatch.catalog.{_module}")
 
