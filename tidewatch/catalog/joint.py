@@ -49,8 +49,9 @@ MULTI = " + ".join(f"CASE WHEN {m}_str > 2 THEN 1 ELSE 0 END" for m in JOINT_MET
 
 
 def joint(spark, sf_dir):
-    series = event_series(spark, sf_dir, "hours").rows.withColumnRenamed("inter_event_dur", "gap").drop("t")
-    return series, joint_signals(series, UNIT, ORDER, ["value", "gap"], burn_in=BURN_IN)
+    seq = event_series(spark, sf_dir, "hours")
+    series = seq.rows.withColumnRenamed("inter_event_dur", "gap").drop("t")
+    return series, joint_signals(series, UNIT, ORDER, ["value", "gap"], burn_in=BURN_IN, longest=seq.longest)
 
 
 @query(

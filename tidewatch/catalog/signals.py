@@ -83,8 +83,9 @@ FROM series LEFT JOIN wide USING (event_id)""",
 )
 def event_early_warnings(spark, sf_dir):
     """How many warning thresholds are crossed at each event of each unit, for two series."""
-    series = event_series(spark, sf_dir, "hours").rows.withColumnRenamed("inter_event_dur", "gap")
-    crossed = crossings_by_metric(series, UNIT, ORDER, ["value", "gap"], BURN_IN)
+    seq = event_series(spark, sf_dir, "hours")
+    series = seq.rows.withColumnRenamed("inter_event_dur", "gap")
+    crossed = crossings_by_metric(series, UNIT, ORDER, ["value", "gap"], BURN_IN, longest=seq.longest)
     return series.join(crossed, [*UNIT, *ORDER], "left").select(
         "user_id", "event_id", "t", "value_crossed", "gap_crossed"
     )
@@ -105,8 +106,8 @@ SELECT user_id, event_id, tt AS t, metric_code, round(s, 6) + 0.0 AS metric_scor
 )
 def value_signals_by_code(spark, sf_dir):
     """Every metric code of the single-series signals, in long form."""
-    series = event_series(spark, sf_dir).rows
-    signals = single_signals(series, UNIT, ORDER, "value", BURN_IN)
+    seq = event_series(spark, sf_dir)
+    signals = single_signals(seq.rows, UNIT, ORDER, "value", BURN_IN, longest=seq.longest)
     long = signals_long(signals, ["user_id", "event_id", "t"])
     return rounded(long, "metric_score", "rolling_mean", "rolling_sd", "str")
 
@@ -119,8 +120,9 @@ WHERE tt > {BURN_IN} GROUP BY user_id""",
 )
 def crossings_of_all_codes(spark, sf_dir):
     """Crossings per unit."""
-    series = event_series(spark, sf_dir).rows
-    counts = crossing_count(single_signals(series, UNIT, ORDER, "value", BURN_IN), "crossed")
+    seq = event_series(spark, sf_dir)
+    signals = single_signals(seq.rows, UNIT, ORDER, "value", BURN_IN, longest=seq.longest)
+    counts = crossing_count(signals, "crossed")
     return counts.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("events"), F.sum("crossed").alias("crossings")
     )

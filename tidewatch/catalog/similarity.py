@@ -161,7 +161,7 @@ TOKENS = f"""tokens AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w
 
 
 def stem_sql(c: str) -> str:
-    for pattern, repl in ((r"^(.{3,})(?:ies)$", r"\1y"), (r"^(.{3,}[^s])s$", r"\1"),
+    for pattern, repl in ((r"^(.{3,})(?:ies)$", r"\1y"), (r"^(.{2,}[^s])s$", r"\1"),
                           (r"^(.{3,})(?:ing|edly|ed|ly)$", r"\1"), (r"^(.{3,})e$", r"\1")):
         c = f"regexp_replace({c}, '{pattern}', '{repl}')"
     return c

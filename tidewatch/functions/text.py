@@ -101,6 +101,6 @@ def stem(token) -> Column:
     """A short suffix rule: plural and verb endings off, as long as three letters remain."""
     c = _col(token)
     c = F.regexp_replace(c, r"^(.{3,})(?:ies)$", "$1y")
-    c = F.regexp_replace(c, r"^(.{3,}[^s])s$", "$1")
+    c = F.regexp_replace(c, r"^(.{2,}[^s])s$", "$1")
     c = F.regexp_replace(c, r"^(.{3,})(?:ing|edly|ed|ly)$", "$1")
     return F.regexp_replace(c, r"^(.{3,})e$", "$1")

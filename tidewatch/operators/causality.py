@@ -32,11 +32,10 @@ def delay_points(
                    keys, order, block_rows=block_rows)
     columns = {f"_b{i}": (lambda w, i=i: F.lag("_x", i).over(w)) for i in range(1, max_e)}
     columns |= {f"_f{i}": (lambda w, i=i: F.lead("_x", i).over(w)) for i in range(1, max_step + 1)}
-    rows = seq.rolling(columns, back=max_e - 1, ahead=max_step).rows
-    lengths = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    rows = seq.rolling(columns, back=max_e - 1, ahead=max_step).with_length("n").rows
     lags = F.array("_x", *[f"_b{i}" for i in range(1, max_e)])
     ahead = F.array(*[f"_f{i}" for i in range(1, max_step + 1)])
-    return rows.join(lengths, keys).select(
+    return rows.select(
         *keys, F.col(seq.ordinal).alias("t"), "n", lags.alias("lags"), ahead.alias("ahead"), *others
     )
 

@@ -91,7 +91,7 @@ def factor_count(df: DataFrame, columns: list[str], iterations: int = 100, seed:
     )
 
 
-def varimax(loadings: np.ndarray, tolerance: float = 1e-10, rounds: int = 1000) -> np.ndarray:
+def varimax(loadings: np.ndarray, tolerance: float = 1e-12, rounds: int = 10_000) -> np.ndarray:
     """Rotation that makes the squared loadings of each factor as unequal as it can; rows are
     weighted to equal length while rotating."""
     p, k = loadings.shape
@@ -99,15 +99,14 @@ def varimax(loadings: np.ndarray, tolerance: float = 1e-10, rounds: int = 1000)
         return np.eye(k)
     length = np.sqrt((loadings**2).sum(1, keepdims=True))
     x = loadings / np.where(length > 0, length, 1.0)
-    rotation, last = np.eye(k), 0.0
+    rotation = np.eye(k)
     for _ in range(rounds):
         z = x @ rotation
-        gradient = x.T @ (z**3 - z * (z**2).mean(0))
-        u, s, vt = np.linalg.svd(gradient)
+        u, _, vt = np.linalg.svd(x.T @ (z**3 - z * (z**2).mean(0)))
+        moved = np.abs(u @ vt - rotation).max()
         rotation = u @ vt
-        if s.sum() < last * (1 + tolerance):
+        if moved < tolerance:
             break
-        last = s.sum()
     return rotation
 
 

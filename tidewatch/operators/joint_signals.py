@@ -6,6 +6,7 @@ leave the JVM, so no unit is ever collected.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.ordering import BLOCK_ROWS, OrderedRows, in_order
 from tidewatch.operators.signals import _ratio, expanding_mean_sd
+from tidewatch.session import settle, small_side
 
 JOINT_METRICS = (
     "meanAR", "maxAR", "meanSD", "maxSD", "eigenMAF", "mafAR", "mafSD", "pcaAR", "pcaSD", "eigenCOV",
@@ -142,12 +144,12 @@ def multi_information(seq: OrderedRows, series: list[str], burn_in: int, name: s
         *[F.percentile(x, F.array(*[F.lit(q) for q in shares])).alias(f"_e{i}")
           for i, x in enumerate(series)]
     )
-    rows = seq.rows.join(edges, unit, "left")
+    rows = seq.rows.join(small_side(settle(edges)) if seq.split else edges, unit, "left")
     for i, x in enumerate(series):
         above = [(F.col(x) > F.col(f"_e{i}")[k]).cast("int") for k in range(bins - 1)]
         rows = rows.withColumn(f"_b{i}", reduce(lambda a, b: a + b, above)).drop(f"_e{i}")
     rows = rows.withColumn("_b", F.concat_ws("-", *[F.col(f"_b{i}").cast("string") for i in range(len(series))]))
-    seq = OrderedRows(rows, seq.unit, seq.order, seq.block_rows, seq.split, seq.ordinal)
+    seq = replace(seq, rows=rows)
     cells = ["_b", *[f"_b{i}" for i in range(len(series))]]
     for cell in cells:
         seq = seq.running_rank(cell, f"_r{cell}")
@@ -172,6 +174,7 @@ def joint_signals(
     burn_in: int = 50,
     threshold: float = 2.0,
     block_rows: int = BLOCK_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """One row per event after the burn-in: each metric, its strength ``<m>_str``, ``<m>_crossed``,
     and ``multi_crossed``, the number of crossings."""
@@ -180,7 +183,7 @@ def joint_signals(
         raise ValueError(f"unknown metrics {sorted(unknown)} or fewer than two series")
     df = df.na.drop(subset=series).withColumns({x: F.col(x).cast("double") for x in series})
     p = len(series)
-    seq = in_order(df, unit, order, block_rows=block_rows)
+    seq = in_order(df, unit, order, block_rows=block_rows, longest=longest)
     if "mutINFO" in metrics:
         seq = multi_information(seq, series, burn_in, "mutINFO")
     seq = expanding_covariances(seq, series)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.session import is_bounded, small_side
+from tidewatch.session import settle, small_side
 
 BLOCK_ROWS = 1_000_000
 MAX_REFINEMENTS = 12
@@ -45,6 +45,7 @@ class OrderedRows:
     block_rows: int
     split: bool
     ordinal: str = "t"
+    longest: int | None = None
 
     # -- windows -------------------------------------------------------------------------------
 
@@ -104,6 +105,8 @@ class OrderedRows:
             .select(*keys, *[F.sum(k).over(before).alias(f"_before_{k}") for k in sums])
             .filter("_block > 0")
         )
+        # small, but made of all rows: stored, so that the next step does not make it again
+        carry = small_side(settle(carry))
         rows = rows.withColumns({k: F.sum(e).over(inside) for k, e in sums.items()})
         rows = rows.join(carry, keys, "left").withColumns(
             {
@@ -128,6 +131,7 @@ class OrderedRows:
         carry = rows.groupBy(*keys).count().select(
             *keys, F.sum("count").over(before).alias("_before")
         )
+        carry = small_side(settle(carry.filter("_before IS NOT NULL")))
         inside = Window.partitionBy(*keys).orderBy(self.ordinal)
         rows = (
             rows.withColumn(name, F.row_number().over(inside))
@@ -153,10 +157,25 @@ class OrderedRows:
                 for k, e in columns.items()
             ]
         )
-        rows = self.rows.join(firsts, list(self.unit), "left")
+        rows = self._beside(firsts)
         rows = rows.withColumns({k: F.when(F.col(k)["t"] <= t, F.col(k)["v"]) for k in columns})
         return replace(self, rows=rows)
 
+    def with_length(self, name: str) -> OrderedRows:
+        """The number of rows of the unit."""
+        if not self.split:
+            w = Window.partitionBy(*self.unit)
+            return replace(self, rows=self.rows.withColumn(name, F.count(F.lit(1)).over(w)))
+        lengths = self.rows.groupBy(*self.unit).agg(F.count(F.lit(1)).alias(name))
+        return replace(self, rows=self._beside(lengths))
+
+    def _beside(self, per_unit: DataFrame) -> DataFrame:
+        """A stored table of one row per unit next to the rows."""
+        per_unit = small_side(settle(per_unit))
+        if not self.unit:
+            return self.rows.join(per_unit, F.lit(True))
+        return self.rows.join(per_unit, list(self.unit), "left")
+
     # -- projections ---------------------------------------------------------------------------
 
     def with_columns(self, columns: dict[str, Column]) -> OrderedRows:
@@ -172,16 +191,22 @@ def in_order(
     order: list[str] | tuple[str, ...],
     ordinal: str = "t",
     block_rows: int = BLOCK_ROWS,
+    longest: int | None = None,
 ) -> OrderedRows:
-    """Number the rows of every unit 1, 2, … along ``order``; its last column must break ties."""
+    """Number the rows of every unit 1, 2, … along ``order``; its last column must break ties.
+
+    Unit lengths are counted first; ``longest`` saves that where a bound on them is known.
+    """
     unit, order = tuple(unit), tuple(order)
-    lengths = df.groupBy(*unit).agg(F.count(F.lit(1)).alias("n"))
-    if unit and lengths.filter(F.col("n") > block_rows).isEmpty():
+    if longest is None:
+        lengths = df.groupBy(*unit).agg(F.count(F.lit(1)).alias("n"))
+        longest = lengths.agg(F.max("n")).first()[0] or 0
+    if unit and longest <= block_rows:
         w = Window.partitionBy(*unit).orderBy(*order)
         rows = df.withColumn(ordinal, F.row_number().over(w).cast("long"))
-        return OrderedRows(rows, unit, order, block_rows, False, ordinal)
+        return OrderedRows(rows, unit, order, block_rows, False, ordinal, longest)
     rows = _number_long_units(df, unit, order, ordinal, block_rows)
-    return OrderedRows(rows, unit, order, block_rows, True, ordinal)
+    return OrderedRows(rows, unit, order, block_rows, True, ordinal, longest)
 
 
 def _number_long_units(df, unit, order, ordinal, block_rows) -> DataFrame:
@@ -198,6 +223,8 @@ def _number_long_units(df, unit, order, ordinal, block_rows) -> DataFrame:
             # a group all of whose order numbers agree cannot be cut any further
             .filter(" OR ".join(f"{n}_lo < {n}_hi" for n in numbers))
         )
+        # at most rows / block_rows rows; stored, as the rows of every finer cut are joined to it
+        long_groups = settle(long_groups)
         if long_groups.isEmpty():
             break
         # cut along the first order column that still varies inside the group
@@ -227,8 +254,8 @@ def _number_long_units(df, unit, order, ordinal, block_rows) -> DataFrame:
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         counts = counts.select(*keys, F.sum("_n").over(before).alias("_before"))
-        counts = counts.filter("_before IS NOT NULL")
-        rows = rows.join(F.broadcast(counts) if is_bounded(counts) else counts, keys, "left")
+        counts = settle(counts.filter("_before IS NOT NULL"))
+        rows = rows.join(small_side(counts), keys, "left")
         offset = F.coalesce("_before", F.lit(0))
     inside = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
     rows = rows.withColumn(ordinal, (F.row_number().over(inside) + offset).cast("long"))

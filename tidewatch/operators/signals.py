@@ -90,10 +90,11 @@ def single_signals(
     burn_in: int = 50,
     threshold: float = 2.0,
     block_rows: int = BLOCK_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """One row per event after the burn-in, with score, running mean and sd, strength and crossing
     of every metric code (``<i>_score``, ``<i>_mean``, ``<i>_sd``, ``<i>_str``, ``<i>_crossed``)."""
-    seq = in_order(df.na.drop(subset=[metric]), unit, order, block_rows=block_rows)
+    seq = in_order(df.na.drop(subset=[metric]), unit, order, block_rows=block_rows, longest=longest)
     seq = expanding_moments(seq, metric)
     return _scored(seq, SINGLE_METRICS, burn_in, threshold).rows.filter(F.col("t") > burn_in)
 
@@ -160,14 +161,17 @@ def crossings_by_metric(
     burn_in: int = 50,
     threshold: float = 2.0,
     block_rows: int = BLOCK_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
-    """``<metric>_crossed`` for several series in one pass: melted, partitioned by unit and metric."""
+    """``<metric>_crossed`` for several series in one pass: melted, partitioned by unit and metric.
+
+    ``longest`` is a bound on the rows of a unit, where known."""
     long = df.select(
         *unit, *order,
         F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x"))
                            for m in metrics])),
     )
-    signals = single_signals(long, [*unit, "metric"], order, "x", burn_in, threshold, block_rows)
+    signals = single_signals(long, [*unit, "metric"], order, "x", burn_in, threshold, block_rows, longest)
     counts = crossing_count(signals, "crossed")
     return counts.groupBy(*unit, *order).agg(
         *[F.max(F.when(F.col("metric") == m, F.col("crossed"))).alias(f"{m}_crossed")

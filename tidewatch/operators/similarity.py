@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,15 +51,7 @@ def similarity_to_recent(
         },
         back=k,
     )
-    unit = list(seq.unit)
-    if seq.split:
-        lengths = seq.rows.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n"))
-        seq = OrderedRows(
-            seq.rows.join(lengths, unit, "left"), seq.unit, seq.order, seq.block_rows, True, seq.ordinal
-        )
-    else:
-        whole = Window.partitionBy(*unit)
-        seq = seq.with_columns({"_n": F.count(F.lit(1)).over(whole)})
+    seq = seq.with_length("_n")
     full = (F.col("_rows") == k) & (F.col("_n") > 2 * k)
     value = F.when(full, cosine(vector, mean_of("_recent", dim)))
     return seq.with_columns({name: value}).drop("_recent", "_rows", "_n")

@@ -39,14 +39,16 @@ def unit_series(
 
 def unit_signals(
     series: DataFrame, unit: str, date: str, metrics: list[str], key: str = "eid", burn_in: int = 50,
-    threshold: float = 2.0, block_rows: int = BLOCK_ROWS,
+    threshold: float = 2.0, block_rows: int = BLOCK_ROWS, longest: int | None = None,
 ) -> DataFrame:
     """Crossing counts per event: one per metric on its own, one for all metrics together."""
     whole = series.na.drop(subset=metrics).select(unit, date, key, *metrics)
     order = [date, key]
-    single = crossings_by_metric(whole, [unit], order, metrics, burn_in, threshold, block_rows)
+    if longest is None:
+        longest = whole.groupBy(unit).count().agg(F.max("count")).first()[0] or 0
+    single = crossings_by_metric(whole, [unit], order, metrics, burn_in, threshold, block_rows, longest)
     multi = joint_signals(whole, [unit], order, metrics, burn_in=burn_in, threshold=threshold,
-                          block_rows=block_rows).select(unit, *order, "multi_crossed")
+                          block_rows=block_rows, longest=longest).select(unit, *order, "multi_crossed")
     both = single.join(multi, [unit, *order], "full")
     return whole.select(unit, *order).join(both, [unit, *order], "left")
 
