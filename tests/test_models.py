@@ -271,6 +271,7 @@ def test_exact_matches(spark):
 
 def test_slope_and_dimension(spark):
     rows = [("u", s, 0.9 - 0.05 * s + 0.01 * (s % 3)) for s in range(1, 11)] + [("v", 1, 0.5)]
+    rows += [("w", s, 0.25) for s in range(1, 11)]
     df = spark.createDataFrame(rows, "u string, step int, rho double")
     got = {r["u"]: r for r in M.slope_test(df, ["u"]).collect()}
     s, y = np.arange(1, 11), np.array([r[2] for r in rows[:10]])
@@ -281,7 +282,7 @@ def test_slope_and_dimension(spark):
     grid = np.linspace(-t, t, 2_000_001)
     dens = (1 + grid**2 / 8) ** -4.5 * 35 / (64 * np.sqrt(2))  # gamma ratio for 8 degrees of freedom
     assert got["u"]["rho_p"] == pytest.approx(max(1 - np.trapezoid(dens, grid), 0), abs=1e-7)
-    assert got["v"]["rho_p"] is None
+    assert got["v"]["rho_p"] is None and got["w"]["rho_p"] is None
     skills = spark.createDataFrame([("a", 2, -0.9), ("a", 3, 0.9), ("a", 4, 0.1), ("b", 2, None)], "u string, E int, rho double")
     assert {r["u"]: r["E"] for r in M.best_dimension(skills, ["u"]).collect()} == {"a": 2, "b": None}
 

@@ -19,6 +19,7 @@ def rows_with_a_hot_unit(n=400, seed=3):
     for i in range(n):
         unit = "hot" if i % 3 == 0 else f"u{rng.randrange(12)}"
         moment = start if i % 2 == 0 else start + dt.timedelta(seconds=rng.randrange(10**6))
+        moment = None if i % 21 == 0 else moment
         rows.append((unit, moment, f"{rng.getrandbits(64):016x}", rng.choice([None, rng.gauss(5, 2)])))
     return rows
 

@@ -187,7 +187,8 @@ def slope_test(skills: DataFrame, keys: list[str]) -> DataFrame:
     c = 1 - r * r
     tail = r * (1 + c / 2 + 3 * c * c / 8 + 5 * c * c * c / 16)
     return stats.select(
-        *keys, "rho_slope", F.when(F.col("n_steps") == 10, F.greatest(1 - F.abs(tail), F.lit(0.0))).alias("rho_p")
+        *keys, "rho_slope",
+        F.when((F.col("n_steps") == 10) & F.col("r").isNotNull(), F.greatest(1 - F.abs(tail), F.lit(0.0))).alias("rho_p"),
     )
 
 

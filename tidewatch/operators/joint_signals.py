@@ -64,6 +64,12 @@ def eigen_metrics(g0, g1, glag, gdiff):
     return out
 
 
+def _largest(values: list[Column]) -> Column:
+    """Null if any value is missing, which ``greatest`` would pass over."""
+    known = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
+    return F.when(known, F.greatest(*values) if len(values) > 1 else values[0])
+
+
 def _eigen_udf(p: int):
     schema = ", ".join(f"{m} double" for m in EIGEN_METRICS)
 
@@ -188,13 +194,13 @@ def joint_signals(
         seq = multi_information(seq, series, burn_in, "mutINFO")
     seq = expanding_covariances(seq, series)
     cell = lambda m, i, j: F.col(m)[i * p + j]
-    sds = [F.sqrt(F.greatest(cell("_g0", i, i), F.lit(0.0))) for i in range(p)]
+    sds = [F.when(cell("_g0", i, i) >= 0, F.sqrt(cell("_g0", i, i))) for i in range(p)]
     ars = [_ratio(cell("_g1", i, i), cell("_glag", i, i)) for i in range(p)]
     pairs = [cell("_g0", i, j) for i in range(p) for j in range(i)]
     mean = lambda xs: reduce(lambda a, b: a + b, xs) / F.lit(float(len(xs)))
     native = {
-        "meanAR": mean(ars), "maxAR": F.greatest(*ars), "meanSD": mean(sds), "maxSD": F.greatest(*sds),
-        "maxCOV": F.greatest(*pairs) if len(pairs) > 1 else pairs[0],
+        "meanAR": mean(ars), "maxAR": _largest(ars), "meanSD": mean(sds), "maxSD": _largest(sds),
+        "maxCOV": _largest(pairs),
     }
     late = F.col(seq.ordinal) >= burn_in
     seq = seq.with_columns({m: F.when(late, native[m]) for m in metrics if m in native})

@@ -212,7 +212,10 @@ def in_order(
 def _number_long_units(df, unit, order, ordinal, block_rows) -> DataFrame:
     """Ordinals from slices of the order key, cut finer until no slice is longer than a block."""
     numbers = [f"_o{i}" for i in range(len(order))]
-    rows = df.withColumns({n: order_number(df, c) for n, c in zip(numbers, order)})
+    # a missing order value sorts first
+    rows = df.withColumns(
+        {n: F.coalesce(order_number(df, c), F.lit(-1e300)) for n, c in zip(numbers, order)}
+    )
     keys: list[str] = list(unit)
     for depth in range(MAX_REFINEMENTS):
         bounds = [b for n in numbers for b in (F.min(n).alias(f"{n}_lo"), F.max(n).alias(f"{n}_hi"))]

@@ -140,7 +140,7 @@ def pairwise_similarity(
     squares = _gram_squares(u, by, dim)
     result = result.join(squares, by)
     second = F.when(F.col("n") > 1, (F.col("g2") - F.col("n1")) / F.nullif(pairs, F.lit(0.0)))
-    sd = F.sqrt(F.greatest(second - mean * mean, F.lit(0.0)))
+    sd = F.when(F.col("n") > 1, F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))))
     return result.select(*by, "n", mean.alias("mean_sim"), sd.alias("std_sim"))
 
 
