@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +31,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores also when they are one file."""
+    return spread(load(spark, sf_dir, "documents"), "doc_id")
+
+
 def r6(column, digits: int = 6) -> Column:
     """Rounded for comparison; adding zero turns -0.0 into 0.0."""
     c = F.col(column) if isinstance(column, str) else column

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog.book import load, query, r6, rounded
+from tidewatch.catalog.book import load, query, r6, rounded, texts
 
 from tidewatch.catalog.signals import BURN_IN, CROSSED, signal_ctes
 from tidewatch.catalog.similarity import TOKENS, V
@@ -29,7 +29,7 @@ CODED = f"""{TOKENS}, counts AS (SELECT doc_id, count(*) FILTER (token IN ('the'
 )
 def reports_coded(spark, sf_dir):
     """Reports with scores joined by key and bound by position, filtered, scored."""
-    docs = load(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     reports = docs.select("doc_id", F.col("text").alias("cmbd_narrative"))
     by_key = Scores(load(spark, sf_dir, "labels"), ["quality"], "liwc_", key="doc_id")
     by_position = Scores(docs.select(F.col("doc_id").alias("TextID"), F.col("n_chars").alias("n")), ["n"],

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog.book import load, query, r6, rounded
+from tidewatch.catalog.book import load, query, r6, rounded, texts
 from tidewatch.functions.vectors import cosine, doubles, read_vector, to_vector, write_vector
 from tidewatch.operators.ordering import in_order
 from tidewatch.operators.scoring import term_counts, text_vectors, token_statistics
@@ -189,7 +189,7 @@ CAST(count(DISTINCT token) AS INTEGER) AS types FROM documents d LEFT JOIN token
 GROUP BY d.doc_id""",
 )
 def document_token_statistics(spark, sf_dir):
-    return token_statistics(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return token_statistics(texts(spark, sf_dir), "doc_id", "text")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog.book import load, query, r6, rounded
+from tidewatch.catalog.book import load, query, r6, rounded, texts
 from tidewatch.catalog.similarity import TOKENS, WORD_SQL
 from tidewatch.functions import text as X
 from tidewatch.functions.columns import valid_text
@@ -61,7 +61,7 @@ found AS (SELECT DISTINCT doc_id, spot, feature FROM runs JOIN dic ON runs.size
 @query("dictionary_hits", f"WITH {RUNS} SELECT doc_id, feature, count(*) AS n FROM found GROUP BY 1, 2")
 def dictionary_hits_query(spark, sf_dir):
     """Matches per text and category, several dictionaries in one pass over the words."""
-    return dictionary_hits(load(spark, sf_dir, "documents"), "doc_id", "text", entries(spark))
+    return dictionary_hits(texts(spark, sf_dir), "doc_id", "text", entries(spark))
 
 
 FEATURES = sorted({f"{d}_{c}" for d, c, _ in ENTRIES})
@@ -74,7 +74,7 @@ FEATURES = sorted({f"{d}_{c}" for d, c, _ in ENTRIES})
     ) + " FROM documents d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id",
 )
 def dictionary_scores_query(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     return dictionary_scores(docs, "doc_id", "text", entries(spark)).drop("text")
 
 
@@ -90,7 +90,7 @@ def dictionary_from_file(spark, sf_dir):
     body = ["%", "1\tarticle", "2\tlink", "%", "the\t1", "a\t1", "and\t2", "with\t2", "th*\t2"]
     spark.createDataFrame([(line,) for line in body], "value string").coalesce(1).write.text(path)
     hits = dictionary_hits(
-        load(spark, sf_dir, "documents"), "doc_id", "text", read_dictionary(spark, path, "w")
+        texts(spark, sf_dir), "doc_id", "text", read_dictionary(spark, path, "w")
     )
     n = lambda c: F.sum(F.when(F.col("feature") == f"w_{c}", F.col("n")).otherwise(0)).alias(f"n_{c}")
     return hits.groupBy("doc_id").agg(n("article"), n("link"))
@@ -133,7 +133,7 @@ SELECT doc_id, round(coalesce(n, 0) / nullif(CASE WHEN s = '' THEN 0
 FROM wc LEFT JOIN hits USING (doc_id)""",
 )
 def passive_voice_ratio(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     return rounded(passive_voice(docs, "text", name="passive").drop("text"), "passive")
 
 
@@ -174,7 +174,7 @@ SELECT doc_id, round(total / sqrt(total * total + 15), 6) + 0.0 AS compound,
   round(coalesce(flat / nullif(up - down + flat, 0), 0), 6) + 0.0 AS neu FROM loud""",
 )
 def sentiment_scores(spark, sf_dir):
-    scores = sentiment(load(spark, sf_dir, "documents"), "doc_id", "text", lexicon(spark))
+    scores = sentiment(texts(spark, sf_dir), "doc_id", "text", lexicon(spark))
     return rounded(scores, "compound", "neg", "pos", "neu")
 
 
@@ -185,7 +185,7 @@ def sentiment_scores(spark, sf_dir):
 FROM (SELECT doc_id, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents)""",
 )
 def word_counts(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", X.count_word_runs("text").alias("runs"), X.count_blank_separated("text").alias("parts")
     )
 
@@ -196,7 +196,7 @@ def word_counts(spark, sf_dir):
 FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def merged_narratives(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = texts(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id", "left")
     note = F.when(F.col("toxic") == 1, "toxic")
     return docs.select("doc_id", F.md5(X.merge_text("lang", note, "text")).alias("merged"))
 
@@ -209,7 +209,7 @@ def merged_narratives(spark, sf_dir):
  md5(CASE WHEN suffix(text, '.') THEN text[:-2] ELSE text END) AS at_end FROM documents""",
 )
 def placeholders_removed(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id",
         F.md5(X.remove_all("text", "the")).alias("every"),
         F.md5(X.remove_first("text", "the")).alias("first_only"),
@@ -223,7 +223,7 @@ def placeholders_removed(spark, sf_dir):
 WHERE regexp_matches(text, 'th[aeiou]n') AND NOT contains(text, 'zz') AND text IS NOT NULL AND text <> ''""",
 )
 def text_predicates(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").filter(valid_text("text", ("None",)))
+    docs = texts(spark, sf_dir).filter(valid_text("text", ("None",)))
     docs = docs.filter(F.col("text").rlike("th[aeiou]n") & ~F.col("text").contains("zz"))
     return docs.select(
         "doc_id", F.upper("lang").alias("lang"), F.substring(F.trim(F.lower("text")), 1, 20).alias("head")
@@ -268,7 +268,7 @@ def sentiment_by_day(spark, sf_dir):
     """Mean and largest score per group."""
     dic = lexicon(spark).select(F.lit("lex").alias("dict"), F.lit("n").alias("category"),
                                 F.col("token").alias("pattern"))
-    docs = dictionary_scores(load(spark, sf_dir, "documents"), "doc_id", "text", dic)
+    docs = dictionary_scores(texts(spark, sf_dir), "doc_id", "text", dic)
     return docs.groupBy("source", "lang").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("lex_n")).alias("n_mean"), F.max("lex_n").alias("n_max")
     )

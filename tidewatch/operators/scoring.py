@@ -53,31 +53,42 @@ def dictionary_hits(df: DataFrame, key: str, text: str, entries: DataFrame) -> D
         F.min(F.when(F.col("is_prefix"), F.length("stem"))).alias("shortest"),
     ).first()
     longest, shortest = shape["longest"] or 1, shape["shortest"]
-    small = is_bounded(table)
-    side: Callable[[DataFrame], DataFrame] = F.broadcast if small else (lambda d: d)
     runs = F.concat(*[phrases(F.col("_words"), n) for n in range(1, longest + 1)])
-    texts = df.select(key, words(text).alias("_words"))
-    texts = texts.select(key, F.posexplode(runs).alias("_at", "token"))
-    if not small:
-        # a dictionary too long to broadcast: shuffle each distinct word of a text once
-        texts = texts.groupBy(key, "token").agg(F.count(F.lit(1)).alias("_times"))
-        texts = texts.withColumn("_at", F.lit(0))
-    else:
-        texts = texts.withColumn("_times", F.lit(1))
+    texts = df.select(key, words(text).alias("_words")).select(key, F.explode(runs).alias("token"))
     feature = F.concat_ws("_", "dict", "category").alias("feature")
     literals = table.filter(~F.col("is_prefix")).select(F.col("stem").alias("token"), feature)
-    found = texts.join(side(literals), "token")
+    heads = table.filter("is_prefix").select(
+        F.substring("stem", 1, shortest or 1).alias("_head"), "stem", "n_tokens", feature
+    )
+    if not is_bounded(table):
+        return _hits_by_shuffle(texts, key, literals, heads, shortest)
+    # the dictionary meets each word as two arrays, so a category is counted once without a shuffle
+    none = F.array().cast("array<string>")
+    literals = literals.groupBy("token").agg(F.collect_set("feature").alias("_equal"))
+    found = texts.join(F.broadcast(literals), "token", "left")
+    features = F.coalesce("_equal", none)
+    if shortest is not None:
+        heads = heads.groupBy("_head").agg(F.collect_list(F.struct("stem", "n_tokens", "feature")).alias("_starts"))
+        found = found.withColumn("_head", F.substring("token", 1, shortest))
+        found = found.join(F.broadcast(heads), "_head", "left")
+        size = F.size(F.split("token", " "))
+        fits = F.filter("_starts", lambda p: F.startswith("token", p["stem"]) & (p["n_tokens"] == size))
+        features = F.array_union(features, F.coalesce(F.transform(fits, lambda p: p["feature"]), none))
+    found = found.filter(" OR ".join(f"{c} IS NOT NULL" for c in ("_equal", "_starts") if c in found.columns))
+    found = found.select(key, F.explode(features).alias("feature"))
+    return found.groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _hits_by_shuffle(texts, key, literals, heads, shortest) -> DataFrame:
+    """For a dictionary too long to broadcast: each distinct word of a text is shuffled once."""
+    texts = texts.groupBy(key, "token").agg(F.count(F.lit(1)).alias("_times"))
+    found = texts.join(literals, "token").select(key, "token", "_times", "feature")
     if shortest is not None:
-        heads = table.filter("is_prefix").select(
-            F.substring("stem", 1, shortest).alias("_head"), "stem", "n_tokens", feature
-        )
         headed = texts.withColumn("_head", F.substring("token", 1, shortest))
-        starts = headed.join(side(heads), "_head").filter(
-            F.startswith("token", "stem")
-            & (F.size(F.split("token", " ")) == F.col("n_tokens"))
+        starts = headed.join(heads, "_head").filter(
+            F.startswith("token", "stem") & (F.size(F.split("token", " ")) == F.col("n_tokens"))
         )
-        found = found.unionByName(starts.select(*found.columns))
-        found = found.groupBy(key, "_at", "token", "feature").agg(F.max("_times").alias("_times"))
+        found = found.unionByName(starts.select(*found.columns)).distinct()
     return found.groupBy(key, "feature").agg(F.sum("_times").alias("n"))
 
 
@@ -232,11 +243,18 @@ def sentiment(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFra
 def term_counts(
     df: DataFrame, key: str, text: str, stop_words: list[str] | None = None, stemmed: bool = True
 ) -> DataFrame:
-    """Sparse document-term counts: key, term, n. Stop words go before stemming."""
-    rows = tokens(df, key, text)
+    """Sparse document-term counts: key, term, n. Stop words go before stemming.
+
+    The texts are brought together by key first: they are smaller than their terms, and all that is
+    grouped or joined by key afterwards stays where it is.
+    """
+    rows = tokens(df.select(key, text).repartition(key), key, text)
     rows = rows.filter(~F.col("token").isin(*(STOP_WORDS if stop_words is None else stop_words)))
-    term = stem("token") if stemmed else F.col("token")
-    return rows.groupBy(key, term.alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    if not stemmed:
+        return counts.withColumnRenamed("token", "term")
+    # counted before stemming, so that a word is stemmed once per text
+    return counts.groupBy(key, stem("token").alias("term")).agg(F.sum("n").alias("n"))
 
 
 def hashed_bucket(term: Column, dim: int) -> Column:
@@ -253,7 +271,7 @@ def text_vectors(
 ) -> DataFrame:
     """Hashed TF-IDF vectors of length one. Document frequencies are counted per bucket, so the
     table that is broadcast has ``dim`` rows at any scale."""
-    terms = df.select(key, F.explode(words(text)).alias("token"))
+    terms = df.select(key, text).repartition(key).select(key, F.explode(words(text)).alias("token"))
     counts = terms.groupBy(key, bucket(F.col("token"), dim).alias("bucket")).agg(
         F.count(F.lit(1)).alias("tf")
     )

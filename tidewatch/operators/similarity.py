@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,28 +173,33 @@ def _gram_squares(u: DataFrame, by: list[str], dim: int) -> DataFrame:
 def neighbour_similarity(counts: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     """Cosine of a document's term counts with those of the one before it.
 
-    ``counts`` is (key, term, n), ``previous`` is (key, previous key). Only shared terms meet, so the
-    work follows the number of terms, not the number of document pairs.
+    ``counts`` is (key, term, n), ``previous`` is (key, previous key). Every count goes to the pair in
+    which its document is the later one and to the pair in which it is the earlier one; all sums of
+    a pair come from these rows, so the work follows the number of terms, not of document pairs.
     """
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
-    earlier = counts.select(F.col(key).alias("_prev"), "term", F.col("n").alias("_m"))
-    dots = (
-        counts.join(previous.select(key, F.col("previous").alias("_prev")), key)
-        .join(earlier, ["_prev", "term"])
-        .groupBy(key)
-        .agg(F.sum(F.col("n") * F.col("_m")).cast("double").alias("dot"))
+    following = previous.filter("previous IS NOT NULL").select(
+        F.col("previous").alias(key), F.col(key).alias("_next")
     )
-    last = norms.select(F.col(key).alias("previous"), F.col("size").alias("_last"))
+    none = F.lit(None).cast("long")
+
+    def side(pair: str, late: Column, early: Column) -> Column:
+        return F.struct(F.col(pair).alias("_pair"), late.alias("late"), early.alias("early"))
+
+    sides = F.array(
+        side(key, F.col("n"), none), F.when(F.col("_next").isNotNull(), side("_next", none, F.col("n")))
+    )
+    cells = counts.join(following, key, "left").select("term", F.inline(F.array_compact(sides)))
+    # together by pair, so that the sums by term and the sums by pair move nothing any more
+    cells = cells.repartition("_pair").groupBy("_pair", "term").agg(
+        F.max("late").alias("late"), F.max("early").alias("early")
+    )
+    late, early = F.col("late").cast("double"), F.col("early").cast("double")
+    sums = cells.groupBy("_pair").agg(
+        F.sum(late * early).alias("dot"), F.sum(late * late).alias("l2"), F.sum(early * early).alias("e2")
+    )
+    value = F.coalesce("dot", F.lit(0.0)) / F.sqrt(F.col("l2") * F.col("e2"))
     return (
-        previous.filter("previous IS NOT NULL")
-        .join(norms, key, "left")
-        .join(last, "previous", "left")
-        .join(dots, key, "left")
-        .select(
-            key, "previous",
-            F.when(
-                F.col("size").isNotNull() & F.col("_last").isNotNull(),
-                F.coalesce("dot", F.lit(0.0)) / (F.col("size") * F.col("_last")),
-            ).alias("similarity"),
-        )
+        previous.filter("previous IS NOT NULL").select(key, "previous")
+        .join(sums, F.col(key) == F.col("_pair"), "left")
+        .select(key, "previous", F.when(F.col("l2").isNotNull() & F.col("e2").isNotNull(), value).alias("similarity"))
     )
