@@ -85,10 +85,10 @@ def event_early_warnings(spark, sf_dir):
     """How many warning thresholds are crossed at each event of each unit, for two series."""
     seq = event_series(spark, sf_dir, "hours")
     series = seq.rows.withColumnRenamed("inter_event_dur", "gap")
-    crossed = crossings_by_metric(series, UNIT, ORDER, ["value", "gap"], BURN_IN, longest=seq.longest)
-    return series.join(crossed, [*UNIT, *ORDER], "left").select(
-        "user_id", "event_id", "t", "value_crossed", "gap_crossed"
+    crossed = crossings_by_metric(
+        series, UNIT, ORDER, ["value", "gap"], BURN_IN, longest=seq.longest, carry=("t",), keep_early=True
     )
+    return crossed.select("user_id", "event_id", "t", "value_crossed", "gap_crossed")
 
 
 @query(

@@ -100,7 +100,7 @@ def single_signals(
 
 
 def _scored(seq: OrderedRows, metrics, burn_in: int, threshold: float) -> OrderedRows:
-    kept = {f"_m_{m}": F.when(F.col("t") >= burn_in, F.col(m)) for m in metrics}
+    kept = {f"_m_{m}": F.when(F.col(seq.ordinal) >= burn_in, F.col(m)) for m in metrics}
     seq = expanding_mean_sd(seq.with_columns(kept), list(kept))
     z = {
         m: _ratio(F.col(f"_m_{m}") - F.col(f"_m_{m}_mean"), F.col(f"_m_{m}_sd")) for m in metrics
@@ -162,19 +162,27 @@ def crossings_by_metric(
     threshold: float = 2.0,
     block_rows: int = BLOCK_ROWS,
     longest: int | None = None,
+    carry: tuple[str, ...] = (),
+    keep_early: bool = False,
 ) -> DataFrame:
     """``<metric>_crossed`` for several series in one pass: melted, partitioned by unit and metric.
 
-    ``longest`` is a bound on the rows of a unit, where known."""
+    ``longest`` is a bound on the rows of a unit, where known. ``carry`` names further columns of the
+    events to keep; with ``keep_early`` events up to the burn-in stay, without counts.
+    """
     long = df.select(
-        *unit, *order,
+        *unit, *order, *carry,
         F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x"))
                            for m in metrics])),
     )
-    signals = single_signals(long, [*unit, "metric"], order, "x", burn_in, threshold, block_rows, longest)
+    seq = in_order(long.na.drop(subset=["x"]), [*unit, "metric"], order, "_t", block_rows, longest)
+    signals = _scored(expanding_moments(seq, "x"), SINGLE_METRICS, burn_in, threshold).rows
     counts = crossing_count(signals, "crossed")
-    return counts.groupBy(*unit, *order).agg(
-        *[F.max(F.when(F.col("metric") == m, F.col("crossed"))).alias(f"{m}_crossed")
+    late = F.col("_t") > burn_in
+    if not keep_early:
+        counts = counts.filter(late)
+    return counts.groupBy(*unit, *order, *carry).agg(
+        *[F.max(F.when(late & (F.col("metric") == m), F.col("crossed"))).alias(f"{m}_crossed")
           for m in metrics]
     )
 

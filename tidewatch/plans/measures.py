@@ -46,11 +46,11 @@ def unit_signals(
     order = [date, key]
     if longest is None:
         longest = whole.groupBy(unit).count().agg(F.max("count")).first()[0] or 0
-    single = crossings_by_metric(whole, [unit], order, metrics, burn_in, threshold, block_rows, longest)
+    single = crossings_by_metric(whole, [unit], order, metrics, burn_in, threshold, block_rows, longest,
+                                 keep_early=True)
     multi = joint_signals(whole, [unit], order, metrics, burn_in=burn_in, threshold=threshold,
                           block_rows=block_rows, longest=longest).select(unit, *order, "multi_crossed")
-    both = single.join(multi, [unit, *order], "full")
-    return whole.select(unit, *order).join(both, [unit, *order], "left")
+    return single.join(multi, [unit, *order], "left")
 
 
 def day_metrics(
