@@ -33,9 +33,10 @@ skills AS (SELECT user_id, e, step, count(*) AS n_forecasts, covar_samp(predicte
  / nullif(stddev_samp(predicted) * stddev_samp(actual), 0) AS rho FROM forecast GROUP BY 1, 2, 3)"""
 
 
-def points(spark, sf_dir, max_step=10):
-    series = event_series(spark, sf_dir).rows.drop("t")
-    return M.delay_points(series, UNIT, ORDER, "value", max(DIMS), max_step)
+def forecasts(spark, sf_dir, pairs):
+    seq = event_series(spark, sf_dir)
+    points = M.delay_points(seq.rows.drop("t"), UNIT, ORDER, "value", max(DIMS), 10, longest=seq.longest)
+    return M.forecasts(points, UNIT, max(DIMS), 10, pairs, longest=seq.longest)
 
 
 @query(
@@ -43,7 +44,7 @@ def points(spark, sf_dir, max_step=10):
     f"""WITH {skill_sql([(e, 1) for e in DIMS])} SELECT user_id, e AS E, n_forecasts, round(rho, 6) + 0.0 AS rho FROM skills""",
 )
 def forecast_skill_by_dimension(spark, sf_dir):
-    found = M.forecasts(points(spark, sf_dir), UNIT, max(DIMS), 10, [(e, 1) for e in DIMS])
+    found = forecasts(spark, sf_dir, [(e, 1) for e in DIMS])
     return rounded(M.skill(found, ["user_id", "E"]), "rho")
 
 
@@ -52,7 +53,7 @@ def forecast_skill_by_dimension(spark, sf_dir):
     f"""WITH {skill_sql([(e, 1) for e in DIMS])} SELECT user_id, arg_max(e, abs(rho)) AS E FROM skills GROUP BY 1""",
 )
 def best_dimension(spark, sf_dir):
-    found = M.forecasts(points(spark, sf_dir), UNIT, max(DIMS), 10, [(e, 1) for e in DIMS])
+    found = forecasts(spark, sf_dir, [(e, 1) for e in DIMS])
     return M.best_dimension(M.skill(found, ["user_id", "E"]), UNIT)
 
 
@@ -64,16 +65,18 @@ SELECT user_id, round(slope, 6) + 0.0 AS rho_slope, round(greatest(0, 1 - abs(r
  + 5 * (1 - r*r)^3 / 16))), 6) + 0.0 AS rho_p FROM fit""",
 )
 def skill_decay_over_steps(spark, sf_dir):
-    found = M.forecasts(points(spark, sf_dir), UNIT, max(DIMS), 10, [(3, s) for s in range(1, 11)])
+    found = forecasts(spark, sf_dir, [(3, s) for s in range(1, 11)])
     return rounded(M.slope_test(M.skill(found, ["user_id", "step"]), UNIT), "rho_slope", "rho_p")
 
 
 @query("cross_map_skill_by_size")
 def cross_map_skill_by_size(spark, sf_dir):
     """Mean and sd of cross-map skill by library size. Libraries are drawn by hash, so no SQL."""
-    series = event_series(spark, sf_dir, "hours").rows.drop("t").na.drop(subset=["inter_event_dur"])
+    seq = event_series(spark, sf_dir, "hours")
+    series = seq.rows.drop("t").na.drop(subset=["inter_event_dur"])
     dims = series.select("user_id").distinct().withColumn("E", F.lit(3))
-    rhos = M.cross_map(series, UNIT, ORDER, "value", "inter_event_dur", dims, 3, [10, 20, 40], 10)
+    rhos = M.cross_map(series, UNIT, ORDER, "value", "inter_event_dur", dims, 3, [10, 20, 40], 10,
+                       longest=seq.longest)
     return rounded(M.skill_by_size(rhos, UNIT), "rho", "sd_rho")
 
 

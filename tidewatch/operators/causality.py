@@ -8,13 +8,14 @@ the usual case, is one task; a long unit is many, with the same result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.operators.ordering import BLOCK_ROWS, in_order
-from tidewatch.session import settle
+from tidewatch.session import settle, small_side
 
 POINT_BLOCK = 512
 STEPS = tuple(range(1, 11))
@@ -22,14 +23,14 @@ STEPS = tuple(range(1, 11))
 
 def delay_points(
     df: DataFrame, keys: list[str], order: list[str], value: str, max_e: int, max_step: int,
-    others: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS,
+    others: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS, longest: int | None = None,
 ) -> DataFrame:
     """(keys, t, n, ``lags`` = x_t … x_{t−max_e+1}, ``ahead`` = x_{t+1} … x_{t+max_step}, others).
 
     Lags never cross from one series into another.
     """
     seq = in_order(df.select(*keys, *order, F.col(value).cast("double").alias("_x"), *others),
-                   keys, order, block_rows=block_rows)
+                   keys, order, block_rows=block_rows, longest=longest)
     columns = {f"_b{i}": (lambda w, i=i: F.lag("_x", i).over(w)) for i in range(1, max_e)}
     columns |= {f"_f{i}": (lambda w, i=i: F.lead("_x", i).over(w)) for i in range(1, max_step + 1)}
     rows = seq.rolling(columns, back=max_e - 1, ahead=max_step).with_length("n").rows
@@ -40,9 +41,27 @@ def delay_points(
     )
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    """Rows of equal length as floats; missing entries become NaN."""
-    return np.array([list(v) for v in column], dtype=float).reshape(len(column), width)
+def _array(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).to_numpy()
+
+
+def _matrix(table: pa.Table, column: str, width: int) -> np.ndarray:
+    """A column of lists of one length as floats; missing entries become NaN."""
+    cells = table.column(column).combine_chunks().flatten()
+    return cells.to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, width)
+
+
+def _key(table: pa.Table, keys: list[str]) -> list:
+    return [table.column(k)[0].as_py() for k in keys]
+
+
+def _table(schema: pa.Schema, key: list, columns: list) -> pa.Table:
+    """Key values repeated beside columns of results."""
+    n = len(columns[0])
+    repeated = [pa.array([v] * n, f.type) for v, f in zip(key, schema)]
+    return pa.Table.from_arrays(
+        repeated + [pa.array(c, f.type) for c, f in zip(columns, list(schema)[len(key):])], schema=schema
+    )
 
 
 def _nearest(distances: np.ndarray, k: int) -> np.ndarray:
@@ -50,32 +69,34 @@ def _nearest(distances: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(distances, axis=1, kind="stable")[:, :k]
 
 
-def _block_neighbours(pdf: pd.DataFrame, keys, max_e, max_step, pairs) -> pd.DataFrame:
+def _block_neighbours(table: pa.Table, max_e: int, max_step: int, pairs) -> list[tuple]:
     """Nearest library points for the query points of one pair of blocks, per (E, step)."""
-    qb, lb = pdf["_qb"].iloc[0], pdf["_lb"].iloc[0]
-    pdf = pdf.sort_values("t")
-    query, library = pdf[pdf["_block"] == qb], pdf[pdf["_block"] == lb]
-    lags_q, lags_l = _matrix(query["lags"], max_e), _matrix(library["lags"], max_e)
-    truth, future = _matrix(query["ahead"], max_step), _matrix(library["ahead"], max_step)
-    tq, tl = query["t"].to_numpy(), library["t"].to_numpy()
+    order = np.argsort(_array(table, "t"), kind="stable")
+    t, block = _array(table, "t")[order], _array(table, "_block")[order]
+    lags, future = _matrix(table, "lags", max_e)[order], _matrix(table, "ahead", max_step)[order]
+    q = block == table.column("_qb")[0].as_py()
+    own = block == table.column("_lb")[0].as_py()
     if pairs is None:
-        pairs = [(int(pdf["E"].iloc[0]), s) for s in range(1, max_step + 1)]
+        pairs = [(table.column("E")[0].as_py(), s) for s in range(1, max_step + 1)]
     by_e: dict[int, list[int]] = {}
     for e, step in pairs:
         by_e.setdefault(e, []).append(step)
-    same = tq[:, None] == tl[None, :]
-    squares = np.zeros((len(tq), len(tl)))
+    same = t[q][:, None] == t[own][None, :]
+    squares = np.zeros(same.shape)
     out, reached = [], 0
     for e in sorted(by_e):
+        # a distance in e dimensions is the one in fewer plus the further terms
         for i in range(reached, e):
-            squares = squares + (lags_q[:, None, i] - lags_l[None, :, i]) ** 2
+            squares = squares + (lags[q][:, None, i] - lags[own][None, :, i]) ** 2
         reached = e
         for step in by_e[e]:
-            usable = ~same & np.isfinite(squares) & np.isfinite(future[:, step - 1])[None, :]
-            near = _nearest(np.where(usable, squares, np.inf), e + 1)
-            d = np.sqrt(np.where(np.take_along_axis(usable, near, 1), np.take_along_axis(squares, near, 1), np.inf))
-            asked = np.isfinite(lags_q[:, :e]).all(1) & np.isfinite(truth[:, step - 1])
-            out.append((e, step, asked, near, d, future[:, step - 1], truth[:, step - 1], tq, tl))
+            truth, after = future[q][:, step - 1], future[own][:, step - 1]
+            usable = ~same & np.isfinite(squares) & np.isfinite(after)[None, :]
+            sized = np.where(usable, squares, np.inf)
+            near = _nearest(sized, e + 1)
+            d = np.sqrt(np.take_along_axis(sized, near, 1))
+            asked = np.isfinite(lags[q][:, :e]).all(1) & np.isfinite(truth)
+            out.append((e, step, asked, near, d, after, truth, t[q], t[own]))
     return out
 
 
@@ -98,11 +119,12 @@ def _weighted(near: Column) -> Column:
 
 def forecasts(
     points: DataFrame, keys: list[str], max_e: int, max_step: int,
-    pairs: list[tuple[int, int]] | None, block: int = POINT_BLOCK,
+    pairs: list[tuple[int, int]] | None, block: int = POINT_BLOCK, longest: int | None = None,
 ) -> DataFrame:
     """(keys, E, step, t, predicted, actual): leave-one-out simplex forecasts.
 
-    ``pairs`` lists the (E, step) to try; None takes E from the points and every step.
+    ``pairs`` lists the (E, step) to try; None takes E from the points and every step. ``longest`` is
+    a bound on the length of a series, where known.
     """
     own = F.floor((F.col("t") - 1) / F.lit(block))
     last = F.floor((F.col("n") - 1) / F.lit(block))
@@ -117,40 +139,41 @@ def forecasts(
     head = [T.StructField("E", T.IntegerType()), T.StructField("step", T.IntegerType()),
             T.StructField("t", T.LongType())]
     numbers = lambda *names: [T.StructField(n, T.DoubleType()) for n in names]
-    if points.filter(F.col("n") > block).isEmpty():
+    if longest is None:
+        longest = points.agg(F.max("n")).first()[0] or 0
+    if longest <= block:
+        schema = T.StructType(key_fields + head + numbers("predicted", "actual"))
+        arrow = to_arrow_schema(schema)
 
-        def predict(pdf: pd.DataFrame) -> pd.DataFrame:
-            key = [pdf[k].iloc[0] for k in keys]
-            frames = []
-            for e, step, asked, near, d, future, truth, tq, _ in _block_neighbours(pdf, keys, max_e, max_step, pairs):
-                found = _simplex(d, future[near])
+        def predict(table: pa.Table) -> pa.Table:
+            parts = []
+            for e, step, asked, near, d, after, truth, t, _ in _block_neighbours(table, max_e, max_step, pairs):
+                found = _simplex(d, after[near])
                 ok = asked & np.isfinite(found)
-                frames.append(pd.DataFrame({"E": e, "step": step, "t": tq[ok], "predicted": found[ok], "actual": truth[ok]}))
-            out = pd.concat(frames)
-            for i, (k, v) in enumerate(zip(keys, key)):
-                out.insert(i, k, v)
-            return out
-
-        schema = T.StructType(key_fields + head + numbers("predicted", "actual"))
-        return rows.groupBy(*group).applyInPandas(predict, schema)
+                n = int(ok.sum())
+                parts.append((np.full(n, e), np.full(n, step), t[ok], found[ok], truth[ok]))
+            return _table(arrow, _key(table, keys), [np.concatenate(c) for c in zip(*parts)])
 
-    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = [pdf[k].iloc[0] for k in keys]
-        out = []
-        for e, step, asked, near, d, future, truth, tq, tl in _block_neighbours(pdf, keys, max_e, max_step, pairs):
-            for q in np.flatnonzero(asked):
-                fine = np.isfinite(d[q])
-                found = near[q][fine]
-                out.append((*key, e, step, tq[q], truth[q], d[q][fine], tl[found], future[found]))
-        names = [*keys, "E", "step", "t", "actual", "d", "s", "y"]
-        return pd.DataFrame(out, columns=names)
+        return rows.groupBy(*group).applyInArrow(predict, schema)
 
     schema = T.StructType(
         key_fields + head + numbers("actual")
         + [T.StructField("d", T.ArrayType(T.DoubleType())), T.StructField("s", T.ArrayType(T.LongType())),
            T.StructField("y", T.ArrayType(T.DoubleType()))]
     )
-    near = rows.groupBy(*group).applyInPandas(candidates, schema)
+    arrow = to_arrow_schema(schema)
+
+    def candidates(table: pa.Table) -> pa.Table:
+        columns: list[list] = [[] for _ in range(7)]
+        for e, step, asked, near, d, after, truth, t, s in _block_neighbours(table, max_e, max_step, pairs):
+            for q in np.flatnonzero(asked):
+                found = near[q][np.isfinite(d[q])]
+                row = (e, step, t[q], truth[q], d[q][np.isfinite(d[q])], s[found], after[found])
+                for column, value in zip(columns, row):
+                    column.append(value)
+        return _table(arrow, _key(table, keys), columns)
+
+    near = rows.groupBy(*group).applyInArrow(candidates, schema)
     merged = near.groupBy(*keys, "E", "step", "t", "actual").agg(
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "s", "y")))).alias("near")
     )
@@ -198,7 +221,7 @@ def slope_test(skills: DataFrame, keys: list[str]) -> DataFrame:
 def cross_map(
     pairs: DataFrame, keys: list[str], order: list[str], cause: str, effect: str, dimensions: DataFrame,
     max_e: int, sizes: list[int], iterations: int = 100, seed: int = 1, block: int = POINT_BLOCK,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, longest: int | None = None,
 ) -> DataFrame:
     """(keys, iteration, L, rho): how well the cause is read off the delay coordinates of the effect,
     from L library points drawn with replacement.
@@ -208,7 +231,8 @@ def cross_map(
     whatever the length of the unit; the points to predict come in blocks.
     """
     sizes = sorted(sizes)
-    points = delay_points(pairs, keys, order, effect, max_e, 1, (cause,), block_rows).join(dimensions, keys)
+    points = delay_points(pairs, keys, order, effect, max_e, 1, (cause,), block_rows, longest)
+    points = points.join(small_side(dimensions), keys)
     points = points.filter(F.col("t") >= F.col("E")).select(
         *keys, "t", "n", "E", "lags", F.col(cause).cast("double").alias("a"))
     units = points.groupBy(*keys).agg(F.first("n").alias("n"), F.first("E").alias("E"), F.avg("a").alias("shift"))
@@ -225,35 +249,39 @@ def cross_map(
     group = [*keys, "_qb"]
     sums = ["n", "sp", "sy", "spp", "syy", "spy"]
 
-    def predict(lib: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    schema = T.StructType(
+        [pairs.schema[k] for k in keys]
+        + [T.StructField("iteration", T.IntegerType()), T.StructField("L", T.IntegerType())]
+        + [T.StructField(s, T.DoubleType()) for s in sums]
+    )
+    arrow = to_arrow_schema(schema)
+
+    def predict(lib: pa.Table, q: pa.Table) -> pa.Table:
+        if not lib.num_rows or not q.num_rows:
+            return arrow.empty_table()
+        e = q.column("E")[0].as_py()
+        shift = lib.column("shift")[0].as_py()
+        xq, tq = _matrix(q, "lags", max_e)[:, :e], _array(q, "t")
+        y = _array(q, "a") - shift
+        iteration = _array(lib, "iteration")
+        order = np.lexsort((_array(lib, "place"), iteration))
+        xl, tl, a = _matrix(lib, "lags", max_e)[order, :e], _array(lib, "t")[order], _array(lib, "a")[order] - shift
         out = []
-        names = [*keys, "iteration", "L", *sums]
-        if lib.empty or q.empty:
-            return pd.DataFrame(out, columns=names)
-        e = int(q["E"].iloc[0])
-        key = [q[k].iloc[0] for k in keys]
-        shift = lib["shift"].iloc[0]
-        xq, tq, y = _matrix(q["lags"], max_e)[:, :e], q["t"].to_numpy(), q["a"].to_numpy() - shift
-        for iteration, part in lib.sort_values(["iteration", "place"]).groupby("iteration", sort=True):
-            xl, tl, a = _matrix(part["lags"], max_e)[:, :e], part["t"].to_numpy(), part["a"].to_numpy() - shift
-            d = np.sqrt(((xq[:, None, :] - xl[None, :, :]) ** 2).sum(2))
-            d = np.where(tq[:, None] == tl[None, :], np.inf, d)
+        for i, first in zip(*np.unique(iteration[order], return_index=True)):
+            part = slice(first, first + sizes[-1])
+            d = np.sqrt(((xq[:, None, :] - xl[None, part, :]) ** 2).sum(2))
+            d = np.where(tq[:, None] == tl[None, part], np.inf, d)
             for size in sizes:
                 near = _nearest(d[:, :size], e + 1)
-                found = _simplex(np.take_along_axis(d[:, :size], near, 1), a[near])
+                found = _simplex(np.take_along_axis(d[:, :size], near, 1), a[part][near])
                 ok = np.isfinite(found) & np.isfinite(y)
                 p, t = found[ok], y[ok]
-                out.append((*key, int(iteration), size, float(ok.sum()), p.sum(), t.sum(), p @ p, t @ t, p @ t))
-        return pd.DataFrame(out, columns=names)
+                out.append((int(i), size, float(ok.sum()), p.sum(), t.sum(), p @ p, t @ t, p @ t))
+        return _table(arrow, _key(q, keys), [list(c) for c in zip(*out)])
 
-    schema = T.StructType(
-        [pairs.schema[k] for k in keys]
-        + [T.StructField("iteration", T.IntegerType()), T.StructField("L", T.IntegerType())]
-        + [T.StructField(s, T.DoubleType()) for s in sums]
-    )
     # both sides come from the same rows; new names for one side's columns keep them apart
     queries = queries.toDF(*queries.columns)
-    parts = library.groupBy(*group).cogroup(queries.groupBy(*group)).applyInPandas(predict, schema)
+    parts = library.groupBy(*group).cogroup(queries.groupBy(*group)).applyInArrow(predict, schema)
     total = parts.groupBy(*keys, "iteration", "L").agg(*[F.sum(s).alias(s) for s in sums])
     n, sp, sy, spp, syy, spy = (F.col(s) for s in sums)
     vp, vy = spp - sp * sp / n, syy - sy * sy / n
@@ -289,15 +317,16 @@ def causality_table(
     keys = [unit, "a_var", "b_var"]
     long = df.select(unit, *order, F.inline(F.array(*names))).filter("a IS NOT NULL AND b IS NOT NULL")
     counts = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events"))
+    longest = counts.agg(F.max("n_events")).first()[0] or 0
     long = long.join(counts.filter(F.col("n_events") >= min_rows).select(*keys), keys, "left_semi")
     sides = long.select(*keys, *order, F.inline(F.array(
         F.struct(F.lit("a").alias("side"), F.col("a").alias("x")), F.struct(F.lit("b").alias("side"), F.col("b").alias("x")))))
     each = [*keys, "side"]
-    points = delay_points(sides, each, order, "x", max_e, len(STEPS), block_rows=block_rows)
-    first = forecasts(points, each, max_e, len(STEPS), [(e, 1) for e in range(2, max_e + 1)], block)
+    points = delay_points(sides, each, order, "x", max_e, len(STEPS), block_rows=block_rows, longest=longest)
+    first = forecasts(points, each, max_e, len(STEPS), [(e, 1) for e in range(2, max_e + 1)], block, longest)
     # a few numbers per unit that cost a search each and are read several times: written once
     dims = settle(best_dimension(skill(first, [*each, "E"]), each).filter("E IS NOT NULL"))
-    decay = forecasts(points.join(dims, each), each, max_e, len(STEPS), None, block)
+    decay = forecasts(points.join(dims, each), each, max_e, len(STEPS), None, block, longest)
     tests = slope_test(skill(decay, [*each, "step"]), each).join(dims, each)
     side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
     stats = tests.groupBy(*keys).agg(*[
@@ -309,7 +338,7 @@ def causality_table(
     for cause, effect in (("a", "b"), ("b", "a")):
         dim = gated.select(*keys, F.col(f"{cause}_e_dim").cast("int").alias("E"))
         rhos = cross_map(long.join(gated.select(*keys), keys, "left_semi"), keys, order, cause, effect, dim,
-                         max_e, sizes, iterations, seed, block, block_rows)
+                         max_e, sizes, iterations, seed, block, block_rows, longest)
         directions.append(growth_test(rhos, keys).withColumnRenamed("p", f"{cause}_cause_{effect}"))
     done = gated.join(directions[0], keys).join(directions[1], keys).withColumn("run_complete", F.lit(True))
     return counts.join(done, keys, "left").select(
