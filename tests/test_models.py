@@ -15,7 +15,8 @@ from tidewatch.operators import screening as S
 from tidewatch.operators import similarity as V
 from tidewatch.operators.ordering import in_order
 from tidewatch.plans.climate import climate_vectors
-from tidewatch.plans.coding import Scores, code_events, combine_phmsa_narratives
+from tidewatch.functions.score_names import EMOTION_VOCABULARY, LIWC
+from tidewatch.plans.coding import Scores, code_events, combine_phmsa_narratives, emotion_scores, liwc_scores
 from tidewatch.plans.measures import day_metrics, monthly_counts_with_signals, unit_series, unit_signals
 
 # -- similarity --------------------------------------------------------------------------------------
@@ -328,6 +329,18 @@ def test_coding_order_and_filters(spark):
     assert [tuple(r) for r in combine_phmsa_narratives(n).collect()] == [(1, " x  n/a")]
 
 
+def test_named_scores(spark):
+    liwc = spark.createDataFrame([(str(i), *[float(i)] * len(LIWC)) for i in (1, 2)], "report_no string, " + ", ".join(f"`{c}` double" for c in LIWC))
+    emo = spark.createDataFrame([(i, *[float(-i)] * len(EMOTION_VOCABULARY)) for i in (1, 2)], "n int, " + ", ".join(f"{c} double" for c in EMOTION_VOCABULARY))
+    reports = spark.createDataFrame([("2", "b"), ("1", "a"), ], "report_no string, cmbd_narrative string")
+    coded = code_events(reports, "phmsa", "report_no", [liwc_scores(liwc, "report_no"), emotion_scores(emo, ["n"], ["report_no"])], passive=False)
+    got = {r["report_no"]: r for r in coded.collect()}
+    assert len(coded.columns) == 2 + len(LIWC) + len(EMOTION_VOCABULARY)
+    assert got["2"]["liwc_WC"] == 2.0 and got["2"]["liwc_function."] == 2.0 and got["1"]["emo_voc_Neg_CWR"] == -1.0
+    with pytest.raises(ValueError):
+        liwc_scores(liwc.drop("WC"))
+
+
 def test_climate(spark):
     rows = [(f"a_{i}", str(i), float(i), 10.0, 1.0, float(i % 5)) for i in range(40)]
     df = spark.createDataFrame(rows, "dataSet_num string, event_num string, gi_a double, liwc_WC double, liwc_c double, liwc_d double")

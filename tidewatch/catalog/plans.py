@@ -9,7 +9,14 @@ from tidewatch.catalog.similarity import TOKENS, V
 from tidewatch.functions.vectors import doubles
 from tidewatch.plans.climate import climate_vectors
 from tidewatch.plans.coding import Scores, clean_reports, code_events, combine_phmsa_narratives
-from tidewatch.plans.measures import day_metrics, unit_language_metrics, unit_series, unit_signals
+from tidewatch.plans.measures import (
+    day_metrics,
+    source_similarity,
+    unit_language_metrics,
+    unit_series,
+    unit_signals,
+)
+from tidewatch.tables.registry import event_id
 
 
 def word_dictionary(spark):
@@ -133,6 +140,30 @@ def unit_measures(spark, sf_dir):
     return rounded(measures(spark, sf_dir).select("event_id", "user_id", *names), *names)
 
 
+@query(
+    "source_similarity",
+    f"""WITH o AS (SELECT o_orderkey, o_custkey % 20 AS unit, CAST(o_orderdate AS DATE) AS day, {V} AS vec FROM orders
+ JOIN embeddings ON vec_id = o_orderkey % (SELECT count(*) FROM embeddings)),
+g AS (SELECT *, count(*) OVER (PARTITION BY unit) AS n FROM o),
+w AS (SELECT o_orderkey, unit, list_cosine_similarity(vec, lag(vec) OVER
+ (PARTITION BY unit ORDER BY day, sha256('nrc|' || o_orderkey))) AS sim FROM g WHERE n >= 60 AND year(day) BETWEEN 1999 AND 2023)
+SELECT sha256('nrc|' || o_orderkey) AS eid, unit, round(sim, 6) + 0.0 AS cos_sim_rw_vec_1 FROM w""",
+)
+def source_similarity_query(spark, sf_dir):
+    """Vectors, registry and raw table joined for one source, gated, dated, ordered, compared."""
+    v = load(spark, sf_dir, "embeddings").select("vec_id", doubles("embedding").alias("vec"))
+    n = v.count()
+    o = load(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % n).alias("vec_id"), (F.col("o_custkey") % 20).alias("unit"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lit("nrc").alias("system_source"),
+        F.col("o_orderkey").cast("string").alias("event_num"),
+    ).withColumn("eid", event_id())
+    embeddings = o.join(v, "vec_id").select("eid", "vec")
+    rows = source_similarity(embeddings, o.select("eid", "system_source"), o.select("eid", "unit", "day"), "nrc",
+                             "unit", "day", ["vec"], min_events=60)
+    return rounded(rows.select("eid", "unit", "cos_sim_rw_vec_1"), "cos_sim_rw_vec_1")
+
+
 @query(
     "unit_measure_signals",
     f"""WITH {JOINED},

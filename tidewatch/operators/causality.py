@@ -17,7 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidewatch.operators.ordering import BLOCK_ROWS, in_order
 from tidewatch.session import settle, small_side
 
-POINT_BLOCK = 512
+POINT_BLOCK = 512  # points compared with points
+QUERY_BLOCK = 8192  # points compared with a drawn library
 STEPS = tuple(range(1, 11))
 
 
@@ -220,7 +221,7 @@ def slope_test(skills: DataFrame, keys: list[str]) -> DataFrame:
 
 def cross_map(
     pairs: DataFrame, keys: list[str], order: list[str], cause: str, effect: str, dimensions: DataFrame,
-    max_e: int, sizes: list[int], iterations: int = 100, seed: int = 1, block: int = POINT_BLOCK,
+    max_e: int, sizes: list[int], iterations: int = 100, seed: int = 1, block: int = QUERY_BLOCK,
     block_rows: int = BLOCK_ROWS, longest: int | None = None,
 ) -> DataFrame:
     """(keys, iteration, L, rho): how well the cause is read off the delay coordinates of the effect,
@@ -269,8 +270,8 @@ def cross_map(
         out = []
         for i, first in zip(*np.unique(iteration[order], return_index=True)):
             part = slice(first, first + sizes[-1])
-            d = np.sqrt(((xq[:, None, :] - xl[None, part, :]) ** 2).sum(2))
-            d = np.where(tq[:, None] == tl[None, part], np.inf, d)
+            d = sum((xq[:, None, j] - xl[None, part, j]) ** 2 for j in range(e))
+            d = np.sqrt(np.where(tq[:, None] == tl[None, part], np.inf, d))
             for size in sizes:
                 near = _nearest(d[:, :size], e + 1)
                 found = _simplex(np.take_along_axis(d[:, :size], near, 1), a[part][near])
@@ -338,7 +339,7 @@ def causality_table(
     for cause, effect in (("a", "b"), ("b", "a")):
         dim = gated.select(*keys, F.col(f"{cause}_e_dim").cast("int").alias("E"))
         rhos = cross_map(long.join(gated.select(*keys), keys, "left_semi"), keys, order, cause, effect, dim,
-                         max_e, sizes, iterations, seed, block, block_rows, longest)
+                         max_e, sizes, iterations, seed, block_rows=block_rows, longest=longest)
         directions.append(growth_test(rhos, keys).withColumnRenamed("p", f"{cause}_cause_{effect}"))
     done = gated.join(directions[0], keys).join(directions[1], keys).withColumn("run_complete", F.lit(True))
     return counts.join(done, keys, "left").select(

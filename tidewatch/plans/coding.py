@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import pick, quoted, recode, valid_text, with_prefix
+from tidewatch.functions.score_names import EMOTION_VOCABULARY, LIWC
 from tidewatch.functions.text import read_mdy, remove_all, remove_at_end, remove_first
 from tidewatch.operators.joins import bind_columns
 from tidewatch.operators.scoring import dictionary_scores, passive_voice
+from tidewatch.session import require_columns
 
 # Bookkeeping columns of the multi-dictionary program's output.
 BOOKKEEPING = ("TextID", "Segment", "SegmentID", "TokenCount")
@@ -59,6 +61,16 @@ class Scores:
     report_order: tuple[str, ...] = ()
 
 
+def liwc_scores(table: DataFrame, key: str | None = None, order=(), report_order=()) -> Scores:
+    """All columns of the word-count program; a missing one is an error."""
+    return Scores(require_columns(table, LIWC), LIWC, "liwc_", key, tuple(order), tuple(report_order))
+
+
+def emotion_scores(table: DataFrame, order, report_order) -> Scores:
+    names = EMOTION_VOCABULARY
+    return Scores(require_columns(table, names), names, "emo_voc_", None, tuple(order), tuple(report_order))
+
+
 def clean_reports(df: DataFrame, source: str) -> DataFrame:
     """What is particular to one reporting system."""
     if source == "nrc":

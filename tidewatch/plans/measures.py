@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.columns import year_between
+from tidewatch.functions.text import read_mdy, read_ymd
 from tidewatch.operators.groups import groups_of_size, mean_sd
 from tidewatch.operators.joint_signals import joint_signals
 from tidewatch.operators.joins import join_metrics
@@ -19,6 +21,7 @@ from tidewatch.operators.similarity import (
     similarity_to_recent,
     vector_length,
 )
+from tidewatch.tables.registry import events_with_vectors
 
 
 def unit_series(
@@ -37,6 +40,30 @@ def unit_series(
     return seq.rows.drop(*vectors)
 
 
+# How each reporting system writes its event dates, and the years kept of it.
+DATE_RULES = {"nrc": read_ymd, "rail": read_mdy}
+YEARS = {"nrc": (1999, 2023)}
+
+
+def source_similarity(
+    embeddings: DataFrame, registry: DataFrame, raw: DataFrame, source: str, unit: str, date: str,
+    vectors: list[str], k: int = 1, min_events: int = 100, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """A source's events in time order within their units, with the similarity of each vector to the
+    k events before. Units are gated by all their events, before the years are cut."""
+    rows = events_with_vectors(embeddings, registry, raw, source, [unit, date], vectors)
+    rows = groups_of_size(rows.na.drop(subset=[unit]), [unit], min_events)
+    if source in DATE_RULES and dict(rows.dtypes)[date] == "string":
+        rows = rows.withColumn(date, DATE_RULES[source](date))
+    if source in YEARS:
+        rows = rows.filter(year_between(date, *YEARS[source]))
+    dims = {v: vector_length(rows, v) for v in vectors}
+    seq = in_order(rows, [unit], [date, "eid"], block_rows=block_rows)
+    for v in vectors:
+        seq = similarity_to_recent(seq, v, k, dims[v], f"cos_sim_rw_{v}_{k}")
+    return seq.rows
+
+
 def unit_signals(
     series: DataFrame, unit: str, date: str, metrics: list[str], key: str = "eid", burn_in: int = 50,
     threshold: float = 2.0, block_rows: int = BLOCK_ROWS, longest: int | None = None,
