@@ -189,8 +189,8 @@ def factor_count(spark, sf_dir):
     "principal_component_scores",
     """WITH s AS (SELECT avg(l_quantity) AS mx, stddev_samp(l_quantity) AS sx, avg(l_extendedprice) AS my,
  stddev_samp(l_extendedprice) AS sy, corr(l_quantity, l_extendedprice) AS r FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, round(((l_quantity - mx) / sx + (l_extendedprice - my) / sy)
- / sqrt(2 * (1 + r)), 6) + 0.0 AS RC1 FROM lineitem, s""",
+SELECT l_orderkey, l_linenumber, l_partkey, round(((l_quantity - mx) / sx + sign(r) * (l_extendedprice - my) / sy)
+ / sqrt(2 * (1 + abs(r))), 6) + 0.0 AS RC1 FROM lineitem, s""",
 )
 def principal_component_scores(spark, sf_dir):
     rows = features(spark, sf_dir)
@@ -215,12 +215,10 @@ SELECT p_partkey, p_brand, CASE WHEN p_size <> 10 THEN round(((p_size - mx) / sx
  WHERE p_size <> 10) s""",
 )
 def scores_on_source_rows(spark, sf_dir):
-    """Rows without a score keep their place; signs follow the first column."""
+    """Rows without a score keep their place."""
     parts = load(spark, sf_dir, "part").withColumn("size", F.nullif(F.col("p_size").cast("double"), F.lit(10.0)))
     c = FA.principal_components(parts, ["size", "p_retailprice"], 1)
     scores = FA.factor_scores(parts, c, ["p_partkey"])
-    flip = 1.0 if c.loadings[0, 0] > 0 else -1.0
-    scores = scores.withColumn("RC1", F.col("RC1") * F.lit(flip))
     return rounded(FA.attach_scores(parts.select("p_partkey", "p_brand"), scores, "p_partkey"), "RC1")
 
 

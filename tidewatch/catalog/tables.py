@@ -284,8 +284,9 @@ def duplicate_event_numbers(spark, sf_dir):
 
 @query(
     "vector_upsert",
-    """SELECT sha256('docs|' || vec_id) AS eid, CASE WHEN d.doc_id IS NOT NULL AND vec_id < 400 THEN
- n_chars ELSE -1 END AS score FROM embeddings LEFT JOIN documents d ON d.doc_id = vec_id""",
+    """SELECT sha256('docs|' || vec_id) AS eid, CASE WHEN d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL THEN
+ n_chars ELSE -1 END AS score FROM embeddings LEFT JOIN documents d ON d.doc_id = vec_id
+ LEFT JOIN labels l ON l.doc_id = vec_id""",
 )
 def vector_upsert(spark, sf_dir):
     """A whole-column update: given values replace, all other rows keep theirs."""
@@ -296,7 +297,7 @@ def vector_upsert(spark, sf_dir):
 @query(
     "vector_upsert_rejected",
     """SELECT 'docs' AS system_source, CAST(doc_id AS VARCHAR) AS event_num, 1::BIGINT AS n_updates,
- 0::BIGINT AS n_ids FROM documents WHERE doc_id >= (SELECT least(400, count(*)) FROM embeddings)""",
+ 0::BIGINT AS n_ids FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings JOIN labels ON doc_id = vec_id)""",
 )
 def vector_upsert_rejected(spark, sf_dir):
     return upsert_column(*upsert_tables(spark, sf_dir), "score")[1]
@@ -308,7 +309,8 @@ def upsert_tables(spark, sf_dir):
         F.lit("docs").alias("system_source"), F.col("vec_id").cast("string").alias("event_num")
     ).withColumn("eid", event_id())
     target = registry.select("eid", F.lit(-1).cast("bigint").alias("score"))
-    known = registry.filter(F.col("event_num").cast("bigint") < 400)
+    labelled = load(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("event_num"))
+    known = registry.join(labelled, "event_num", "left_semi")
     updates = load(spark, sf_dir, "documents").select(
         F.lit("docs").alias("system_source"), F.col("doc_id").cast("string").alias("event_num"),
         F.col("n_chars").alias("score"),

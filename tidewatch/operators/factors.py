@@ -134,7 +134,10 @@ def principal_components(df: DataFrame, columns: list[str], n_factors: int, rota
     loadings = vectors[:, keep] * np.sqrt(np.maximum(values[keep], 0.0))
     if rotate:
         loadings = loadings @ varimax(loadings)
-    loadings = loadings * np.where(loadings.sum(0) < 0, -1.0, 1.0)
+    total = loadings.sum(0)
+    # loadings that cancel have no sign of their own; the first variable gives them one
+    total = np.where(np.abs(total) > 1e-8 * np.abs(loadings).sum(0), total, loadings[0])
+    loadings = loadings * np.where(total < 0, -1.0, 1.0)
     loadings = loadings[:, np.argsort(-(loadings**2).sum(0), kind="stable")]
     return Components(columns, mean, sd, loadings, np.linalg.solve(r, loadings))
 
