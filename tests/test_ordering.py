@@ -74,6 +74,14 @@ def test_frames_and_sums(events, block_rows):
     assert table(measures(cut)) == table(measures(plain))
 
 
+def test_sums_over_the_whole_table(events):
+    seq = in_order(events, [], ["ts", "eid"], block_rows=60)
+    seq = seq.anchored({"first": F.col("eid")}).with_length("n").running({"total": F.lit(1.0)})
+    rows = sorted(seq.rows.select("t", "eid", "first", "n", "total").collect())
+    assert [r["total"] for r in rows] == [float(i + 1) for i in range(400)]
+    assert {(r["first"], r["n"]) for r in rows} == {(rows[0]["eid"], 400)}
+
+
 def test_frame_longer_than_a_block(events):
     seq = in_order(events, ["unit"], ["ts", "eid"], block_rows=7)
     with pytest.raises(ValueError):

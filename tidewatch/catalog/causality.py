@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog.book import load, query, rounded
+from tidewatch.catalog.book import query, rounded
 from tidewatch.catalog.signals import EVENT_SERIES, MIN_EVENTS, ORDER, UNIT, event_series
 from tidewatch.operators import causality as M
 

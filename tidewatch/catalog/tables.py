@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog.book import load, query, r6
+from tidewatch.catalog.book import load, query
 from tidewatch.functions.columns import clean_names
 from tidewatch.sources.pages import anchors, by_tag, extract_fields, narratives, split_bad
 from tidewatch.sources.pages import NARRATIVE_1, NARRATIVE_2

@@ -173,7 +173,8 @@ class OrderedRows:
         """A stored table of one row per unit next to the rows."""
         per_unit = small_side(settle(per_unit))
         if not self.unit:
-            return self.rows.join(per_unit, F.lit(True))
+            one = F.lit(0).alias("_one")
+            return self.rows.select("*", one).join(per_unit.select("*", one), "_one").drop("_one")
         return self.rows.join(per_unit, list(self.unit), "left")
 
     # -- projections ---------------------------------------------------------------------------
