@@ -11,20 +11,21 @@ from tidewatch.operators.ordering import OrderedRows
 SECONDS = {"secs": 1, "mins": 60, "hours": 3600, "days": 86400, "weeks": 604800}
 
 
-def seconds_of(seq: OrderedRows, time: str) -> Column:
+def micros_of(seq: OrderedRows, time: str) -> Column:
+    """Whole microseconds: as a double, seconds since 1970 would lose some."""
     kind, c = seq.rows.schema[time].dataType, F.col(time)
     if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double") * 86400
-    return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
+        return F.unix_date(c).cast("long") * 86_400_000_000
+    return F.unix_micros(c.cast("timestamp"))
 
 
 def inter_event_times(
     seq: OrderedRows, time: str, unit: str = "days", name: str = "inter_event_dur"
 ) -> OrderedRows:
     """Time since the previous event of the unit; null for the first."""
-    now = seconds_of(seq, time)
+    now = micros_of(seq, time)
     seq = seq.with_columns({"_now": now}).rolling({"_last": lambda w: F.lag("_now").over(w)}, back=1)
-    gap = (F.col("_now") - F.col("_last")) / F.lit(float(SECONDS[unit]))
+    gap = (F.col("_now") - F.col("_last")) / F.lit(1e6) / F.lit(float(SECONDS[unit]))
     return seq.with_columns({name: gap}).drop("_now", "_last")
 
 
