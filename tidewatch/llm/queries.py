@@ -5,7 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import read_documents
+from tidewatch.llm import language
 from tidewatch.llm.packing import pack
+from tidewatch.llm.simhash import near_duplicates
+from tidewatch.llm.token_counts import token_counts
+
+
+def held_out(modulus: int, remainder: int):
+    """Whether crc32 of the id as text leaves the remainder; null ids are not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
+
+
+def op3_language(spark, sf_dir):
+    docs = read_documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~held_out(3, 1)))
+    rows = docs.select("doc_id", held_out(3, 1).alias("held_out"), "text")
+    return language.identify(rows, model, keep=["doc_id", "held_out"])
+
+
+def op8_simhash(spark, sf_dir):
+    return near_duplicates(read_documents(spark, sf_dir))
+
+
+def op9_token_counts(spark, sf_dir):
+    return token_counts(read_documents(spark, sf_dir))
 
 
 def op10_best_fit_packing(spark, sf_dir):
@@ -13,6 +36,9 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_language": op3_language,
+    "op8_simhash": op8_simhash,
+    "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
