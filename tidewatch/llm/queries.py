@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import read_documents
-from tidewatch.llm import language
+from tidewatch.llm import language, toxicity
+from tidewatch.llm.fingerprints import edited_likeness
 from tidewatch.llm.packing import pack
 from tidewatch.llm.simhash import near_duplicates
 from tidewatch.llm.token_counts import token_counts
 
 
+def op2_fingerprints(spark, sf_dir):
+    return edited_likeness(read_documents(spark, sf_dir))
+
+
 def held_out(modulus: int, remainder: int):
     """Whether crc32 of the id as text leaves the remainder; null ids are not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
@@ -23,6 +28,13 @@ def op3_language(spark, sf_dir):
     return language.identify(rows, model, keep=["doc_id", "held_out"])
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(~held_out(5, 0)))
+    return toxicity.score(docs.withColumn("held_out", held_out(5, 0)), model, keep=["doc_id", "held_out"])
+
+
 def op8_simhash(spark, sf_dir):
     return near_duplicates(read_documents(spark, sf_dir))
 
@@ -36,7 +48,9 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
     "op3_language": op3_language,
+    "op4_toxicity": op4_toxicity,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
