@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import read_documents
 from tidewatch.llm import language, toxicity
 from tidewatch.llm.fingerprints import edited_likeness
+from tidewatch.llm.line_quality import quality
 from tidewatch.llm.packing import pack
 from tidewatch.llm.simhash import near_duplicates
+from tidewatch.llm.substrings import remove_repeats
 from tidewatch.llm.token_counts import token_counts
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return remove_repeats(read_documents(spark, sf_dir), keep=["doc_id", "text"])
+
+
 def op2_fingerprints(spark, sf_dir):
     return edited_likeness(read_documents(spark, sf_dir))
 
@@ -35,6 +41,49 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.score(docs.withColumn("held_out", held_out(5, 0)), model, keep=["doc_id", "held_out"])
 
 
+def op5_line_quality(spark, sf_dir):
+    return quality(read_documents(spark, sf_dir))
+
+
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents
+), parts AS (
+  SELECT doc_id, host, text,
+    list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM docs
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM parts WHERE len(words) > 8)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, range(8) AS r(k) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, host, text, words, array_to_string(words, ' ') AS line FROM (
+    SELECT doc_id, host, text, list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+    FROM (SELECT doc_id, host, text, unnest(string_split(regexp_replace(lower(text), '[0-9]+', '0', 'g'), chr(10))) AS l FROM docs))
+  WHERE len(words) >= 4
+), common AS (
+  SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT text) > 50
+), removed AS (
+  SELECT doc_id, count(*) AS lines, sum(len(words)) AS words FROM lines JOIN common USING (host, line) GROUP BY doc_id
+), figures AS (
+  SELECT p.doc_id, len(p.words) AS n_words, length(array_to_string(p.words, '')) AS word_chars,
+    length(regexp_replace(p.text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(p.lines) - len(list_distinct(p.lines)) AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words, coalesce(r.lines, 0) AS removed_lines, coalesce(r.words, 0) AS removed_words
+  FROM parts p LEFT JOIN covered c USING (doc_id) LEFT JOIN removed r USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, removed_lines,
+  CAST(removed_words AS BIGINT) AS removed_words,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND removed_words <= 0.5 * n_words AS kept
+FROM figures
+"""
+
+
 def op8_simhash(spark, sf_dir):
     return near_duplicates(read_documents(spark, sf_dir))
 
@@ -48,12 +97,14 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_fingerprints": op2_fingerprints,
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
+    "op5_line_quality": op5_line_quality,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_line_quality": OP5_SQL}
