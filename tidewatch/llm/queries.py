@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import read_documents
-from tidewatch.llm import language, toxicity
+from tidewatch.llm import language, personal_data, toxicity
 from tidewatch.llm.fingerprints import edited_likeness
 from tidewatch.llm.line_quality import quality
 from tidewatch.llm.packing import pack
@@ -84,6 +84,11 @@ FROM figures
 """
 
 
+def op7_personal_data(spark, sf_dir):
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    return personal_data.personal_data(docs, personal_data.fit(docs))
+
+
 def op8_simhash(spark, sf_dir):
     return near_duplicates(read_documents(spark, sf_dir))
 
@@ -102,6 +107,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
     "op5_line_quality": op5_line_quality,
+    "op7_personal_data": op7_personal_data,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
