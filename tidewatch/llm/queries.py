@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import read_documents
-from tidewatch.llm import language, personal_data, toxicity
+from tidewatch.llm import language, personal_data, pieces, toxicity
 from tidewatch.llm.fingerprints import edited_likeness
 from tidewatch.llm.line_quality import quality
 from tidewatch.llm.packing import pack
@@ -84,6 +84,10 @@ FROM figures
 """
 
 
+def op6_merge_dropout(spark, sf_dir):
+    return pieces.encode(read_documents(spark, sf_dir))
+
+
 def op7_personal_data(spark, sf_dir):
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     return personal_data.personal_data(docs, personal_data.fit(docs))
@@ -107,6 +111,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
     "op5_line_quality": op5_line_quality,
+    "op6_merge_dropout": op6_merge_dropout,
     "op7_personal_data": op7_personal_data,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
