@@ -1,0 +1,150 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+
+from tidewatch.llm import boosting, line_quality, personal_data
+from tidewatch.llm.queries import OP5_SQL
+
+KINDS = ["email", "ip", "card", "phone"]
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def brute_spans(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m.group())
+        if 12 <= len(digits) <= 19 and luhn(digits):
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+NO_TREES = personal_data.SpanModel(boosting.Boosted(-10.0, []), {})
+
+
+def test_strict_spans_against_brute_force(table, odd):
+    rng = random.Random(5)
+    texts = [
+        "a@b.com_x@y.com z", "1.2.3.4.5.6.7.8 9.9.9", "256.1.1.1 0001.02.3.255", "4111 1111 1111 1111 4111  1111-1111-11111",
+        "+1 (626) 555-5759, +49 30 1234567", "é@b.com üx@y.zz", "a..b@c-d.e-f..g", "😀 a@b.co 😀 4111-1111-1111-1111", "+1+12345678901 +(123) ",
+    ]
+    texts += ["".join(rng.choice("01234567899..--  @@ab+()é") for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    rows = odd + [(100 + i, t) for i, t in enumerate(texts)]
+    got = personal_data.personal_data(table(rows, clashing=True), NO_TREES).collect()
+    want = []
+    for i, text in rows:
+        spans = brute_spans(text or "")
+        line = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        n = Counter(k for _, k, _ in spans)
+        want.append((i or 0, n[0], n[1], n[2], n[3], hashlib.sha256(line.encode()).hexdigest(), line))
+    assert sorted((r.doc_id or 0, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans) for r in got) == sorted(want)
+
+
+def private_rows(rng, n):
+    rows = []
+    for i in range(n):
+        secret = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        number = f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+        rows.append((4 * i, f"write to user{i}@mail.example.com or call {number} today"))
+        rows.append((4 * i + 1, f'the line token = "{secret}" stands here'))
+        rows.append((4 * i + 2, f"version {rng.randint(1, 9)}.{rng.randint(0, 9)} of {rng.randint(1, 999)} pages, key = value and password: none"))
+        rows.append((4 * i + 3, f"host {rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.9 and aws AKIA{secret[:16].upper()} x"))
+    return rows
+
+
+def test_boosted_candidates_add_secrets_and_leave_the_rest(table):
+    rows = private_rows(random.Random(6), 120)
+    docs = table(rows, clashing=True)
+    model = personal_data.fit(docs)
+    got = {r.doc_id: r for r in personal_data.personal_data(docs, model).collect()}
+    for i, text in rows:
+        kinds = [s.split(":")[0] for s in got[i].spans.split(",") if s]
+        base = [KINDS[k] for _, k, _ in brute_spans(text)]
+        assert [k for k in kinds if k in KINDS] == base
+        assert len(kinds) - len(base) == {0: 0, 1: 1, 2: 0, 3: 1}[i % 4], (text, got[i].spans)
+    done = {r.doc_id: r.text for r in personal_data.redact(docs, model).collect()}
+    assert personal_data.redact(docs, model).columns == docs.columns
+    assert done[0].startswith("write to [EMAIL] or call [PHONE] today") and done[1] == "the line [SECRET] stands here" and done[2] == rows[2][1]
+
+
+def test_redaction_of_odd_rows(table, odd):
+    docs = table(odd, clashing=True)
+    model = personal_data.fit(docs)
+    assert sorted((r.doc_id or 0, r.text or "", r.text is None) for r in personal_data.redact(docs, model).collect()) == sorted(
+        (i or 0, t or "", t is None) for i, t in odd
+    )
+    assert personal_data.personal_data(table([]), personal_data.fit(table([]))).collect() == []
+
+
+def test_trees_fit_and_their_expression_agrees(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 10, (500, 3)).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 6)).astype(float)
+    model = boosting.boost(x, y)
+    assert ((model.margin(x) > 0) == (y > 0)).mean() > 0.97
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double").selectExpr(f"{model.sql(['a', 'b', 'c'])} AS m")
+    assert np.allclose([r.m for r in df.collect()], model.margin(x), atol=1e-3)
+    assert boosting.threshold(np.array([3.0, 2.0, 1.0, -1.0]), np.array([1, 1, 0, 0]), 0.99) == 0.0
+
+
+def brute_repeated(words):
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    return len({i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)})
+
+
+def test_quality_against_sql(spark, table, odd, tmp_path):
+    rng = random.Random(8)
+    rows = [(i or 0, t, None, "h") for i, t in odd if i not in (4, None)]
+    for i in range(100, 180):
+        lines = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 12))) for _ in range(4)]
+        lines += ["Read 12 more stories like this one here"] * rng.randint(1, 2) + ["same same"] * 2
+        if i % 9 == 0:
+            lines = ["Read 34 more stories like this one here"] * 5 + lines[:1]
+        rows.append((i, "\n".join(lines), None, rng.choice(["h", "h", "h", None])))
+    docs = table(rows, clashing=True)
+    got = line_quality.quality(docs).toPandas()
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "source").toPandas())
+    want = con.sql(OP5_SQL).df()
+    order = sorted(want.columns)
+    a, b = (d.sort_values("doc_id").reset_index(drop=True)[order] for d in (got, want))
+    assert a.astype(str).equals(b.astype(str))
+    assert (got["removed_lines"] > 0).any() and (~got["base_failed"] & ~got["kept"]).any() and got["kept"].any()
+    for _, text, *_ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        if len(words) < 1000:
+            match = want[want["n_words"] == len(words)]["n_repeat_words"].tolist()
+            assert brute_repeated(words) in match
+
+
+def test_quality_of_odd_rows(table, odd):
+    got = line_quality.quality(table(odd, clashing=True)).collect()
+    assert len(got) == len(odd)
+    assert all(r.base_failed and not r.kept for r in got)
+    assert line_quality.quality(table([])).collect() == []
+
+
+@pytest.mark.parametrize("copies", [2, 60])
+def test_copies_of_a_document_are_one_text(table, copies):
+    text = "\n".join(f"line number {i} with several words in it" for i in "abcdef")
+    rows = [(i, text, None, "h") for i in range(copies)]
+    assert all(r.kept for r in line_quality.quality(table(rows)).collect())

@@ -65,7 +65,7 @@ class Vocabulary:
     def never_after_letters(self) -> set[str]:
         """ASCII signs that follow a letter in no piece."""
         signs = {chr(c) for c in range(33, 127) if not chr(c).isalnum()}
-        return signs - {b for p in self.id for a, b in zip(p, p[1:], strict=False) if a.isalpha()} - {"_"}
+        return signs - {b for p in self.id for a, b in zip(p, p[1:], strict=False) if re.match(r"[^\W\d_]", a)} - {"_"}
 
     def ids(self, parts: list[str]) -> list[int]:
         out: list[int] = []
