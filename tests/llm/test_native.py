@@ -115,10 +115,9 @@ def test_quality_against_sql(spark, table, odd, tmp_path):
     rng = random.Random(8)
     rows = [(i or 0, t, None, "h") for i, t in odd if i not in (4, None)]
     for i in range(100, 180):
-        lines = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 12))) for _ in range(4)]
-        lines += ["Read 12 more stories like this one here"] * rng.randint(1, 2) + ["same same"] * 2
-        if i % 9 == 0:
-            lines = ["Read 34 more stories like this one here"] * 5 + lines[:1]
+        own = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(3, 12))) for _ in range(1 if i % 9 == 0 else 8)]
+        shared = [f"Read {i} more stories like this one here", "All rights reserved by the owner of this", "Write to us or call us any day"]
+        lines = own + shared + ["same same"] * (i % 3)
         rows.append((i, "\n".join(lines), None, rng.choice(["h", "h", "h", None])))
     docs = table(rows, clashing=True)
     got = line_quality.quality(docs).toPandas()
