@@ -380,3 +380,16 @@ def test_days(spark):
     rolled = V.rolling_day_similarity(df, ["unit"], "day", "vec", min_days=2)
     assert rolled.count() == 3 and V.rolling_day_similarity(df, ["unit"], "day", "vec", min_days=3).count() == 0
     assert in_order(df, ["unit"], ["day", "s"]).rows.count() == 6
+
+
+def test_library_lengths_follow_the_unit(spark):
+    x, y, rows = 0.4, 0.2, []
+    for t in range(160):
+        x, y = x * (3.8 - 3.8 * x), y * (3.5 - 3.5 * y - 0.1 * x)
+        rows.append(("u", t, x, y))
+    series = spark.createDataFrame(rows, "u string, t int, x double, y double")
+    dims = spark.createDataFrame([("u", 2)], "u string, E int")
+    rhos = M.cross_map(series, ["u"], ["t"], "x", "y", dims, 2, None, iterations=2).collect()
+    lengths = sorted({r["L"] for r in rhos})
+    assert lengths == M.unit_sizes(160, 2) and lengths[0] == 4 and lengths[-1] == 160
+    assert all(r["rho"] is not None for r in rhos if r["L"] > 50)

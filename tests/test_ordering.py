@@ -51,6 +51,27 @@ def test_slices_are_no_longer_than_a_block(events):
     assert "_s0" in plan and "_s1" in plan
 
 
+def test_texts_that_begin_alike_are_cut_where_they_differ(spark):
+    """Keys such as event_000001 must not stay one slice."""
+    rows = [(f"event_{i:06d}", i) for i in range(2000)] + [("event_", -1), ("", -2), (None, -3), ("event_000001x", 0)]
+    df = spark.createDataFrame(rows, "k string, i int").orderBy(F.rand(1))
+    seq = in_order(df, [], ["k", "i"], block_rows=100)
+    plan = seq.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "_s0" in plan and "_s1" in plan
+    got = [r["i"] for r in seq.rows.orderBy("t").collect()]
+    want = [r["i"] for r in df.orderBy("k", "i").collect()]
+    assert got == want
+
+
+def test_a_frame_may_be_longer_than_a_block(events):
+    def sums(seq):
+        return seq.rolling({"s": lambda w: F.count(F.lit(1)).over(w.rowsBetween(-25, 17))}, back=25, ahead=17).rows
+
+    split, whole = (in_order(events, ["unit"], ["ts", "eid"], block_rows=b) for b in (7, 10_000))
+    assert split.split and not whole.split
+    assert table(sums(split).select("eid", "s")) == table(sums(whole).select("eid", "s"))
+
+
 @pytest.mark.parametrize("block_rows", [7, 50])
 def test_frames_and_sums(events, block_rows):
     def measures(seq):
@@ -82,11 +103,6 @@ def test_sums_over_the_whole_table(events):
     assert {(r["first"], r["n"]) for r in rows} == {(rows[0]["eid"], 400)}
 
 
-def test_frame_longer_than_a_block(events):
-    seq = in_order(events, ["unit"], ["ts", "eid"], block_rows=7)
-    with pytest.raises(ValueError):
-        seq.rolling({"x9": lambda w: F.lag("x", 9).over(w)}, back=9)
-
 
 def test_regular_units_need_one_exchange(events):
     seq = in_order(events, ["unit"], ["ts", "eid"])

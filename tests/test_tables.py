@@ -8,6 +8,7 @@ from tidewatch.functions.vectors import cosine, read_vector, to_vector, unit_vec
 from tidewatch.operators import joins as J
 from tidewatch.operators.groups import date_spine, groups_of_size, histogram, with_group_end
 from tidewatch.session import require_columns, scratch_path, shared_dir
+from tidewatch.sources.dictionaries import liwc_dictionary
 from tidewatch.sources.pages import REPORT_FIELDS, anchors, by_id, extract_fields, narratives, split_bad
 from tidewatch.sources.readers import read_csv, read_many, read_two_line_header, union_by_name
 from tidewatch.tables import registry as R
@@ -130,6 +131,10 @@ def test_upsert_and_integrity(spark):
     new, bad = R.upsert_column(target, updates, reg, "v")
     assert rows(new) == [("e1", 10), ("e2", 2), ("e4", 4)]
     assert rows(bad) == [("s", "2", 1, 2), ("s", "4", 2, 1), ("s", "9", 1, 0)]
+    more = spark.createDataFrame([("s", "1", None), ("s", "5", 50)], "system_source string, event_num string, v int")
+    wide_reg = reg.union(spark.createDataFrame([("s", "5", "e5")], reg.schema))
+    new, bad = R.upsert_column(target, more, wide_reg, "v")
+    assert rows(new) == [("e1", None), ("e2", 2), ("e4", 4)] and rows(bad) == [("s", "5", 1, 1)]
     t = spark.createDataFrame([("e1", [1.0]), ("e1", [1.0, 2.0]), ("x", None), (None, [1.0])], "eid string, vec array<double>")
     found = {(r["rule"], r["key"]) for r in R.violations(t, reg, vector_sizes={"vec": 1}).collect()}
     assert found == {("primary key", "e1"), ("primary key", None), ("foreign key", "x"), ("foreign key", None), ("length of vec", "e1")}
@@ -169,3 +174,22 @@ def test_vectors(spark):
     assert r["u"] == pytest.approx([0.6, 0.8]) and r["uz"] == [0.0, 0.0] and r["back"] == [3.0, 4.0] and r["wn"] is None
     cols = spark.createDataFrame([(1, 2.5), (None, 1.0)], "x int, `y.z` double").select(to_vector(["x", "y.z"]).alias("v"))
     assert [r["v"] for r in cols.collect()] == [[1.0, 2.5], None]
+
+
+def test_event_ids_do_not_collide(spark):
+    keys = spark.createDataFrame([("a", "b|c"), ("a|b", "c"), ("a\\", "|b"), ("a", None), (None, "a")], "system_source string, event_num string")
+    ids = [r["i"] for r in keys.select(R.event_id().alias("i")).collect()]
+    assert len(set(ids[:3])) == 3 and ids[3:] == [None, None]
+
+
+def test_two_line_header_drops_by_place(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('"First, of",Last\n col, col\n,\n1,x\n,\n"First, of",Last\n2,"y, ""z"""\n')
+    got = read_two_line_header(spark, str(tmp_path / "t.csv"), skip=3)
+    assert got.columns == ["First, of col.", "Last col."]
+    assert [tuple(r) for r in got.collect()] == [("1", "x"), (None, None), ("First, of", "Last"), ("2", 'y, "z"')]
+
+
+def test_dictionary_patterns_may_be_numbers(spark, tmp_path):
+    (tmp_path / "d.dic").write_text("%\n1\tanger\n2\tcalls\n%\n911\t2\nhate*\t1\t2\n")
+    got = liwc_dictionary(spark, str(tmp_path / "d.dic"), "d")
+    assert sorted((r["category"], r["pattern"]) for r in got.collect()) == [("anger", "hate*"), ("calls", "911"), ("calls", "hate*")]

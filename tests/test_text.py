@@ -151,14 +151,18 @@ def test_terms_and_vectors(spark):
     terms = {(r["eid"], r["term"], r["n"]) for r in term_counts(df, "eid", "text").collect()}
     assert terms == {(1, "cat", 1), (1, "open", 1), (1, "door", 1), (2, "cat", 1), (2, "open", 1), (2, "door", 1)}
     v = {r["eid"]: np.array(r["embedding"]) for r in text_vectors(df, "eid", "text", 32).collect()}
-    assert set(v) == {1, 2} and all(len(x) == 32 for x in v.values())
+    assert set(v) == {1, 2, 3} and all(len(x) == 32 for x in v.values())
     assert np.linalg.norm(v[1]) == pytest.approx(1.0)
     stored = spark.createDataFrame([(1,)], "eid int")
-    assert [r["eid"] for r in new_text_vectors(df, stored, "eid", "text", dim=32).collect()] == [2]
+    assert [r["eid"] for r in new_text_vectors(df, stored, "eid", "text", dim=32).orderBy("eid").collect()] == [2, 3]
 
 
-def test_ordered_text_refuses_endless_groups(spark):
+def test_ordered_text(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, None)], "g int, t int, text string")
     assert ordered_text(df, ["g"], ["t"], "text", "all").first()["all"] == "a b"
-    with pytest.raises(ValueError):
-        ordered_text(df, ["g"], ["t"], "text", "all", max_chars=3)
+
+
+def test_a_text_without_words_has_a_zero_vector(spark):
+    df = spark.createDataFrame([(1, "one two"), (2, ""), (3, None), (4, "!?")], "eid int, text string")
+    got = {r["eid"]: r["embedding"] for r in text_vectors(df, "eid", "text", dim=8).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and any(got[1]) and all(got[i] == [0.0] * 8 for i in (2, 3, 4))

@@ -369,6 +369,16 @@ def global_ordinal(spark, sf_dir):
     return in_order(e, [], ["later", "event_id"], "n").rows.select("event_id", "n")
 
 
+@query(
+    "global_ordinal_by_text",
+    "SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) AS n FROM customer",
+)
+def global_ordinal_by_text(spark, sf_dir):
+    """Numbered along names that all begin alike, in slices cut where they differ."""
+    names = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return in_order(names, [], ["c_name", "c_custkey"], "n", block_rows=1000).rows.select("c_custkey", "n")
+
+
 @query(
     "whole_table_burstiness",
     """WITH g AS (SELECT event_id, row_number() OVER w AS t, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 / 86400 AS gap

@@ -121,24 +121,25 @@ def rolling_day_similarity_query(spark, sf_dir):
 @query(
     "columns_to_vector",
     """SELECT l_orderkey, l_linenumber, l_partkey,
-       round(sqrt(l_quantity * l_quantity + l_discount * l_discount + l_tax * l_tax), 6) + 0.0 AS size
+       round(l_quantity, 6) + 0.0 AS x0, round(l_discount, 6) + 0.0 AS x1, round(l_tax, 6) + 0.0 AS x2
 FROM lineitem""",
 )
 def columns_to_vector(spark, sf_dir):
     rows = load(spark, sf_dir, "lineitem").withColumn(
         "v", to_vector(["l_quantity", "l_discount", "l_tax"])
     )
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", r6(size).alias("size"))
+    cells = [r6(F.get("v", F.lit(i))).alias(f"x{i}") for i in range(3)]
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *cells)
 
 
 @query(
     "vector_text_codec",
-    f"""SELECT vec_id, 64 AS dim, round(list_sum({V}), 6) + 0.0 AS total FROM embeddings""",
+    f"""SELECT vec_id, len(embedding)::INT AS dim, round(list_sum(list_transform({V}, lambda x, i: x * i)), 6) + 0.0 AS total
+FROM embeddings""",
 )
 def vector_text_codec(spark, sf_dir):
     text = vectors(spark, sf_dir).select("vec_id", read_vector(write_vector("vec")).alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    total = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     return text.select("vec_id", F.size("v").alias("dim"), r6(total).alias("total"))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.book import load, query
 from tidewatch.functions.columns import clean_names
+from tidewatch.operators.groups import ordered_text
 from tidewatch.sources.pages import anchors, by_tag, extract_fields, narratives, split_bad
 from tidewatch.sources.pages import NARRATIVE_1, NARRATIVE_2
 from tidewatch.sources.readers import (
@@ -33,14 +34,15 @@ from tidewatch.tables.writers import append, export_csv, save_stage
 # -- sources and sinks -------------------------------------------------------------------------------
 
 
-@query("csv_export_and_scan", "SELECT doc_id, lang, n_chars, length(text) AS text_length FROM documents")
+@query("csv_export_and_scan", "SELECT doc_id, lang, n_chars, length(text) AS text_length, md5(text) AS hash FROM documents")
 def csv_export_and_scan(spark, sf_dir):
     """Whole texts, with quotes, commas and line breaks, out to CSV and back."""
     path = scratch_path(spark, "documents-csv")
     export_csv(load(spark, sf_dir, "documents"), path)
     schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
     back = read_csv(spark, path, schema)
-    return back.select("doc_id", "lang", "n_chars", F.length("text").cast("bigint").alias("text_length"))
+    length = F.length("text").cast("bigint").alias("text_length")
+    return back.select("doc_id", "lang", "n_chars", length, F.md5("text").alias("hash"))
 
 
 @query(
@@ -206,15 +208,14 @@ def anchors_query(spark, sf_dir):
     r"""SELECT CAST(conv_id AS VARCHAR) AS acn, strftime(min(make_date(2000 + CAST(conv_id % 20 AS INT),
   CAST(conv_id % 12 + 1 AS INT), 1)), '%Y-%m-%d') AS date,
   len(regexp_extract_all(string_agg(text, ' ' ORDER BY turn), '[\p{L}\p{N}_]+')) AS tot_wc
-FROM conversations WHERE turn < 2 GROUP BY conv_id""",
+FROM conversations GROUP BY conv_id""",
 )
 def monthly_reports_clean(spark, sf_dir):
     """Header echoes off, YYYYMM to a date, narrative columns merged and counted."""
     turns = load(spark, sf_dir, "conversations")
-    wide = turns.groupBy("conv_id").agg(
-        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("report_1narrative"),
-        F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("report_2narrative"),
-    )
+    side = F.when(F.col("turn") % 2 == 0, "report_1narrative").otherwise("report_2narrative")
+    told = ordered_text(turns.withColumn("side", side), ["conv_id", "side"], ["turn"], "text", "told")
+    wide = told.groupBy("conv_id").pivot("side", ["report_1narrative", "report_2narrative"]).agg(F.max("told"))
     month = F.format_string("%d%02d", 2000 + F.col("conv_id") % 20, F.col("conv_id") % 12 + 1)
     rows = wide.select(
         F.col("conv_id").cast("string").alias("acn"), month.alias("time_date"),

@@ -19,6 +19,7 @@ from tidewatch.session import settle, small_side
 
 POINT_BLOCK = 512  # points compared with points
 QUERY_BLOCK = 8192  # points compared with a drawn library
+DISTANCES = 4_000_000
 STEPS = tuple(range(1, 11))
 
 
@@ -221,17 +222,17 @@ def slope_test(skills: DataFrame, keys: list[str]) -> DataFrame:
 
 def cross_map(
     pairs: DataFrame, keys: list[str], order: list[str], cause: str, effect: str, dimensions: DataFrame,
-    max_e: int, sizes: list[int], iterations: int = 100, seed: int = 1, block: int = QUERY_BLOCK,
+    max_e: int, sizes: list[int] | None, iterations: int = 100, seed: int = 1, block: int = QUERY_BLOCK,
     block_rows: int = BLOCK_ROWS, longest: int | None = None,
 ) -> DataFrame:
     """(keys, iteration, L, rho): how well the cause is read off the delay coordinates of the effect,
     from L library points drawn with replacement.
 
     ``dimensions`` is (keys, E). Draws are indices derived from a hash of keys, iteration and place,
-    so a task that is run again draws the same points. Libraries have at most max(sizes) points each,
-    whatever the length of the unit; the points to predict come in blocks.
+    so a task that is run again draws the same points. Without ``sizes`` a unit's libraries grow in ten
+    equal steps from 2E points to as many as the unit has. One task holds one iteration's library and
+    one block of the points to predict.
     """
-    sizes = sorted(sizes)
     points = delay_points(pairs, keys, order, effect, max_e, 1, (cause,), block_rows, longest)
     points = points.join(small_side(dimensions), keys)
     points = points.filter(F.col("t") >= F.col("E")).select(
@@ -239,15 +240,16 @@ def cross_map(
     units = points.groupBy(*keys).agg(F.first("n").alias("n"), F.first("E").alias("E"), F.avg("a").alias("shift"))
     draws = (
         units.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-        .withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(sizes[-1]))))
+        .withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(max(sizes)) if sizes else most_points("n", "E"))))
         .withColumn("t", F.col("E") + F.pmod(
             F.xxhash64(*keys, "iteration", "place", F.lit(seed)), F.col("n") - F.col("E") + 1))
     )
     library = draws.join(points.select(*keys, "t", "lags", "a"), [*keys, "t"])
     library = library.withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(block)))))
-    library = library.select(*keys, "_qb", "iteration", "place", "t", "lags", "a", "shift")
+    library = library.select(*keys, "iteration", "_qb", "place", "t", "lags", "a", "shift", "n")
     queries = points.withColumn("_qb", F.floor((F.col("t") - 1) / F.lit(block))).select(*keys, "_qb", "t", "E", "lags", "a")
-    group = [*keys, "_qb"]
+    queries = queries.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    group = [*keys, "iteration", "_qb"]
     sums = ["n", "sp", "sy", "spp", "syy", "spy"]
 
     schema = T.StructType(
@@ -264,20 +266,23 @@ def cross_map(
         shift = lib.column("shift")[0].as_py()
         xq, tq = _matrix(q, "lags", max_e)[:, :e], _array(q, "t")
         y = _array(q, "a") - shift
-        iteration = _array(lib, "iteration")
-        order = np.lexsort((_array(lib, "place"), iteration))
+        iteration = int(lib.column("iteration")[0].as_py())
+        order = np.argsort(_array(lib, "place"), kind="stable")
         xl, tl, a = _matrix(lib, "lags", max_e)[order, :e], _array(lib, "t")[order], _array(lib, "a")[order] - shift
-        out = []
-        for i, first in zip(*np.unique(iteration[order], return_index=True)):
-            part = slice(first, first + sizes[-1])
-            d = sum((xq[:, None, j] - xl[None, part, j]) ** 2 for j in range(e))
-            d = np.sqrt(np.where(tq[:, None] == tl[None, part], np.inf, d))
-            for size in sizes:
+        lengths = sorted(sizes) if sizes else unit_sizes(int(lib.column("n")[0].as_py()), e)
+        sums = np.zeros((len(lengths), 6))
+        rows = max(1, DISTANCES // len(tl))  # of points to predict, so that the distances stay bounded
+        for low in range(0, len(tq), rows):
+            part = slice(low, low + rows)
+            d = sum((xq[part, None, j] - xl[None, :, j]) ** 2 for j in range(e))
+            d = np.sqrt(np.where(tq[part, None] == tl[None, :], np.inf, d))
+            for k, size in enumerate(lengths):
                 near = _nearest(d[:, :size], e + 1)
-                found = _simplex(np.take_along_axis(d[:, :size], near, 1), a[part][near])
-                ok = np.isfinite(found) & np.isfinite(y)
-                p, t = found[ok], y[ok]
-                out.append((int(i), size, float(ok.sum()), p.sum(), t.sum(), p @ p, t @ t, p @ t))
+                found = _simplex(np.take_along_axis(d[:, :size], near, 1), a[near])
+                ok = np.isfinite(found) & np.isfinite(y[part])
+                p, t = found[ok], y[part][ok]
+                sums[k] += (float(ok.sum()), p.sum(), t.sum(), p @ p, t @ t, p @ t)
+        out = [(iteration, size, *row) for size, row in zip(lengths, sums.tolist())]
         return _table(arrow, _key(q, keys), [list(c) for c in zip(*out)])
 
     # both sides come from the same rows; new names for one side's columns keep them apart
@@ -290,6 +295,16 @@ def cross_map(
     return total.select(*keys, "iteration", "L", rho.alias("rho"))
 
 
+def most_points(n: str, e: str) -> Column:
+    """The longest library of a unit of n rows at dimension E."""
+    return F.greatest(F.col(n) - F.col(e) + 2, 2 * F.col(e)).cast("int")
+
+
+def unit_sizes(n: int, e: int, steps: int = 10) -> list[int]:
+    """Library lengths that follow the unit: equal steps from 2E up to its longest library."""
+    return sorted({int(x) for x in np.linspace(2 * e, max(n - e + 2, 2 * e), steps)})
+
+
 def skill_by_size(rhos: DataFrame, keys: list[str]) -> DataFrame:
     return rhos.groupBy(*keys, "L").agg(F.avg("rho").alias("rho"), F.stddev_samp("rho").alias("sd_rho"))
 
@@ -312,7 +327,6 @@ def causality_table(
     Dimensions by forecast skill, decay of skill with the forecast step, and, where both series pass
     that test at ``alpha``, cross mapping in both directions.
     """
-    sizes = sizes or list(range(10, 101, 10))
     names = [F.struct(F.lit(a).alias("a_var"), F.lit(b).alias("b_var"), F.col(a).cast("double").alias("a"),
                       F.col(b).cast("double").alias("b")) for a in outcomes for b in metrics]
     keys = [unit, "a_var", "b_var"]

@@ -19,11 +19,10 @@ from pyspark.sql import types as T
 from tidewatch.session import settle, small_side
 
 BLOCK_ROWS = 1_000_000
-MAX_REFINEMENTS = 12
 
 
 def order_number(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the order of the column."""
+    """A value that never decreases along the order of the column: a double, or the text itself."""
     kind, c = df.schema[name].dataType, F.col(name)
     if isinstance(kind, T.NumericType):
         return c.cast("double")
@@ -32,11 +31,26 @@ def order_number(df: DataFrame, name: str) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp")).cast("double")
     if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
+        return c
     raise TypeError(f"{name}: {kind.simpleString()} cannot order a series")
 
 
+def bytes_in_common(a: str, b: str) -> Column:
+    """How many bytes two texts begin with alike."""
+    same = F.expr(
+        f"filter(sequence(1, least(octet_length({a}), octet_length({b})) + 1),"
+        f" i -> substring(encode({a}, 'UTF-8'), i, 1) <> substring(encode({b}, 'UTF-8'), i, 1)"
+        f" OR i > least(octet_length({a}), octet_length({b})))[0] - 1"
+    )
+    return same
+
+
+def text_number(text: str, skip: str) -> Column:
+    """The six bytes after the first ``skip`` ones as a double."""
+    head = F.expr(f"hex(substring(encode({text}, 'UTF-8'), {skip} + 1, 6))")
+    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+
+
 @dataclass(frozen=True)
 class OrderedRows:
     rows: DataFrame
@@ -59,18 +73,13 @@ class OrderedRows:
         if not self.split:
             w = Window.partitionBy(*self.unit).orderBy(*self.order)
             return replace(self, rows=self.rows.withColumns({k: f(w) for k, f in columns.items()}))
-        if max(back, ahead) > self.block_rows:
-            raise ValueError("a frame cannot be longer than a block")
-        place = (F.col(self.ordinal) - 1) % F.lit(self.block_rows)
-        home = F.col("_home")
-        targets = F.array(
-            home,
-            F.when(place >= self.block_rows - back, home + 1),
-            F.when((place < ahead) & (home > 0), home - 1),
-        )
+        place = F.col(self.ordinal) - 1
+        # every block whose frames reach this row; a frame may be longer than a block
+        first = F.greatest(F.floor((place - ahead) / F.lit(self.block_rows)), F.lit(0).cast("long"))
+        last = F.floor((place + back) / F.lit(self.block_rows))
         spread = (
             self.rows.withColumn("_home", self._block())
-            .withColumn("_block", F.explode(F.array_compact(targets)))
+            .withColumn("_block", F.explode(F.sequence(first, last)))
         )
         w = Window.partitionBy(*self.unit, "_block").orderBy(self.ordinal)
         done = spread.withColumns({k: f(w) for k, f in columns.items()})
@@ -213,20 +222,40 @@ def in_order(
 def _number_long_units(df, unit, order, ordinal, block_rows) -> DataFrame:
     """Ordinals from slices of the order key, cut finer until no slice is longer than a block."""
     numbers = [f"_o{i}" for i in range(len(order))]
+    texts = [isinstance(df.schema[c].dataType, T.StringType) for c in order]
     # a missing order value sorts first
     rows = df.withColumns(
-        {n: F.coalesce(order_number(df, c), F.lit(-1e300)) for n, c in zip(numbers, order)}
+        {
+            n: F.coalesce(order_number(df, c), F.lit("") if text else F.lit(-1e300))
+            for n, c, text in zip(numbers, order, texts)
+        }
     )
     keys: list[str] = list(unit)
-    for depth in range(MAX_REFINEMENTS):
+    depth = 0
+    while True:
         bounds = [b for n in numbers for b in (F.min(n).alias(f"{n}_lo"), F.max(n).alias(f"{n}_hi"))]
         long_groups = (
             rows.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("_n"), *bounds)
             .filter(F.col("_n") > block_rows)
-            # a group all of whose order numbers agree cannot be cut any further
+            # a group all of whose order values agree cannot be cut any further
             .filter(" OR ".join(f"{n}_lo < {n}_hi" for n in numbers))
         )
+        # texts are told apart by the bytes after those that all of the group's begin with
+        for n, text in zip(numbers, texts):
+            if text:
+                long_groups = long_groups.withColumn(f"{n}_skip", bytes_in_common(f"{n}_lo", f"{n}_hi"))
+        differ = F.coalesce(
+            *[
+                F.when(
+                    F.col(f"{n}_lo") < F.col(f"{n}_hi"),
+                    text_number(f"{n}_lo", f"{n}_skip") < text_number(f"{n}_hi", f"{n}_skip") if text
+                    else F.col(f"{n}_hi") - F.col(f"{n}_lo") > 1e-290,
+                )
+                for n, text in zip(numbers, texts)
+            ]
+        )
+        long_groups = long_groups.filter(differ)
         # at most rows / block_rows rows; stored, as the rows of every finer cut are joined to it
         long_groups = settle(long_groups)
         if long_groups.isEmpty():
@@ -234,11 +263,15 @@ def _number_long_units(df, unit, order, ordinal, block_rows) -> DataFrame:
         # cut along the first order column that still varies inside the group
         pieces = F.ceil(F.col("_n") / block_rows) * 4
         cut = F.lit(None).cast("long")
-        for n in reversed(numbers):
-            lo, hi = F.col(f"{n}_lo"), F.col(f"{n}_hi")
-            piece = F.floor((F.col(n) - lo) / ((hi - lo) / pieces))
+        for n, text in reversed(list(zip(numbers, texts))):
+            value, lo, hi = F.col(n), F.col(f"{n}_lo"), F.col(f"{n}_hi")
+            if text:
+                value, low, high = (text_number(x, f"{n}_skip") for x in (n, f"{n}_lo", f"{n}_hi"))
+            else:
+                low, high = lo, hi
+            piece = F.floor((value - low) / ((high - low) / pieces))
             cut = F.when(lo < hi, F.least(piece, pieces - 1)).otherwise(cut)
-        extra = ["_n", *[f"{n}_{e}" for n in numbers for e in ("lo", "hi")]]
+        extra = ["_n", *[c for c in long_groups.columns if c.startswith("_o")]]
         slice_name = f"_s{depth}"
         if keys:
             long_groups = small_side(long_groups)
@@ -248,6 +281,7 @@ def _number_long_units(df, unit, order, ordinal, block_rows) -> DataFrame:
             rows = rows.withColumns({e: F.lit(only[e]) for e in extra})
         rows = rows.withColumn(slice_name, F.coalesce(cut, F.lit(0))).drop(*extra)
         keys.append(slice_name)
+        depth += 1
     slices = [k for k in keys if k not in unit]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     offset = F.lit(0)

@@ -269,8 +269,8 @@ def text_vectors(
     bucket: Callable[[Column, int], Column] = hashed_bucket,
     name: str = "embedding",
 ) -> DataFrame:
-    """Hashed TF-IDF vectors of length one. Document frequencies are counted per bucket, so the
-    table that is broadcast has ``dim`` rows at any scale."""
+    """Hashed TF-IDF vectors of length one, zero for a text without words. Document frequencies are
+    counted per bucket, so the table that is broadcast has ``dim`` rows at any scale."""
     terms = df.select(key, text).repartition(key).select(key, F.explode(words(text)).alias("token"))
     counts = terms.groupBy(key, bucket(F.col("token"), dim).alias("bucket")).agg(
         F.count(F.lit(1)).alias("tf")
@@ -290,7 +290,9 @@ def text_vectors(
         sizes = np.linalg.norm(out, axis=1, keepdims=True)
         return pd.Series(list(out / np.where(sizes > 0, sizes, 1.0)))
 
-    return cells.select(key, dense(F.col("_cells.bucket"), F.col("_cells.w")).alias(name))
+    made = cells.select(key, dense(F.col("_cells.bucket"), F.col("_cells.w")).alias(name))
+    zero = F.array_repeat(F.lit(0.0), dim)
+    return df.select(key).distinct().join(made, key, "left").withColumn(name, F.coalesce(name, zero))
 
 
 def new_text_vectors(df: DataFrame, stored: DataFrame, key: str, text: str, **options) -> DataFrame:

@@ -123,25 +123,25 @@ def pairwise_similarity(
     mean = (|s|² − n1) / (n(n−1)) and mean of squares = (|G|² − n1) / (n(n−1)). So a group is summed
     up, never paired: the work grows with its rows, and a hot group is added up in many tasks.
     """
-    u = df.select(*by, unit_vector(doubles(vector)).alias("u")).filter("u IS NOT NULL")
-    u = u.withColumn("n1", F.when(F.exists("u", lambda x: x != 0), 1).otherwise(0))
+    u = df.select(*by, unit_vector(doubles(vector)).alias("_u")).filter("_u IS NOT NULL")
+    u = u.withColumn("_n1", F.when(F.exists("_u", lambda x: x != 0), 1).otherwise(0))
     counts = u.groupBy(*by).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum("n1").cast("double").alias("n1")
+        F.count(F.lit(1)).cast("double").alias("_n"), F.sum("_n1").cast("double").alias("_n1")
     )
-    sums = u.select(*by, F.posexplode("u").alias("_pos", "_x")).groupBy(*by, "_pos").agg(
+    sums = u.select(*by, F.posexplode("_u").alias("_pos", "_x")).groupBy(*by, "_pos").agg(
         F.sum("_x").alias("_s")
     )
-    firsts = sums.groupBy(*by).agg(F.sum(F.col("_s") * F.col("_s")).alias("s2"))
+    firsts = sums.groupBy(*by).agg(F.sum(F.col("_s") * F.col("_s")).alias("_s2"))
     result = counts.join(firsts, by)
-    pairs = F.col("n") * (F.col("n") - 1)
-    mean = F.when(F.col("n") > 1, (F.col("s2") - F.col("n1")) / F.nullif(pairs, F.lit(0.0)))
+    pairs = F.col("_n") * (F.col("_n") - 1)
+    mean = F.when(F.col("_n") > 1, (F.col("_s2") - F.col("_n1")) / F.nullif(pairs, F.lit(0.0)))
     if not with_sd:
-        return result.select(*by, "n", mean.alias("mean_sim"))
+        return result.select(*by, F.col("_n").alias("n"), mean.alias("mean_sim"))
     squares = _gram_squares(u, by, dim)
     result = result.join(squares, by)
-    second = F.when(F.col("n") > 1, (F.col("g2") - F.col("n1")) / F.nullif(pairs, F.lit(0.0)))
-    sd = F.when(F.col("n") > 1, F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))))
-    return result.select(*by, "n", mean.alias("mean_sim"), sd.alias("std_sim"))
+    second = F.when(F.col("_n") > 1, (F.col("_g2") - F.col("_n1")) / F.nullif(pairs, F.lit(0.0)))
+    sd = F.when(F.col("_n") > 1, F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))))
+    return result.select(*by, F.col("_n").alias("n"), mean.alias("mean_sim"), sd.alias("std_sim"))
 
 
 def _gram_squares(u: DataFrame, by: list[str], dim: int) -> DataFrame:
@@ -155,16 +155,16 @@ def _gram_squares(u: DataFrame, by: list[str], dim: int) -> DataFrame:
                 continue
             grams = []
             for key, part in batch.groupby(by, sort=False, dropna=False):
-                m = np.stack(part["u"].to_numpy())
+                m = np.stack(part["_u"].to_numpy())
                 grams.append((*key, (m.T @ m)[upper]))
-            yield pd.DataFrame(grams, columns=[*by, "g"])
+            yield pd.DataFrame(grams, columns=[*by, "_gram"])
 
-    schema = T.StructType([u.schema[b] for b in by] + [T.StructField("g", T.ArrayType(T.DoubleType()))])
-    parts = u.select(*by, "u").mapInPandas(partial, schema)
-    cells = parts.select(*by, F.posexplode("g").alias("_pos", "_g")).groupBy(*by, "_pos").agg(
+    schema = T.StructType([u.schema[b] for b in by] + [T.StructField("_gram", T.ArrayType(T.DoubleType()))])
+    parts = u.select(*by, "_u").mapInPandas(partial, schema)
+    cells = parts.select(*by, F.posexplode("_gram").alias("_pos", "_g")).groupBy(*by, "_pos").agg(
         F.sum("_g").alias("_g")
     )
-    return cells.groupBy(*by).agg(F.sum(F.col("_g") * F.col("_g") * weight).alias("g2"))
+    return cells.groupBy(*by).agg(F.sum(F.col("_g") * F.col("_g") * weight).alias("_g2"))
 
 
 # -- similarity of neighbouring documents ----------------------------------------------------------

@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 def liwc_dictionary(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A ``%``-delimited category header and pattern lines as (dict, category, pattern).
 
-    Header and body lines are told apart by shape: a header line starts with a category number.
+    The header stands between the two ``%`` lines, so a pattern may begin with digits. A dictionary is a
+    small file, read in one piece; only the places of its ``%`` lines reach the driver.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter("line NOT IN ('', '%')")
-    parts = lines.select(F.split("line", r"\t+").alias("p"))
-    is_header = F.col("p")[0].rlike(r"^\d+$")
+    lines = spark.read.text(path).coalesce(1).select(
+        F.trim("value").alias("line"), F.monotonically_increasing_id().alias("at")
+    )
+    signs = [r["at"] for r in lines.filter("line = '%'").orderBy("at").limit(2).collect()]
+    end = signs[1] if len(signs) == 2 else -1
+    parts = lines.filter("line NOT IN ('', '%')").select("at", F.split("line", r"\t+").alias("p"))
+    is_header = F.col("at") < end
     heads = parts.filter(is_header).select(
         F.col("p")[0].alias("id"), F.trim(F.get("p", F.lit(1))).alias("category")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import quoted, real_rows
 from tidewatch.functions.text import count_word_runs, read_month
+from tidewatch.session import small_side
 
 
 def read_csv(spark: SparkSession, path, schema: str | None = None, sep: str = ",") -> DataFrame:
@@ -28,25 +30,28 @@ def read_two_line_header(
 ) -> DataFrame:
     """A CSV whose names are spread over two lines: each name is line 1 + line 2 + ``.``.
 
-    ``skip`` lines from the top hold no data; only the first ``columns`` columns are read. The header
-    lines are recognised by their content, so the file may be read in parallel.
+    ``skip`` lines from the top of a file hold no data; only the first ``columns`` columns are read.
+    A file may be read in parallel: a line's place comes from its number within the file's first
+    block, so data that equals a header line stays. Files of a folder that begin without the header
+    lose nothing.
     """
-    lines = spark.read.text(path, wholetext=False).limit(skip)
-    head = [r["value"] for r in lines.collect()]
-    rows = spark.read.options(header=False, escape='"').csv(path)
-    parsed = spark.createDataFrame([(v,) for v in head], "value string")
-    fields = parsed.select(
-        F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(rows.columns)))).alias("r")
-    ).collect()
-    first, second = fields[0]["r"], fields[1]["r"]
-    keep = range(columns or len(rows.columns))
-    names = [f"{first[i] or ''}{second[i] or ''}." for i in keep]
-    top = [[f["r"][i] for i in keep] for f in fields]
-    data = rows.select(*[F.col(rows.columns[i]) for i in keep])
-    for values in top:
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(v) for c, v in zip(data.columns, values)])
-        data = data.filter(~same)
-    return data.toDF(*names)
+    head = [r["value"] for r in spark.read.text(path).limit(skip).collect()]
+    first, second = list(csv.reader(head[:2]))
+    width = max(len(first), len(second))
+    first, second = ([*x, *[""] * (width - len(x))] for x in (first, second))
+    keep = range(columns or width)
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"),
+    )
+    tops = lines.filter("_block = 0").groupBy("_file").agg(F.min("_at").alias("_top"))
+    placed = lines.join(small_side(tops), "_file", "left")
+    place = F.when(F.col("_block") == 0, F.col("_at") - F.col("_top")).cast("int")
+    header = (place < len(head)) & F.get(F.array(*map(F.lit, head)), place).eqNullSafe(F.col("value"))
+    data = placed.filter(~F.coalesce(header, F.lit(False)) & (F.trim("value") != ""))
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    rows = data.select(F.from_csv("value", F.lit(schema), {"escape": '"'}).alias("r"))
+    return rows.select(*[F.col(f"r.c{i}").alias(f"{first[i]}{second[i]}.") for i in keep])
 
 
 def read_many(

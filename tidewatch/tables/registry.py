@@ -12,8 +12,14 @@ KEY = ["system_source", "event_num"]
 
 
 def event_id(source: str | Column = "system_source", number: str | Column = "event_num") -> Column:
-    """The same id for the same source and number, wherever and whenever it is computed."""
-    return F.sha2(F.concat_ws("|", source, number), 256)
+    """The same id for the same source and number, wherever and whenever it is computed.
+
+    A separator inside the source is escaped, so no two keys share an id; null without a key.
+    """
+    source = F.col(source) if isinstance(source, str) else source
+    number = F.col(number) if isinstance(number, str) else number
+    escaped = F.regexp_replace(source.cast("string"), r"([\\|])", r"\\$1")
+    return F.sha2(F.concat(escaped, F.lit("|"), number.cast("string")), 256)
 
 
 def disambiguate(df: DataFrame, key: str, order: list[str], keep: str = "event_num_orig") -> DataFrame:
@@ -62,7 +68,8 @@ def upsert_column(
     """Set one column for the events in ``updates`` (system_source, event_num, column).
 
     Returns the new table and the updates that could not be applied because none or several
-    registered events answer to their key, or because they are repeated.
+    registered events answer to their key, because they are repeated, or because the target has no
+    row of their event. An update to null is applied like any other.
     """
     ids = registry.select("eid", *KEY)
     matches = ids.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_ids"), F.min("eid").alias("eid"))
@@ -71,11 +78,13 @@ def upsert_column(
     )
     resolved = given.join(matches, KEY, "left")
     usable = (F.col("n_ids") == 1) & (F.col("n_updates") == 1)
-    good = resolved.filter(usable).select("eid", "_new")
-    bad = resolved.filter(~F.coalesce(usable, F.lit(False))).select(
-        *KEY, "n_updates", F.coalesce("n_ids", F.lit(0)).alias("n_ids")
-    )
-    merged = target.join(good, "eid", "left").withColumn(column, F.coalesce("_new", column))
+    report = [*KEY, "n_updates", F.coalesce("n_ids", F.lit(0)).alias("n_ids")]
+    good = resolved.filter(usable)
+    bad = resolved.filter(~F.coalesce(usable, F.lit(False))).select(*report)
+    bad = bad.unionByName(good.join(target.select("eid"), "eid", "left_anti").select(*report))
+    good = good.select("eid", "_new", F.lit(True).alias("_given"))
+    value = F.when(F.col("_given"), F.col("_new")).otherwise(F.col(column))
+    merged = target.join(good, "eid", "left").withColumn(column, value)
     return merged.select(*target.columns), bad
 
 
