@@ -393,3 +393,21 @@ def test_library_lengths_follow_the_unit(spark):
     lengths = sorted({r["L"] for r in rhos})
     assert lengths == M.unit_sizes(160, 2) and lengths[0] == 4 and lengths[-1] == 160
     assert all(r["rho"] is not None for r in rhos if r["L"] > 50)
+
+
+def test_correlations_of_many_columns(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 120)) + 1000
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = 3.3
+    names = [f"v{i}" for i in range(120)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"{n} double" for n in names))
+    got = {(r["a"], r["b"]): r["r"] for r in S.correlations(df.repartition(5), names).collect()}
+    for i, j in ((0, 1), (3, 90), (60, 119)):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert got[names[i], names[j]] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    assert got["v0", "v7"] is None and len(got) == 120 * 119 / 2
+    few = ["v1", "v2", "v3"]
+    n, mean, cov = S.moment_matrices(df, few)
+    whole = x[~np.isnan(x[:, 1:4]).any(axis=1), 1:4]
+    assert n == len(whole) and np.allclose(mean, whole.mean(axis=0)) and np.allclose(cov, np.cov(whole.T))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,40 +80,77 @@ def robust_standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def _pair_correlation(x: Column, y: Column) -> Column:
-    """Guarded: a constant side gives null. Rows with a null on either side are left out."""
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+def cross_sums(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The columns' means, and four p×p sums over the rows in which both columns of a cell have a value:
+    their number, and of the first column's values (less its mean) the sum, the sum of squares and the
+    sum of products with the second.
+
+    Every task adds up matrix products of its Arrow batches; the tasks' matrices meet by row, so a few
+    hundred columns cost no planning. NaN counts as missing. p rows of 4·p numbers reach the driver.
+    """
+    p = len(columns)
+    df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(columns)])
+    first = df.agg(*[F.avg(f"c{i}") for i in range(p)]).first()
+    mean = np.array([np.nan if m is None else m for m in first], dtype=float)
+
+    def add_up(batches):
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1)
+            there = ~np.isnan(x)
+            x, there = np.where(there, x - mean, 0.0), there.astype(float)
+            total += (there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x)
+        yield _rows(np.arange(p), total)
+
+    def _rows(i, total):
+        cells = pa.array(total.transpose(1, 0, 2).ravel())
+        lists = pa.ListArray.from_arrays(np.arange(len(i) + 1, dtype=np.int32) * 4 * p, cells)
+        return pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), lists], names=["i", "s"])
+
+    def meet(table):
+        together = np.stack([c.as_py() for c in table.column("s")]).sum(axis=0).reshape(4, 1, p)
+        return pa.Table.from_batches([_rows(np.array([table.column("i")[0].as_py()]), together)])
+
+    parts = df.mapInArrow(add_up, "i int, s array<double>")
+    sums = np.zeros((4, p, p))
+    for row in parts.groupBy("i").applyInArrow(meet, "i int, s array<double>").collect():
+        sums[:, row["i"], :] = np.array(row["s"]).reshape(4, p)
+    return mean, sums
+
+
+def _covariances(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Covariance of each pair and variance of its first column, over the pair's common rows."""
+    n, x, xx, xy = sums
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov = np.where(n > 1, (xy - x * x.T / n) / (n - 1), np.nan)
+        var = np.where(n > 1, (xx - x * x / n) / (n - 1), np.nan)
+    return cov, var
 
 
 def correlations(df: DataFrame, columns: list[str], complete_rows: bool = False) -> DataFrame:
-    """(a, b, r) for every pair a < b, from one aggregation over the rows."""
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    """(a, b, r) for every pair a < b; a constant side gives null. Rows with a null on either side, or
+    with ``complete_rows`` in any column, are left out."""
+    spark = df.sparkSession
     if complete_rows:
-        df = df.na.drop()
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    wide = df.agg(*[_pair_correlation(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-             for i, (a, b) in enumerate(pairs)]
-    return wide.select(F.inline(F.array(*cells)))
+        df = df.na.drop(subset=columns)
+    mean, sums = cross_sums(df, columns)
+    cov, var = _covariances(sums)
+    flat = ~(var > 1e-24 * (1 + mean[:, None] ** 2))  # what is left of a constant is rounding
+    rows = []
+    for i, a in enumerate(columns):
+        for j in range(i + 1, len(columns)):
+            fixed = flat[i, j] or flat[j, i]
+            rows.append((a, columns[j], None if fixed else float(cov[i, j] / np.sqrt(var[i, j] * var[j, i]))))
+    return spark.createDataFrame(rows, "a string, b string, r double")
 
 
 def moment_matrices(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Complete rows: their number, means and covariance matrix. p·p numbers reach the driver."""
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    p = len(columns)
-    cells = [(i, j) for i in range(p) for j in range(i, p)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in cells],
-    ).first()
-    cov = np.zeros((p, p))
-    for i, j in cells:
-        value = row[f"c{i}_{j}"]
-        cov[i, j] = cov[j, i] = np.nan if value is None else value
-    return row["n"], np.array([row[f"m{i}"] for i in range(p)], dtype=float), cov
+    """Complete rows: their number, means and covariance matrix."""
+    mean, sums = cross_sums(df.na.drop(subset=columns), columns)
+    cov, _ = _covariances(sums)
+    flat = ~(np.diag(cov) > 1e-24 * (1 + mean**2))
+    cov[flat, :] = cov[:, flat] = 0.0
+    return int(sums[0, 0, 0]), mean, cov
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
