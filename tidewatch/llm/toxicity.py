@@ -33,6 +33,8 @@ LEAST_TEXTS = 4
 LEAST_DISTANCE = 4.0
 FACTORS = 6
 EPOCHS = 20
+#: Bound of raw scores: texts of very many toxic terms say no more than that.
+MOST = 20.0
 PREFIXES = (4, 5, 6, 7)
 LETTERS = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 
@@ -67,7 +69,7 @@ class ToxicityModel:
         for f in range(self.factors.shape[1]):
             v = self.factors[at, f]
             out += 0.5 * (np.bincount(owner, v, minlength=n) ** 2 - np.bincount(owner, v * v, minlength=n))
-        return out
+        return np.clip(out, -MOST, MOST)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         owner, term = terms(texts, self.place >= 0)
@@ -121,7 +123,7 @@ def train(sets: list[tuple[int, np.ndarray]], limit: int = TERMS, factors: int =
     place = np.full(BUCKETS, -1)
     share = float(np.mean([label for label, _ in sets])) if sets else 0.0
     if share in (0.0, 1.0):
-        return ToxicityModel(place, np.zeros(1), np.zeros((1, 1)), 70 * share - 35, 1.0, 0.0)
+        return ToxicityModel(place, np.zeros(1), np.zeros((1, 1)), MOST * (2 * share - 1), 2.0, 0.0)
     many = len(sets) >= 100
     used, kept_out = ([s for i, s in enumerate(sets) if (i % 5 > 0) == part or not many] for part in (True, False))
     chosen = kept_terms(used, limit)
@@ -151,26 +153,44 @@ def train(sets: list[tuple[int, np.ndarray]], limit: int = TERMS, factors: int =
 
 
 def calibrated(model: ToxicityModel, sets: list[tuple[int, np.ndarray]]) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through raw scores and labels, by Newton steps on slightly softened labels."""
+    """Slope and shift of a logistic curve through the raw scores of texts kept out of training.
+
+    The slope is the likeliest one for slightly softened labels, by Newton steps that are halved until they
+    help; the curve is moved so that it passes one half in the middle of the gap with the best F1.
+    """
     at = [model.place[term] for _, term in sets]
     at = [a[a >= 0] for a in at]
     owner = np.repeat(np.arange(len(at)), [len(a) for a in at])
     z = model.raw_scores(owner, np.concatenate([*at, np.zeros(0, int)]).astype(int), len(at))
-    y = np.array([label for label, _ in sets], float)
-    ones, zeros = y.sum(), len(y) - y.sum()
-    y = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))
-    x, scale = np.stack([z, np.ones(len(z))], axis=1), max(float(np.abs(z).max()), 1.0)
-    x[:, 0] /= scale
-    beta = np.array([scale, 0.0])
+    label = np.array([label for label, _ in sets], float)
+    ones, zeros = label.sum(), len(label) - label.sum()
+    if not ones or not zeros:
+        return 1.0, 0.0
+    y = np.where(label > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    x = np.stack([z, np.ones(len(z))], axis=1)
+
+    def loss(beta):
+        margin = x @ beta
+        return float((np.logaddexp(0, margin) - y * margin).sum() + 5e-4 * beta @ beta)
+
+    beta = np.array([1.0, 0.0])
     for _ in range(50):
         p = sigmoid(x @ beta)
-        gradient = x.T @ (p - y) + 1e-3 * beta
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        beta = beta - np.clip(step, -scale, scale)
-        if np.abs(step).max() < 1e-8:
+        hessian = (x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (p - y) + 1e-3 * beta)
+        while loss(beta - step) > loss(beta) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        beta = beta - step
+        if np.abs(step).max() < 1e-6:
             break
-    return (float(beta[0]) / scale, float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
+    slope = max(float(beta[0]), 0.05)
+    order = np.argsort(-z, kind="stable")
+    found = np.cumsum(label[order])
+    f1 = 2 * found / (np.arange(1, len(z) + 1) + ones)
+    f1[:-1][z[order][1:] == z[order][:-1]] = 0
+    best = int(np.argmax(f1))
+    below = z[order][best + 1] if best + 1 < len(z) else z[order][best] - 1
+    return slope, -slope * float(z[order][best] + below) / 2
 
 
 def fit(
