@@ -193,3 +193,13 @@ def test_dictionary_patterns_may_be_numbers(spark, tmp_path):
     (tmp_path / "d.dic").write_text("%\n1\tanger\n2\tcalls\n%\n911\t2\nhate*\t1\t2\n")
     got = liwc_dictionary(spark, str(tmp_path / "d.dic"), "d")
     assert sorted((r["category"], r["pattern"]) for r in got.collect()) == [("anger", "hate*"), ("calls", "911"), ("calls", "hate*")]
+
+
+def test_an_element_ends_at_its_own_closing_tag(spark):
+    html = [
+        '<div id="x">a<div>b<DIV class="q">c</div></div>d<br/></div>e</div>', '<p id="x">one</p><p>two</p>',
+        '<div id="x">never closed', "nothing", None, '<div id="x"><div/>self</div>rest',
+    ]
+    pages = spark.createDataFrame([(h,) for h in html], "html string")
+    got = [r["f"] for r in extract_fields(pages, "html", {"f": by_id("x")}).collect()]
+    assert got == ["abcd", "one", None, None, None, "self"]

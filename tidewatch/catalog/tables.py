@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog.book import load, query
 from tidewatch.functions.columns import clean_names
 from tidewatch.operators.groups import ordered_text
-from tidewatch.sources.pages import anchors, by_tag, extract_fields, narratives, split_bad
+from tidewatch.sources.pages import anchors, by_id, by_tag, extract_fields, narratives, split_bad
 from tidewatch.sources.pages import NARRATIVE_1, NARRATIVE_2
 from tidewatch.sources.readers import (
     clean_asrs,
@@ -140,8 +140,7 @@ def stage_table(spark, sf_dir):
     return save_stage(counts, scratch_path(spark, "stages"), "events", 10, "unit_counts")
 
 
-@query(
-    "page_fields",
+PAGE_FIELDS_SQL = (
     r"""WITH f AS (SELECT page_id, html,
   regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1) AS title,
   regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1) AS h1,
@@ -152,14 +151,27 @@ SELECT page_id, """ + ", ".join(
         + ", '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), "
           "'&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
         + r", '^\s+|\s+$', '', 'g')" + f" END AS {c}" for c in ("title", "h1", "article")
-    ) + " FROM f",
+    ) + " FROM f"
 )
+
+
+@query("page_fields", PAGE_FIELDS_SQL)
 def page_fields(spark, sf_dir):
     fields = {c: by_tag(c) for c in ("title", "h1", "article")}
     pages = load(spark, sf_dir, "pages").select("page_id", "html")
     return extract_fields(pages, "html", fields).drop("html")
 
 
+@query("page_fields_by_id", PAGE_FIELDS_SQL)
+def page_fields_by_id(spark, sf_dir):
+    """The same elements found by their ids, which the pages get first."""
+    html = F.col("html")
+    for tag in ("title", "h1", "article"):
+        html = F.regexp_replace(html, rf"(?i)<({tag})\b", f'<$1 class="c" id="the-{tag}"')
+    pages = load(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    return extract_fields(pages, "html", {t: by_id(f"the-{t}") for t in ("title", "h1", "article")}).drop("html")
+
+
 @query(
     "pages_without_a_field",
     r"""SELECT page_id FROM pages WHERE NOT (regexp_matches(html, '(?is)<title\b[^>]*>(.*?)</title\s*>')

@@ -32,6 +32,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_share(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """All rows while they are at most ``bound``; else those of the least key hash, about ``bound`` of them.
+
+    A later exact limit then takes few rows from each task, however many tasks there are.
+    """
+    n = rows.select(key).count()
+    if n <= bound:
+        return rows
+    scale = 1 << 40
+    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(scale))
+    return rows.where(place < int(scale * bound / n))
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

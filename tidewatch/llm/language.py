@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import attach, bounded_slices, utf8
+from tidewatch.llm.common import attach, bounded_slices, hashed_share, utf8
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -100,15 +100,16 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def labelled_histograms(docs: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, buckets: int) -> list:
     """(label, buckets, counts) of at most ``sample`` labelled texts, those of the least hash."""
+    labelled = hashed_share(docs.where(F.col(label_col).isNotNull()), id_col, 2 * sample)
     rows = (
-        docs.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+        labelled.where(F.col(text_col).rlike(r"\p{L}"))
         .select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), F.col(id_col).alias("id"), F.col(label_col).alias("label"))
         .orderBy("h", "label")
         .limit(sample)
         .select("h", "label")
         .distinct()
     )
-    texts = docs.select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), F.col(text_col).alias("text"))
+    texts = labelled.select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), F.col(text_col).alias("text"))
     # At most ``sample`` hashes are broadcast.
     chosen = texts.join(F.broadcast(rows), "h").select("h", "label", "text")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import attach, bounded_slices, utf8
+from tidewatch.llm.common import attach, bounded_slices, hashed_share, utf8
 from tidewatch.llm.words import SpanHash, word_spans
 
 BUCKETS = 1 << 20
@@ -82,8 +82,9 @@ def sigmoid(z):
 
 def labelled_terms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> list[tuple[int, np.ndarray]]:
     """(label, terms) of at most ``sample`` labelled texts; their ids and labels are broadcast, the texts stay where they are."""
+    labelled = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     chosen = (
-        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+        hashed_share(labelled, id_col, 2 * sample)
         .groupBy(F.col(id_col).alias("id"))
         .agg(F.max(F.col(label_col).cast("int")).alias("label"))
         .withColumn("h", F.xxhash64(F.col("id").cast("string")))

@@ -34,11 +34,36 @@ REPORT_FIELDS = {
 
 
 def by_id(element_id: str) -> str:
-    return rf'(?is)<(\w+)\b[^>]*\bid="{re.escape(element_id)}"[^>]*>(.*?)</\1\s*>'
+    """The opening tag of the element with that id; its name is group 1."""
+    return rf'(?is)<(\w+)\b[^>]*\bid="{re.escape(element_id)}"[^>]*>'
 
 
 def by_tag(tag: str) -> str:
-    return rf"(?is)<({tag})\b[^>]*>(.*?)</\1\s*>"
+    """The opening tag of the first element of that name."""
+    return rf"(?is)<({tag})\b[^>]*>"
+
+
+def element(html: str, opening: str) -> Column:
+    """What stands between an opening tag and its own closing tag, elements of the same name inside
+    included; null where there is no such element or it is never closed."""
+    start = F.regexp_extract(html, opening, 0)
+    rest = F.substring(F.col(html), F.instr(F.col(html), start) + F.length(start), F.length(html))
+    same = F.concat(F.lit(r"(?is)</?"), F.regexp_extract(html, opening, 1), F.lit(r"\b[^>]*>"))
+    steps = F.zip_with(
+        F.split(rest, same, -1), F.regexp_extract_all(rest, same, F.lit(0)),
+        lambda text, tag: F.struct(text.alias("text"), tag.alias("tag")),
+    )
+
+    def add(acc, step):
+        change = F.when(step["tag"].startswith("</"), -1).when(step["tag"].endswith("/>"), 0).otherwise(1)
+        depth = acc["depth"] + change
+        inside = F.concat(acc["text"], step["text"], F.when(depth > 0, step["tag"]).otherwise(""))
+        done = (acc["depth"] == 0) | step["tag"].isNull()
+        return F.when(done, acc).otherwise(F.struct(depth.alias("depth"), inside.alias("text")))
+
+    begin = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
+    found = F.aggregate(steps, begin, add, lambda acc: F.when(acc["depth"] == 0, acc["text"]))
+    return F.when(start != "", found)
 
 
 def inner_text(html: Column) -> Column:
@@ -53,14 +78,8 @@ def inner_text(html: Column) -> Column:
 def extract_fields(
     pages: DataFrame, html: str, locators: dict[str, str]
 ) -> DataFrame:
-    """One text column per locator pattern (element in group 2); null where there is no element."""
-    columns = {
-        name: F.when(
-            F.regexp_like(html, F.lit(pattern)), inner_text(F.regexp_extract(html, pattern, 2))
-        )
-        for name, pattern in locators.items()
-    }
-    return pages.withColumns(columns)
+    """One text column per opening tag of an element; null where there is no element."""
+    return pages.withColumns({name: inner_text(element(html, opening)) for name, opening in locators.items()})
 
 
 def split_bad(fields: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
