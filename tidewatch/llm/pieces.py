@@ -32,7 +32,7 @@ from tidewatch.llm.words import BASE, mixed
 DROPOUT = 0.1
 SEED = 20
 VARIANTS = 4
-REMEMBERED = 250_000  # segments of each variant
+REMEMBERED = 400_000  # segments of each variant
 SHORT = 40
 SPACE = "▁"
 NONE = 1 << 40
@@ -88,9 +88,8 @@ def skipper(key: int, dropout: float):
     bound = int(dropout * 2**32)
 
     def skipped(rank: int, at: int, parts: int) -> bool:
-        h = (key ^ (rank * 0x9E3779B97F4A7C15 + at * 0xC2B2AE3D27D4EB4F + parts * 0x165667B19E3779F9)) & FULL
-        h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & FULL
-        return (((h ^ (h >> 27)) * 0x94D049BB133111EB) & FULL) >> 32 < bound
+        h = key ^ (rank * 0x9E3779B97F4A7C15 + at * 0xC2B2AE3D27D4EB4F + parts * 0x165667B19E3779F9) & FULL
+        return ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 & FULL) >> 32 < bound
 
     return skipped
 
