@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import stored
+
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 LINE_WORDS = 4
@@ -88,6 +90,7 @@ def quality(
     ).withColumn("th", F.xxhash64("text"))
     lines = shared_lines(rows)
     common = lines.select("line", "th").distinct().groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts") > most_texts).select("line")
+    common = stored(common, "common-lines")  # then both sides of the join are plain shuffles, and a hot line is split
     removed = (
         lines.join(common, "line")
         .select(F.col("id").alias("id1"), F.col("th").alias("th1"), "at", "n")

@@ -166,7 +166,8 @@ def near_duplicates(
     groups = connected(links)
     labelled = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("group", "fp"))
     least = labelled.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "group").select("fp", "component_id")
+    # stored, so that both sides of the last join are plain shuffles and a hot fingerprint is split
+    named = stored(labelled.join(least, "group").select("fp", "component_id"), "components")
     return prints.join(named, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
