@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from tidewatch.llm import fingerprints, simhash, substrings
+from tidewatch.llm import fingerprints, resembling, simhash, substrings
 from tidewatch.llm.components import connected
 
 
@@ -83,8 +83,32 @@ def test_near_duplicates_against_brute_force(table, odd):
         assert r.component_id == least.get(groups[int(r.fingerprint, 16)])
 
 
+def test_resembling_texts_against_brute_force(table, odd):
+    rng = random.Random(12)
+    rows = list(odd)
+    for g in range(12):
+        words = [f"v{rng.randint(0, 900)}" for _ in range(rng.choice([8, 60, 150, 400]))]
+        for k in range(8):  # up to four words replaced, so that resemblances lie on both sides of 0.8
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), rng.randint(0, 4)):
+                copy[at] = f"other{rng.randint(0, 10**6)}"
+            rows.append((100 + 10 * g + k, " ".join(copy).upper() if k == 7 else " ".join(copy)))
+    sets = [shingles((t or "").lower()) for _, t in rows]
+    every = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    alike = brute_components(range(len(rows)), every)
+    want = sorted(sorted(rows[i][0] or 0 for i in alike if alike[i] == g) for g in set(alike.values()))
+    far = [(i, j) for i, j in every if (int(brute_fingerprint(rows[i][1])) ^ int(brute_fingerprint(rows[j][1]))).bit_count() > 3]
+    assert far and len(want) > 25
+    for bucket in (2048, 2):
+        groups = {}
+        for r in resembling.resembling(table(rows, clashing=True), bucket=bucket).collect():
+            groups.setdefault(r.group, []).append(r.id or 0)
+        assert sorted(map(sorted, groups.values())) == want
+
+
 def test_empty_tables(table):
     none = table([])
+    assert resembling.resembling(none).collect() == []
     assert simhash.near_duplicates(none).collect() == []
     assert fingerprints.edited_likeness(none).collect() == []
     assert substrings.remove_repeats(none).collect() == []
