@@ -133,3 +133,37 @@ def test_dropout_share(table):
     path = public_tokenizers.path("piece_bpe_32k.model")
     n = [sum(len(pieces.Segmenter(path, 1, p, 4).encode(f"important words number {i}", i)) for i in range(50)) for p in (0.0, 0.1, 0.9)]
     assert n[0] < n[1] < n[2]
+
+
+def test_every_place_draws_among_all_segmentations():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    word = "▁internationalization"
+    made, n = pieces.Segmenter(path, 3, 0.3), 4000
+    seen = set()
+    for document in range(4):
+        ids = np.frombuffer(made.encode(" ".join(["internationalization"] * n), 1000 * document + 7), np.int32).tolist()
+        text = [made.words.piece[i] for i in ids]
+        starts = [k for k, p in enumerate(text) if p.startswith("▁")]
+        seen |= {tuple(text[a:b]) for a, b in zip(starts, [*starts[1:], len(text)], strict=True)}
+    assert all("".join(s) == word for s in seen) and len(seen) > 50
+
+
+def test_skips_have_the_share_and_the_segmentations_of_a_plain_agenda():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    made = pieces.Segmenter(path, 3, 0.25)
+    keys = np.arange(100_000).astype(np.uint64) * pieces.BASE
+    for draw in (0, 1):
+        taken = made.taken(keys, draw)
+        assert all(abs((taken >= k).mean() - 0.75**k) < 0.01 for k in range(1, 8))
+    text = " ".join(["segmentation", "everything", "unbelievable", "x" * 60] * 50)
+    segments = made.words.segment.findall(pieces.SPACE + text.replace(" ", pieces.SPACE))
+    want = []
+    for place, segment in enumerate(segments):
+        key, skips, at = np.array([(place + 99) * int(pieces.BASE) & pieces.FULL], np.uint64), set(), -1
+        for draw in range(100):
+            at += 1 + int(made.taken(key, draw)[0])
+            skips.add(at)
+        numbers = iter(range(10**6))
+        want += made.words.ids(pieces.merge_long(segment, made.words.rank, lambda *_: next(numbers) in skips))
+    for _ in range(2):  # the second time as remembered
+        assert np.frombuffer(made.encode(text, 99), np.int32).tolist() == want

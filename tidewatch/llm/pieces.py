@@ -4,9 +4,10 @@ Text becomes pieces by the vocabulary's merges: of all neighbouring parts whose
 takes the best one, the leftmost of equals. Every candidate it takes is skipped with
 probability ``dropout``, as a keyed hash decides, and the candidate is then gone unless a neighbour's merge
 makes a new one. So one word gets several segmentations, all of them made by merges, and all decode to the
-same text. The key is the seed, the segment, the state of the agenda and one of ``VARIANTS`` numbers drawn by
-hash from seed, document and place; a segment's segmentations can so be remembered, and a repeated task
-gives the same pieces.
+same text. The key is the seed, the document and the segment's place in it: its hashes draw how many
+candidates are taken until the next one is skipped, so each occurrence of a word draws anew among all its
+segmentations, and a repeated task gives the same pieces. A segmentation follows from the numbers of the
+skipped candidates; those without a skip, with one or with two are remembered by these numbers.
 
 A text is cut into segments where no piece reaches across: before spaces, between letters and signs, at line ends and tabs.
 Characters without a piece become byte pieces. The sign that stands for a space is written in bytes where
@@ -31,8 +32,8 @@ from tidewatch.llm.words import BASE, mixed
 
 DROPOUT = 0.1
 SEED = 20
-VARIANTS = 4
-REMEMBERED = 400_000  # segments of each variant
+REMEMBERED = 400_000  # segments without a skip, and as many segmentations with skips
+MOST_TAKEN = 1 << 16  # of candidates that one draw speaks of
 SHORT = 40
 SPACE = "▁"
 NONE = 1 << 40
@@ -83,15 +84,26 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def skipper(key: int, dropout: float):
-    """Whether a candidate with its state is skipped: a keyed hash below the dropout's share."""
-    bound = int(dropout * 2**32)
+def taken_bounds(dropout: float) -> np.ndarray:
+    """Ascending bounds: of a uniform 64-bit draw, k candidates at least are taken before a skip if k bounds lie above it."""
+    share, bounds = 1.0, []
+    while (share := share * (1 - dropout)) * 2.0**64 >= 1 and len(bounds) < MOST_TAKEN:
+        bounds.append(int(share * 2.0**64))
+    return np.array([min(b, FULL) for b in reversed(bounds)], np.uint64)
 
-    def skipped(rank: int, at: int, parts: int) -> bool:
-        h = key ^ (rank * 0x9E3779B97F4A7C15 + at * 0xC2B2AE3D27D4EB4F + parts * 0x165667B19E3779F9) & FULL
-        return ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 & FULL) >> 32 < bound
 
-    return skipped
+class Skips:
+    """Tells candidate after candidate whether it is skipped, and counts them; ``more()`` gives the number of the next skip."""
+
+    def __init__(self, first: int, more):
+        self.next, self.more, self.seen = first, more, 0
+
+    def __call__(self, rank: int, at: int, parts: int) -> bool:
+        self.seen += 1
+        if self.seen <= self.next:
+            return False
+        self.next = self.more(self.next)
+        return True
 
 
 def merge_short(segment: str, rank: dict[str, int], skipped) -> list[str]:
@@ -141,37 +153,80 @@ def merge_long(segment: str, rank: dict[str, int], skipped) -> list[str]:
 class Segmenter:
     """Ids of segments, little-endian, for one vocabulary, seed and dropout."""
 
-    def __init__(self, path: str, seed: int, dropout: float, variants: int):
-        self.words, self.seed, self.dropout = vocabulary(path), seed, dropout
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants if dropout else 1)]
+    def __init__(self, path: str, seed: int, dropout: float, remembered: int = REMEMBERED):
+        self.words, self.seed, self.dropout, self.remembered = vocabulary(path), seed, dropout, remembered
+        self.bounds = taken_bounds(dropout)
+        self.known: dict[str, tuple[int, bytes]] = {}
+        self.known_skips: dict[tuple, tuple[int, bytes]] = {}
         self.space = array("i", [self.words.byte[b] for b in SPACE.encode()]).tobytes()
 
-    def segment_ids(self, segment: str, variant: int) -> bytes:
+    def taken(self, keys: np.ndarray, draw: int) -> np.ndarray:
+        """Candidates taken before the next skip, by the keys' draw of that number."""
+        hashes = mixed(mixed(keys + np.uint64(draw * 0xC2B2AE3D27D4EB4F & FULL)))
+        return len(self.bounds) - np.searchsorted(self.bounds, hashes, side="right")
+
+    def segment_ids(self, segment: str, skipped: Skips) -> tuple[int, bytes]:
+        """The number of candidates and the ids, with the skips given."""
         words = self.words
-        key = xxhash.xxh64_intdigest(segment.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + variant) & FULL)
-        skipped = skipper(key, self.dropout) if self.dropout else lambda *_: False
         parts = (merge_short if len(segment) <= SHORT else merge_long)(segment, words.rank, skipped)
-        ids = array("i", words.ids(parts)).tobytes()
-        known = self.known[variant]
+        return skipped.seen, array("i", words.ids(parts)).tobytes()
+
+    def with_skips(self, segment: str, *numbers: int) -> tuple[int, bytes]:
+        """Remembered: the segmentation that skips just the candidates of these numbers."""
+        after = dict(zip(numbers, [*numbers, NONE][1:], strict=True))
+        known, name = (self.known_skips, (segment, *numbers)) if numbers else (self.known, segment)
+        made = self.segment_ids(segment, Skips(numbers[0] if numbers else NONE, after.__getitem__))
         if len(segment) <= SHORT:
-            if len(known) >= REMEMBERED:
+            if len(known) >= self.remembered:
                 known.clear()
-            known[segment] = ids
-        return ids
+            known[name] = made
+        return made
+
+    def drawn(self, segment: str, key: np.uint64, first: int) -> bytes:
+        """With as many skips as the key draws, one after the other."""
+        draw, keys = 0, np.array([key], np.uint64)
+
+        def more(last: int) -> int:
+            nonlocal draw
+            at = last + 1
+            while True:
+                draw += 1
+                n = int(self.taken(keys, draw)[0])
+                at += n
+                if n < MOST_TAKEN:
+                    return at
+
+        return self.segment_ids(segment, Skips(first if first < MOST_TAKEN else more(first - 1), more))[1]
 
     def encode(self, text: str, document: int) -> bytes:
-        """Ids of a whole text; ``document`` is the hash that draws its variants."""
+        """Ids of a whole text; ``document`` is the hash that keys its skips together with the place."""
         if not text:
             return b""
-        out, place, known, n = [], 0, self.known, len(self.known)
+        out, place, known, known_skips = [], 0, self.known, self.known_skips
         for k, part in enumerate(text.split(SPACE)):
             if k:
                 out.append(self.space)
             segments = self.words.segment.findall((SPACE if not k else "") + part.replace(" ", SPACE))
-            drawn = mixed((np.arange(place, place + len(segments)).astype(np.uint64) + np.uint64(document)) * BASE) % np.uint64(n)
+            if not self.dropout:
+                out += [(known.get(s) or self.with_skips(s))[1] for s in segments]
+                continue
+            keys = (np.arange(place, place + len(segments)).astype(np.uint64) + np.uint64(document)) * BASE
             place += len(segments)
-            for segment, v in zip(segments, drawn.tolist(), strict=True):
-                out.append(known[v].get(segment) or self.segment_ids(segment, v))
+            firsts = self.taken(keys, 0)
+            seconds = firsts + 1 + self.taken(keys, 1)
+            thirds = seconds + 1 + self.taken(keys, 2)
+            for i, (segment, first, second, third) in enumerate(zip(segments, firsts.tolist(), seconds.tolist(), thirds.tolist(), strict=True)):
+                if len(segment) > SHORT or first >= MOST_TAKEN:
+                    out.append(self.drawn(segment, keys[i], first))
+                    continue
+                n, ids = known.get(segment) or self.with_skips(segment)
+                if first < n:
+                    n, ids = known_skips.get((segment, first)) or self.with_skips(segment, first)
+                    if second < n:
+                        n, ids = known_skips.get((segment, first, second)) or self.with_skips(segment, first, second)
+                        if third < n:
+                            ids = self.drawn(segment, keys[i], first)
+                out.append(ids)
         return b"".join(out)
 
 
@@ -190,18 +245,17 @@ def encode(
     text_col: str = "text",
     dropout: float = DROPOUT,
     seed: int = SEED,
-    variants: int = VARIANTS,
     path: str | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """The id (or ``keep``) with ``ids`` and ``n_pieces`` of every whole text.
 
-    A document's variants are drawn from the hash of its text, so equal texts are segmented alike.
+    A document's skips are keyed by the hash of its text, so equal texts are segmented alike.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def make():
-        setting = (path, seed, dropout, variants)
+        setting = (path, seed, dropout)
         if setting not in _segmenters:  # a worker's next task goes on with what it remembers
             _segmenters[setting] = Segmenter(*setting)
         segmenter = _segmenters[setting]
