@@ -196,6 +196,14 @@ def test_repeated_passages_go_from_later_documents(table):
     assert got[8].removed_sentences == 0 and got[9].text == "Before it.\n"
 
 
+def test_runs_of_short_sentences_go_too(table):
+    short, longer = "Nobody came today. The door stayed shut.", "It rained again. " + "The road to the mill was closed. " * 2 + "We waited."
+    rows = [(1, f"Some beginning. {short} An end here."), (2, f"Another start. {short} Something else."), (3, f"{longer}\nNew words."), (4, f"Old words.\n{longer}"), (5, "Yes. No. And one."), (6, "Yes. No. Not two.")]
+    got = {r.doc_id: r.text for r in substrings.remove_repeats(table(rows)).collect()}
+    assert got[1] == rows[0][1] and got[2] == "Another start. Something else." and got[3] == rows[2][1] and got[4] == "Old words.\n"
+    assert got[5] == rows[4][1] and got[6] == rows[5][1]
+
+
 def test_substring_dedup_of_odd_rows(table, odd):
     docs = table(odd, clashing=True)
     got = substrings.remove_repeats(docs)

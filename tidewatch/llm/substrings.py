@@ -5,7 +5,7 @@ at least ``SENTENCES`` consecutive sentences, as many more as it takes to reach
 back from every sentence, so that a repeated passage is covered to its last sentence too. A span is hashed on its normalised sentences. A span that occurs more than once in the corpus keeps its first occurrence, by
 id and then by position; every sentence that another occurrence covers is removed.
 As each position starts a span, a repeated passage is found from its first whole sentence to its last,
-wherever it stands. A sentence of more than ``WORDS`` words also makes a span by itself, so a repeated
+wherever it stands. ``WORDS`` only keeps trivial runs ("Yes. No.") out. A sentence of more than ``ALONE`` words also makes a span by itself, so a repeated
 passage without sentence ends inside is found too.
 
 Spans are aggregated before they are shuffled, so a passage in a third of all documents gathers nowhere;
@@ -31,7 +31,9 @@ from pyspark.sql import types as T
 from tidewatch.llm.common import bounded_slices, stored
 
 SENTENCES = 2
-WORDS = 20
+WORDS = 5
+#: A single sentence of more words is a span by itself.
+ALONE = 20
 #: Where one sentence ends and the next begins: line ends, and closing punctuation before white space.
 BREAK = re.compile(r"[.!?…。\n](?:(?<=\n)\s*|[^\w\s]*\s+)")
 
@@ -42,7 +44,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def span_hashes(text: str, sentences: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int, int, int, bool]]:
+def span_hashes(text: str, sentences: int = SENTENCES, words: int = WORDS, alone: int = ALONE) -> list[tuple[int, int, int, int, bool]]:
     """(first sentence, number of sentences, hash, check, repeated from earlier in the text) of the spans of a text."""
     parts = [text[a:b].lower().split() for a, b in sentence_spans(text)]
     counts = [len(p) for p in parts]
@@ -61,7 +63,7 @@ def span_hashes(text: str, sentences: int = SENTENCES, words: int = WORDS) -> li
         if total >= words and end - i >= sentences and count:
             forward.add((i, end))
             add(i, end - i, xxhash.xxh3_128_intdigest(b"".join(digests[i:end])))
-        if count > words:
+        if count > alone:
             add(i, 1, xxhash.xxh3_128_intdigest(digests[i], seed=1))
         total -= count
     start, total = 0, 0
