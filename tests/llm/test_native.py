@@ -135,6 +135,24 @@ def test_quality_against_sql(spark, table, odd, tmp_path):
             assert brute_repeated(words) in match
 
 
+def test_cleaned_texts_lose_the_lines_above_the_limit(table, odd):
+    own = [" ".join(f"{a}{b}" for b in "pqrstu") for a in ("ab", "cd", "ef", "gh", "ij", "kl")]
+    rows = [(100 + i, "\n".join(["Menu", *[f"{o} {chr(97 + i % 26)}{chr(97 + i // 26)}" for o in own], f" Read  {i} more", "", "All rights reserved by the owner"]), None, "h") for i in range(60)]
+    mostly = [(200 + i, "\n".join(["Menu", "Read 7 more"] * 12 + [f"own words {chr(97 + i)}"]), None, "h") for i in range(3)]
+    rare = [(300, rows[0][1], None, "other")]
+    docs = table(odd + rows + mostly + rare, clashing=True)
+    got = line_quality.cleaned(docs)
+    assert got.columns == [*[c for c in docs.columns if c != "kept"], "removed_lines", "removed_words", "kept"]
+    done = got.collect()
+    assert len(done) == len(odd) + 64
+    by_id = {r.doc_id: r for r in done}
+    for i, text, *_ in rows:
+        lines = text.split("\n")
+        assert by_id[i].text == "\n".join([*lines[1:7], ""]) and by_id[i].kept and (by_id[i].removed_lines, by_id[i].removed_words) == (3, 10)
+    assert all(by_id[i].text == t.split("\n")[-1] and not by_id[i].kept for i, t, *_ in mostly)
+    assert by_id[300].text == rare[0][1] and by_id[300].removed_lines == 0 and by_id[1].text is None
+
+
 def test_quality_of_odd_rows(table, odd):
     got = line_quality.quality(table(odd, clashing=True)).collect()
     assert len(got) == len(odd)

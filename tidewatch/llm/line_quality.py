@@ -5,7 +5,9 @@ functions inside its row. Across documents, every line of ``LINE_WORDS`` or more
 (lower case, digits to 0, single spaces) and hashed with its host; a line standing in more than
 ``MOST_TEXTS`` different texts of one host is boilerplate and counts as removed, and a document that
 loses more than ``MOST_LOST`` of its words that way is depleted. Exact copies are one text, so copying a
-document doesn't make its lines boilerplate.
+document doesn't make its lines boilerplate. ``cleaned`` returns the texts without these lines, and takes lines of
+every length with a word in them; the registered query gives the figures of ``quality``, whose SQL twin counts lines
+of ``LINE_WORDS`` or more words.
 
 Line counts are aggregated before they are shuffled; the join of lines with boilerplate lines is an inner
 equality join whose line side Spark can split. Null texts are empty: they have no words and fail. A null
@@ -68,14 +70,29 @@ def own_figures(rows: DataFrame) -> DataFrame:
     return starts.withColumn("n_repeat_words", covered.cast("long")).drop("_again", "_starts")
 
 
-def shared_lines(rows: DataFrame) -> DataFrame:
+def shared_lines(rows: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
     """(id, th, at, line, n): the place, hash with the host, and words of every normalised line that is long enough."""
     plain = F.regexp_replace(F.lower("text"), "[0-9]+", "0")
     lines = rows.select("id", "th", "host", F.posexplode(F.split(plain, "\n")).alias("at", "_line"))
-    worded = lines.select("id", "th", "at", "host", words_of(F.col("_line")).alias("_words")).where(F.size("_words") >= LINE_WORDS)
+    worded = lines.select("id", "th", "at", "host", words_of(F.col("_line")).alias("_words")).where(F.size("_words") >= line_words)
     return worded.select("id", "th", "at", F.xxhash64("host", F.array_join("_words", " ")).alias("line"), F.size("_words").alias("n"))
 
 
+def lines_above(rows: DataFrame, most_texts: int, line_words: int) -> DataFrame:
+    """(id1, th1, at, n): place and words of every line that stands in too many texts of its host."""
+    lines = shared_lines(rows, line_words)
+    common = lines.select("line", "th").distinct().groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts") > most_texts).select("line")
+    common = stored(common, "common-lines")  # then both sides of the join are plain shuffles, and a hot line is split
+    # rows alike in id and text have the same lines
+    return lines.join(common, "line").select(F.col("id").alias("id1"), F.col("th").alias("th1"), "at", "n").distinct()
+
+
+def with_host(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    return docs.select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")
+    ).withColumn("th", F.xxhash64("text"))
+
+
 def quality(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -83,38 +100,50 @@ def quality(
     host_col: str = "source",
     most_texts: int = MOST_TEXTS,
     most_lost: float = MOST_LOST,
+    line_words: int = LINE_WORDS,
 ) -> DataFrame:
     """One row per document: its figures, base_failed, removed_lines, removed_words and kept."""
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")
-    ).withColumn("th", F.xxhash64("text"))
-    lines = shared_lines(rows)
-    common = lines.select("line", "th").distinct().groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts") > most_texts).select("line")
-    common = stored(common, "common-lines")  # then both sides of the join are plain shuffles, and a hot line is split
-    removed = (
-        lines.join(common, "line")
-        .select(F.col("id").alias("id1"), F.col("th").alias("th1"), "at", "n")
-        .distinct()  # rows alike in id and text have the same lines
-        .groupBy("id1", "th1")
-        .agg(F.count("*").alias("removed_lines"), F.sum("n").alias("removed_words"))
-    )
+    rows = with_host(docs, id_col, text_col, host_col)
+    removed = lines_above(rows, most_texts, line_words).groupBy("id1", "th1").agg(F.count("*").alias("removed_lines"), F.sum("n").alias("removed_words"))
     return verdict(own_figures(rows.select("id", "th", "text")), removed, id_col, most_lost)
 
 
-def verdict(figures: DataFrame, removed: DataFrame, id_col: str, most_lost: float) -> DataFrame:
+def cleaned(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    most_texts: int = MOST_TEXTS,
+    most_lost: float = MOST_LOST,
+    line_words: int = 1,
+) -> DataFrame:
+    """The rows with the text without its lines above the limit, and removed_lines, removed_words and kept."""
+    added = ["removed_lines", "removed_words", "kept"]
+    columns = [c for c in docs.columns if c.lower() not in added]
+    marks = lines_above(with_host(docs, id_col, text_col, host_col), most_texts, line_words)
+    removed = marks.groupBy("id1", "th1").agg(F.collect_list("at").alias("gone"), F.count("*").alias("removed_lines"), F.sum("n").alias("removed_words"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    left = F.array_join(F.filter(F.split(F.col("row").getField(text_col), "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
+    cut = F.when(F.col("gone").isNull(), F.col("row").getField(text_col)).otherwise(left)
+    shown = [(cut if c == text_col else F.col("row").getField(c)).alias(c) for c in columns]
+    return verdict(own_figures(held), removed, id_col, most_lost, shown, added)
+
+
+def verdict(
+    figures: DataFrame, removed: DataFrame, id_col: str, most_lost: float, shown: list | None = None, added: list[str] | None = None
+) -> DataFrame:
+    """The figures with the verdict; or, of ``shown`` columns and these, only those that ``added`` names."""
     zero = F.lit(0).cast("long")
     met = figures.join(removed, F.expr("id <=> id1 and th = th1"), "left")
     lost = F.coalesce("removed_words", zero)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return met.select(
-        F.col("id").alias(id_col),
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        failed.alias("base_failed"),
-        F.coalesce("removed_lines", zero).alias("removed_lines"),
-        lost.alias("removed_words"),
-        (~failed & (lost <= most_lost * F.col("n_words"))).alias("kept"),
-    )
+    results = {
+        "base_failed": failed,
+        "removed_lines": F.coalesce("removed_lines", zero),
+        "removed_words": lost,
+        "kept": ~failed & (lost <= most_lost * F.col("n_words")),
+    }
+    if shown is None:
+        shown, added = [F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], list(results)
+    return met.select(*shown, *[results[c].alias(c) for c in added])
