@@ -77,6 +77,34 @@ def test_factors_learn_what_two_terms_mean_together(spark, table):
     assert np.mean([linear[i] == y for i, _, y in rows[600:]]) < np.mean([got[i].predicted == y for i, _, y in rows[600:]])
 
 
+def test_many_rare_groups_are_learned_with_many_insults():
+    rng = random.Random(5)
+    letters = "bcdfghjklmnprstvwz"
+    names = ["".join(x) for x in {tuple(rng.choice(letters) for _ in range(7)): 0 for _ in range(80)}]
+    insults, groups = names[:10], names[10:40]
+
+    def text():
+        words = [f"word{rng.randint(0, 60)}" for _ in range(20)]
+        insult, group = rng.random() < 0.1, rng.random() < 0.3
+        words += [rng.choice(insults)] * insult + [rng.choice(groups)] * group
+        rng.shuffle(words)
+        return " ".join(words), insult, group
+
+    def term_sets(rows):
+        owner, term = toxicity.terms(pa.array([t for t, *_ in rows]))
+        cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+        return [(int(i and g), term[a:b]) for (_, i, g), a, b in zip(rows, cuts, cuts[1:], strict=False)]
+
+    rows = [text() for _ in range(6400)]
+    kept = set(toxicity.kept_terms(term_sets(rows), toxicity.TERMS).tolist())
+    held = [set(toxicity.terms(pa.array([w]))[1].tolist()) <= kept for w in groups]
+    assert sum(held) >= 26
+    model = toxicity.train(term_sets(rows))
+    later = [r for r in (text() for _ in range(6000)) if r[1]]
+    score = model.scores(pa.array([t for t, *_ in later])) >= 0.5
+    assert np.mean(score == np.array([g for *_, g in later])) > 0.85
+
+
 def test_scores_are_the_machines_formula():
     rng = np.random.default_rng(0)
     place = np.full(toxicity.BUCKETS, -1)
