@@ -41,6 +41,15 @@ def test_each_stage_takes_effect_and_clean_documents_stay(spark, table, tmp_path
     assert {r.doc_id for r in whole} == set(range(150)) == set(seen["packing"])
 
 
+def test_different_texts_of_one_id_stay(spark, table):
+    texts = [" ".join(f"{w}{k}" for k in range(30)) for w in ("river", "bridge", "mill")]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1]), (3, texts[2]), (None, texts[0])]
+    docs = table(rows, clashing=True)
+    kept = corpus_pipeline.first_of_near_duplicates(spark, docs, None)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, texts[0]), (1, texts[0]), (1, texts[1]), (3, texts[2])])
+
+
 def test_every_operator_is_registered():
     assert sorted({int(name[2:].split("_")[0]) for name in QUERIES}) == list(range(1, 11))
     assert set(ORACLE) <= set(QUERIES)
