@@ -1,7 +1,8 @@
 """Training-corpus pipeline over documents: each stage works on what its predecessor kept.
 
-Null texts: language identification rejects them, as it does texts without letters. Rows without id can
-not be told apart; near-dedup lets them pass. An empty table gives an empty result.
+Null texts: language identification rejects them, as it does texts without letters. Rows of equal id and
+text are one document; rows without id can not be told apart, so near-dedup lets them pass. Columns of any
+name stay as they are. An empty table gives an empty result; texts of any length are worked on whole.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm import language, personal_data, substrings
 from tidewatch.llm.common import stored
 from tidewatch.llm.packing import pack
-from tidewatch.llm.resembling import resembling
+from tidewatch.llm.simhash import near_duplicates
 
 
 def with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,12 +31,17 @@ def identified(spark, docs, sf_dir):
 
 
 def first_of_near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near-duplicates (five-word shingles, resemblance 0.8 or more), that of the least id and text hash."""
-    first = resembling(docs).where("id is not null").groupBy("group").agg(F.min(F.struct("id", "th")).alias("first"))
-    first = first.select(F.col("first.id").alias("_first_id"), F.col("first.th").alias("_first_th"))
-    hashed = docs.where("doc_id is not null").withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = hashed.join(first, F.expr("doc_id = _first_id and _th = _first_th"), "left_semi").dropDuplicates(["doc_id", "_th"]).drop("_th")
-    return kept.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group whose SimHash fingerprints link: that of the least id, then of the least text hash."""
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    number, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    key = F.struct(number.alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
+    named = rows.where(number.isNotNull()).withColumn("key", key)
+    # repeated rows fall together before the join, so that no key of it is hot
+    once = named.dropDuplicates(["key"])
+    groups = near_duplicates(named.select("key", text.alias("text")), "key")
+    first = groups.where("key = component_id").select("key").distinct()
+    kept = once.join(first, "key", "left_semi").select(*rows.columns)
+    return kept.unionByName(rows.where(number.isNull())).toDF(*docs.columns)
 
 
 def without_repeated_passages(spark, docs, sf_dir):
