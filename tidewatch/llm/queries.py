@@ -9,6 +9,7 @@ from tidewatch.llm import language, personal_data, pieces, toxicity
 from tidewatch.llm.fingerprints import edited_likeness
 from tidewatch.llm.line_quality import quality
 from tidewatch.llm.packing import pack
+from tidewatch.llm.resampling import resample
 from tidewatch.llm.simhash import near_duplicates
 from tidewatch.llm.substrings import remove_repeats
 from tidewatch.llm.token_counts import token_counts
@@ -105,6 +106,52 @@ def op10_best_fit_packing(spark, sf_dir):
     return pack(read_documents(spark, sf_dir))
 
 
+def op11_importance_resampling(spark, sf_dir):
+    return resample(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: CRC-32 of each different feature, byte by byte over the table of its polynomial 0xEDB88320.
+OP11_SQL = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), texts AS (
+  SELECT doc_id AS id, 0 AS target, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT NULL, 1, row_number() OVER (), coalesce(text, '') FROM benchmark
+), words AS (
+  SELECT id, target, row, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM texts
+), features AS (
+  SELECT target, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM words
+), counted AS (
+  SELECT target, row, f, count(*) AS n FROM features GROUP BY ALL
+), bytes AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)
+), hashed AS (
+  SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc_table
+), in_buckets AS (
+  SELECT target, row, bucket, n FROM counted JOIN hashed USING (f)
+), sums AS (
+  SELECT bucket, sum(n) FILTER (target = 1) AS t, sum(n) FILTER (target = 0) AS s FROM in_buckets GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM sums) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT sum(t) FROM sums) + 10000)::DOUBLE)))::BIGINT AS gain FROM sums
+), weighed AS (
+  SELECT row, sum(n) AS n_features, sum(n * gain) AS weight FROM in_buckets JOIN gains USING (bucket) WHERE target = 0 GROUP BY row
+), scored AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('42:' || id)[1:8])::BIGINT + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weighed USING (row) WHERE target = 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) FILTER (n_words >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -116,6 +163,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
-ORACLE: dict[str, str] = {"op5_line_quality": OP5_SQL}
+ORACLE: dict[str, str] = {"op5_line_quality": OP5_SQL, "op11_importance_resampling": OP11_SQL}
