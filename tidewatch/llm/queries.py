@@ -9,6 +9,7 @@ from tidewatch.llm import language, personal_data, pieces, toxicity
 from tidewatch.llm.fingerprints import edited_likeness
 from tidewatch.llm.line_quality import quality
 from tidewatch.llm.packing import pack
+from tidewatch.llm.prefix_trie import numbered_turns, prefix_nodes, with_family_heads
 from tidewatch.llm.resampling import resample
 from tidewatch.llm.simhash import near_duplicates
 from tidewatch.llm.substrings import remove_repeats
@@ -152,6 +153,49 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5
 """
 
 
+def op12_prefix_trie(spark, sf_dir):
+    turns = numbered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_nodes(*with_family_heads(turns))
+
+
+OP12_SQL = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn FROM conversations WHERE conv_id IS NOT NULL
+), lengths AS (
+  SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id
+), convs AS (
+  SELECT c.conv_id, b.conv_id AS first, h, least(h, coalesce(b.n, 0)) AS taken FROM (
+    SELECT conv_id, xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 6 AS h FROM lengths, crc_table
+  ) c LEFT JOIN lengths b ON b.conv_id = c.conv_id - c.conv_id % 100
+), rebuilt AS (
+  SELECT c.conv_id, pos, turn FROM convs c JOIN own o ON o.conv_id = c.first AND pos <= h
+  UNION ALL SELECT c.conv_id, pos - h + taken, turn FROM convs c JOIN own o ON o.conv_id = c.conv_id AND pos > h
+), paths AS (
+  SELECT c.conv_id, coalesce(path, []) AS path FROM convs c LEFT JOIN (SELECT conv_id, list(turn ORDER BY pos) AS path FROM rebuilt GROUP BY 1) USING (conv_id)
+), members AS (
+  SELECT conv_id, path[1:d] AS node, d, d = len(path) AS ends FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM paths)
+), nodes AS (
+  SELECT node, d, count(*) AS n_convs, min(conv_id) AS conv_id,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY node, d
+), children AS (
+  SELECT node[1:d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1
+), measured AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(n.node[d].text) END AS saved
+  FROM nodes n LEFT JOIN children c USING (node)
+), sums AS (
+  SELECT node[1:k] AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM measured) GROUP BY 1
+)
+SELECT m.conv_id, m.d AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM measured m JOIN sums USING (node) LEFT JOIN nodes p ON m.d > 0 AND p.node = m.node[1:m.d - 1]
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -164,6 +208,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
-ORACLE: dict[str, str] = {"op5_line_quality": OP5_SQL, "op11_importance_resampling": OP11_SQL}
+ORACLE: dict[str, str] = {"op5_line_quality": OP5_SQL, "op11_importance_resampling": OP11_SQL, "op12_prefix_trie": OP12_SQL}
