@@ -8,6 +8,7 @@ from tidewatch.llm.common import read_documents
 from tidewatch.llm import language, personal_data, pieces, toxicity
 from tidewatch.llm.fingerprints import edited_likeness
 from tidewatch.llm.line_quality import quality
+from tidewatch.llm.one_bit_codes import nearest
 from tidewatch.llm.packing import pack
 from tidewatch.llm.prefix_trie import numbered_turns, prefix_nodes, with_family_heads
 from tidewatch.llm.resampling import resample
@@ -196,6 +197,24 @@ FROM measured m JOIN sums USING (node) LEFT JOIN nodes p ON m.d > 0 AND p.node =
 """
 
 
+def op13_one_bit_neighbours(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+#: All products, summed in order in double precision.
+OP13_SQL = """
+WITH vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM pairs QUALIFY rank <= 20
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -209,6 +228,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_one_bit_neighbours": op13_one_bit_neighbours,
 }
 
-ORACLE: dict[str, str] = {"op5_line_quality": OP5_SQL, "op11_importance_resampling": OP11_SQL, "op12_prefix_trie": OP12_SQL}
+ORACLE: dict[str, str] = {"op5_line_quality": OP5_SQL, "op11_importance_resampling": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_one_bit_neighbours": OP13_SQL}
