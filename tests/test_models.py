@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -411,3 +413,57 @@ def test_correlations_of_many_columns(spark):
     n, mean, cov = S.moment_matrices(df, few)
     whole = x[~np.isnan(x[:, 1:4]).any(axis=1), 1:4]
     assert n == len(whole) and np.allclose(mean, whole.mean(axis=0)) and np.allclose(cov, np.cov(whole.T))
+
+
+def brute_cross_map(x, cause, e, sizes, iterations, key, seed=1):
+    """rho per (iteration, L) by hand, with the draws hashed again."""
+    n, out = len(x), {}
+    at = list(range(e, n + 1))
+    emb = {t: np.array([x[t - 1 - j] for j in range(e)]) for t in at}
+    for it in range(1, iterations + 1):
+        draws = [e + int(hashlib.md5(f"{key}|{it}|{p}|{seed}".encode()).hexdigest()[:8], 16) % (n - e + 1) for p in range(1, max(sizes) + 1)]
+        for size in sizes:
+            pred, act = [], []
+            for t in at:
+                near = sorted((np.sqrt(sum((emb[t] - emb[s]) ** 2)), p, cause[s - 1]) for p, s in enumerate(draws[:size]) if s != t)[: e + 1]
+                d0 = near[0][0]
+                w = [np.exp(-d / d0) if d0 > 0 else float(d == 0) for d, _, _ in near]
+                pred.append(sum(a * y for a, (_, _, y) in zip(w, near)) / sum(w))
+                act.append(cause[t - 1])
+            out[it, size] = np.corrcoef(pred, act)[0, 1]
+    return out
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_cross_map_against_brute_force(spark, block):
+    x, y = coupled(60)
+    df = spark.createDataFrame([("map", 7, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "unit string, k int, i int, x double, y double")
+    dims = spark.createDataFrame([("map", 7, 3)], "unit string, k int, E int")
+    got = M.cross_map(df, ["unit", "k"], ["i"], "x", "y", dims, 3, [6, 20, 37], 12, block=block).collect()
+    want = brute_cross_map(y, x, 3, [6, 20, 37], 12, "map|7")
+    assert {(r["iteration"], r["L"]) for r in got} == set(want)
+    for r in got:
+        assert r["rho"] == pytest.approx(want[r["iteration"], r["L"]], abs=1e-9)
+
+
+def test_library_blocks_give_the_same_lengths(spark, maps):
+    dims = spark.createDataFrame([("map", 2), ("noise", 3)], "unit string, E int")
+    df = maps.filter("unit IN ('map', 'noise')")
+    whole, blocks = ({(r["unit"], r["iteration"], r["L"]): r["rho"] for r in M.cross_map(df, ["unit"], ["i"], "x", "y", dims, 3, None, 3, block=b).collect()} for b in (512, 64))
+    assert set(whole) == set(blocks) and all(whole[k] == pytest.approx(blocks[k], abs=1e-9) for k in whole)
+
+
+def test_each_series_is_searched_once(spark, maps, monkeypatch):
+    searched = []
+    real = M.forecasts
+
+    def watched(points, keys, *rest, **more):
+        searched.append(sorted(tuple(r) for r in points.select("series").distinct().collect()))
+        return real(points, keys, *rest, **more)
+
+    monkeypatch.setattr(M, "forecasts", watched)
+    df = maps.filter("unit = 'map'").selectExpr("unit", "i", "x", "y", "x * x AS x2", "y + 1 AS y1")
+    got = M.causality_table(df, "unit", ["i"], ["x", "y"], ["x2", "y1"], "src", max_e=3, sizes=[10, 100], iterations=2)
+    assert got.count() == 4
+    # two searches in all, for the dimension and for the decay, each over four series although there are four pairs
+    assert searched == [[("x",), ("x2",), ("y",), ("y1",)]] * 2

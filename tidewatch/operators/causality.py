@@ -7,6 +7,8 @@ the usual case, is one task; a long unit is many, with the same result.
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,7 +20,8 @@ from tidewatch.operators.ordering import BLOCK_ROWS, in_order
 from tidewatch.session import settle, small_side
 
 POINT_BLOCK = 512  # points compared with points
-QUERY_BLOCK = 8192  # points compared with a drawn library
+QUERY_BLOCK = 8192  # points to predict and library places that meet in one task
+TOGETHER = 10  # iterations of one unit that share its distances
 DISTANCES = 4_000_000
 STEPS = tuple(range(1, 11))
 
@@ -220,6 +223,144 @@ def slope_test(skills: DataFrame, keys: list[str]) -> DataFrame:
 # -- cross mapping -----------------------------------------------------------------------------------
 
 
+def draw(keys: list[str], iteration: str, place: str, seed: int) -> Column:
+    """The number drawn for a place of a library: the first 32 bits of the MD5 of keys, iteration, place and seed."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col(iteration).cast("string"), F.col(place).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def _drawn(key: str, iteration: int, places: int, seed: int) -> np.ndarray:
+    """The same for places 1, 2, … of a unit whose keys are joined already."""
+    head = f"{key}|{iteration}|" if key else f"{iteration}|"
+    return np.array([int(md5(f"{head}{p}|{seed}".encode()).hexdigest()[:8], 16) for p in range(1, places + 1)], np.int64)
+
+
+def _nearest_by_length(d: np.ndarray, y: np.ndarray, ends: list[int], k: int):
+    """For each length, the k least distances among the first columns of d, and the y and columns they belong to.
+
+    Lengths come in ascending order; each adds its further columns to the k kept so far, and an earlier column wins a tie.
+    """
+    near, values = np.full((len(d), k), np.inf), np.zeros((len(d), k))
+    places, low = np.full((len(d), k), -1), 0
+    for end in ends:
+        if end > low:
+            every = np.hstack([near, d[:, low:end]])
+            found = _nearest(every, k)
+            near = np.take_along_axis(every, found, 1)
+            new = np.broadcast_to(y[low:end], (len(d), end - low))
+            values = np.take_along_axis(np.hstack([values, new]), found, 1)
+            new = np.broadcast_to(np.arange(low, end), (len(d), end - low))
+            places = np.take_along_axis(np.hstack([places, new]), found, 1)
+            low = end
+        yield near, values, places
+
+
+def _distances(x: np.ndarray, t: np.ndarray, lib_x: np.ndarray, lib_t: np.ndarray) -> np.ndarray:
+    """Between points and library points; infinite to a point's own and where a coordinate is missing."""
+    d = np.zeros((len(x), len(lib_x)))
+    for j in range(x.shape[1]):
+        d += (x[:, None, j] - lib_x[None, :, j]) ** 2
+    return np.where((t[:, None] == lib_t[None, :]) | ~np.isfinite(d), np.inf, np.sqrt(d))
+
+
+SUMS = ["n", "sp", "sy", "spp", "syy", "spy"]
+
+
+def _one_task_sums(points: DataFrame, keys: list[str], max_e: int, sizes, iterations: int, seed: int) -> DataFrame:
+    """Sums over predictions per (keys, iteration, L) of units whose points fit into one task.
+
+    A task draws the libraries of several iterations itself, so a unit's points travel once for all of them.
+    """
+    rows = points.withColumn("_k", F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    rows = rows.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // TOGETHER))))
+    schema = T.StructType(
+        [points.schema[k] for k in keys] + [T.StructField(c, T.IntegerType()) for c in ("iteration", "L")] + [T.StructField(c, T.DoubleType()) for c in SUMS])
+    arrow = to_arrow_schema(schema)
+
+    def predict(unit: pa.Table) -> pa.Table:
+        unit = unit.sort_by("t")
+        e, n, group = (unit.column(c)[0].as_py() for c in ("E", "n", "_g"))
+        x, t = _matrix(unit, "lags", max_e)[:, :e], _array(unit, "t")
+        y = _array(unit, "a") - unit.column("shift")[0].as_py()
+        lengths = sorted(sizes) if sizes else unit_sizes(n, e)
+        own = range(group * TOGETHER + 1, min((group + 1) * TOGETHER, iterations) + 1)
+        libraries = {i: _drawn(unit.column("_k")[0].as_py(), i, lengths[-1], seed) % (n - e + 1) for i in own}
+        sums = np.zeros((len(own), len(lengths), 6))
+        step = max(1, DISTANCES // len(t))  # of points to predict, so that the distances stay bounded
+        for low in range(0, len(t), step):
+            part = slice(low, low + step)
+            d = _distances(x[part], t[part], x, t)
+            for i, drawn in enumerate(libraries.values()):
+                for j, (near, values, _) in enumerate(_nearest_by_length(d[:, drawn], y[drawn], lengths, e + 1)):
+                    found = _simplex(near, values)
+                    ok = np.isfinite(found) & np.isfinite(y[part])
+                    p, a = found[ok], y[part][ok]
+                    sums[i, j] += (float(ok.sum()), p.sum(), a.sum(), p @ p, a @ a, p @ a)
+        out = [(it, size, *sums[i, j].tolist()) for i, it in enumerate(own) for j, size in enumerate(lengths)]
+        return _table(arrow, _key(unit, keys), [list(c) for c in zip(*out)])
+
+    return rows.groupBy(*keys, "_g").applyInArrow(predict, schema)
+
+
+def _block_sums(points: DataFrame, keys: list[str], max_e: int, sizes, iterations: int, seed: int, block: int) -> DataFrame:
+    """The same for units of any length: blocks of points to predict meet blocks of library places.
+
+    A task passes on the nearest few places of its block for every prefix length that reaches into it; they are
+    merged per point and length, so no task holds more than one block of either side.
+    """
+    units = points.groupBy(*keys).agg(F.first("n").alias("n"), F.first("E").alias("E"))
+    lengths = F.lit(max(sizes)) if sizes else most_points("n", "E")
+    draws = units.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn(
+        "place", F.explode(F.sequence(F.lit(1), lengths)))
+    draws = draws.withColumn("t", F.col("E") + F.pmod(draw(keys, "iteration", "place", seed), F.col("n") - F.col("E") + 1))
+    last = lambda n: F.floor((n - 1) / F.lit(block)).cast("long")
+    library = draws.select(*keys, "iteration", "place", "t").join(points, [*keys, "t"])
+    library = library.withColumn("_lb", last(F.col("place"))).withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), last(F.col("n")))))
+    library = library.select(*keys, "iteration", "_qb", "_lb", "place", "t", "lags", "a", "shift", "n")
+    queries = points.withColumns({"_qb": last(F.col("t")), "iteration": F.explode(F.sequence(F.lit(1), F.lit(iterations)))})
+    queries = queries.withColumn("_lb", F.explode(F.sequence(F.lit(0).cast("long"), last(lengths))))
+    # both sides come from the same rows; new names for one side's columns keep them apart
+    queries = queries.select(*keys, "iteration", "_qb", "_lb", "t", "E", "lags", "a")
+    queries = queries.toDF(*queries.columns)
+    lists = [T.StructField("d", T.ArrayType(T.DoubleType())), T.StructField("s", T.ArrayType(T.LongType())), T.StructField("y", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType(
+        [points.schema[k] for k in keys] + [T.StructField(c, T.IntegerType()) for c in ("iteration", "L", "E")]
+        + [T.StructField("t", T.LongType()), T.StructField("actual", T.DoubleType()), *lists])
+    arrow = to_arrow_schema(schema)
+
+    def partial(lib: pa.Table, q: pa.Table) -> pa.Table:
+        if not lib.num_rows or not q.num_rows:
+            return arrow.empty_table()
+        lib = lib.sort_by("place")
+        e, iteration, first = q.column("E")[0].as_py(), int(lib.column("iteration")[0].as_py()), int(_array(lib, "place")[0])
+        shift, n = lib.column("shift")[0].as_py(), int(lib.column("n")[0].as_py())
+        every = [size for size in (sorted(sizes) if sizes else unit_sizes(n, e)) if size >= first]
+        ends = [min(size - first + 1, lib.num_rows) for size in every]
+        xq, tq, actual = _matrix(q, "lags", max_e)[:, :e], _array(q, "t"), _array(q, "a") - shift
+        xl, tl, y = _matrix(lib, "lags", max_e)[:, :e], _array(lib, "t"), _array(lib, "a") - shift
+        parts, step = [], max(1, DISTANCES // lib.num_rows)
+        for low in range(0, len(tq), step):
+            d = _distances(xq[low : low + step], tq[low : low + step], xl, tl)
+            for size, (near, values, places) in zip(every, _nearest_by_length(d, y, ends, e + 1)):
+                used = np.isfinite(near)
+                at = np.concatenate([[0], np.cumsum(used.sum(1))]).astype(np.int32)
+                m = len(near)
+                columns = [np.full(m, iteration), np.full(m, size), np.full(m, e), tq[low : low + step], actual[low : low + step]]
+                key = [pa.array([v] * m, f.type) for v, f in zip(_key(q, keys), arrow)]
+                flat = [pa.ListArray.from_arrays(at, pa.array(v[used], k)) for v, k in ((near, pa.float64()), (places + first, pa.int64()), (values, pa.float64()))]
+                parts.append(pa.table(key + [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(keys):])] + flat, schema=arrow))
+        return pa.concat_tables(parts) if parts else arrow.empty_table()
+
+    group = [*keys, "iteration", "_qb", "_lb"]
+    near = library.groupBy(*group).cogroup(queries.groupBy(*group)).applyInArrow(partial, schema)
+    merged = near.groupBy(*keys, "iteration", "L", "E", "t", "actual").agg(
+        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "s", "y")))).alias("near"))
+    merged = merged.withColumn("near", F.slice("near", 1, F.col("E") + 1)).filter("size(near) > 0 AND actual IS NOT NULL AND NOT isnan(actual)")
+    merged = merged.select(*keys, "iteration", "L", _weighted(F.col("near")).alias("p"), F.col("actual").alias("a")).filter("p IS NOT NULL AND NOT isnan(p)")
+    terms = [F.lit(1.0), F.col("p"), F.col("a"), F.col("p") * F.col("p"), F.col("a") * F.col("a"), F.col("p") * F.col("a")]
+    return merged.groupBy(*keys, "iteration", "L").agg(*[F.sum(x).alias(c) for c, x in zip(SUMS, terms)])
+
+
 def cross_map(
     pairs: DataFrame, keys: list[str], order: list[str], cause: str, effect: str, dimensions: DataFrame,
     max_e: int, sizes: list[int] | None, iterations: int = 100, seed: int = 1, block: int = QUERY_BLOCK,
@@ -228,68 +369,23 @@ def cross_map(
     """(keys, iteration, L, rho): how well the cause is read off the delay coordinates of the effect,
     from L library points drawn with replacement.
 
-    ``dimensions`` is (keys, E). Draws are indices derived from a hash of keys, iteration and place,
-    so a task that is run again draws the same points. Without ``sizes`` a unit's libraries grow in ten
-    equal steps from 2E points to as many as the unit has. One task holds one iteration's library and
-    one block of the points to predict.
+    ``dimensions`` is (keys, E). Draws are MD5 hashes of keys, iteration and place (see ``draw``), so they are the
+    same in every run and can be repeated elsewhere. Without ``sizes`` a unit's libraries grow in ten
+    equal steps from 2E points to as many as the unit has.
     """
     points = delay_points(pairs, keys, order, effect, max_e, 1, (cause,), block_rows, longest)
     points = points.join(small_side(dimensions), keys)
     points = points.filter(F.col("t") >= F.col("E")).select(
-        *keys, "t", "n", "E", "lags", F.col(cause).cast("double").alias("a"))
-    units = points.groupBy(*keys).agg(F.first("n").alias("n"), F.first("E").alias("E"), F.avg("a").alias("shift"))
-    draws = (
-        units.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-        .withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(max(sizes)) if sizes else most_points("n", "E"))))
-        .withColumn("t", F.col("E") + F.pmod(
-            F.xxhash64(*keys, "iteration", "place", F.lit(seed)), F.col("n") - F.col("E") + 1))
-    )
-    library = draws.join(points.select(*keys, "t", "lags", "a"), [*keys, "t"])
-    library = library.withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(block)))))
-    library = library.select(*keys, "iteration", "_qb", "place", "t", "lags", "a", "shift", "n")
-    queries = points.withColumn("_qb", F.floor((F.col("t") - 1) / F.lit(block))).select(*keys, "_qb", "t", "E", "lags", "a")
-    queries = queries.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    group = [*keys, "iteration", "_qb"]
-    sums = ["n", "sp", "sy", "spp", "syy", "spy"]
-
-    schema = T.StructType(
-        [pairs.schema[k] for k in keys]
-        + [T.StructField("iteration", T.IntegerType()), T.StructField("L", T.IntegerType())]
-        + [T.StructField(s, T.DoubleType()) for s in sums]
-    )
-    arrow = to_arrow_schema(schema)
-
-    def predict(lib: pa.Table, q: pa.Table) -> pa.Table:
-        if not lib.num_rows or not q.num_rows:
-            return arrow.empty_table()
-        e = q.column("E")[0].as_py()
-        shift = lib.column("shift")[0].as_py()
-        xq, tq = _matrix(q, "lags", max_e)[:, :e], _array(q, "t")
-        y = _array(q, "a") - shift
-        iteration = int(lib.column("iteration")[0].as_py())
-        order = np.argsort(_array(lib, "place"), kind="stable")
-        xl, tl, a = _matrix(lib, "lags", max_e)[order, :e], _array(lib, "t")[order], _array(lib, "a")[order] - shift
-        lengths = sorted(sizes) if sizes else unit_sizes(int(lib.column("n")[0].as_py()), e)
-        sums = np.zeros((len(lengths), 6))
-        rows = max(1, DISTANCES // len(tl))  # of points to predict, so that the distances stay bounded
-        for low in range(0, len(tq), rows):
-            part = slice(low, low + rows)
-            d = sum((xq[part, None, j] - xl[None, :, j]) ** 2 for j in range(e))
-            d = np.sqrt(np.where(tq[part, None] == tl[None, :], np.inf, d))
-            for k, size in enumerate(lengths):
-                near = _nearest(d[:, :size], e + 1)
-                found = _simplex(np.take_along_axis(d[:, :size], near, 1), a[near])
-                ok = np.isfinite(found) & np.isfinite(y[part])
-                p, t = found[ok], y[part][ok]
-                sums[k] += (float(ok.sum()), p.sum(), t.sum(), p @ p, t @ t, p @ t)
-        out = [(iteration, size, *row) for size, row in zip(lengths, sums.tolist())]
-        return _table(arrow, _key(q, keys), [list(c) for c in zip(*out)])
-
-    # both sides come from the same rows; new names for one side's columns keep them apart
-    queries = queries.toDF(*queries.columns)
-    parts = library.groupBy(*group).cogroup(queries.groupBy(*group)).applyInArrow(predict, schema)
-    total = parts.groupBy(*keys, "iteration", "L").agg(*[F.sum(s).alias(s) for s in sums])
-    n, sp, sy, spp, syy, spy = (F.col(s) for s in sums)
+        *keys, "t", "n", F.col("E").cast("int").alias("E"), "lags", F.col(cause).cast("double").alias("a"))
+    shifts = points.groupBy(*keys).agg(F.avg("a").alias("shift"), F.max("n").alias("_n"))
+    if longest is None:
+        longest = shifts.agg(F.max("_n")).first()[0] or 0
+    points = points.join(shifts.drop("_n"), keys)
+    if max(longest, *(sizes or [0])) <= block:
+        total = _one_task_sums(points, keys, max_e, sizes, iterations, seed)
+    else:
+        total = _block_sums(points, keys, max_e, sizes, iterations, seed, block)
+    n, sp, sy, spp, syy, spy = (F.col(s) for s in SUMS)
     vp, vy = spp - sp * sp / n, syy - sy * sy / n
     rho = F.when((n > 1) & (vp > 1e-12 * spp) & (vy > 1e-12 * syy), (spy - sp * sy / n) / F.sqrt(vp * vy))
     return total.select(*keys, "iteration", "L", rho.alias("rho"))
@@ -325,29 +421,30 @@ def causality_table(
     """One row per unit, outcome (a) and metric (b), with null statistics where a stage is undefined.
 
     Dimensions by forecast skill, decay of skill with the forecast step, and, where both series pass
-    that test at ``alpha``, cross mapping in both directions.
+    that test at ``alpha``, cross mapping in both directions. A series is searched once, over all its values,
+    however many pairs it is part of; a pair's cross mapping uses the rows that have both.
     """
+    values = lambda names: [F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("x")) for c in names]
     names = [F.struct(F.lit(a).alias("a_var"), F.lit(b).alias("b_var"), F.col(a).cast("double").alias("a"),
                       F.col(b).cast("double").alias("b")) for a in outcomes for b in metrics]
-    keys = [unit, "a_var", "b_var"]
+    keys, each = [unit, "a_var", "b_var"], [unit, "series"]
     long = df.select(unit, *order, F.inline(F.array(*names))).filter("a IS NOT NULL AND b IS NOT NULL")
-    counts = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events"))
+    counts = settle(long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events")))
+    enough = counts.filter(F.col("n_events") >= min_rows).select(*keys)
     longest = counts.agg(F.max("n_events")).first()[0] or 0
-    long = long.join(counts.filter(F.col("n_events") >= min_rows).select(*keys), keys, "left_semi")
-    sides = long.select(*keys, *order, F.inline(F.array(
-        F.struct(F.lit("a").alias("side"), F.col("a").alias("x")), F.struct(F.lit("b").alias("side"), F.col("b").alias("x")))))
-    each = [*keys, "side"]
-    points = delay_points(sides, each, order, "x", max_e, len(STEPS), block_rows=block_rows, longest=longest)
-    first = forecasts(points, each, max_e, len(STEPS), [(e, 1) for e in range(2, max_e + 1)], block, longest)
-    # a few numbers per unit that cost a search each and are read several times: written once
+    long = long.join(enough, keys, "left_semi")
+    wanted = enough.select(unit, F.explode(F.array("a_var", "b_var")).alias("series")).distinct()
+    series = df.select(unit, *order, F.inline(F.array(*values(dict.fromkeys([*outcomes, *metrics]))))).filter("x IS NOT NULL")
+    series = series.join(wanted, each, "left_semi")
+    reach = series.groupBy(*each).count().agg(F.max("count")).first()[0] or 0
+    points = delay_points(series, each, order, "x", max_e, len(STEPS), block_rows=block_rows, longest=reach)
+    first = forecasts(points, each, max_e, len(STEPS), [(e, 1) for e in range(2, max_e + 1)], block, reach)
+    # a few numbers per series that cost a search each and are read several times: written once
     dims = settle(best_dimension(skill(first, [*each, "E"]), each).filter("E IS NOT NULL"))
-    decay = forecasts(points.join(dims, each), each, max_e, len(STEPS), None, block, longest)
-    tests = slope_test(skill(decay, [*each, "step"]), each).join(dims, each)
-    side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    stats = tests.groupBy(*keys).agg(*[
-        side(s, c).alias(f"{s}_{n}") for s in "ab"
-        for c, n in (("E", "e_dim"), ("rho_slope", "rho_slope"), ("rho_p", "rho_p"))])
-    stats = settle(stats)
+    decay = forecasts(points.join(dims, each), each, max_e, len(STEPS), None, block, reach)
+    tests = settle(slope_test(skill(decay, [*each, "step"]), each).join(dims, each))
+    side = lambda s: tests.select(unit, F.col("series").alias(f"{s}_var"), F.col("E").alias(f"{s}_e_dim"), *[F.col(c).alias(f"{s}_{c}") for c in ("rho_slope", "rho_p")])
+    stats = settle(enough.join(side("a"), [unit, "a_var"]).join(side("b"), [unit, "b_var"]))
     gated = stats.filter((F.col("a_rho_p") <= alpha) & (F.col("b_rho_p") <= alpha))
     directions = []
     for cause, effect in (("a", "b"), ("b", "a")):
