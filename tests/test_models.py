@@ -467,3 +467,30 @@ def test_each_series_is_searched_once(spark, maps, monkeypatch):
     assert got.count() == 4
     # two searches in all, for the dimension and for the decay, each over four series although there are four pairs
     assert searched == [[("x",), ("x2",), ("y",), ("y1",)]] * 2
+
+
+def test_a_point_visits_few_tiles_of_a_long_series(spark):
+    n, block = 20_000, 256
+    x = np.empty(n)
+    x[0] = 0.4
+    for i in range(n - 1):
+        x[i + 1] = x[i] * (3.9 - 3.9 * x[i])
+    df = spark.createDataFrame([("u", i, float(v)) for i, v in enumerate(x)], "unit string, i int, x double")
+    points = M.delay_points(df, ["unit"], ["i"], "x", 3, 1)
+    tiled = M.tiles(points, ["unit"], block)
+    sizes = [r["count"] for r in tiled.groupBy("_tile").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= block and len(sizes) < 2 * n / block
+    near = M.forecasts(points, ["unit"], 3, 1, [(2, 1), (3, 1)], block)
+    got = {(r["E"], r["t"]): r["predicted"] for r in near.filter("t % 400 = 0").collect()}
+    for (e, t), predicted in got.items():
+        emb = np.column_stack([x[e - 1 - j : n - 1 - j] for j in range(e)])
+        d = np.sqrt(((emb - emb[t - e]) ** 2).sum(1))
+        d[t - e] = np.inf
+        at = np.argsort(d, kind="stable")[: e + 1]
+        w = np.exp(-d[at] / d[at[0]])
+        assert predicted == pytest.approx((w * x[at + e]).sum() / w.sum(), abs=1e-9)
+    assert len(got) == 2 * 49
+    # a row for each search and tile that a point is in or visits
+    head = [M.T.StructField(c, k) for c, k in (("unit", M.T.StringType()), ("E", M.T.IntegerType()), ("step", M.T.IntegerType()), ("t", M.T.LongType()))]
+    rows = M.tile_neighbours(tiled.cache(), ["unit"], 3, 1, [(2, 1), (3, 1)], M.T.StructType(head)).count()
+    assert rows < 5 * 2 * n < len(sizes) * n / 5

@@ -1,8 +1,9 @@
 """Forecast skill in delay coordinates and convergent cross mapping, per unit and pair of series.
 
-Neighbours are searched block against block: a task compares at most ``block`` points with at most
-``block`` others and passes on the nearest few per point, which are then merged. A unit of one block,
-the usual case, is one task; a long unit is many, with the same result.
+A series of one block, the usual case, is one task. A longer one is cut into tiles of at most ``block`` points
+that lie close in their first two lags, each with its bounding box over all lags. A tile is searched by its own points first; a point then
+visits only the tiles whose boxes come as near as the farthest neighbour it has, so the result is exact and a point
+travels to few tiles. A task compares at most ``block`` points with at most ``block`` others.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidewatch.operators.ordering import BLOCK_ROWS, in_order
 from tidewatch.session import settle, small_side
 
-POINT_BLOCK = 512  # points compared with points
+POINT_BLOCK = 512  # points of a tile
 QUERY_BLOCK = 8192  # points to predict and library places that meet in one task
 TOGETHER = 10  # iterations of one unit that share its distances
 DISTANCES = 4_000_000
@@ -74,37 +75,38 @@ def _nearest(distances: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(distances, axis=1, kind="stable")[:, :k]
 
 
-def _block_neighbours(table: pa.Table, max_e: int, max_step: int, pairs) -> list[tuple]:
-    """Nearest library points for the query points of one pair of blocks, per (E, step)."""
-    order = np.argsort(_array(table, "t"), kind="stable")
-    t, block = _array(table, "t")[order], _array(table, "_block")[order]
-    lags, future = _matrix(table, "lags", max_e)[order], _matrix(table, "ahead", max_step)[order]
-    q = block == table.column("_qb")[0].as_py()
-    own = block == table.column("_lb")[0].as_py()
-    if pairs is None:
-        pairs = [(table.column("E")[0].as_py(), s) for s in range(1, max_step + 1)]
+def _neighbours(queries: pa.Table, library: pa.Table, max_e: int, max_step: int, pairs) -> list[tuple]:
+    """Nearest library points for the query points, per (E, step)."""
+    library = library.sort_by("t")
+    tq, tl = _array(queries, "t"), _array(library, "t")
+    xq, xl = _matrix(queries, "lags", max_e), _matrix(library, "lags", max_e)
+    fq, fl = _matrix(queries, "ahead", max_step), _matrix(library, "ahead", max_step)
     by_e: dict[int, list[int]] = {}
-    for e, step in pairs:
+    for e, step in _searches(queries, max_step, pairs):
         by_e.setdefault(e, []).append(step)
-    same = t[q][:, None] == t[own][None, :]
+    same = tq[:, None] == tl[None, :]
     squares = np.zeros(same.shape)
     out, reached = [], 0
     for e in sorted(by_e):
         # a distance in e dimensions is the one in fewer plus the further terms
         for i in range(reached, e):
-            squares = squares + (lags[q][:, None, i] - lags[own][None, :, i]) ** 2
+            squares = squares + (xq[:, None, i] - xl[None, :, i]) ** 2
         reached = e
         for step in by_e[e]:
-            truth, after = future[q][:, step - 1], future[own][:, step - 1]
+            truth, after = fq[:, step - 1], fl[:, step - 1]
             usable = ~same & np.isfinite(squares) & np.isfinite(after)[None, :]
             sized = np.where(usable, squares, np.inf)
             near = _nearest(sized, e + 1)
             d = np.sqrt(np.take_along_axis(sized, near, 1))
-            asked = np.isfinite(lags[q][:, :e]).all(1) & np.isfinite(truth)
-            out.append((e, step, asked, near, d, after, truth, t[q], t[own]))
+            asked = np.isfinite(xq[:, :e]).all(1) & np.isfinite(truth)
+            out.append((e, step, asked, near, d, after, truth, tq, tl))
     return out
 
 
+def _searches(points: pa.Table, max_step: int, pairs) -> list[tuple[int, int]]:
+    return pairs if pairs is not None else [(points.column("E")[0].as_py(), s) for s in range(1, max_step + 1)]
+
+
 def _simplex(d: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weighted mean of neighbours' futures; an exact match counts alone."""
     nearest = d[:, :1]
@@ -131,59 +133,114 @@ def forecasts(
     ``pairs`` lists the (E, step) to try; None takes E from the points and every step. ``longest`` is
     a bound on the length of a series, where known.
     """
-    own = F.floor((F.col("t") - 1) / F.lit(block))
-    last = F.floor((F.col("n") - 1) / F.lit(block))
-    cols = [*keys, "t", "lags", "ahead"] + ([] if pairs else ["E"])
-    rows = points.withColumn("_block", own).withColumn("_all", F.sequence(F.lit(0).cast("long"), last))
-    as_query = F.transform("_all", lambda j: F.struct(F.col("_block").alias("qb"), j.alias("lb")))
-    as_library = F.transform("_all", lambda i: F.struct(i.alias("qb"), F.col("_block").alias("lb")))
-    rows = rows.withColumn("_g", F.explode(F.array_union(as_query, as_library)))
-    rows = rows.select(*cols, "_block", F.col("_g.qb").alias("_qb"), F.col("_g.lb").alias("_lb"))
-    group = [*keys, "_qb", "_lb"]
+    points = points.select(*keys, "t", "n", "lags", "ahead", *([] if pairs else ["E"]))
     key_fields = [points.schema[k] for k in keys]
     head = [T.StructField("E", T.IntegerType()), T.StructField("step", T.IntegerType()),
             T.StructField("t", T.LongType())]
-    numbers = lambda *names: [T.StructField(n, T.DoubleType()) for n in names]
     if longest is None:
         longest = points.agg(F.max("n")).first()[0] or 0
     if longest <= block:
-        schema = T.StructType(key_fields + head + numbers("predicted", "actual"))
+        schema = T.StructType(key_fields + head + [T.StructField(c, T.DoubleType()) for c in ("predicted", "actual")])
         arrow = to_arrow_schema(schema)
 
         def predict(table: pa.Table) -> pa.Table:
             parts = []
-            for e, step, asked, near, d, after, truth, t, _ in _block_neighbours(table, max_e, max_step, pairs):
+            for e, step, asked, near, d, after, truth, t, _ in _neighbours(table, table, max_e, max_step, pairs):
                 found = _simplex(d, after[near])
                 ok = asked & np.isfinite(found)
                 n = int(ok.sum())
                 parts.append((np.full(n, e), np.full(n, step), t[ok], found[ok], truth[ok]))
             return _table(arrow, _key(table, keys), [np.concatenate(c) for c in zip(*parts)])
 
-        return rows.groupBy(*group).applyInArrow(predict, schema)
+        return points.groupBy(*keys).applyInArrow(predict, schema)
 
-    schema = T.StructType(
-        key_fields + head + numbers("actual")
-        + [T.StructField("d", T.ArrayType(T.DoubleType())), T.StructField("s", T.ArrayType(T.LongType())),
-           T.StructField("y", T.ArrayType(T.DoubleType()))]
+    points = settle(tiles(points, keys, block, longest))
+    near = tile_neighbours(points, keys, max_e, max_step, pairs, T.StructType(key_fields + head))
+    merged = near.groupBy(*keys, "E", "step", "t", "actual").agg(
+        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "s", "y")))).alias("near")
     )
-    arrow = to_arrow_schema(schema)
+    merged = merged.withColumn("near", F.slice("near", 1, F.col("E") + 1)).filter(F.size("near") > 0)
+    return merged.select(*keys, "E", "step", "t", _weighted(F.col("near")).alias("predicted"), "actual")
 
-    def candidates(table: pa.Table) -> pa.Table:
+
+def tiles(points: DataFrame, keys: list[str], block: int, longest: int | None = None) -> DataFrame:
+    """Points with ``_tile``: slabs of the first lag cut into tiles of the second, of at most ``block`` points each."""
+    first = points.withColumns({"_x0": F.col("lags")[0], "_x1": F.get("lags", F.lit(1))})
+    slabs = F.ceil(F.sqrt(F.ceil(F.col("n") / block)))
+    ranked = in_order(first, keys, ["_x0", "t"], "_r0", longest=longest).rows
+    ranked = ranked.withColumn("_slab", F.floor((F.col("_r0") - 1) * slabs / F.col("n")).cast("long"))
+    ranked = in_order(ranked, [*keys, "_slab"], ["_x1", "t"], "_r1", longest=longest).rows
+    # a slab has at most n points, so its tiles' numbers end before the next slab's
+    tile = F.col("_slab") * (F.floor(F.col("n") / block) + 1) + F.floor((F.col("_r1") - 1) / block)
+    return ranked.withColumn("_tile", tile.cast("long")).drop("_x0", "_x1", "_r0", "_slab", "_r1")
+
+
+def tile_neighbours(points: DataFrame, keys: list[str], max_e: int, max_step: int, pairs, head: T.StructType) -> DataFrame:
+    """(keys, E, step, t, actual, d, s, y): the nearest few of every point, in its own tile and in each it visits."""
+    real = lambda i: F.when(~F.isnan(F.col("lags")[i]), F.col("lags")[i])
+    boxes = points.groupBy(*keys, "_tile").agg(
+        F.array(*[F.min(real(i)) for i in range(max_e)]).alias("low"), F.array(*[F.max(real(i)) for i in range(max_e)]).alias("high"))
+    boxes = settle(boxes)
+    # every tile meets the boxes of its series, one for each ``block`` points
+    around = boxes.select(*keys, F.col("_tile").alias("_of")).join(boxes, keys).filter("_of <> _tile")
+    around = around.withColumnRenamed("_tile", "_to").withColumnRenamed("_of", "_tile")
+    lists = [T.StructField("actual", T.DoubleType()), T.StructField("d", T.ArrayType(T.DoubleType())),
+             T.StructField("s", T.ArrayType(T.LongType())), T.StructField("y", T.ArrayType(T.DoubleType()))]
+    visits = [T.StructField("_tile", T.LongType()), T.StructField("visits", T.ArrayType(T.LongType()))]
+    found, both = T.StructType(list(head) + lists), T.StructType(list(head) + lists + visits)
+    arrow, arrow_both = to_arrow_schema(found), to_arrow_schema(both)
+
+    def rows_of(search: list[tuple]) -> list[list]:
         columns: list[list] = [[] for _ in range(7)]
-        for e, step, asked, near, d, after, truth, t, s in _block_neighbours(table, max_e, max_step, pairs):
+        for e, step, asked, near, d, after, truth, t, s in search:
             for q in np.flatnonzero(asked):
-                found = near[q][np.isfinite(d[q])]
-                row = (e, step, t[q], truth[q], d[q][np.isfinite(d[q])], s[found], after[found])
+                used = np.isfinite(d[q])
+                row = (e, step, t[q], truth[q], d[q][used], s[near[q][used]], after[near[q][used]])
                 for column, value in zip(columns, row):
                     column.append(value)
-        return _table(arrow, _key(table, keys), columns)
+        return columns
+
+    def own_tile(tile: pa.Table, others: pa.Table) -> pa.Table:
+        """Neighbours in the tile, and rows without E that name the tiles each point has yet to visit."""
+        if not tile.num_rows:
+            return arrow_both.empty_table()
+        search = _neighbours(tile, tile, max_e, max_step, pairs)
+        t, x, here = _array(tile, "t"), _matrix(tile, "lags", max_e), tile.column("_tile")[0].as_py()
+        reach: dict[int, np.ndarray] = {}
+        for e, _, asked, _, d, _, _, _, _ in search:
+            far = np.full(len(t), np.inf) if d.shape[1] <= e else d[:, e]
+            reach[e] = np.fmax(reach.get(e, -1.0), np.where(asked, far, -1.0))
+        columns = rows_of(search)
+        n = len(columns[0])
+        columns += [[here] * n, [None] * n]
+        if others.num_rows:
+            to = _array(others, "_to")
+            low, high = _matrix(others, "low", max_e), _matrix(others, "high", max_e)
+            gap, seen = np.zeros((len(t), len(to))), np.zeros((len(t), len(to)), bool)
+            for i in range(max_e):
+                # a box without values in a lag has no point to be found there
+                off = np.fmax(np.fmax(low[None, :, i] - x[:, None, i], x[:, None, i] - high[None, :, i]), 0)
+                gap = gap + np.where(np.isnan(low[None, :, i]), np.inf, off) ** 2
+                if i + 1 in reach:
+                    seen |= np.sqrt(gap) <= reach[i + 1][:, None] * (1 + 1e-9)
+            for q in np.flatnonzero(seen.any(1)):
+                for column, value in zip(columns, (None, None, t[q], None, None, None, None, here, to[seen[q]])):
+                    column.append(value)
+        return _table(arrow_both, _key(tile, keys), columns)
 
-    near = rows.groupBy(*group).applyInArrow(candidates, schema)
-    merged = near.groupBy(*keys, "E", "step", "t", "actual").agg(
-        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "s", "y")))).alias("near")
-    )
-    merged = merged.withColumn("near", F.slice("near", 1, F.col("E") + 1)).filter(F.size("near") > 0)
-    return merged.select(*keys, "E", "step", "t", _weighted(F.col("near")).alias("predicted"), "actual")
+    def visited(queries: pa.Table, tile: pa.Table) -> pa.Table:
+        if not queries.num_rows or not tile.num_rows:
+            return arrow.empty_table()
+        return _table(arrow, _key(queries, keys), rows_of(_neighbours(queries, tile, max_e, max_step, pairs)))
+
+    by_tile = [*keys, "_tile"]
+    first = settle(points.groupBy(*by_tile).cogroup(around.toDF(*around.columns).groupBy(*by_tile)).applyInArrow(own_tile, both))
+    routes = first.filter("visits IS NOT NULL").select(*keys, "t", F.col("_tile").alias("_from"), F.explode("visits").alias("_to"))
+    asking = points.drop("_tile").join(routes, [*keys, "t"])
+    asked = points.join(routes.select(*keys, "_from", F.col("_to").alias("_tile")).distinct(), by_tile).withColumnRenamed("_tile", "_to")
+    pair = [*keys, "_from", "_to"]
+    second = asking.groupBy(*pair).cogroup(asked.toDF(*asked.columns).groupBy(*pair)).applyInArrow(visited, found)
+    return first.filter("E IS NOT NULL").drop("_tile", "visits").unionByName(second)
 
 
 def skill(predictions: DataFrame, by: list[str]) -> DataFrame:
