@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewatch.operators.joint_signals import EIGEN_METRICS, JOINT_METRICS, eigen_metrics, joint_signals
+from tidewatch.operators.joint_signals import EIGEN_METRICS, JOINT_METRICS, eigen_metrics, information_path, joint_signals, multi_information
 from tidewatch.operators.ordering import in_order
 from tidewatch.operators.series import inter_event_times, rolling_burstiness
 from tidewatch.operators.signals import (
@@ -112,11 +112,15 @@ def test_counts_by_metric_equal_one_by_one(series):
         assert 0 < max(r["n"] for r in one) <= 7
 
 
-def joint_from_scratch(x, burn, bins):
+def joint_from_scratch(x, burn):
     n, p = x.shape
     m = {k: np.full(n, np.nan) for k in JOINT_METRICS}
-    edges = np.quantile(x[:burn], [k / bins for k in range(1, bins)], axis=0)
-    cells = np.array([[np.sum(x[i, j] > edges[:, j]) for j in range(p)] for i in range(n)])
+
+    def binned(v):
+        """Equal shares of the rows so far, as many as the cube root of their number."""
+        bins = max(2, int(np.cbrt(len(v)) + 1e-9))
+        ranks = np.argsort(np.argsort(v, axis=0, kind="stable"), axis=0, kind="stable")
+        return ranks * bins // len(v)
 
     def entropy(labels):
         _, c = np.unique(labels, axis=0, return_counts=True)
@@ -124,7 +128,7 @@ def joint_from_scratch(x, burn, bins):
         return -(q * np.log(q)).sum()
 
     for t in range(burn - 1, n):
-        v = x[: t + 1]
+        v, cells = x[: t + 1], binned(x[: t + 1])
         cov = np.cov(v.T)
         ar = np.array([np.polyfit(v[:-1, j], v[1:, j], 1)[0] for j in range(p)])
         w = np.linalg.eigh(cov)[1][:, -1]
@@ -140,7 +144,7 @@ def joint_from_scratch(x, burn, bins):
             meanAR=ar.mean(), maxAR=ar.max(), meanSD=sds.mean(), maxSD=sds.max(), eigenMAF=values[0],
             mafAR=slope(s @ u), mafSD=sd(s @ u), pcaAR=slope(v @ w), pcaSD=sd(v @ w), eigenCOV=sd(v @ w) ** 2,
             maxCOV=max(cov[i, j] for i in range(p) for j in range(i)),
-            mutINFO=sum(entropy(cells[: t + 1, j : j + 1]) for j in range(p)) - entropy(cells[: t + 1]),
+            mutINFO=sum(entropy(cells[:, j : j + 1]) for j in range(p)) - entropy(cells),
         )
         for k, f in found.items():
             m[k][t] = f
@@ -153,7 +157,7 @@ def test_joint_signals(series, data, block_rows):
     rows = {r["eid"]: r for r in got.collect()}
     for unit in ("long", "b"):
         x, eids = matrix(data, unit)
-        want = joint_from_scratch(x, BURN, 2)
+        want = joint_from_scratch(x, BURN)
         for i, eid in enumerate(eids):
             if i + 1 <= BURN:
                 assert eid not in rows
@@ -169,6 +173,35 @@ def test_joint_signals(series, data, block_rows):
     assert flat and all(r["multi_crossed"] == 0 and r["eigenMAF"] is None for r in flat)
 
 
+@pytest.mark.parametrize("first", [1, 2, 40, 219])
+def test_information_path_from_any_row(first):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(220, 3))
+    x[:, 1] = np.round(x[:, 0] + rng.normal(size=220), 1)  # with ties
+    x[100:120] = x[100]
+
+    def entropy(labels):
+        q = np.unique(labels, axis=0, return_counts=True)[1] / len(labels)
+        return -(q * np.log(q)).sum()
+
+    got = information_path(x, first)
+    assert len(got) == 221 - first
+    for t in range(first, 221):
+        bins = max(2, int(np.cbrt(t) + 1e-9))
+        ranks = np.argsort(np.argsort(x[:t], axis=0, kind="stable"), axis=0, kind="stable")
+        cells = ranks * bins // t
+        want = sum(entropy(cells[:, j : j + 1]) for j in range(3)) - entropy(cells)
+        assert got[t - first] == pytest.approx(want, abs=1e-9)
+
+
+def test_information_by_stretches(series):
+    seq = in_order(series.na.drop(subset=["x", "y"]), ["unit"], ["ts", "eid"])
+    whole, parts = ({r["eid"]: r["m"] for r in multi_information(seq, ["x", "y"], BURN, "m", stretch=s).rows.select("eid", "m").collect()} for s in (8192, 17))
+    assert set(whole) == set(parts)
+    for k, v in whole.items():
+        assert (v is None) == (parts[k] is None) and (v is None or v == pytest.approx(parts[k], abs=1e-9))
+
+
 def test_eigen_metrics_of_bad_matrices():
     good = np.eye(2)
     bad = np.full((2, 2), np.nan)

@@ -10,29 +10,33 @@ from tidewatch.operators.signals import attach_outcomes, join_signals
 W = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-def added(r: str) -> str:
-    return f"({r} * ln({r}) - CASE WHEN {r} > 1 THEN ({r} - 1) * ln({r} - 1) ELSE 0 END)"
+def information_sql(source: str, series: list[str], name: str = "information") -> str:
+    """CTEs ending in ``name`` (user_id, tt, info): at every row all rows so far are ranked and binned anew."""
+    p = len(series)
+    ranks = ", ".join(f"(row_number() OVER (PARTITION BY user_id, tt ORDER BY {x}, s) - 1) * bins // tt AS b_{x}" for x in series)
+    parts = [*[f"b_{x}" for x in series], ", ".join(f"b_{x}" for x in series)]
+    sums = " UNION ALL ".join(
+        f"SELECT user_id, tt, {1 if i < p else -1} AS sign, sum(n * ln(n)) AS w FROM (SELECT user_id, tt, count(*) AS n FROM {name}_bins GROUP BY user_id, tt, {c}) GROUP BY 1, 2"
+        for i, c in enumerate(parts))
+    return f"""{name}_pairs AS (SELECT b.user_id, b.tt, greatest(2, floor(cbrt(b.tt) + 1e-9)::BIGINT) AS bins, a.tt AS s, {", ".join("a." + x for x in series)}
+  FROM {source} a JOIN {source} b ON a.user_id = b.user_id AND a.tt <= b.tt WHERE b.tt >= {BURN_IN}),
+{name}_bins AS (SELECT user_id, tt, {ranks} FROM {name}_pairs),
+{name} AS (SELECT user_id, tt, {p - 1} * ln(tt) - sum(sign * w) / tt AS info FROM ({sums}) GROUP BY 1, 2)"""
 
 
 JOINT = f"""{EVENT_SERIES},
 xy AS (SELECT *, value AS x, gap_hours AS y, row_number() OVER o AS tt, lag(value) OVER o AS lx,
   lag(gap_hours) OVER o AS ly FROM series WHERE gap_hours IS NOT NULL
   WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
-edges AS (SELECT user_id, quantile_cont(x, 0.5) AS ex, quantile_cont(y, 0.5) AS ey FROM xy
-  WHERE tt <= {BURN_IN} GROUP BY 1),
-ranks AS (SELECT xy.*, CAST(row_number() OVER (PARTITION BY user_id, x > ex ORDER BY tt) AS DOUBLE) AS rx,
-  CAST(row_number() OVER (PARTITION BY user_id, y > ey ORDER BY tt) AS DOUBLE) AS ry,
-  CAST(row_number() OVER (PARTITION BY user_id, x > ex, y > ey ORDER BY tt) AS DOUBLE) AS rj
-  FROM xy JOIN edges USING (user_id)),
+{information_sql("xy", ["x", "y"])},
 cov AS (SELECT *, var_samp(x) OVER w AS a, covar_samp(x, y) OVER w AS b, var_samp(y) OVER w AS c,
   covar_samp(x, lx) OVER w AS p11, covar_samp(x, ly) OVER w AS p12, covar_samp(y, lx) OVER w AS p21,
   covar_samp(y, ly) OVER w AS p22, covar_samp(lx, lx) OVER w AS l11, covar_samp(lx, ly) OVER w AS l12,
   covar_samp(ly, ly) OVER w AS l22, covar_samp(x - lx, x - lx) OVER w AS d11,
-  covar_samp(x - lx, y - ly) OVER w AS d12, covar_samp(y - ly, y - ly) OVER w AS d22,
-  ln(tt) - (sum({added('rx')}) OVER w + sum({added('ry')}) OVER w - sum({added('rj')}) OVER w) / tt AS info
-  FROM ranks WINDOW w AS {W}),
+  covar_samp(x - lx, y - ly) OVER w AS d12, covar_samp(y - ly, y - ly) OVER w AS d22
+  FROM xy WINDOW w AS {W}),
 lead_ AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS top,
-  (d11*c + d22*a - 2*d12*b) AS q1, a*c - b*b AS q2, d11*d22 - d12*d12 AS q0 FROM cov WHERE tt >= {BURN_IN}),
+  (d11*c + d22*a - 2*d12*b) AS q1, a*c - b*b AS q2, d11*d22 - d12*d12 AS q0 FROM cov JOIN information USING (user_id, tt) WHERE tt >= {BURN_IN}),
 root AS (SELECT *, (q1 - sqrt(q1*q1 - 4*q2*q0)) / (2*q2) AS mu, b AS w1, top - a AS w2 FROM lead_),
 maf AS (SELECT *, (mu*b - d12) * sqrt(a) AS u1, (d11 - mu*a) * sqrt(c) AS u2 FROM root),
 unit AS (SELECT *, u1 / sqrt(u1*u1 + u2*u2) / sqrt(a) AS v1, u2 / sqrt(u1*u1 + u2*u2) / sqrt(c) AS v2 FROM maf),

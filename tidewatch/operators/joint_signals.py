@@ -1,22 +1,28 @@
 """Early-warning signals of several series per unit together, over an expanding window.
 
-The covariance matrices of a row come from running sums; only small eigenproblems, batched over rows,
-leave the JVM, so no unit is ever collected.
+The covariance matrices of a row come from running sums; small eigenproblems, batched over rows, leave the
+JVM. Multi-information ranks all rows so far anew at every row: a task takes a stretch of rows of one unit and the
+values before them, sets up the ranks once and then only moves the rows that a new one pushes over a bin's border.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.operators.ordering import BLOCK_ROWS, OrderedRows, in_order
 from tidewatch.operators.signals import _ratio, expanding_mean_sd
-from tidewatch.session import settle, small_side
+
+#: Rows of a unit that one task goes through; the rows before them are only ranked.
+STRETCH = 8192
 
 JOINT_METRICS = (
     "meanAR", "maxAR", "meanSD", "maxSD", "eigenMAF", "mafAR", "mafSD", "pcaAR", "pcaSD", "eigenCOV",
@@ -136,39 +142,105 @@ def expanding_covariances(seq: OrderedRows, series: list[str]) -> OrderedRows:
     return seq.drop(*spent)
 
 
-def multi_information(seq: OrderedRows, series: list[str], burn_in: int, name: str) -> OrderedRows:
-    """Σ marginal entropies − joint entropy of rows 1..t, in nats.
-
-    The bins hold equal shares of the first ``burn_in`` rows, whose cube root is their number, and
-    stay fixed. A row that is the r-th in its cell then adds r·ln r − (r−1)·ln(r−1) to Σ n·ln n of the
-    cells, so entropies are running sums as well.
+def bin_count(t: int) -> int:
+    """The cube root of the rows so far, rounded down, but two at least."""
+    bins = round(t ** (1 / 3))
+    return max(2, bins - (bins**3 > t))
+
+
+class Bins:
+    """Equal shares of the rows so far for one series: row of rank r (from 0) among t is in bin r·bins // t."""
+
+    def __init__(self, x: np.ndarray, bins: int):
+        order = np.argsort(x, kind="stable")
+        self.bins, self.rows = bins, order.tolist()
+        self.values = x[order].tolist()
+        digit = np.empty(len(x), np.int64)
+        digit[order] = np.arange(len(x)) * bins // len(x)
+        self.digit = digit.tolist()
+
+    def add(self, value: float) -> list[tuple[int, int]]:
+        """A further row; (row, bins moved) of those that its rank and the new borders push into another bin."""
+        row, before, moved = len(self.rows), len(self.rows), []
+        at = bisect_right(self.values, value)  # equal values rank in order of arrival
+        self.values.insert(at, value)
+        self.rows.insert(at, row)
+        self.digit.append(at * self.bins // (row + 1))
+        for k in range(1, self.bins):
+            old = -(-k * before // self.bins)
+            old += old >= at  # where the first row of bin k is now
+            new = -(-k * (before + 1) // self.bins)
+            for i in range(min(old, new), max(old, new)):
+                other = self.rows[i]
+                if other != row:
+                    now = i * self.bins // (before + 1)
+                    moved.append((other, now - self.digit[other]))
+                    self.digit[other] = now
+        return moved
+
+
+def information_path(x: np.ndarray, first: int) -> np.ndarray:
+    """Σ marginal entropies − joint entropy of rows 1..t for t = first..len(x), in nats."""
+    n, p = x.shape
+    weight = np.zeros(n + 2)
+    weight[2:] = np.arange(2, n + 2) * np.log(np.arange(2, n + 2))
+    weight, out, bins = weight.tolist(), [], 0
+    for t in range(first, n + 1):
+        if bin_count(t) != bins:
+            bins = bin_count(t)
+            series = [Bins(x[:t, i], bins) for i in range(p)]
+            cells = sum(np.array(s.digit) * bins**i for i, s in enumerate(series))
+            names, sizes = np.unique(cells, return_counts=True)
+            count, cell = dict(zip(names.tolist(), sizes.tolist())), cells.tolist()
+            joint = sum(weight[c] for c in count.values())
+        else:
+            changes: dict[int, int] = {}
+            for i, s in enumerate(series):
+                for row, by in s.add(float(x[t - 1, i])):
+                    changes[row] = changes.get(row, 0) + by * bins**i
+            for row, by in changes.items():
+                if by:
+                    c = count[cell[row]]
+                    joint += weight[c - 1] - weight[c]
+                    count[cell[row]] = c - 1
+                    cell[row] += by
+                    c = count.get(cell[row], 0)
+                    joint += weight[c + 1] - weight[c]
+                    count[cell[row]] = c + 1
+            own = sum(s.digit[t - 1] * bins**i for i, s in enumerate(series))
+            c = count.get(own, 0)
+            joint += weight[c + 1] - weight[c]
+            count[own] = c + 1
+            cell.append(own)
+        borders = [-(-k * t // bins) for k in range(bins + 1)]
+        one = sum(weight[b - a] for a, b in zip(borders, borders[1:]))
+        out.append((p - 1) * np.log(t) - (p * one - joint) / t)
+    return np.array(out)
+
+
+def multi_information(seq: OrderedRows, series: list[str], burn_in: int, name: str, stretch: int = STRETCH) -> OrderedRows:
+    """Σ marginal entropies − joint entropy of rows 1..t from t = burn_in on, in nats.
+
+    At every row each series' values so far are cut anew into bins of equal shares, as many as the cube root of
+    the rows so far. Equal values rank in order of arrival.
     """
-    bins = max(2, int(np.floor(np.cbrt(burn_in) + 1e-9)))
-    shares = [k / bins for k in range(1, bins)]
-    unit, t = list(seq.unit), F.col(seq.ordinal)
-    edges = seq.rows.filter(t <= burn_in).groupBy(*unit).agg(
-        *[F.percentile(x, F.array(*[F.lit(q) for q in shares])).alias(f"_e{i}")
-          for i, x in enumerate(series)]
-    )
-    rows = seq.rows.join(small_side(settle(edges)) if seq.split else edges, unit, "left")
-    for i, x in enumerate(series):
-        above = [(F.col(x) > F.col(f"_e{i}")[k]).cast("int") for k in range(bins - 1)]
-        rows = rows.withColumn(f"_b{i}", reduce(lambda a, b: a + b, above)).drop(f"_e{i}")
-    rows = rows.withColumn("_b", F.concat_ws("-", *[F.col(f"_b{i}").cast("string") for i in range(len(series))]))
-    seq = replace(seq, rows=rows)
-    cells = ["_b", *[f"_b{i}" for i in range(len(series))]]
-    for cell in cells:
-        seq = seq.running_rank(cell, f"_r{cell}")
-
-    def added(cell):
-        r = F.col(f"_r{cell}").cast("double")
-        return r * F.ln(r) - F.when(r > 1, (r - 1) * F.ln(F.greatest(r - 1, F.lit(1.0)))).otherwise(0.0)
-
-    seq = seq.running({f"_w{cell}": added(cell) for cell in cells})
-    n = t.cast("double")
-    marginals = reduce(lambda a, b: a + b, [F.col(f"_w{c}") for c in cells[1:]])
-    value = F.lit(len(series) - 1.0) * F.ln(n) - (marginals - F.col("_w_b")) / n
-    return seq.with_columns({name: value}).drop(*[f"{k}{c}" for k in ("", "_r", "_w") for c in cells])
+    unit = list(seq.unit)
+    rows = seq.with_length("_n").rows.select(*unit, F.col(seq.ordinal).cast("long").alias("_t"), "_n", F.array(*series).alias("_x"))
+    last = lambda c: F.floor((F.col(c) - 1) / F.lit(stretch))
+    rows = rows.withColumn("_part", F.explode(F.sequence(last("_t"), last("_n"))))
+    schema = T.StructType([rows.schema[u] for u in unit] + [T.StructField("_t", T.LongType()), T.StructField(name, T.DoubleType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_t")
+        x = table.column("_x").combine_chunks().flatten().to_numpy().reshape(table.num_rows, len(series))
+        first = max(table.column("_part")[0].as_py() * stretch + 1, burn_in, 1)
+        found = information_path(x, first)
+        t = np.arange(first, first + len(found))
+        key = [pa.array([table.column(u)[0].as_py()] * len(t), table.schema.field(u).type) for u in unit]
+        return pa.table([*key, pa.array(t, pa.int64()), pa.array(found, pa.float64())], names=[*unit, "_t", name])
+
+    found = rows.groupBy(*unit, "_part").applyInArrow(run, schema).withColumnRenamed("_t", seq.ordinal)
+    return replace(seq, rows=seq.rows.withColumn(seq.ordinal, F.col(seq.ordinal).cast("long")).join(found, [*unit, seq.ordinal], "left"))
 
 
 def joint_signals(
