@@ -24,6 +24,59 @@ def information_sql(source: str, series: list[str], name: str = "information") -
 {name} AS (SELECT user_id, tt, {p - 1} * ln(tt) - sum(sign * w) / tt AS info FROM ({sums}) GROUP BY 1, 2)"""
 
 
+def det3(rows: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = rows
+    return f"({a}*({e}*{i} - {f}*{h}) - {b}*({d}*{i} - {f}*{g}) + {c}*({d}*{h} - {e}*{g}))"
+
+
+def form3(w: str, m: str) -> str:
+    """w' m w for columns w0.. and m00.. ."""
+    return "(" + " + ".join(f"{w}{i}*{m}{i}{j}*{w}{j}" for i in range(3) for j in range(3)) + ")"
+
+
+def null_vector(m: str, out: str) -> str:
+    """Columns of the unit vector that the singular matrix m takes to zero: the longest cross product of two rows."""
+    cross = [[f"({m}{i}{(k + 1) % 3}*{m}{j}{(k + 2) % 3} - {m}{i}{(k + 2) % 3}*{m}{j}{(k + 1) % 3})" for k in range(3)] for i, j in ((0, 1), (0, 2), (1, 2))]
+    size = ["(" + " + ".join(f"{c}*{c}" for c in v) + ")" for v in cross]
+    pick = lambda k: f"CASE WHEN {size[0]} >= greatest({size[1]}, {size[2]}) THEN {cross[0][k]} / sqrt({size[0]}) WHEN {size[1]} >= {size[2]} THEN {cross[1][k]} / sqrt({size[1]}) ELSE {cross[2][k]} / sqrt({size[2]}) END"
+    return ", ".join(f"{pick(k)} AS {out}{k}" for k in range(3))
+
+
+def joint3_sql(source: str) -> str:
+    """CTEs from ``source`` (user_id, event_id, ts, tt, x, y, z) to ``strong3``: the joint metrics of three series.
+
+    Eigenvalues are the roots of the characteristic cubic by cosines, eigenvectors the cross products of its rows.
+    """
+    v, r = ["x", "y", "z"], range(3)
+    cov = ", ".join(
+        f"covar_samp({a}, {b}) OVER w AS {name}{i}{j}" for i in r for j in r
+        for name, a, b in (("g", v[i], v[j]), ("p", v[i], "l" + v[j]), ("l", "l" + v[i], "l" + v[j]), ("d", f"{v[i]} - l{v[i]}", f"{v[j]} - l{v[j]}")))
+    mat = lambda m: [[f"{m}{i}{j}" for j in r] for i in r]
+    mixed = lambda base, other: " + ".join(det3([[f"{other}{i}{j}" if j == k else f"{base}{i}{j}" for j in r] for i in r]) for k in r)
+    root = lambda k: f"(2 * sqrt(greatest(-q1 / 3, 0)) * cos((acos(greatest(-1, least(1, 3 * q0 / (2 * q1) * sqrt(-3 / q1)))) - {k} * 2 * pi()) / 3))"
+    cubic = lambda a, b, c: f"({b}) / ({a}) AS k2, ({c}) / ({a}) AS k1"
+    ar = [f"p{i}{i} / nullif(l{i}{i}, 0)" for i in r]
+    return f"""lags3 AS (SELECT *, lag(x) OVER o AS lx, lag(y) OVER o AS ly, lag(z) OVER o AS lz FROM {source} WINDOW o AS (PARTITION BY user_id ORDER BY tt)),
+{information_sql(source, v, "information3")},
+cov3 AS (SELECT user_id, event_id, ts, tt, {cov} FROM lags3 WINDOW w AS {W}),
+late3 AS (SELECT cov3.*, info FROM cov3 JOIN information3 USING (user_id, tt)),
+scaled3 AS (SELECT *, {", ".join(f"g{i}{j} / sqrt(g{i}{i} * g{j}{j}) AS r{i}{j}, d{i}{j} / sqrt(g{i}{i} * g{j}{j}) AS e{i}{j}, p{i}{j} / sqrt(g{i}{i} * g{j}{j}) AS u{i}{j}, l{i}{j} / sqrt(g{i}{i} * g{j}{j}) AS m{i}{j}" for i in r for j in r)},
+  (g00 + g11 + g22) / 3 AS mid FROM late3),
+pca3 AS (SELECT *, mid + 2 * size * cos(acos(greatest(-1, least(1, {det3([[f"(g{i}{j} - {'mid' if i == j else '0'})" for j in r] for i in r])} / (2 * size * size * size)))) / 3) AS top
+  FROM (SELECT *, sqrt((power(g00 - mid, 2) + power(g11 - mid, 2) + power(g22 - mid, 2) + 2 * (g01*g01 + g02*g02 + g12*g12)) / 6) AS size FROM scaled3)),
+axis3 AS (SELECT *, {null_vector("t", "w")} FROM (SELECT *, {", ".join(f"g{i}{j} - {'top' if i == j else '0'} AS t{i}{j}" for i in r for j in r)} FROM pca3)),
+cubic3 AS (SELECT *, {cubic(det3(mat("r")), f"-({mixed('r', 'e')})", mixed('e', 'r'))}, -{det3(mat("e"))} / {det3(mat("r"))} AS k0 FROM axis3),
+root3 AS (SELECT *, least({root(0)}, {root(1)}, {root(2)}) - k2 / 3 AS mu
+  FROM (SELECT *, k1 - k2*k2/3 AS q1, 2*k2*k2*k2/27 - k2*k1/3 + k0 AS q0 FROM cubic3)),
+maf3 AS (SELECT *, {null_vector("n", "f")} FROM (SELECT *, {", ".join(f"e{i}{j} - mu * r{i}{j} AS n{i}{j}" for i in r for j in r)} FROM root3)),
+metrics3 AS (SELECT user_id, event_id, ts, tt, ({" + ".join(ar)}) / 3 AS meanAR, greatest({", ".join(ar)}) AS maxAR,
+  (sqrt(g00) + sqrt(g11) + sqrt(g22)) / 3 AS meanSD, greatest(sqrt(g00), sqrt(g11), sqrt(g22)) AS maxSD, mu AS eigenMAF,
+  {form3("f", "u")} / {form3("f", "m")} AS mafAR, sqrt({form3("f", "r")}) AS mafSD, {form3("w", "p")} / {form3("w", "l")} AS pcaAR,
+  sqrt(top) AS pcaSD, top AS eigenCOV, greatest(g01, g02, g12) AS maxCOV, info AS mutINFO FROM maf3),
+strong3 AS (SELECT *, {", ".join(f"({m} - avg({m}) OVER w) / nullif(stddev_samp({m}) OVER w, 0) AS {m}_str" for m in JOINT_METRICS)}
+  FROM metrics3 WINDOW w AS {W})"""
+
+
 JOINT = f"""{EVENT_SERIES},
 xy AS (SELECT *, value AS x, gap_hours AS y, row_number() OVER o AS tt, lag(value) OVER o AS lx,
   lag(gap_hours) OVER o AS ly FROM series WHERE gap_hours IS NOT NULL

@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.book import load, query, r6, rounded, texts
 
+from tidewatch.catalog.joint import MULTI, joint3_sql
 from tidewatch.catalog.signals import BURN_IN, CROSSED, signal_ctes
 from tidewatch.catalog.similarity import TOKENS, V
 from tidewatch.functions.vectors import doubles
+from tidewatch.operators.joint_signals import JOINT_METRICS, joint_signals
 from tidewatch.plans.climate import climate_vectors
 from tidewatch.plans.coding import Scores, clean_reports, code_events, combine_phmsa_narratives
 from tidewatch.plans.measures import (
@@ -183,14 +185,36 @@ def unit_measure_signals(spark, sf_dir):
         "event_id", "user_id", *[f"{m}_crossed" for m in metrics])
 
 
-@query("unit_joint_signal_counts")
+JOINT3 = f"""{JOINED},
+xyz AS (SELECT user_id, event_id, ts, sim AS x, gap AS y, burst AS z, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tt
+  FROM series WHERE sim IS NOT NULL AND gap IS NOT NULL AND burst IS NOT NULL),
+{joint3_sql("xyz")}"""
+
+
+@query(
+    "unit_joint_signal_counts",
+    f"""WITH {JOINT3}, counts AS (SELECT event_id, {MULTI} AS n FROM strong3 WHERE tt > {BURN_IN})
+SELECT user_id, CAST(sum(n) AS BIGINT) AS crossings, count(*) AS events FROM xyz LEFT JOIN counts USING (event_id) GROUP BY 1""",
+)
 def unit_joint_signal_counts(spark, sf_dir):
-    """Crossings of the twelve joint metrics of three measures; three series have no closed form."""
+    """Crossings of the twelve joint metrics of three measures, per unit."""
     metrics = ["cos_sim_rw_vec_1", "inter_event_dur", "b_param"]
     signals = unit_signals(measures(spark, sf_dir), "user_id", "ts", metrics, "event_id", BURN_IN)
     return signals.groupBy("user_id").agg(F.sum("multi_crossed").alias("crossings"), F.count(F.lit(1)).alias("events"))
 
 
+@query(
+    "unit_joint_metrics",
+    f"WITH {JOINT3} SELECT event_id, tt AS t, " + ", ".join(f"round({m}, 5) + 0.0 AS {m}" for m in JOINT_METRICS) + f" FROM strong3 WHERE tt > {BURN_IN}",
+)
+def unit_joint_metrics(spark, sf_dir):
+    """The twelve metrics of three measures at every event after the burn-in."""
+    metrics = ["cos_sim_rw_vec_1", "inter_event_dur", "b_param"]
+    whole = measures(spark, sf_dir).na.drop(subset=metrics).select("user_id", "ts", "event_id", *metrics)
+    found = joint_signals(whole, ["user_id"], ["ts", "event_id"], metrics, burn_in=BURN_IN)
+    return rounded(found.select("event_id", F.col("t").cast("bigint").alias("t"), *JOINT_METRICS), *JOINT_METRICS, digits=5)
+
+
 DAILY = f"""e AS (SELECT vec_id, label, vec_id // 100 AS day, {V} AS v FROM embeddings),
 x AS (SELECT label, day, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM e),
 m AS (SELECT label, day, pos, avg(x) AS x FROM x GROUP BY ALL),
