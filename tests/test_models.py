@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidewatch.operators import array_sums as AS
 from tidewatch.operators import causality as M
 from tidewatch.operators import factors as FA
 from tidewatch.operators import regression as R
@@ -494,3 +495,60 @@ def test_a_point_visits_few_tiles_of_a_long_series(spark):
     head = [M.T.StructField(c, k) for c, k in (("unit", M.T.StringType()), ("E", M.T.IntegerType()), ("step", M.T.IntegerType()), ("t", M.T.LongType()))]
     rows = M.tile_neighbours(tiled.cache(), ["unit"], 3, 1, [(2, 1), (3, 1)], M.T.StructType(head)).count()
     assert rows < 5 * 2 * n < len(sizes) * n / 5
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("table_bytes", [V.GRAM_BYTES, 0])
+def test_pairwise_similarity_of_few_and_many_groups(spark, table_bytes):
+    rng = np.random.default_rng(6)
+    rows = []
+    for g, n in enumerate([1, 2, 3, 5, 6, 7, 40, 300]):  # around and far beyond the width of 6
+        v = rng.normal(size=(n, 6))
+        v[n // 2] = 0.0 if n > 2 else v[0]
+        if n == 300:
+            v[:200] = v[0]  # copies
+        rows += [(g, "x" if g % 2 else None, x.tolist()) for x in v]
+    df = spark.createDataFrame(rows, "g int, h string, vec array<double>").repartition(5)
+    found = V.pairwise_similarity(df, ["g"], "vec", 6, table_bytes=table_bytes)
+    assert "Generate" not in plan_of(found)
+    got = {r["g"]: r for r in found.collect()}
+    for g in range(8):
+        m = np.array([r[2] for r in rows if r[0] == g])
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        u = m / np.where(size > 0, size, 1.0)
+        if len(u) == 1:
+            assert got[g]["mean_sim"] is None and got[g]["std_sim"] is None
+            continue
+        pairs = (u @ u.T)[~np.eye(len(u), dtype=bool)]
+        assert got[g]["mean_sim"] == pytest.approx(pairs.mean(), abs=1e-9) and got[g]["std_sim"] == pytest.approx(pairs.std(), abs=1e-7)
+
+
+def test_mean_vectors_of_very_many_groups(spark):
+    df = spark.range(40_000).selectExpr("id div 2 AS g", "IF(id % 7 = 0, NULL, 'k') AS k", "transform(sequence(1, 256), i -> CASE WHEN (id + i) % 50 = 0 THEN NULL ELSE cast((id * i) % 11 AS double) END) AS vec")
+    found = V.mean_vector(df, ["g", "k"], "vec", "m")
+    assert "Generate" not in plan_of(found)
+    assert found.groupBy("g", "k").count().filter("count > 1").count() == 0
+    for r in found.filter("g % 4000 = 3").collect():
+        ids = [i for i in (2 * r["g"], 2 * r["g"] + 1) if (i % 7 == 0) == (r["k"] is None)]
+        for i in (1, 100, 256):
+            values = [(x * i) % 11 for x in ids if (x + i) % 50]
+            assert r["m"][i - 1] == (pytest.approx(sum(values) / len(values)) if values else None)
+
+
+def test_array_sums_across_batches(spark, monkeypatch):
+    monkeypatch.setattr(AS, "PENDING_BYTES", 0)
+    df = spark.range(3000).selectExpr("id % 3 AS g", "array(1D, cast(id AS double)) AS a").repartition(4)
+    with_small = df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r["g"]: r["a"] for r in AS.sum_arrays(df, ["g"], "a").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_small)
+    assert got == {g: [1000.0, float(sum(range(g, 3000, 3)))] for g in range(3)}
+    assert AS.sum_arrays(df.filter("g > 5"), ["g"], "a").collect() == []
+    mixed = spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "g int, a array<double>").coalesce(1)
+    with pytest.raises(Exception, match="one length"):
+        AS.sum_arrays(mixed, ["g"], "a").collect()

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.vectors import cosine, doubles, mean_of, unit_vector
+from tidewatch.operators.array_sums import group_starts, lists, map_groups, matrix, sum_arrays
 from tidewatch.operators.groups import groups_of_size
 from tidewatch.operators.ordering import BLOCK_ROWS, OrderedRows, in_order
+from tidewatch.session import settle
+
+#: Products of all groups that one task may hold.
+GRAM_BYTES = 64_000_000
 
 
 def vector_length(df: DataFrame, column: str) -> int:
@@ -78,12 +81,12 @@ def unit_similarity(
 
 def mean_vector(df: DataFrame, by: list[str], vector: str, name: str) -> DataFrame:
     """Element-wise mean per group. Partial sums leave each task, never the vectors."""
-    v = doubles(vector)
-    parts = df.select(*by, F.posexplode(v).alias("_pos", "_x"))
-    cells = parts.groupBy(*by, "_pos").agg(F.avg("_x").alias("_x"))
-    # every position occurs, so the sorted cells are the vector
-    packed = F.array_sort(F.collect_list(F.struct("_pos", "_x")))["_x"]
-    return cells.groupBy(*by).agg(packed.alias(name))
+    values = F.transform(doubles(vector), lambda x: F.coalesce(x, F.lit(0.0)))
+    known = F.transform(doubles(vector), lambda x: x.isNotNull().cast("double"))
+    sums = sum_arrays(df.filter(F.col(vector).isNotNull()).select(*by, F.concat(values, known).alias("_sums")), by, "_sums")
+    half = (F.size("_sums") / 2).cast("int")
+    mean = F.zip_with(F.slice("_sums", F.lit(1), half), F.slice("_sums", half + 1, half), lambda s, n: F.try_divide(s, n))
+    return sums.select(*by, mean.alias(name))
 
 
 def day_similarity(
@@ -115,7 +118,7 @@ def rolling_day_similarity(
 
 
 def pairwise_similarity(
-    df: DataFrame, by: list[str], vector: str, dim: int, with_sd: bool = True
+    df: DataFrame, by: list[str], vector: str, dim: int, with_sd: bool = True, table_bytes: int = GRAM_BYTES
 ) -> DataFrame:
     """Mean and sd (of all ordered pairs) of the cosine between the vectors of a group.
 
@@ -128,43 +131,114 @@ def pairwise_similarity(
     counts = u.groupBy(*by).agg(
         F.count(F.lit(1)).cast("double").alias("_n"), F.sum("_n1").cast("double").alias("_n1")
     )
-    sums = u.select(*by, F.posexplode("_u").alias("_pos", "_x")).groupBy(*by, "_pos").agg(
-        F.sum("_x").alias("_s")
-    )
-    firsts = sums.groupBy(*by).agg(F.sum(F.col("_s") * F.col("_s")).alias("_s2"))
-    result = counts.join(firsts, by)
     pairs = F.col("_n") * (F.col("_n") - 1)
     mean = F.when(F.col("_n") > 1, (F.col("_s2") - F.col("_n1")) / F.nullif(pairs, F.lit(0.0)))
     if not with_sd:
-        return result.select(*by, F.col("_n").alias("n"), mean.alias("mean_sim"))
-    squares = _gram_squares(u, by, dim)
-    result = result.join(squares, by)
+        sums = sum_arrays(u, by, "_u").select(*by, squared("_u").alias("_s2"))
+        return counts.join(sums, by).select(*by, F.col("_n").alias("n"), mean.alias("mean_sim"))
+    counts = settle(counts)
+    result = counts.join(_sum_and_gram_squares(u.select(*by, "_u"), counts, by, dim, table_bytes), by)
     second = F.when(F.col("_n") > 1, (F.col("_g2") - F.col("_n1")) / F.nullif(pairs, F.lit(0.0)))
     sd = F.when(F.col("_n") > 1, F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))))
     return result.select(*by, F.col("_n").alias("n"), mean.alias("mean_sim"), sd.alias("std_sim"))
 
 
-def _gram_squares(u: DataFrame, by: list[str], dim: int) -> DataFrame:
-    """|Σuuᵀ|² per group: matrix products per Arrow batch, then sums of the cells on Spark."""
-    upper = np.triu_indices(dim)
-    weight = F.when(F.col("_pos").isin(*np.flatnonzero(upper[0] == upper[1]).tolist()), 1.0).otherwise(2.0)
+def squared(column: str) -> Column:
+    return F.aggregate(column, F.lit(0.0), lambda a, x: a + x * x)
+
+
+def _sum_and_gram_squares(u: DataFrame, counts: DataFrame, by: list[str], dim: int, table_bytes: int) -> DataFrame:
+    """(by, _s2, _g2): |Σu|² and |Σuuᵀ|² per group.
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Few groups: every task adds up d×d products for all of them. Many groups: those of at most d rows come together and
+    have n×n products instead; larger ones are cut into parts that add up d×d products one after the other.
+    """
+    if counts.count() * (dim + dim * dim) * 8 <= table_bytes:
+        return _from_products(u.mapInArrow(_products_of_task(by, dim), _product_schema(u, by)), by)
+    sized = u.join(counts.select(*by, "_n"), by)
+    few = sized.filter(F.col("_n") <= dim).select(*by, "_u")
+
+    def square(rows: pa.RecordBatch) -> list[float]:
+        m = matrix(rows.column("_u"))
+        products = m @ m.T
+        return [float(products.sum()), float((products * products).sum())]
+
+    numbers = [T.StructField(c, T.DoubleType()) for c in ("_s2", "_g2")]
+    small = map_groups(few, by, square, numbers)
+    # copies of a vector meet first, so that the rest of a group can be dealt out by the vector's hash
+    many = sized.filter(F.col("_n") > dim).groupBy(*by, "_n", "_u").agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    many = many.withColumn("_part", F.pmod(F.xxhash64("_u"), F.ceil(F.col("_n") / (8 * dim))))
+    part = [*by, "_part"]
+    sorted_rows = many.repartition(*part).sortWithinPartitions(*part).select(*part, "_u", "_w")
+    products = sorted_rows.mapInArrow(_products_of_runs(part, by, dim), _product_schema(u, by))
+    return small.unionByName(_from_products(products, by))
+
+
+def _product_schema(u: DataFrame, by: list[str]) -> T.StructType:
+    return T.StructType([u.schema[b] for b in by] + [T.StructField("_row", T.IntegerType()), T.StructField("_sums", T.ArrayType(T.DoubleType()))])
+
+
+def _product_rows(heads: pa.RecordBatch, by: list[str], sums: np.ndarray, grams: np.ndarray) -> pa.RecordBatch:
+    """d + 1 rows for each of some groups: the sum of its vectors, then the rows of its products."""
+    n, dim = sums.shape
+    rows = np.concatenate([sums[:, None, :], grams], axis=1).reshape(n * (dim + 1), dim)
+    keys = heads.take(pa.array(np.repeat(np.arange(n), dim + 1)))
+    return pa.RecordBatch.from_arrays([*keys.columns, pa.array(np.tile(np.arange(dim + 1), n), pa.int32()), lists(rows)], names=[*by, "_row", "_sums"])
+
+
+def _products_of_task(by: list[str], dim: int):
+    def run(batches):
+        groups: dict[tuple, int] = {}
+        heads, sums, grams = [], np.zeros((0, dim)), np.zeros((0, dim, dim))
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            grams = []
-            for key, part in batch.groupby(by, sort=False, dropna=False):
-                m = np.stack(part["_u"].to_numpy())
-                grams.append((*key, (m.T @ m)[upper]))
-            yield pd.DataFrame(grams, columns=[*by, "_gram"])
-
-    schema = T.StructType([u.schema[b] for b in by] + [T.StructField("_gram", T.ArrayType(T.DoubleType()))])
-    parts = u.select(*by, "_u").mapInPandas(partial, schema)
-    cells = parts.select(*by, F.posexplode("_gram").alias("_pos", "_g")).groupBy(*by, "_pos").agg(
-        F.sum("_g").alias("_g")
-    )
-    return cells.groupBy(*by).agg(F.sum(F.col("_g") * F.col("_g") * weight).alias("_g2"))
+            m, (order, starts) = matrix(batch.column("_u")), group_starts(batch, by)
+            ends = [*starts[1:].tolist(), batch.num_rows]
+            for a, b in zip(starts.tolist(), ends):
+                head = batch.select(by).slice(int(order[a]), 1)
+                at = groups.setdefault(tuple(c[0].as_py() for c in head.columns), len(groups))
+                if at == len(heads):
+                    heads.append(head)
+                    sums, grams = np.concatenate([sums, np.zeros((1, dim))]), np.concatenate([grams, np.zeros((1, dim, dim))])
+                x = m[order[a:b]]
+                sums[at] += x.sum(0)
+                grams[at] += x.T @ x
+        for at, head in enumerate(heads):
+            yield _product_rows(head, by, sums[at : at + 1], grams[at : at + 1])
+
+    return run
+
+
+def _products_of_runs(part: list[str], by: list[str], dim: int):
+    def run(batches):
+        head, here, total, gram = None, None, np.zeros(dim), np.zeros((dim, dim))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, w, (order, starts) = matrix(batch.column("_u")), batch.column("_w").to_numpy(), group_starts(batch, part)
+            ends = [*starts[1:].tolist(), batch.num_rows]
+            for a, b in zip(starts.tolist(), ends):
+                rows = batch.slice(a, 1)
+                key = tuple(rows.column(c)[0].as_py() for c in part)
+                if key != here:
+                    if head is not None:
+                        yield _product_rows(head, by, total[None], gram[None])
+                    head, here, total, gram = rows.select(by), key, np.zeros(dim), np.zeros((dim, dim))
+                x, n = m[order[a:b]], w[order[a:b]]
+                total += n @ x
+                gram += (x * n[:, None]).T @ x
+        if head is not None:
+            yield _product_rows(head, by, total[None], gram[None])
+
+    return run
+
+
+def _from_products(products: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of one group's products are added up apart, so a hot group is spread over d + 1 keys."""
+    rows = sum_arrays(products, [*by, "_row"], "_sums").select(*by, "_row", squared("_sums").alias("_x"))
+    first = F.col("_row") == 0
+    return rows.groupBy(*by).agg(F.sum(F.when(first, F.col("_x"))).alias("_s2"), F.sum(F.when(~first, F.col("_x"))).alias("_g2"))
 
 
 # -- similarity of neighbouring documents ----------------------------------------------------------
