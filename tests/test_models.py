@@ -552,3 +552,25 @@ def test_array_sums_across_batches(spark, monkeypatch):
     mixed = spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "g int, a array<double>").coalesce(1)
     with pytest.raises(Exception, match="one length"):
         AS.sum_arrays(mixed, ["g"], "a").collect()
+
+
+def test_hundreds_of_columns_are_planned_and_scored(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 365)) @ np.diag(np.linspace(1, 3, 365)) + 5
+    x[3, 7] = np.nan
+    names = [f"v{i}" for i in range(365)]
+    df = spark.createDataFrame([(i, *(None if np.isnan(v) else float(v) for v in row)) for i, row in enumerate(x)], "id long, " + ", ".join(f"{n} double" for n in names))
+    whole = np.delete(x, 3, 0)
+    weights = rng.normal(size=(365, 29))
+    c = FA.Components(names, whole.mean(0), whole.std(0, ddof=1), weights, weights)
+    scores = FA.factor_scores(df, c, ["id"])
+    assert len(plan_of(scores)) < 200_000 and scores.columns == ["id", *c.names]
+    got = {r["id"]: [r[n] for n in c.names] for r in scores.filter("id < 20").collect()}
+    assert set(got) == set(range(20)) - {3}
+    for i, row in got.items():
+        assert row == pytest.approx((x[i] - c.mean) / c.sd @ weights, abs=1e-9)
+    some = names[:200]
+    found = {r["id"]: r["mahad"] for r in S.mahalanobis(df.select("id", *some), some).collect()}
+    off, inverse = whole[:, :200] - whole[:, :200].mean(0), np.linalg.inv(np.cov(whole[:, :200].T))
+    assert found[3] is None
+    assert [found[i] for i in range(300) if i != 3] == pytest.approx(np.einsum("ni,ij,nj->n", off, inverse, off), rel=1e-6)

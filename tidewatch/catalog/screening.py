@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.book import ORACLE, load, query, r6, rounded
+from tidewatch.catalog.linear_sql import cholesky_distance_sql, components_sql, correlation_sql, eigen_sql
 from tidewatch.catalog.signals import EVENT_SERIES, ORDER, UNIT, event_series
 from tidewatch.functions.columns import to_long
 from tidewatch.operators import factors as FA
@@ -179,10 +180,73 @@ def kmo_adequacy(spark, sf_dir):
     return rounded(spark.createDataFrame([*each.items(), ("overall", overall)], "variable string, kmo double"), "kmo")
 
 
-@query("factor_count")
+P, KEYS = len(FEATURES), ["l_orderkey", "l_linenumber", "l_partkey"]
+EIGEN = f"{correlation_sql(LINES, FEATURES, 'r')}, {eigen_sql('r', P, 'eigen')}"
+NOISE_DRAWS = """draws AS (SELECT run, r, c, sqrt(-2 * ln((('0x' || h[1:8])::BIGINT + 0.5) / 4294967296)) * cos(2 * pi() * (('0x' || h[9:16])::BIGINT + 0.5) / 4294967296) AS z
+ FROM (SELECT run, r, c, md5('1|' || run || '|' || r || '|' || c) AS h FROM (SELECT unnest(range({runs})) AS run), (SELECT unnest(range({p})) AS r), (SELECT unnest(range({p})) AS c)) WHERE c <= r),
+lower AS (SELECT run, r, c, CASE WHEN c < r THEN z ELSE sqrt(f * greatest(1 - 2 / (9 * f) + z * sqrt(2 / (9 * f)), 0) ^ 3) END AS a FROM (SELECT d.*, n - 1.0 - r AS f FROM draws d, r)),
+cross_ AS (SELECT x.run, x.r, y.r AS c, sum(x.a * y.a) AS s FROM lower x JOIN lower y ON x.run = y.run AND x.c = y.c GROUP BY 1, 2, 3),
+noise AS (SELECT run, list(s / sqrt(a.d * b.d) ORDER BY r, c) AS m FROM cross_ JOIN (SELECT run, r AS r1, s AS d FROM cross_ WHERE r = c) a USING (run) JOIN (SELECT run, r AS r2, s AS d FROM cross_ WHERE r = c) b USING (run)
+ WHERE r = r1 AND c = r2 GROUP BY run)"""
+
+
+@query(
+    "factor_count",
+    f"""WITH RECURSIVE {EIGEN}, {NOISE_DRAWS.format(runs=100, p=P)}, {eigen_sql('noise', P, 'random', ('run',))},
+limits AS (SELECT k, avg(value) AS mean, quantile_cont(value, 0.95) AS p95 FROM random GROUP BY k)
+SELECT k::INT AS component, round(value, 6) AS eigenvalue, round(value / {P}, 6) AS share, round(mean, 6) AS noise_mean, round(p95, 6) AS noise_p95,
+ value > 1 AS kaiser, value > mean AS parallel FROM eigen JOIN limits USING (k)""",
+)
 def factor_count(spark, sf_dir):
-    """Scree table and parallel analysis of the line item features; noise is drawn, so no SQL."""
-    return FA.factor_count(features(spark, sf_dir), FEATURES)
+    """Scree table and parallel analysis of the line item features."""
+    return rounded(FA.factor_count(features(spark, sf_dir), FEATURES), "eigenvalue", "share", "noise_mean", "noise_p95")
+
+
+@query(
+    "bartlett_all_features",
+    f"""WITH RECURSIVE {EIGEN} SELECT round(-(any_value(n) - 1 - {2 * P + 5} / 6.0) * sum(ln(value)), 3) AS chi_square, {P * (P - 1) // 2}::BIGINT AS df,
+ any_value(n) AS n FROM eigen, r""",
+)
+def bartlett_all_features(spark, sf_dir):
+    b = FA.bartlett(features(spark, sf_dir), FEATURES)
+    return rounded(spark.createDataFrame([(b.chi_square, b.df, b.n)], "chi_square double, df long, n long"), "chi_square", digits=3)
+
+
+@query(
+    "kmo_all_features",
+    f"""WITH RECURSIVE {EIGEN}, inverse AS (SELECT i, j, sum(vec[i + 1] * vec[j + 1] / value) AS q FROM eigen, (SELECT unnest(range({P})) AS i), (SELECT unnest(range({P})) AS j) GROUP BY 1, 2),
+cells AS (SELECT x.i, x.j, r.m[x.i * {P} + x.j + 1] ^ 2 AS r2, x.q ^ 2 / (a.q * b.q) AS q2 FROM inverse x JOIN inverse a ON a.i = x.i AND a.j = x.i
+ JOIN inverse b ON b.i = x.j AND b.j = x.j, r WHERE x.i <> x.j)
+SELECT {FEATURES}[i + 1] AS variable, round(sum(r2) / (sum(r2) + sum(q2)), 6) AS kmo FROM cells GROUP BY i UNION ALL
+SELECT 'overall', round(sum(r2) / (sum(r2) + sum(q2)), 6) FROM cells""",
+)
+def kmo_all_features(spark, sf_dir):
+    overall, each = FA.kmo(features(spark, sf_dir), FEATURES)
+    return rounded(spark.createDataFrame([*each.items(), ("overall", overall)], "variable string, kmo double"), "kmo")
+
+
+@query(
+    "mahalanobis_all_features",
+    f"""WITH {cholesky_distance_sql(LINES, FEATURES, ", ".join(KEYS), "distances")} SELECT {", ".join(KEYS)}, round(mahad, 5) + 0.0 AS mahad FROM distances""",
+)
+def mahalanobis_all_features(spark, sf_dir):
+    rows = features(spark, sf_dir).select(*KEYS, *FEATURES)
+    return rounded(S.mahalanobis(rows, FEATURES).select(*KEYS, "mahad"), "mahad", digits=5)
+
+
+@query(
+    "component_scores_all_features",
+    f"""WITH RECURSIVE {EIGEN}, {components_sql('eigen', P, 3, 'rotated')},
+stats AS (SELECT [{", ".join(f"avg({c})" for c in FEATURES)}] AS mean, [{", ".join(f"stddev_samp({c})" for c in FEATURES)}] AS sd FROM {LINES}),
+z AS (SELECT {", ".join(KEYS)}, list_transform(range({P}), lambda i: ([{", ".join(f"{c}::DOUBLE" for c in FEATURES)}][i + 1] - mean[i + 1]) / sd[i + 1]) AS z FROM {LINES}, stats),
+w AS (SELECT {", ".join(f"any_value(weight) FILTER (f = {f}) AS w{f}" for f in (1, 2, 3))} FROM rotated)
+SELECT {", ".join(KEYS)}, {", ".join(f"round(list_dot_product(z, w{f}), 5) + 0.0 AS RC{f}" for f in (1, 2, 3))} FROM z, w""",
+)
+def component_scores_all_features(spark, sf_dir):
+    """Scores of every row on three rotated components of all features."""
+    rows = features(spark, sf_dir)
+    c = FA.principal_components(rows, FEATURES, 3)
+    return rounded(FA.factor_scores(rows, c, KEYS), "RC1", "RC2", "RC3", digits=5)
 
 
 @query(
@@ -198,9 +262,13 @@ def principal_component_scores(spark, sf_dir):
     return rounded(FA.factor_scores(rows, c, ["l_orderkey", "l_linenumber", "l_partkey"]), "RC1")
 
 
-@query("rotated_loadings")
+@query(
+    "rotated_loadings",
+    f"""WITH RECURSIVE {EIGEN}, {components_sql('eigen', P, 3, 'rotated')}
+SELECT {FEATURES}[i] AS variable, 'RC' || f AS factor, round(loading[i], 6) + 0.0 AS loading FROM (SELECT *, generate_subscripts(loading, 1) AS i FROM rotated)""",
+)
 def rotated_loadings(spark, sf_dir):
-    """Rotation is iterative, so no SQL; the tests check it against its definition."""
+    """Rotated loadings of the robustly standardised features, whose correlations are those of the features."""
     c = FA.principal_components(S.robust_standardise(features(spark, sf_dir), FEATURES), FEATURES, 3)
     return rounded(FA.loadings_table(spark, c), "loading")
 

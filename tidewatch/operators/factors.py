@@ -8,12 +8,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.operators.matrices import apply_matrix
 from tidewatch.operators.screening import correlation_matrix, moment_matrices
 
 
@@ -45,22 +47,33 @@ def kmo(df: DataFrame, columns: list[str]) -> tuple[float, dict[str, float]]:
     return float(r2.sum() / (r2.sum() + q2.sum())), dict(zip(columns, map(float, each)))
 
 
+def standard_normal(key: str) -> float:
+    """A normal number by the polar angle and radius from the first two 32-bit words of the key's MD5."""
+    digest = md5(key.encode()).hexdigest()
+    radius, angle = ((int(digest[i : i + 8], 16) + 0.5) / 2**32 for i in (0, 8))
+    return math.sqrt(-2 * math.log(radius)) * math.cos(2 * math.pi * angle)
+
+
 def noise_eigenvalues(
     spark: SparkSession, n: int, p: int, iterations: int = 100, seed: int = 1
 ) -> DataFrame:
     """Mean and 95th percentile of the eigenvalues of the correlations of n rows of p noise columns.
 
     The cross-products of normal noise are drawn by their triangular factor, so an iteration costs
-    p² draws however many rows it stands for.
+    p² draws however many rows it stands for. Draws are hashes of seed, iteration and place (see ``standard_normal``); the
+    chi-squares on the diagonal are cubes of normals, which is close where rows outnumber columns by far.
     """
+    free = n - 1.0 - np.arange(p)
+    if free.min() < 1:
+        raise ValueError("more rows than columns expected")
 
     def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for i in batch["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                a = np.tril(rng.standard_normal((p, p)), -1)
-                a[np.diag_indices(p)] = np.sqrt(rng.chisquare(n - 1 - np.arange(p)))
+                z = np.array([[standard_normal(f"{seed}|{i}|{r}|{c}") if c <= r else 0.0 for c in range(p)] for r in range(p)])
+                a = np.tril(z, -1)
+                a[np.diag_indices(p)] = np.sqrt(free * np.maximum(1 - 2 / (9 * free) + np.diag(z) * np.sqrt(2 / (9 * free)), 0) ** 3)
                 s = a @ a.T
                 d = np.sqrt(np.diag(s))
                 values = np.linalg.eigvalsh(s / np.outer(d, d))[::-1]
@@ -143,16 +156,9 @@ def principal_components(df: DataFrame, columns: list[str], n_factors: int, rota
 
 
 def factor_scores(df: DataFrame, c: Components, keys: list[str]) -> DataFrame:
-    """Scores of complete rows, by key: a weighted sum of columns, computed where the rows are."""
+    """Scores of complete rows, by key: the standardised columns times the weights, computed where the rows are."""
     rows = df.na.drop(subset=c.columns)
-    scores = []
-    for f, name in enumerate(c.names):
-        total = F.lit(0.0)
-        for v, column in enumerate(c.columns):
-            z = (F.col(column).cast("double") - F.lit(float(c.mean[v]))) / F.lit(float(c.sd[v]))
-            total = total + z * F.lit(float(c.weights[v, f]))
-        scores.append(total.alias(name))
-    return rows.select(*keys, *scores)
+    return apply_matrix(rows, c.columns, keys, c.mean, c.weights / c.sd[:, None], c.names)
 
 
 def loadings_table(spark: SparkSession, c: Components) -> DataFrame:

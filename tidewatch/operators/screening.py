@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.matrices import apply_matrix
 from tidewatch.operators.quantiles import quantiles
 
 MAD_SCALE = 1.4826  # fixed value: consistent with the standard deviation of a normal distribution
@@ -164,15 +165,9 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarr
 def mahalanobis(df: DataFrame, columns: list[str], name: str = "mahad") -> DataFrame:
     """Squared distance of each complete row from the mean, in units of the covariance."""
     _, mean, cov = moment_matrices(df, columns)
-    inverse = np.linalg.inv(cov)
-    off = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(columns, mean)]
-    df = df.withColumn("_off", F.array(*off))
-    total = F.lit(0.0)
-    for i in range(len(columns)):
-        for j in range(i, len(columns)):
-            weight = float(inverse[i, j]) * (1.0 if i == j else 2.0)
-            total = total + F.lit(weight) * F.col("_off")[i] * F.col("_off")[j]
-    return df.withColumn(name, total).drop("_off")
+    # with cov = LLᵀ the distance is the squared length of the row less the mean, times the inverse of Lᵀ
+    factor = np.linalg.inv(np.linalg.cholesky(cov)).T
+    return apply_matrix(df, columns, df.columns, mean, factor, [name], lengths=True)
 
 
 def icc(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
