@@ -33,8 +33,9 @@ SAMPLE = 16_384
 BOUND = 3.0
 QUERIES = 8_192
 GROUP = 1 << 20
-#: Estimates held at once.
+#: Estimates, and pairs to rerank, held at once.
 ESTIMATES = 4_000_000
+PAIRS = 1 << 16
 
 
 def finite_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -146,7 +147,12 @@ class Block:
 
     def __init__(self, node: list[bytes], vectors: np.ndarray, centres: np.ndarray, k: int, bound: float):
         self.node, self.vectors, self.centres, self.k, self.bound = node, vectors, centres, k, bound
-        self.turn = rotation(vectors.shape[1])
+        turn = rotation(vectors.shape[1])
+        self.turned = (vectors @ turn.T).astype(np.float32)
+        self.turned_centres = centres @ turn.T
+        self.with_centre = (vectors @ centres.T).astype(np.float32)
+        self.residual = np.sqrt(np.maximum((vectors**2).sum(1)[:, None] - 2 * vectors @ centres.T + (centres**2).sum(1), 0)).astype(np.float32)
+        self.small, self.size = vectors.astype(np.float32), np.sqrt((vectors**2).sum(1))
         self.score = np.full((len(node), k), -np.inf)
         self.least = np.full((len(node), k), np.iinfo(np.int64).max)
         self.place = np.full((len(node), k), -1)  # of the node among all that have passed
@@ -179,30 +185,42 @@ class Block:
         cell = batch.column("cell").to_numpy()
         least = pa.compute.list_element(batch.column("ids"), 0).to_numpy()
         vectors = matrix(batch.column("vec"), dim)
+        small, size = vectors.astype(np.float32), np.sqrt((vectors**2).sum(1))
         packed = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(cell), -1)
+        signs = np.unpackbits(packed, axis=1, count=dim).astype(np.float32) * 2 - 1
         factor, error, apart = (batch.column(c).to_numpy() for c in ("factor", "error", "apart"))
+        # the rotated residual of a query is its rotation less its centre's, so the centre's part is a number of the candidate
+        apart = (apart - factor * (self.turned_centres[cell] * signs).sum(1)).astype(np.float32)
+        factor, error = factor.astype(np.float32), (self.bound * error).astype(np.float32)
         step = max(1, ESTIMATES // len(cell))
         wanted = np.zeros(len(cell), bool)
         for low in range(0, len(self.node), step):
-            queries = self.vectors[low : low + step]
-            estimate, upper = (np.empty((len(queries), len(cell)), np.float32) for _ in range(2))
-            for c in np.unique(cell).tolist():
-                at = np.flatnonzero(cell == c)
-                residual = (queries - self.centres[c]) @ self.turn.T
-                signs = np.unpackbits(packed[at], axis=1, count=dim).astype(np.float32) * 2 - 1
-                found = residual.astype(np.float32) @ signs.T * factor[at] + apart[at] + (queries @ self.centres[c])[:, None]
-                estimate[:, at] = found
-                upper[:, at] = found + self.bound * np.sqrt((residual**2).sum(1))[:, None] * error[at] + 1e-5 * (1 + np.abs(found))
-            k = min(self.k, len(cell))
-            likely = np.argpartition(-estimate, k - 1, axis=1)[:, :k]
-            q, c = np.repeat(np.arange(len(queries)), k), likely.ravel()
-            self.keep(q + low, self.exact(q + low, vectors, c), least, c)
-            wanted[c] = True
-            np.put_along_axis(upper, likely, -np.inf, axis=1)
-            q, c = np.nonzero((upper >= self.score[low : low + step, -1:]) & (upper > -np.inf))
-            if len(q):
+            part = slice(low, low + step)
+            upper = self.turned[part] @ signs.T
+            upper *= factor
+            upper += apart
+            upper += self.with_centre[part][:, cell]
+            fresh = np.flatnonzero(self.place[part, -1] < 0)
+            if len(fresh):  # queries that keep fewer than k so far begin with the best estimates
+                k = min(self.k, len(cell))
+                likely = np.argpartition(-upper[fresh], k - 1, axis=1)[:, :k]
+                q, c = np.repeat(fresh, k), likely.ravel()
                 self.keep(q + low, self.exact(q + low, vectors, c), least, c)
                 wanted[c] = True
+            upper += self.residual[part][:, cell] * error
+            upper += 1e-5 * (1 + np.abs(upper))
+            if len(fresh):
+                upper[q, c] = -np.inf
+            q, c = np.nonzero((upper >= self.score[part, -1:].astype(np.float32)) & (upper > -np.inf))
+            for at in range(0, len(q), PAIRS):
+                qs, cs = q[at : at + PAIRS], c[at : at + PAIRS]
+                # in single precision first, as few of those within the bounds are near in the end
+                score = np.einsum("ij,ij->i", self.small[qs + low], small[cs])
+                near = score >= self.score[qs + low, -1] - 1e-5 * self.size[qs + low] * size[cs]
+                if near.any():
+                    qs, cs = qs[near], cs[near]
+                    self.keep(qs + low, self.exact(qs + low, vectors, cs), least, cs)
+                    wanted[cs] = True
         ids = batch.column("ids")
         self.ids |= {self.gone + i: ids[i].as_py() for i in np.flatnonzero(wanted).tolist()}
         self.gone += len(cell)
