@@ -9,7 +9,7 @@ from tidewatch.operators import joins as J
 from tidewatch.operators.groups import date_spine, groups_of_size, histogram, with_group_end
 from tidewatch.session import require_columns, scratch_path, shared_dir
 from tidewatch.sources.dictionaries import liwc_dictionary
-from tidewatch.sources.pages import REPORT_FIELDS, anchors, by_id, extract_fields, narratives, split_bad
+from tidewatch.sources.pages import REPORT_FIELDS, anchors, by_id, by_tag, extract_fields, narratives, split_bad
 from tidewatch.sources.readers import read_csv, read_many, read_two_line_header, union_by_name
 from tidewatch.tables import registry as R
 from tidewatch.tables.writers import append, export_csv, load_stage, save_stage
@@ -203,3 +203,12 @@ def test_an_element_ends_at_its_own_closing_tag(spark):
     pages = spark.createDataFrame([(h,) for h in html], "html string")
     got = [r["f"] for r in extract_fields(pages, "html", {"f": by_id("x")}).collect()]
     assert got == ["abcd", "one", None, None, None, "self"]
+
+
+def test_many_tags_and_fields_of_a_page(spark):
+    deep = '<p id="a">' + "<p>x" * 3000 + "</p>" * 3000 + "end</p>" + "<q>y</q>" * 3000 + "<Q data='>'>last"
+    pages = spark.createDataFrame([(deep,), ('<i\nid="b"\n>one</i><a id="c">two</A >',)], "html string")
+    fields = {"a": by_id("a"), "b": by_id("b"), "c": by_id("c"), "q": by_tag("q"), "none": by_tag("table")}
+    got = extract_fields(pages, "html", fields).collect()
+    assert got[0]["a"] == "x" * 3000 + "end" and got[0]["q"] == "y" and got[0]["none"] is None and got[0]["b"] is None
+    assert (got[1]["b"], got[1]["c"], got[1]["a"]) == ("one", "two", None)

@@ -10,7 +10,11 @@ from tidewatch.operators.groups import ordered_text
 from tidewatch.operators.scoring import (
     dictionary_hits,
     dictionary_scores,
+    dictionary_table,
+    merged_frequencies,
     new_text_vectors,
+    text_frequencies,
+    token_features,
     passive_rule,
     passive_voice,
     sentiment,
@@ -157,6 +161,43 @@ def test_terms_and_vectors(spark):
     assert [r["eid"] for r in new_text_vectors(df, stored, "eid", "text", dim=32).orderBy("eid").collect()] == [2, 3]
 
 
+def test_vectors_of_batches_equal_those_of_one_run(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["red", "green", "blue", "door", "pump", "valve"], size=n)) for n in rng.integers(0, 9, 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "eid int, text string")
+    state, seen = str(tmp_path / "state"), spark.createDataFrame([], "eid int")
+    options = dict(key="eid", text="text", frequencies_path=state, dim=16)
+    first = new_text_vectors(df.filter("eid < 15"), seen, batch="a", **options)
+    assert first.count() == 15
+    second = new_text_vectors(df, first, batch="b", **options)
+    again = new_text_vectors(df, first, batch="b", **options)  # a batch stored again replaces itself
+    whole = {r["eid"]: r["embedding"] for r in text_vectors(df, "eid", "text", 16).collect()}
+    for got in (second, again):
+        rows = {r["eid"]: r["embedding"] for r in got.collect()}
+        assert set(rows) == set(range(15, 40))
+        for i, v in rows.items():
+            assert v == pytest.approx(whole[i], abs=1e-12)
+    # texts of a later batch alone would be weighed differently
+    alone = {r["eid"]: r["embedding"] for r in text_vectors(df.filter("eid >= 15"), "eid", "text", 16).collect()}
+    assert any(np.abs(np.array(alone[i]) - whole[i]).max() > 1e-3 for i in alone)
+    apart = merged_frequencies(text_frequencies(df.filter("eid < 15"), "eid", "text", 16), text_frequencies(df.filter("eid >= 15"), "eid", "text", 16))
+    assert {tuple(r) for r in apart.collect()} == {tuple(r) for r in text_frequencies(df, "eid", "text", 16).collect()}
+
+
+def test_large_dictionaries_match_small_ones(spark):
+    df = spark.createDataFrame([(1, "the theatre thaws thrice"), (2, "a an and at ate the"), (3, ""), (4, None), (5, "of the thorn of the")], "eid int, text string")
+    words = [("d", "one", "t*"), ("d", "one", "th*"), ("d", "the", "the"), ("e", "the", "the*"), ("e", "a", "a*"), ("e", "pair", "of th*"), ("e", "none", "zz*")]
+    patterns = spark.createDataFrame(words, "dict string, category string, pattern string")
+    few, many = ({tuple(r) for r in dictionary_hits(df, "eid", "text", patterns, n).collect()} for n in (1000, 0))
+    assert few == many and (1, "d_one", 4) in many and (5, "e_pair", 2) in many
+    vocabulary = spark.createDataFrame([("theatre",), ("t",)], "token string")
+    table = dictionary_table(patterns)
+    feature = F.concat_ws("_", "dict", "category").alias("feature")
+    literals = table.filter(~F.col("is_prefix")).select(F.col("stem").alias("token"), feature)
+    found = token_features(vocabulary, literals, table.filter("is_prefix").select("stem", "n_tokens", feature))
+    assert {tuple(r) for r in found.collect()} == {("theatre", "d_one"), ("theatre", "e_the"), ("t", "d_one")}
+
+
 def test_ordered_text(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, None)], "g int, t int, text string")
     assert ordered_text(df, ["g"], ["t"], "text", "all").first()["all"] == "a b"

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog.book import load, query, r6, rounded, texts
+from tidewatch.catalog.book import ORACLE, load, query, r6, rounded, texts
 from tidewatch.functions.vectors import cosine, doubles, read_vector, to_vector, write_vector
 from tidewatch.operators.ordering import in_order
-from tidewatch.operators.scoring import term_counts, text_vectors, token_statistics
+from tidewatch.operators.scoring import new_text_vectors, term_counts, text_vectors, token_statistics
+from tidewatch.session import scratch_path
 from tidewatch.operators.similarity import (
     day_similarity,
     mean_vector,
@@ -233,3 +234,19 @@ def text_vectors_hashed(spark, sf_dir):
     v = text_vectors(load(spark, sf_dir, "documents"), "doc_id", "text", 64, md5_bucket)
     cells = v.select("doc_id", F.posexplode("embedding").alias("bucket", "w")).filter("w <> 0")
     return rounded(cells, "w")
+
+
+@query(
+    "new_text_vectors",
+    ORACLE["text_vectors_hashed"].replace("WHERE w <> 0", "WHERE w <> 0 AND doc_id % 3 = 0"),
+)
+def new_text_vectors_query(spark, sf_dir):
+    """Vectors of the documents that come second, weighed by the stored frequencies of both batches, as one run over all would."""
+    documents, state = load(spark, sf_dir, "documents"), scratch_path(spark, "text-frequencies")
+    first = documents.filter("doc_id % 3 <> 0")
+    none = spark.createDataFrame([], "doc_id bigint")
+    options = dict(key="doc_id", text="text", frequencies_path=state, dim=64, bucket=md5_bucket)
+    before = new_text_vectors(first, none, batch="first", **options)
+    v = new_text_vectors(documents, before, batch="second", **options)
+    cells = v.select("doc_id", F.posexplode("embedding").alias("bucket", "w")).filter("w <> 0")
+    return rounded(cells, "w")

@@ -48,22 +48,36 @@ def sql_list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-RUNS = f"""{TOKENS},
+def runs_sql(entries) -> str:
+    """CTEs ending in ``found``: the words and pairs of words that fit a pattern of each category."""
+    return f"""{TOKENS},
 runs AS (SELECT doc_id, pos * 2 AS spot, token, 1 AS size FROM tokens UNION ALL
   SELECT doc_id, pos * 2 + 1, token || ' ' || nxt, 2 FROM (SELECT *, lead(token) OVER (PARTITION BY doc_id
     ORDER BY pos) AS nxt FROM tokens) WHERE nxt IS NOT NULL),
 dic AS (SELECT d || '_' || c AS feature, rtrim(p, '*') AS stem, p LIKE '%*' AS is_prefix,
-    len(string_split(p, ' ')) AS size FROM (VALUES {sql_values(ENTRIES)}) v(d, c, p)),
+    len(string_split(p, ' ')) AS size FROM (VALUES {sql_values(entries)}) v(d, c, p)),
 found AS (SELECT DISTINCT doc_id, spot, feature FROM runs JOIN dic ON runs.size = dic.size
   AND CASE WHEN is_prefix THEN starts_with(token, stem) ELSE token = stem END)"""
 
 
+RUNS = runs_sql(ENTRIES)
+#: Stems down to one letter, which words share with very many others.
+SHORT_STEMS = [*ENTRIES, ("one", "t", "t*"), ("one", "a", "a*"), ("one", "de", "de*"), ("two", "t", "t*"), ("two", "pair", "t t*")]
+
+
 @query("dictionary_hits", f"WITH {RUNS} SELECT doc_id, feature, count(*) AS n FROM found GROUP BY 1, 2")
 def dictionary_hits_query(spark, sf_dir):
     """Matches per text and category, several dictionaries in one pass over the words."""
     return dictionary_hits(texts(spark, sf_dir), "doc_id", "text", entries(spark))
 
 
+@query("dictionary_hits_large", f"WITH {runs_sql(SHORT_STEMS)} SELECT doc_id, feature, count(*) AS n FROM found GROUP BY 1, 2")
+def dictionary_hits_large(spark, sf_dir):
+    """The same by the way of a dictionary too long to broadcast: the vocabulary probes stems of each length."""
+    patterns = spark.createDataFrame(SHORT_STEMS, "dict string, category string, pattern string")
+    return dictionary_hits(texts(spark, sf_dir), "doc_id", "text", patterns, broadcast_rows=0)
+
+
 FEATURES = sorted({f"{d}_{c}" for d, c, _ in ENTRIES})
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import STOP_WORDS, count_blank_separated, phrases, stem, words
@@ -40,11 +41,12 @@ def dictionary_table(entries: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def dictionary_hits(df: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
+def dictionary_hits(df: DataFrame, key: str, text: str, entries: DataFrame, broadcast_rows: int | None = None) -> DataFrame:
     """(key, feature, n): how many words or phrases of a text fall into each category.
 
-    One pass over the tokens for all dictionaries. Literals join on the word; ``abc*`` joins on as
-    many first characters as the shortest stem has and is then compared in full. A word counts once
+    One pass over the tokens for all dictionaries. Literals join on the word. A dictionary of at most ``broadcast_rows`` patterns (by default what is broadcast elsewhere)
+    meets the words where they are, ``abc*`` by as many first characters as the shortest stem has; a larger one is
+    joined to the vocabulary of the texts, by one probe per length that stems have. A word counts once
     per category, whatever number of patterns it matches.
     """
     table = dictionary_table(entries)
@@ -57,11 +59,11 @@ def dictionary_hits(df: DataFrame, key: str, text: str, entries: DataFrame) -> D
     texts = df.select(key, words(text).alias("_words")).select(key, F.explode(runs).alias("token"))
     feature = F.concat_ws("_", "dict", "category").alias("feature")
     literals = table.filter(~F.col("is_prefix")).select(F.col("stem").alias("token"), feature)
+    if not (is_bounded(table) if broadcast_rows is None else is_bounded(table, broadcast_rows)):
+        return _hits_by_shuffle(texts, key, literals, table.filter("is_prefix").select("stem", "n_tokens", feature))
     heads = table.filter("is_prefix").select(
         F.substring("stem", 1, shortest or 1).alias("_head"), "stem", "n_tokens", feature
     )
-    if not is_bounded(table):
-        return _hits_by_shuffle(texts, key, literals, heads, shortest)
     # the dictionary meets each word as two arrays, so a category is counted once without a shuffle
     none = F.array().cast("array<string>")
     literals = literals.groupBy("token").agg(F.collect_set("feature").alias("_equal"))
@@ -79,16 +81,27 @@ def dictionary_hits(df: DataFrame, key: str, text: str, entries: DataFrame) -> D
     return found.groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _hits_by_shuffle(texts, key, literals, heads, shortest) -> DataFrame:
-    """For a dictionary too long to broadcast: each distinct word of a text is shuffled once."""
+def token_features(vocabulary: DataFrame, literals: DataFrame, stems: DataFrame) -> DataFrame:
+    """(token, feature) for different tokens: equal patterns, and stems found by one probe per length that stems have.
+
+    A probe is a token's first characters, as many as some stem has, so it meets only stems that it equals.
+    """
+    lengths = [r[0] for r in stems.select(F.length("stem")).distinct().collect()]  # at most the longest pattern's length
+    found = vocabulary.join(literals, "token").select("token", "feature")
+    if lengths:
+        fitting = F.filter(F.array(*map(F.lit, sorted(lengths))), lambda n: n <= F.length("token"))
+        probes = vocabulary.select("token", F.size(F.split("token", " ")).alias("n_tokens"), F.explode(fitting).alias("_n"))
+        probes = probes.withColumn("stem", F.substring("token", F.lit(1), F.col("_n")))
+        found = found.unionByName(probes.join(stems, ["stem", "n_tokens"]).select("token", "feature"))
+    return found.distinct()
+
+
+def _hits_by_shuffle(texts, key, literals, stems) -> DataFrame:
+    """For a dictionary too long to broadcast: the vocabulary finds its patterns, then each different word of a text its features."""
     texts = texts.groupBy(key, "token").agg(F.count(F.lit(1)).alias("_times"))
-    found = texts.join(literals, "token").select(key, "token", "_times", "feature")
-    if shortest is not None:
-        headed = texts.withColumn("_head", F.substring("token", 1, shortest))
-        starts = headed.join(heads, "_head").filter(
-            F.startswith("token", "stem") & (F.size(F.split("token", " ")) == F.col("n_tokens"))
-        )
-        found = found.unionByName(starts.select(*found.columns)).distinct()
+    features = token_features(texts.select("token").distinct(), literals, stems)
+    by_token = features.groupBy("token").agg(F.collect_list("feature").alias("_features"))  # one row per word, so a frequent word can be split
+    found = texts.join(by_token, "token").select(key, F.explode("_features").alias("feature"), "_times")
     return found.groupBy(key, "feature").agg(F.sum("_times").alias("n"))
 
 
@@ -261,6 +274,38 @@ def hashed_bucket(term: Column, dim: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(dim)).cast("int")
 
 
+ALL_TEXTS = -1  # the bucket that holds the number of texts
+
+
+def _bucket_counts(df: DataFrame, key: str, text: str, dim: int, bucket) -> DataFrame:
+    terms = df.select(key, text).repartition(key).select(key, F.explode(words(text)).alias("token"))
+    return terms.groupBy(key, bucket(F.col("token"), dim).alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def text_frequencies(
+    df: DataFrame, key: str, text: str, dim: int = 256, bucket: Callable[[Column, int], Column] = hashed_bucket
+) -> DataFrame:
+    """(bucket, texts): in how many texts each bucket occurs, and under ``ALL_TEXTS`` how many texts there are."""
+    counted = _bucket_counts(df, key, text, dim, bucket).groupBy("bucket").agg(F.count(F.lit(1)).alias("texts"))
+    return counted.unionByName(df.agg(F.lit(ALL_TEXTS).alias("bucket"), F.count(F.lit(1)).alias("texts")))
+
+
+def merged_frequencies(*parts: DataFrame) -> DataFrame:
+    """Frequencies of texts that were counted apart."""
+    rows = reduce(lambda a, b: a.unionByName(b), [p.select("bucket", "texts") for p in parts])
+    return rows.groupBy("bucket").agg(F.sum("texts").alias("texts"))
+
+
+def store_frequencies(frequencies: DataFrame, path: str, batch: str) -> None:
+    """Add a batch's frequencies to the stored state; a batch that is stored again replaces itself."""
+    frequencies.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def stored_frequencies(spark: SparkSession, path: str) -> DataFrame:
+    """The frequencies of all batches stored so far."""
+    return merged_frequencies(spark.read.parquet(path))
+
+
 def text_vectors(
     df: DataFrame,
     key: str,
@@ -268,18 +313,24 @@ def text_vectors(
     dim: int = 256,
     bucket: Callable[[Column, int], Column] = hashed_bucket,
     name: str = "embedding",
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
-    """Hashed TF-IDF vectors of length one, zero for a text without words. Document frequencies are
-    counted per bucket, so the table that is broadcast has ``dim`` rows at any scale."""
-    terms = df.select(key, text).repartition(key).select(key, F.explode(words(text)).alias("token"))
-    counts = terms.groupBy(key, bucket(F.col("token"), dim).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("tf")
-    )
-    n_docs = df.count()
-    idf = counts.groupBy("bucket").agg(
-        F.log((F.lit(n_docs) + 1) / (F.count(F.lit(1)) + 1)).alias("idf")
-    )
-    weighted = counts.join(F.broadcast(idf), "bucket").withColumn("w", F.col("tf") * F.col("idf"))
+    """Hashed TF-IDF vectors of length one, zero for a text without words. Text frequencies are
+    counted per bucket, so the table that is broadcast has ``dim`` rows at any scale; they are those of ``df``
+    unless a state that covers more texts is given."""
+    counts = _bucket_counts(df, key, text, dim, bucket)
+    if frequencies is None:
+        n_docs = df.count()
+        idf = counts.groupBy("bucket").agg(
+            F.log((F.lit(n_docs) + 1) / (F.count(F.lit(1)) + 1)).alias("idf")
+        )
+    else:
+        total = frequencies.filter(F.col("bucket") == ALL_TEXTS).first()
+        n_docs = total["texts"] if total else 0
+        idf = frequencies.filter(F.col("bucket") != ALL_TEXTS).select("bucket", F.log((F.lit(n_docs) + 1) / (F.col("texts") + 1)).alias("idf"))
+    # a bucket that the state has not seen occurs in none of its texts
+    idf_of = F.coalesce("idf", F.log(F.lit(n_docs) + 1))
+    weighted = counts.join(F.broadcast(idf), "bucket", "left").withColumn("w", F.col("tf") * idf_of)
     cells = weighted.groupBy(key).agg(F.collect_list(F.struct("bucket", "w")).alias("_cells"))
 
     @F.pandas_udf("array<double>")
@@ -295,6 +346,21 @@ def text_vectors(
     return df.select(key).distinct().join(made, key, "left").withColumn(name, F.coalesce(name, zero))
 
 
-def new_text_vectors(df: DataFrame, stored: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """Vectors only for the events that have none yet."""
-    return text_vectors(df.join(stored.select(key), key, "left_anti"), key, text, **options)
+def new_text_vectors(
+    df: DataFrame, stored: DataFrame, key: str, text: str, frequencies_path: str | None = None, batch: str | None = None,
+    dim: int = 256, bucket: Callable[[Column, int], Column] = hashed_bucket, name: str = "embedding",
+) -> DataFrame:
+    """Vectors only for the events that have none yet.
+
+    With ``frequencies_path`` the new texts' frequencies join the stored state as ``batch`` first, and the weights are those of
+    all texts so far, so that new vectors are what one run over all texts would give them. Without it they are weighed
+    by themselves.
+    """
+    fresh = df.join(stored.select(key), key, "left_anti")
+    state = None
+    if frequencies_path is not None:
+        if batch is None:
+            raise ValueError("a stored state needs the name of the batch")
+        store_frequencies(text_frequencies(fresh, key, text, dim, bucket), frequencies_path, batch)
+        state = stored_frequencies(df.sparkSession, frequencies_path)
+    return text_vectors(fresh, key, text, dim, bucket, name, state)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Element ids of the event report pages, by field.
 REPORT_FIELDS = {
@@ -43,27 +46,31 @@ def by_tag(tag: str) -> str:
     return rf"(?is)<({tag})\b[^>]*>"
 
 
-def element(html: str, opening: str) -> Column:
-    """What stands between an opening tag and its own closing tag, elements of the same name inside
-    included; null where there is no such element or it is never closed."""
-    start = F.regexp_extract(html, opening, 0)
-    rest = F.substring(F.col(html), F.instr(F.col(html), start) + F.length(start), F.length(html))
-    same = F.concat(F.lit(r"(?is)</?"), F.regexp_extract(html, opening, 1), F.lit(r"\b[^>]*>"))
-    steps = F.zip_with(
-        F.split(rest, same, -1), F.regexp_extract_all(rest, same, F.lit(0)),
-        lambda text, tag: F.struct(text.alias("text"), tag.alias("tag")),
-    )
-
-    def add(acc, step):
-        change = F.when(step["tag"].startswith("</"), -1).when(step["tag"].endswith("/>"), 0).otherwise(1)
-        depth = acc["depth"] + change
-        inside = F.concat(acc["text"], step["text"], F.when(depth > 0, step["tag"]).otherwise(""))
-        done = (acc["depth"] == 0) | step["tag"].isNull()
-        return F.when(done, acc).otherwise(F.struct(depth.alias("depth"), inside.alias("text")))
-
-    begin = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
-    found = F.aggregate(steps, begin, add, lambda acc: F.when(acc["depth"] == 0, acc["text"]))
-    return F.when(start != "", found)
+#: Every tag of a page: a slash before its name, the name, and a slash at its end.
+TAG = re.compile(r"<(/?)(\w+)\b[^>]*?(/?)>", re.ASCII | re.DOTALL)
+
+
+def elements(html: str | None, openings: list[re.Pattern]) -> list[str | None]:
+    """What stands between each opening tag and its own closing tag, elements of the same name inside included;
+    None where there is no such element or it is never closed. The page's tags are listed once."""
+    if html is None:
+        return [None] * len(openings)
+    tags: dict[str, list[tuple[int, int, int]]] = {}  # name → (start, end, change of depth)
+    for tag in TAG.finditer(html):
+        change = -1 if tag[1] else 0 if tag[3] else 1
+        tags.setdefault(tag[2].lower(), []).append((tag.start(), tag.end(), change))
+    found: list[str | None] = []
+    for opening in openings:
+        start, depth, text = opening.search(html), 1, None
+        if start:
+            same = tags.get(start[1].lower(), [])
+            for at, _, change in same[bisect_left(same, (start.end(),)) :]:
+                depth += change
+                if not depth:
+                    text = html[start.end() : at]
+                    break
+        found.append(text)
+    return found
 
 
 def inner_text(html: Column) -> Column:
@@ -78,8 +85,17 @@ def inner_text(html: Column) -> Column:
 def extract_fields(
     pages: DataFrame, html: str, locators: dict[str, str]
 ) -> DataFrame:
-    """One text column per opening tag of an element; null where there is no element."""
-    return pages.withColumns({name: inner_text(element(html, opening)) for name, opening in locators.items()})
+    """One text column per opening tag of an element (see ``by_id``, ``by_tag``); null where there is no element."""
+    names = list(locators)
+
+    @F.pandas_udf(T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(names))]))
+    def scan(column: pd.Series) -> pd.DataFrame:
+        openings = [re.compile(locators[n], re.ASCII) for n in names]
+        rows = [elements(page, openings) for page in column]
+        return pd.DataFrame(rows, columns=[f"f{i}" for i in range(len(names))], dtype=object)
+
+    scanned = pages.withColumn("_elements", scan(html))
+    return scanned.withColumns({n: inner_text(F.col(f"_elements.f{i}")) for i, n in enumerate(names)}).drop("_elements")
 
 
 def split_bad(fields: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
