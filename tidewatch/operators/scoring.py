@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import STOP_WORDS, count_blank_separated, phrases, stem, words
-from tidewatch.session import is_bounded, small_side
+from tidewatch.session import is_bounded, settle, small_side
 
 
 def tokens(df: DataFrame, key: str, text: str, lower: bool = True) -> DataFrame:
@@ -362,5 +362,6 @@ def new_text_vectors(
         if batch is None:
             raise ValueError("a stored state needs the name of the batch")
         store_frequencies(text_frequencies(fresh, key, text, dim, bucket), frequencies_path, batch)
-        state = stored_frequencies(df.sparkSession, frequencies_path)
+        # as the state is now; later batches change the files
+        state = settle(stored_frequencies(df.sparkSession, frequencies_path))
     return text_vectors(fresh, key, text, dim, bucket, name, state)
