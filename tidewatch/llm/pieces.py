@@ -4,10 +4,12 @@ Text becomes pieces by the vocabulary's merges: of all neighbouring parts whose
 takes the best one, the leftmost of equals. Every candidate it takes is skipped with
 probability ``dropout``, as a keyed hash decides, and the candidate is then gone unless a neighbour's merge
 makes a new one. So one word gets several segmentations, all of them made by merges, and all decode to the
-same text. The key is the seed, the document and the segment's place in it: its hashes draw how many
+same text. The key is the seed, the hash of the document's text and the segment's place in it: its hashes draw how many
 candidates are taken until the next one is skipped, so each occurrence of a word draws anew among all its
-segmentations, and a repeated task gives the same pieces. A segmentation follows from the numbers of the
-skipped candidates; those without a skip, with one or with two are remembered by these numbers.
+segmentations, and a repeated task gives the same pieces.
+
+The agendas of all segments of a batch run at once, on matrices of part numbers: each different segment once without
+skips, and each occurrence whose draw falls among its candidates once with them. Long segments have agendas of their own.
 
 A text is cut into segments where no piece reaches across: before spaces, between letters and signs, at line ends and tabs.
 Characters without a piece become byte pieces. The sign that stands for a space is written in bytes where
@@ -18,8 +20,8 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +34,7 @@ from tidewatch.llm.words import BASE, mixed
 
 DROPOUT = 0.1
 SEED = 20
-REMEMBERED = 400_000  # segments without a skip, and as many segmentations with skips
+REMEMBERED = 300_000  # segments of the texts that are worked on together
 MOST_TAKEN = 1 << 16  # of candidates that one draw speaks of
 SHORT = 40
 SPACE = "▁"
@@ -150,40 +152,163 @@ def merge_long(segment: str, rank: dict[str, int], skipped) -> list[str]:
     return [p for p in parts if p is not None]
 
 
+class Agendas:
+    """The agendas of many short segments at once.
+
+    A part is a number: a piece's id, or ``OTHER`` and the code point of a character without a piece. Pairs of parts that
+    make a piece are in a hash table with linear probing. Parts of a segment are linked, as merges leave gaps.
+    """
+
+    OTHER = 1 << 20
+    BITS = 20
+    WORST = np.int32(2**31 - 1)
+    WIDTHS = (2, 4, 6, 8, 11, 15, 22, SHORT)
+
+    def __init__(self, words: Vocabulary):
+        self.words = words
+        entries = {}
+        for piece, rank in words.rank.items():
+            for cut in range(1, len(piece)):
+                a, b = piece[:cut], piece[cut:]
+                if (len(a) == 1 or a in words.rank) and (len(b) == 1 or b in words.rank):
+                    entries[self.part(a) << 32 | self.part(b)] = (rank, words.id[piece])
+        size = 1 << self.BITS
+        if 2 * len(entries) > size:
+            raise ValueError("more pairs of parts than the table is made for")
+        self.keys = np.full(size, FULL, np.uint64)
+        self.ranks, self.made = np.full(size, self.WORST, np.int32), np.zeros(size, np.int32)
+        slots = self.slots(np.fromiter(entries, np.uint64, len(entries))).tolist()
+        for (key, (rank, made)), slot in zip(entries.items(), slots):
+            while self.keys[slot] != FULL:
+                slot = (slot + 1) % size
+            self.keys[slot], self.ranks[slot], self.made[slot] = key, rank, made
+
+    def part(self, text: str) -> int:
+        number = self.words.id.get(text)
+        return self.OTHER + ord(text) if number is None else number
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * BASE) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, piece) of each pair of parts; the worst rank where they make none."""
+        keys = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+        slot = self.slots(keys)
+        there = self.keys[slot]
+        rest = np.flatnonzero((there != keys) & (there != FULL))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) % len(self.keys)
+            there = self.keys[slot[rest]]
+            rest = rest[(there != keys[rest]) & (there != FULL)]
+        return self.ranks[slot], self.made[slot]  # an empty slot has the worst rank
+
+    def characters(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The parts that segments begin with, one after the other, and each segment's length."""
+        text = "".join(segments)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        different, at = np.unique(points, return_inverse=True)
+        return np.array([self.part(chr(c)) for c in different.tolist()], np.int32)[at], np.fromiter(map(len, segments), np.int64, len(segments))
+
+    def run(self, flat: np.ndarray, length: np.ndarray, which: np.ndarray, skips: np.ndarray, more) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(candidates seen, parts left, those parts) for the segments ``which`` of those whose characters are given.
+
+        ``skips`` is the number of the first skipped candidate of each, ``more(rows, draw, last)`` that of the next.
+        """
+        start = (np.cumsum(length) - length)[which]
+        length = length[which]
+        seen, left = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        bounds = np.searchsorted(self.WIDTHS, length)
+        for k, width in enumerate(self.WIDTHS):
+            every = np.flatnonzero(bounds == k)
+            for low in range(0, len(every), 1 << 15):
+                rows = every[low : low + (1 << 15)]
+                seen[rows], kept = self.bucket(flat, start[rows], length[rows], width, skips[rows], lambda r, d, at, rows=rows: more(rows[r], d, at))
+                left[rows] = (kept >= 0).sum(1)
+                parts.append((rows, kept[kept >= 0]))
+        # back in the order of the segments asked for
+        ends = np.cumsum(left)
+        out = np.empty(ends[-1] if len(ends) else 0, np.int32)
+        for rows, values in parts:
+            out[runs(ends[rows] - left[rows], left[rows])] = values
+        return seen, left, out
+
+    def bucket(self, flat, start, length, width, skip, more) -> tuple[np.ndarray, np.ndarray]:
+        n, column = len(start), np.arange(width)
+        inside = column < length[:, None]
+        parts = np.where(inside, flat[np.minimum(start[:, None] + column, max(len(flat) - 1, 0))] if len(flat) else -1, -1).astype(np.int32)
+        # one column more on either side stands for the ends
+        after, before = np.tile((column + 1).astype(np.int8), (n, 1)), np.tile((column - 1).astype(np.int8), (n, 1))
+        rank, made = np.full((n, width), self.WORST, np.int32), np.zeros((n, width), np.int32)
+        row, at = np.nonzero(inside[:, 1:])
+        rank[row, at], made[row, at] = self.pairs(parts[row, at], parts[row, at + 1])
+        seen, draw, skip = np.zeros(n, np.int64), np.zeros(n, np.int64), skip.copy()
+        active = np.arange(n)
+        while len(active):
+            at = rank[active].argmin(1)
+            going = rank[active, at] != self.WORST
+            active, at = active[going], at[going]
+            skipped = seen[active] == skip[active]
+            seen[active] += 1
+            row, i = active[skipped], at[skipped]
+            if len(row):
+                rank[row, i] = self.WORST
+                draw[row] += 1
+                skip[row] = more(row, draw[row], skip[row])
+            row, i = active[~skipped], at[~skipped]
+            if not len(row):
+                continue
+            j = after[row, i].astype(np.int64)
+            parts[row, i], parts[row, j] = made[row, i], -1
+            rank[row, j] = self.WORST
+            end = after[row, j].astype(np.int64)
+            after[row, i] = end
+            inner = end < length[row]
+            before[row[inner], end[inner]] = i[inner]
+            rank[row[~inner], i[~inner]] = self.WORST
+            rank[row[inner], i[inner]], made[row[inner], i[inner]] = self.pairs(parts[row[inner], i[inner]], parts[row[inner], end[inner]])
+            first = before[row, i]
+            inner = first >= 0
+            row, first, i = row[inner], first[inner], i[inner]
+            rank[row, first], made[row, first] = self.pairs(parts[row, first], parts[row, i])
+        return seen, parts
+
+    def ids(self, parts: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each segment) from parts; characters without a piece become bytes."""
+        other = np.flatnonzero(parts >= self.OTHER)
+        if not len(other):
+            return parts.astype(np.int32), left
+        spelled = [[self.words.byte[b] for b in chr(c - self.OTHER).encode("utf-8", "surrogatepass")] for c in parts[other].tolist()]
+        times = np.ones(len(parts), np.int64)
+        times[other] = [len(x) for x in spelled]
+        out = np.repeat(parts, times)
+        begin = np.cumsum(times) - times
+        out[runs(begin[other], times[other])] = [b for x in spelled for b in x]
+        owner = np.repeat(np.arange(len(left)), left)
+        return out.astype(np.int32), np.bincount(owner, times, len(left)).astype(np.int64)
+
+
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, … of each run, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 class Segmenter:
-    """Ids of segments, little-endian, for one vocabulary, seed and dropout."""
+    """Ids of whole texts for one vocabulary, seed and dropout."""
 
     def __init__(self, path: str, seed: int, dropout: float, remembered: int = REMEMBERED):
-        self.words, self.seed, self.dropout, self.remembered = vocabulary(path), seed, dropout, remembered
-        self.bounds = taken_bounds(dropout)
-        self.known: dict[str, tuple[int, bytes]] = {}
-        self.known_skips: dict[tuple, tuple[int, bytes]] = {}
-        self.space = array("i", [self.words.byte[b] for b in SPACE.encode()]).tobytes()
+        self.words, self.seed, self.dropout, self.together = vocabulary(path), seed, dropout, remembered
+        self.bounds, self.agendas = taken_bounds(dropout), agendas(path)
+        self.space = np.array([self.words.byte[b] for b in SPACE.encode()], np.int32)
 
-    def taken(self, keys: np.ndarray, draw: int) -> np.ndarray:
+    def taken(self, keys: np.ndarray, draw) -> np.ndarray:
         """Candidates taken before the next skip, by the keys' draw of that number."""
-        hashes = mixed(mixed(keys + np.uint64(draw * 0xC2B2AE3D27D4EB4F & FULL)))
+        hashes = mixed(mixed(keys + np.uint64(0xC2B2AE3D27D4EB4F) * np.asarray(draw).astype(np.uint64)))
         return len(self.bounds) - np.searchsorted(self.bounds, hashes, side="right")
 
-    def segment_ids(self, segment: str, skipped: Skips) -> tuple[int, bytes]:
-        """The number of candidates and the ids, with the skips given."""
-        words = self.words
-        parts = (merge_short if len(segment) <= SHORT else merge_long)(segment, words.rank, skipped)
-        return skipped.seen, array("i", words.ids(parts)).tobytes()
-
-    def with_skips(self, segment: str, *numbers: int) -> tuple[int, bytes]:
-        """Remembered: the segmentation that skips just the candidates of these numbers."""
-        after = dict(zip(numbers, [*numbers, NONE][1:], strict=True))
-        known, name = (self.known_skips, (segment, *numbers)) if numbers else (self.known, segment)
-        made = self.segment_ids(segment, Skips(numbers[0] if numbers else NONE, after.__getitem__))
-        if len(segment) <= SHORT:
-            if len(known) >= self.remembered:
-                known.clear()
-            known[name] = made
-        return made
-
-    def drawn(self, segment: str, key: np.uint64, first: int) -> bytes:
-        """With as many skips as the key draws, one after the other."""
+    def drawn(self, segment: str, key: np.uint64, first: int) -> list[int]:
+        """The ids of one segment by an agenda of its own, with as many skips as the key draws, one after the other."""
         draw, keys = 0, np.array([key], np.uint64)
 
         def more(last: int) -> int:
@@ -196,38 +321,81 @@ class Segmenter:
                 if n < MOST_TAKEN:
                     return at
 
-        return self.segment_ids(segment, Skips(first if first < MOST_TAKEN else more(first - 1), more))[1]
+        skipped = Skips((first if first < MOST_TAKEN else more(first - 1)) if self.dropout else NONE, more)
+        return self.words.ids((merge_short if len(segment) <= SHORT else merge_long)(segment, self.words.rank, skipped))
+
+    def segments(self, text: str):
+        """Lists of a text's segments; None stands for the sign for a space that the text itself holds."""
+        for k, part in enumerate(text.split(SPACE) if text else ()):
+            if k:
+                yield [None]
+            yield self.words.segment.findall((SPACE if not k else "") + part.replace(" ", SPACE))
 
     def encode(self, text: str, document: int) -> bytes:
         """Ids of a whole text; ``document`` is the hash that keys its skips together with the place."""
-        if not text:
-            return b""
-        out, place, known, known_skips = [], 0, self.known, self.known_skips
-        for k, part in enumerate(text.split(SPACE)):
-            if k:
-                out.append(self.space)
-            segments = self.words.segment.findall((SPACE if not k else "") + part.replace(" ", SPACE))
-            if not self.dropout:
-                out += [(known.get(s) or self.with_skips(s))[1] for s in segments]
-                continue
-            keys = (np.arange(place, place + len(segments)).astype(np.uint64) + np.uint64(document)) * BASE
-            place += len(segments)
-            firsts = self.taken(keys, 0)
-            seconds = firsts + 1 + self.taken(keys, 1)
-            thirds = seconds + 1 + self.taken(keys, 2)
-            for i, (segment, first, second, third) in enumerate(zip(segments, firsts.tolist(), seconds.tolist(), thirds.tolist(), strict=True)):
-                if len(segment) > SHORT or first >= MOST_TAKEN:
-                    out.append(self.drawn(segment, keys[i], first))
-                    continue
-                n, ids = known.get(segment) or self.with_skips(segment)
-                if first < n:
-                    n, ids = known_skips.get((segment, first)) or self.with_skips(segment, first)
-                    if second < n:
-                        n, ids = known_skips.get((segment, first, second)) or self.with_skips(segment, first, second)
-                        if third < n:
-                            ids = self.drawn(segment, keys[i], first)
-                out.append(ids)
-        return b"".join(out)
+        return self.encode_all([text], [document])[0].tobytes()
+
+    def encode_all(self, texts: list[str], documents: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) of whole texts, many segments at a time."""
+        sizes, out = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
+        waiting, n, place = [], 0, 0
+        for t, (text, document) in enumerate(zip(texts, documents)):
+            place = 0
+            for found in self.segments(text):
+                waiting.append((t, document, place, found))
+                place += len(found) if found != [None] else 0
+                n += len(found)
+                if n >= self.together:
+                    out.append(self.encode_segments(waiting, sizes))
+                    waiting, n = [], 0
+        if waiting:
+            out.append(self.encode_segments(waiting, sizes))
+        return np.concatenate(out), sizes
+
+    def encode_segments(self, lists: list[tuple[int, int, int, list[str | None]]], sizes: np.ndarray) -> np.ndarray:
+        """The ids of lists of segments, each (text, document, place of its first); adds to the texts' sizes."""
+        length = np.array([len(x[3]) for x in lists])
+        text, document, place = (np.repeat(np.array([x[i] for x in lists], kind), length) for i, kind in ((0, np.int64), (1, np.uint64), (2, np.int64)))
+        place = place + runs(np.zeros(len(lists), np.int64), length)
+        column = pa.array(chain.from_iterable(x[3] for x in lists), pa.string(), size=int(length.sum())).dictionary_encode(null_encoding="encode")
+        different, code = column.dictionary.to_pylist(), column.indices.to_numpy()
+        keys = (place.astype(np.uint64) + document) * BASE
+        short = np.array([s is not None and len(s) <= SHORT for s in different], bool)
+        never = np.full(len(different), NONE)
+        plain = [s if k else "" for s, k in zip(different, short.tolist())]
+        characters = self.agendas.characters(plain)
+        seen, left, parts = self.agendas.run(*characters, np.arange(len(different)), never, None)
+        flat, many = self.agendas.ids(parts, left)
+        first = self.taken(keys, 0) if self.dropout else np.full(len(code), NONE)
+        # where the sign for a space is met, or an agenda of its own is needed
+        own = np.flatnonzero(~short[code] | ((first >= MOST_TAKEN) & (self.dropout > 0)))
+        again = np.flatnonzero(short[code] & (first < seen[code]) & (first < MOST_TAKEN))
+
+        def more(rows: np.ndarray, draw: np.ndarray, last: np.ndarray) -> np.ndarray:
+            at, k = last + 1, keys[again[rows]]
+            n = self.taken(k, draw)
+            return at + n
+
+        pools, starts, counts = [flat], (np.cumsum(many) - many)[code], many[code]
+        if len(again):
+            _, left, parts = self.agendas.run(*characters, code[again], first[again], more)
+            ids, n = self.agendas.ids(parts, left)
+            starts[again], counts[again] = len(flat) + np.cumsum(n) - n, n
+            pools.append(ids)
+        at = sum(map(len, pools))
+        for i in own.tolist():
+            segment = different[code[i]]
+            ids = self.space if segment is None else np.array(self.drawn(segment, keys[i], int(first[i])), np.int32)
+            starts[i], counts[i] = at, len(ids)
+            pools.append(ids)
+            at += len(ids)
+        sizes += np.bincount(text, counts, len(sizes)).astype(np.int64)
+        return np.concatenate(pools)[runs(starts, counts)]
+
+
+@cache
+def agendas(path: str) -> Agendas:
+    return Agendas(vocabulary(path))
 
 
 def decode_ids(ids, words: Vocabulary) -> str:
@@ -236,9 +404,6 @@ def decode_ids(ids, words: Vocabulary) -> str:
     return raw[1:].decode("utf-8", "surrogatepass") if raw else ""
 
 
-_segmenters: dict[tuple, Segmenter] = {}
-
-
 def encode(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -255,16 +420,12 @@ def encode(
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def make():
-        setting = (path, seed, dropout)
-        if setting not in _segmenters:  # a worker's next task goes on with what it remembers
-            _segmenters[setting] = Segmenter(*setting)
-        segmenter = _segmenters[setting]
+        segmenter = Segmenter(path, seed, dropout)
 
         def compute(texts):
             texts = [t or "" for t in texts.to_pylist()]
-            made = [segmenter.encode(t, xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), seed)) for t in texts]
-            sizes = [len(m) // 4 for m in made]
-            return [flat_lists(sizes, pa.array(np.frombuffer(b"".join(made), np.int32))), pa.array(sizes, pa.int32())]
+            ids, sizes = segmenter.encode_all(texts, [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), seed) for t in texts])
+            return [flat_lists(sizes, pa.array(ids)), pa.array(sizes, pa.int32())]
 
         return compute
 
