@@ -17,7 +17,6 @@ is false for ``und`` and for scores below the calibrated bound. Without any labe
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +34,6 @@ SAMPLE = 4000
 EPOCHS = 6
 WRONGLY_REJECTED = 0.001
 MOST_DOUBT = 0.6
-LETTER = re.compile(r"[^\W\d_]")
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,8 +108,8 @@ def labelled_histograms(docs: DataFrame, id_col: str, text_col: str, label_col:
         .distinct()
     )
     texts = labelled.select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), F.col(text_col).alias("text"))
-    # At most ``sample`` hashes are broadcast.
-    chosen = texts.join(F.broadcast(rows), "h").select("h", "label", "text")
+    # At most ``sample`` hashes are broadcast; repeated rows give one text, before anything is collected.
+    chosen = texts.join(F.broadcast(rows), "h").groupBy("h", "label").agg(F.first("text").alias("text"))
 
     def run(batches):
         for part in bounded_slices(batches):
@@ -183,7 +181,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
         model = shared.value
 
         def compute(texts):
-            has_letter = [bool(t and LETTER.search(t)) for t in texts.to_pylist()]
+            has_letter = [any(map(str.isalpha, t or "")) for t in texts.to_pylist()]  # Unicode letters, as in ``fit``
             if model is None:
                 n = len(texts)
                 return [pa.array([UNKNOWN] * n), pa.array([0.0] * n, pa.float64()), pa.array([False] * n)]
