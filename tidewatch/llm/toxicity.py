@@ -83,7 +83,10 @@ def sigmoid(z):
 
 
 def labelled_terms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> list[tuple[int, np.ndarray]]:
-    """(label, terms) of at most ``sample`` labelled texts; their ids and labels are broadcast, the texts stay where they are."""
+    """(label, terms) of at most ``sample`` labelled texts; their ids and labels are broadcast, the texts stay where they are.
+
+    An id that is labelled more than once has its highest label, one with several texts that of the least hash.
+    """
     labelled = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     chosen = (
         hashed_share(labelled, id_col, 2 * sample)
@@ -93,7 +96,8 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
         .orderBy("h", "id")
         .limit(sample)
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("h", "label", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "h", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("h", "label", "text")
 
     def run(batches):
         for part in bounded_slices(batches):
