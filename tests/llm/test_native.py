@@ -103,7 +103,9 @@ def test_trees_fit_and_their_expression_agrees(spark):
     assert ((model.margin(x) > 0) == (y > 0)).mean() > 0.97
     df = spark.createDataFrame(x.tolist(), "a double, b double, c double").selectExpr(f"{model.sql(['a', 'b', 'c'])} AS m")
     assert np.allclose([r.m for r in df.collect()], model.margin(x), atol=1e-3)
-    assert boosting.threshold(np.array([3.0, 2.0, 1.0, -1.0]), np.array([1, 1, 0, 0]), 0.99) == 0.0
+    assert boosting.threshold(np.array([3.0, 2.0, 1.0, -1.0]), np.array([1, 1, 0, 0]), 0.99) == 1.5
+    assert boosting.threshold(np.array([3.0, 2.0]), np.array([1, 1]), 0.99) == 0.0
+    assert boosting.threshold(np.array([3.0, 2.0]), np.array([0, 1]), 0.99) == boosting.threshold(np.zeros(0), np.zeros(0), 0.99) == float("inf")
 
 
 def brute_repeated(words):
@@ -160,8 +162,11 @@ def test_quality_of_odd_rows(table, odd):
     assert line_quality.quality(table([])).collect() == []
 
 
-@pytest.mark.parametrize("copies", [2, 60])
-def test_copies_of_a_document_are_one_text(table, copies):
+@pytest.mark.parametrize("many", [2, 60])
+def test_copies_of_a_document_count_unless_left_out(table, many):
     text = "\n".join(f"line number {i} with several words in it" for i in "abcdef")
-    rows = [(i, text, None, "h") for i in range(copies)]
-    assert all(r.kept for r in line_quality.quality(table(rows)).collect())
+    rows = [(i, text, None, "h") for i in range(many)]
+    assert all(r.kept for r in line_quality.quality(table(rows), copies=False).collect())
+    assert {r.kept for r in line_quality.quality(table(rows)).collect()} == {many == 2}
+    repeated = [(1, text, None, "h")] * many  # one document
+    assert all(r.kept for r in line_quality.quality(table(repeated)).collect())

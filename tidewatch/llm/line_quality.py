@@ -1,16 +1,14 @@
 """Quality rules on whole documents and on lines shared within a host, in DataFrame functions only.
 
 Each text's own figures (words, symbols, repeated lines, repeated eight-word windows) come from array
-functions inside its row. Across documents, every line of ``LINE_WORDS`` or more words is normalised
+functions inside its row. Across documents, every line with a word is normalised
 (lower case, digits to 0, single spaces) and hashed with its host; a line standing in more than
-``MOST_TEXTS`` different texts of one host is boilerplate and counts as removed, and a document that
-loses more than ``MOST_LOST`` of its words that way is depleted. Exact copies are one text, so copying a
-document doesn't make its lines boilerplate. ``cleaned`` returns the texts without these lines, and takes lines of
-every length with a word in them; the registered query gives the figures of ``quality``, whose SQL twin counts lines
-of ``LINE_WORDS`` or more words.
-
-Line counts are aggregated before they are shuffled; the join of lines with boilerplate lines is an inner
-equality join whose line side Spark can split. Null texts are empty: they have no words and fail. A null
+``MOST_DOCUMENTS`` documents of one host is boilerplate and counts as removed, and a document that
+loses more than ``MOST_LOST`` of its words that way is depleted. With ``copies=False`` exact copies count as one
+document, so copying a document doesn't make its lines boilerplate. ``cleaned`` returns the texts without these lines.
+
+The lines are stored once as hashes with their places. Line counts are aggregated before they are shuffled; the join of lines
+with boilerplate lines is an inner equality join whose line side Spark can split. Repeated rows are one document. Null texts are empty: they have no words and fail. A null
 host is a host of its own. Rows alike in id and text get the same verdict.
 """
 
@@ -23,8 +21,7 @@ from tidewatch.llm.common import stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-LINE_WORDS = 4
-MOST_TEXTS = 50
+MOST_DOCUMENTS = 50
 MOST_LOST = 0.5
 
 
@@ -70,18 +67,19 @@ def own_figures(rows: DataFrame) -> DataFrame:
     return starts.withColumn("n_repeat_words", covered.cast("long")).drop("_again", "_starts")
 
 
-def shared_lines(rows: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
-    """(id, th, at, line, n): the place, hash with the host, and words of every normalised line that is long enough."""
+def shared_lines(rows: DataFrame) -> DataFrame:
+    """(id, th, at, line, n): the place, hash with the host, and words of every normalised line that has a word."""
     plain = F.regexp_replace(F.lower("text"), "[0-9]+", "0")
     lines = rows.select("id", "th", "host", F.posexplode(F.split(plain, "\n")).alias("at", "_line"))
-    worded = lines.select("id", "th", "at", "host", words_of(F.col("_line")).alias("_words")).where(F.size("_words") >= line_words)
+    worded = lines.select("id", "th", "at", "host", words_of(F.col("_line")).alias("_words")).where(F.size("_words") > 0)
     return worded.select("id", "th", "at", F.xxhash64("host", F.array_join("_words", " ")).alias("line"), F.size("_words").alias("n"))
 
 
-def lines_above(rows: DataFrame, most_texts: int, line_words: int) -> DataFrame:
-    """(id1, th1, at, n): place and words of every line that stands in too many texts of its host."""
-    lines = shared_lines(rows, line_words)
-    common = lines.select("line", "th").distinct().groupBy("line").agg(F.count("*").alias("texts")).where(F.col("texts") > most_texts).select("line")
+def lines_above(rows: DataFrame, most: int, copies: bool) -> DataFrame:
+    """(id1, th1, at, n): place and words of every line that stands in too many documents of its host."""
+    lines = stored(shared_lines(rows), "lines")
+    each = lines.select("line", "th", *(["id"] if copies else [])).distinct()
+    common = each.groupBy("line").agg(F.count("*").alias("documents")).where(F.col("documents") > most).select("line")
     common = stored(common, "common-lines")  # then both sides of the join are plain shuffles, and a hot line is split
     # rows alike in id and text have the same lines
     return lines.join(common, "line").select(F.col("id").alias("id1"), F.col("th").alias("th1"), "at", "n").distinct()
@@ -98,13 +96,13 @@ def quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    most_texts: int = MOST_TEXTS,
+    most: int = MOST_DOCUMENTS,
     most_lost: float = MOST_LOST,
-    line_words: int = LINE_WORDS,
+    copies: bool = True,
 ) -> DataFrame:
     """One row per document: its figures, base_failed, removed_lines, removed_words and kept."""
     rows = with_host(docs, id_col, text_col, host_col)
-    removed = lines_above(rows, most_texts, line_words).groupBy("id1", "th1").agg(F.count("*").alias("removed_lines"), F.sum("n").alias("removed_words"))
+    removed = lines_above(rows, most, copies).groupBy("id1", "th1").agg(F.count("*").alias("removed_lines"), F.sum("n").alias("removed_words"))
     return verdict(own_figures(rows.select("id", "th", "text")), removed, id_col, most_lost)
 
 
@@ -113,14 +111,14 @@ def cleaned(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    most_texts: int = MOST_TEXTS,
+    most: int = MOST_DOCUMENTS,
     most_lost: float = MOST_LOST,
-    line_words: int = 1,
+    copies: bool = True,
 ) -> DataFrame:
     """The rows with the text without its lines above the limit, and removed_lines, removed_words and kept."""
     added = ["removed_lines", "removed_words", "kept"]
     columns = [c for c in docs.columns if c.lower() not in added]
-    marks = lines_above(with_host(docs, id_col, text_col, host_col), most_texts, line_words)
+    marks = lines_above(with_host(docs, id_col, text_col, host_col), most, copies)
     removed = marks.groupBy("id1", "th1").agg(F.collect_list("at").alias("gone"), F.count("*").alias("removed_lines"), F.sum("n").alias("removed_words"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))

@@ -67,9 +67,9 @@ WITH docs AS (
   SELECT doc_id, host, text, words, array_to_string(words, ' ') AS line FROM (
     SELECT doc_id, host, text, list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
     FROM (SELECT doc_id, host, text, unnest(string_split(regexp_replace(lower(text), '[0-9]+', '0', 'g'), chr(10))) AS l FROM docs))
-  WHERE len(words) >= 4
+  WHERE len(words) > 0
 ), common AS (
-  SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT text) > 50
+  SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT doc_id) > 50
 ), removed AS (
   SELECT doc_id, count(*) AS lines, sum(len(words)) AS words FROM lines JOIN common USING (host, line) GROUP BY doc_id
 ), figures AS (
