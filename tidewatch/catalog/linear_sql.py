@@ -90,3 +90,31 @@ def cholesky_distance_sql(source: str, columns: list[str], keep: str, name: str)
     for i in p:
         solved = f"(SELECT *, (x{i}{''.join(f' - l{i}{k} * y{k}' for k in range(i))}) / l{i}{i} AS y{i} FROM {solved})"
     return ", ".join(stages) + f", {name} AS (SELECT {keep}, {' + '.join(f'y{i} * y{i}' for i in p)} AS mahad FROM {solved})"
+
+
+def least_squares_sql(source: str, unit: str, y: str, terms: list[str], name: str) -> str:
+    """Rows (unit, term, n, estimate, std_error, t) of a fit per unit, by the eigenvectors of its normal equations.
+
+    Columns are scaled to equal sums of squares first. Units without enough rows, or with dependent columns, have nulls.
+    """
+    columns, p = ["1.0", *terms], len(terms) + 1
+    gram = ", ".join(f"sum({a} * {b}) / sqrt(sum({a} * {a}) * sum({b} * {b}))" for a in columns for b in columns)
+    size = ", ".join(f"sqrt(sum({a} * {a}))" for a in columns)
+    xy = ", ".join(f"sum({a} * {y}) / sqrt(sum({a} * {a}))" for a in columns)
+    labels = ["(Intercept)", *terms]
+    return f"""{name}_sums AS (
+  SELECT {unit}, count(*) AS n, sum({y} * {y}) AS yy, [{gram}]::DOUBLE[] AS m, [{size}] AS size, [{xy}] AS xy FROM {source} GROUP BY {unit}
+), {name}_whole AS (SELECT * FROM {name}_sums WHERE n > {p} AND len(list_filter(m, lambda x: x IS NULL OR isnan(x))) = 0),
+{eigen_sql(f"{name}_whole", p, f"{name}_eigen", (unit,))},
+{name}_spread AS (SELECT {unit}, min(value) AS least FROM {name}_eigen GROUP BY {unit}),
+{name}_fit AS (
+  SELECT {unit}, i, sum(vec[i + 1] * list_dot_product(vec, xy) / value) AS b, sum(vec[i + 1] ^ 2 / value) AS v
+  FROM {name}_eigen JOIN {name}_whole USING ({unit}), (SELECT unnest(range({p})) AS i) GROUP BY {unit}, i
+), {name}_left AS (
+  SELECT {unit}, greatest(any_value(yy) - sum(b * xy[i + 1]), 0) / (any_value(n) - {p}) AS s2 FROM {name}_fit JOIN {name}_whole USING ({unit}) GROUP BY {unit}
+), {name} AS (
+  SELECT s.{unit}, {labels}[k.i + 1] AS term, s.n, CASE WHEN least > 1e-9 THEN b / size[k.i + 1] END AS estimate,
+    CASE WHEN least > 1e-9 THEN sqrt(v * s2) / size[k.i + 1] END AS std_error, CASE WHEN least > 1e-9 AND v * s2 > 0 THEN b / sqrt(v * s2) END AS t
+  FROM {name}_sums s CROSS JOIN (SELECT unnest(range({p})) AS i) k LEFT JOIN {name}_fit f ON f.{unit} = s.{unit} AND f.i = k.i
+    LEFT JOIN {name}_left l ON l.{unit} = s.{unit} LEFT JOIN {name}_spread e ON e.{unit} = s.{unit}
+)"""

@@ -47,6 +47,36 @@ def reports_coded(spark, sf_dir):
     return coded.select("doc_id", "liwc_quality", "emo_voc_n", "gi_article", "gi_link")
 
 
+@query(
+    "rail_reports_coded",
+    f"""WITH {CODED}
+SELECT d.doc_id, md5(text) AS narrative, n_chars AS liwc_n, coalesce(gi_article, 0) AS gi_article, coalesce(gi_link, 0) AS gi_link
+FROM documents d LEFT JOIN counts USING (doc_id) WHERE text <> '' AND text <> 'None' AND d.doc_id % 7 <> 0""",
+)
+def rail_reports_coded(spark, sf_dir):
+    """Accident narratives with the fillers of two empty fields, scores bound by position to all rows before texts are cleaned and filtered."""
+    docs = texts(spark, sf_dir)
+    filler = F.when(F.col("doc_id") % 7 == 0, F.lit("NoneNone")).when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("NoneNone"))).otherwise(F.concat("text", F.lit("None")))
+    reports = docs.select("doc_id", filler.alias("Narrative"))
+    by_position = Scores(docs.select(F.col("doc_id").alias("TextID"), F.col("n_chars").alias("n")), ["n"], "liwc_", order=("TextID",), report_order=("doc_id",))
+    coded = code_events(reports, "rail", "doc_id", [by_position], word_dictionary(spark))
+    return coded.select("doc_id", F.md5("Narrative").alias("narrative"), "liwc_n", "gi_article", "gi_link")
+
+
+@query(
+    "hospital_reports_coded",
+    f"""WITH {CODED} SELECT d.doc_id, quality AS emo_voc_quality, coalesce(gi_article, 0) AS gi_article, coalesce(gi_link, 0) AS gi_link
+FROM documents d LEFT JOIN labels USING (doc_id) LEFT JOIN counts USING (doc_id) WHERE text <> '' AND d.doc_id % 5 <> 0""",
+)
+def hospital_reports_coded(spark, sf_dir):
+    """Patient-safety reports, some without a narrative, with scores joined by key."""
+    docs = texts(spark, sf_dir)
+    reports = docs.select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("Narrative_merged"))
+    by_key = Scores(load(spark, sf_dir, "labels"), ["quality"], "emo_voc_", key="doc_id")
+    coded = code_events(reports, "psn", "doc_id", [by_key], word_dictionary(spark), passive=False)
+    return coded.select("doc_id", "emo_voc_quality", "gi_article", "gi_link")
+
+
 @query(
     "facility_reports_clean",
     """SELECT o_orderkey AS X_key, strftime(o_orderdate, '%Y-%m-%d') AS event_date2, lower(o_orderpriority) AS event_text,

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.book import ORACLE, load, query, r6, rounded
-from tidewatch.catalog.linear_sql import cholesky_distance_sql, components_sql, correlation_sql, eigen_sql
+from tidewatch.catalog.linear_sql import cholesky_distance_sql, components_sql, correlation_sql, eigen_sql, least_squares_sql
 from tidewatch.catalog.signals import EVENT_SERIES, ORDER, UNIT, event_series
 from tidewatch.functions.columns import to_long
 from tidewatch.operators import factors as FA
@@ -321,11 +321,22 @@ def lagged_regression_by_unit(spark, sf_dir):
         r6(pick("value_lag1")).alias("slope"), r6(pick("(Intercept)")).alias("intercept"), F.max("n").alias("n"))
 
 
-@query("outcome_on_signals")
+SIGNAL_TERMS = ["outcome_lag1", "outcome_lag2", "x_inter_event_dur_lag1", "x_inter_event_dur", "x_inter_event_dur_lead1"]
+
+
+@query(
+    "outcome_on_signals",
+    f"""WITH RECURSIVE {EVENT_SERIES}, marked AS (SELECT *, (event_type = 'error')::INT::DOUBLE AS outcome FROM series),
+design AS (SELECT user_id, outcome AS y, lag(outcome) OVER w AS outcome_lag1, lag(outcome, 2) OVER w AS outcome_lag2, lag(gap_hours) OVER w AS x_inter_event_dur_lag1,
+ gap_hours AS x_inter_event_dur, lead(gap_hours) OVER w AS x_inter_event_dur_lead1 FROM marked WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+whole AS (SELECT * FROM design WHERE {" AND ".join(f"{t} IS NOT NULL" for t in ["y", *SIGNAL_TERMS])}),
+{least_squares_sql("whole", "user_id", "y", SIGNAL_TERMS, "fits")}
+SELECT user_id, term, n, round(estimate, 6) + 0.0 AS estimate, round(std_error, 6) + 0.0 AS std_error, round(t, 4) + 0.0 AS t FROM fits""",
+)
 def outcome_on_signals(spark, sf_dir):
     """The outcome of each event on its own past and on the signal before, at and after the event."""
     series = event_series(spark, sf_dir, "hours").rows.drop("t")
     series = series.withColumn("outcome", (F.col("event_type") == "error").cast("double"))
     rows, terms = R.lagged_design(series, UNIT, ORDER, "outcome", ["inter_event_dur"], outcome_lags=2)
     fit = R.least_squares_by_unit(rows, UNIT, "y", terms)
-    return rounded(fit, "estimate", "std_error", "t")
+    return rounded(rounded(fit, "estimate", "std_error"), "t", digits=4)
