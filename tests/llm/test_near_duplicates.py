@@ -187,3 +187,42 @@ def test_substring_dedup_of_odd_rows(table, odd):
     rows = got.collect()
     assert len(rows) == len(odd)
     assert sorted((r.doc_id or 0, r.text or "") for r in rows if r.doc_id != 6) == sorted((i or 0, t or "") for i, t in odd if i != 6)
+
+
+def brute_removed(docs):
+    """Sentences removed per document, for lists of sentences that do not repeat within a document."""
+
+    def runs(sentences):
+        n = [len(s.split()) for s in sentences]
+        enough = lambda a, b: b - a >= 2 and sum(n[a:b]) >= 5
+        ends = range(len(n) + 1)
+        found = {(a, min(b for b in ends if enough(a, b))) for a in ends if any(enough(a, b) for b in ends)}
+        found |= {(max(a for a in ends if enough(a, b)), b) for b in ends if any(enough(a, b) for a in ends)}
+        return found | {(a, a + 1) for a in range(len(n)) if n[a] > 20}
+
+    first, gone = {}, {i: set() for i in docs}
+    for i in sorted(docs):
+        for a, b in runs(docs[i]):
+            key = tuple(s.lower() for s in docs[i][a:b])
+            if first.setdefault(key, i) != i:
+                gone[i] |= set(range(a, b))
+    return gone
+
+
+def test_repeated_spans_against_brute_force(table):
+    rng = random.Random(21)
+    pool = [" ".join(f"w{rng.randint(0, 500)}" for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 22]))) + "." for _ in range(60)]
+    passages = [[f"Passage {p} part {k} of several." for k in range(6)] for p in range(3)]
+    docs = {}
+    for i in range(90):
+        sentences = rng.sample(pool, rng.randint(1, 6))
+        if i % 4 == 0:
+            at, p = rng.randint(0, len(sentences)), rng.choice(passages)
+            sentences[at:at] = p[rng.randint(0, 2) : rng.randint(4, 6)]
+        docs[i] = list(dict.fromkeys(s.upper() if i % 5 == 0 else s for s in sentences))
+    want = brute_removed(docs)
+    got = {r.doc_id: r for r in substrings.remove_repeats(table([(i, " ".join(s)) for i, s in docs.items()], clashing=True), keep=["doc_id", "text"]).collect()}
+    assert sum(map(bool, want.values())) > 20 and not all(want.values())
+    for i, sentences in docs.items():
+        left = [s for k, s in enumerate(sentences) if k not in want[i]]
+        assert got[i].text.split() == " ".join(left).split() and got[i].removed_sentences == len(want[i]), i
