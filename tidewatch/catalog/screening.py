@@ -295,14 +295,18 @@ def scores_on_source_rows(spark, sf_dir):
     """WITH s AS (SELECT CAST(count(*) AS DOUBLE) AS n, regr_slope(l_extendedprice, l_quantity) AS b,
  regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx,
  regr_syy(l_extendedprice, l_quantity) AS syy, avg(l_quantity) AS mx FROM lineitem),
-e AS (SELECT *, sqrt((syy - b * b * sxx) / (n - 2)) AS s FROM s)
-SELECT 'l_quantity' AS term, round(b, 4) AS estimate, round(s / sqrt(sxx), 4) AS std_error, round(b / (s / sqrt(sxx)), 3)
- AS t FROM e UNION ALL SELECT '(Intercept)', round(a, 4) + 0.0, round(s * sqrt(1 / n + mx * mx / sxx), 4),
- round(a / (s * sqrt(1 / n + mx * mx / sxx)), 3) + 0.0 FROM e""",
+e AS (SELECT *, sqrt((syy - b * b * sxx) / (n - 2)) AS s FROM s),
+terms AS (SELECT 'l_quantity' AS term, n - 2 AS f, b AS estimate, s / sqrt(sxx) AS std_error FROM e
+ UNION ALL SELECT '(Intercept)', n - 2, a, s * sqrt(1 / n + mx * mx / sxx) FROM e),
+tails AS (SELECT term, 1 - 2 * any_value(width) / 3 * any_value(top) * sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+  * (1 + (k * width) ^ 2 / f) ^ (-(f + 1) / 2)) AS p FROM (SELECT term, f, least(abs(estimate / std_error), 40) / 4000 AS width,
+  exp(lgamma((f + 1) / 2) - lgamma(f / 2)) / sqrt(f * pi()) AS top FROM terms), (SELECT unnest(range(4001)) AS k) GROUP BY term)
+SELECT term, round(estimate, 4) + 0.0 AS estimate, round(std_error, 4) AS std_error, round(estimate / std_error, 3) + 0.0 AS t,
+ greatest(round(p, 6), 0) + 0.0 AS p FROM terms JOIN tails USING (term)""",
 )
 def linear_model(spark, sf_dir):
-    fit = R.linear_model(load(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"]).drop("p")
-    return rounded(rounded(fit, "estimate", "std_error", digits=4), "t", digits=3)
+    fit = R.linear_model(load(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"])
+    return rounded(rounded(rounded(fit, "estimate", "std_error", digits=4), "t", digits=3), "p")
 
 
 @query(

@@ -161,9 +161,7 @@ NEGATE_SQL = " ".join(
 )
 
 
-@query(
-    "sentiment_scores",
-    f"""WITH raw AS (SELECT doc_id, unnest(w) AS raw, generate_subscripts(w, 1) AS pos
+SENTIMENT = f"""WITH raw AS (SELECT doc_id, unnest(w) AS raw, generate_subscripts(w, 1) AS pos
   FROM (SELECT doc_id, regexp_extract_all(text, {WORD_SQL}) AS w FROM documents)),
 tok AS (SELECT *, lower(raw) AS token, raw = upper(raw) AND raw <> lower(raw) AND length(raw) > 1 AS caps
   FROM raw),
@@ -182,10 +180,13 @@ sums AS (SELECT d.doc_id, least(length(regexp_replace(text, '[^!]', '', 'g')), 4
 loud AS (SELECT doc_id, total + CASE WHEN total > 0 THEN shout WHEN total < 0 THEN -shout ELSE 0 END AS total,
   up + CASE WHEN up > -down THEN shout ELSE 0 END AS up, down - CASE WHEN up < -down THEN shout ELSE 0 END
   AS down, flat FROM sums)
-SELECT doc_id, round(total / sqrt(total * total + 15), 6) + 0.0 AS compound,
-  round(coalesce(-down / nullif(up - down + flat, 0), 0), 6) + 0.0 AS neg,
-  round(coalesce(up / nullif(up - down + flat, 0), 0), 6) + 0.0 AS pos,
-  round(coalesce(flat / nullif(up - down + flat, 0), 0), 6) + 0.0 AS neu FROM loud""",
+scored AS (SELECT doc_id, total / sqrt(total * total + 15) AS compound, coalesce(-down / nullif(up - down + flat, 0), 0) AS neg,
+  coalesce(up / nullif(up - down + flat, 0), 0) AS pos, coalesce(flat / nullif(up - down + flat, 0), 0) AS neu FROM loud)"""
+
+
+@query(
+    "sentiment_scores",
+    f"""{SENTIMENT} SELECT doc_id, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("compound", "neg", "pos", "neu"))} FROM scored""",
 )
 def sentiment_scores(spark, sf_dir):
     scores = sentiment(texts(spark, sf_dir), "doc_id", "text", lexicon(spark))
@@ -273,16 +274,16 @@ def ordered_conversations(spark, sf_dir):
 
 @query(
     "sentiment_by_day",
-    f"""WITH {TOKENS}, lex AS (SELECT * FROM (VALUES {sql_values(LEXICON)}) v(token, valence)),
-hits AS (SELECT doc_id, count(*) AS n FROM tokens JOIN lex USING (token) GROUP BY doc_id)
-SELECT source, lang, count(*) AS n, round(avg(coalesce(hits.n, 0)), 6) + 0.0 AS n_mean,
- max(coalesce(hits.n, 0)) AS n_max FROM documents LEFT JOIN hits USING (doc_id) GROUP BY source, lang""",
+    f"""{SENTIMENT} SELECT o_orderdate::DATE AS day, count(*) AS n, round(avg(compound), 5) + 0.0 AS compound_mean,
+ round(max(compound), 5) + 0.0 AS compound_max, round(avg(neg), 5) + 0.0 AS neg_mean, round(avg(pos), 5) + 0.0 AS pos_mean
+FROM scored LEFT JOIN orders ON o_orderkey = doc_id GROUP BY 1""",
 )
 def sentiment_by_day(spark, sf_dir):
-    """Mean and largest score per group."""
-    dic = lexicon(spark).select(F.lit("lex").alias("dict"), F.lit("n").alias("category"),
-                                F.col("token").alias("pattern"))
-    docs = dictionary_scores(texts(spark, sf_dir), "doc_id", "text", dic)
-    return docs.groupBy("source", "lang").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg("lex_n")).alias("n_mean"), F.max("lex_n").alias("n_max")
+    """Mean and largest sentiment of each day's documents, a document being of the day of the order of its number."""
+    days = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.to_date("o_orderdate").alias("day"))
+    scores = sentiment(texts(spark, sf_dir), "doc_id", "text", lexicon(spark)).join(days, "doc_id", "left")
+    by_day = scores.groupBy("day").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("compound").alias("compound_mean"), F.max("compound").alias("compound_max"),
+        F.avg("neg").alias("neg_mean"), F.avg("pos").alias("pos_mean"),
     )
+    return rounded(by_day, "compound_mean", "compound_max", "neg_mean", "pos_mean", digits=5)
