@@ -179,7 +179,7 @@ sums AS (SELECT d.doc_id, least(length(regexp_replace(text, '[^!]', '', 'g')), 4
   FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, text),
 loud AS (SELECT doc_id, total + CASE WHEN total > 0 THEN shout WHEN total < 0 THEN -shout ELSE 0 END AS total,
   up + CASE WHEN up > -down THEN shout ELSE 0 END AS up, down - CASE WHEN up < -down THEN shout ELSE 0 END
-  AS down, flat FROM sums)
+  AS down, flat FROM sums),
 scored AS (SELECT doc_id, total / sqrt(total * total + 15) AS compound, coalesce(-down / nullif(up - down + flat, 0), 0) AS neg,
   coalesce(up / nullif(up - down + flat, 0), 0) AS pos, coalesce(flat / nullif(up - down + flat, 0), 0) AS neu FROM loud)"""
 
