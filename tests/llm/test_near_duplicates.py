@@ -1,10 +1,13 @@
+import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from tidewatch.llm import fingerprints, simhash, substrings
 from tidewatch.llm.components import connected
@@ -125,10 +128,42 @@ def test_edits_by_the_next_document(table, odd):
         assert got[i].fingerprint == fingerprints.encoded(a)
         assert got[i].edited_fingerprint == fingerprints.encoded(b)
         assert got[i].near_edited == fingerprints.resemblance(a, b)
+        assert got[i].near_next == fingerprints.resemblance(a, fingerprints.sketches(pa.array([following]))[0])
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
     repeated = fingerprints.edited_likeness(table(odd), slices=3).collect()
     assert len(repeated) == len(odd)
 
 
+def test_equal_and_missing_ids_are_cut_by_text(spark, table):
+    rng = random.Random(9)
+    big = 2**53
+    rows = [(i, " ".join(f"v{rng.randint(0, 99)}" for _ in range(20))) for i in [None] * 40 + [big, big + 1, big + 2, -big - 1] + [7] * 40 for _ in (0, 1)]
+    docs = table(rows).select(F.col("doc_id").alias("id"), "text")
+    dealt, slices = fingerprints.sliced_by_id(docs, 16)
+    by_slice = Counter(r.slice for r in dealt.where("not extra").collect())
+    assert slices == 16 and len(by_slice) > 12 and max(by_slice.values()) < 30
+    assert {i for (i,) in dealt.where("extra").select("slice").collect()} == set(by_slice)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    want = Counter()
+    for (i, text), (_, following) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        q = len(text) // 4
+        want[i, hashlib.sha256((text[: len(text) - q] + following[:q]).encode()).hexdigest()] += 1
+    for kind in ("bigint", "double", "decimal(20,0)"):
+        cast = docs.withColumn("id", F.col("id").cast(kind))
+        if kind == "double":
+            cast = cast.where(f"id is null or abs(id) < {big}")
+            assert fingerprints.edited_likeness(cast, "id", slices=16).count() == 160
+        else:
+            got = Counter((None if r.id is None else int(r.id), r.edited_sha256) for r in fingerprints.edited_likeness(cast, "id", slices=16).collect())
+            assert got == want
+
+
+def test_slices_follow_the_bytes(table):
+    docs = table([(i, "word " * 2000) for i in range(40)]).select(F.col("doc_id").alias("id"), "text")
+    assert fingerprints.sliced_by_id(docs, None, 10_000)[1] == 41
+
+
 def test_merged_fingerprints_are_those_of_the_union(table):
     rows = [(i, " ".join(f"w{j}" for j in range(i, i + 90)), None, f"s{i % 2}") for i in range(12)] + [(50, "", None, "s2")]
     prints = fingerprints.fingerprint(table(rows), keep=["source"])

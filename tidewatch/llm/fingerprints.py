@@ -7,10 +7,11 @@ fingerprints estimate resemblance and containment, one alone the number of disti
 fingerprints of parts merge into that of their union, which is how parts of one document or whole
 sources are summed up.
 
-``edited_likeness`` needs each document's successor by id. Documents are dealt into slices of the id
-by counted bounds and sorted there; the first of each slice is also sent to the slice before, so every
-document but no more than a slice's rows meets its successor in one task, and texts move once. Ids must be
-numbers; null ids come first and equal ids follow each other by the text's hash.
+``edited_likeness`` needs each document's successor by id. Documents are dealt into slices of (id, text hash)
+of about ``SLICE_BYTES`` of text each and sorted there; the first of each slice is also sent to the slice before, so
+every document meets its successor in one task, and texts move once. Ids must be numbers; null ids come first and
+equal ids follow each other by the text's hash, so neither gathers in one slice unless the texts are equal too:
+rows alike in both stay together and pass through one task as a stream. Decimal ids are cut as doubles only.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import BATCH_BYTES, attach, utf8
+from tidewatch.llm.common import BATCH_BYTES, attach, hashed_share, stored, utf8
 from tidewatch.llm.words import BASE, mixed, word_hashes
 
 K = 256
 WIDTH = 5
+SLICE_BYTES = 64_000_000
+KEYS_PER_SLICE = 32
 PLACES = [mixed(np.array([i + 1], np.uint64) * BASE)[0] | np.uint64(1) for i in range(WIDTH)]
 
 
@@ -129,30 +132,70 @@ def merged(prints: DataFrame, by: list[str], k: int = K) -> DataFrame:
     return prints.select(*by).distinct().join(full, by, "left").withColumn("fingerprint", F.coalesce(F.regexp_replace("fingerprint", r"\s", ""), F.lit("")))
 
 
-def sliced_by_id(docs: DataFrame, slices: int) -> DataFrame:
-    """(id, text, slice, extra): rows dealt by id, and a copy of each slice's first row for the slice before."""
-    rows = docs.where("id is not null")
-    shares = [i / slices for i in range(1, slices)]
-    bounds = np.array(sorted(set(rows.select(F.col("id").cast("double")).approxQuantile("id", shares, 0.25 / slices)))) if shares else np.zeros(0)
+def ordered_bytes(ids: np.ndarray, missing: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Keys (id, h) as bytes of the same order: missing ids first, then whole numbers or doubles, then the hash."""
+    if ids.dtype.kind == "f":
+        bits = np.where(missing, 0.0, ids + 0.0).view(np.uint64)
+        high = np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+    else:
+        high = ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    out = np.zeros((len(ids), 17), np.uint8)
+    out[:, 0] = ~missing
+    out[:, 1:9] = np.where(missing, np.uint64(0), high).astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 9:] = (h.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").ravel()
+
+
+def slice_column(kind: T.DataType, bounds: np.ndarray):
+    """The number of bounds not above a row's (id, h), as a column function."""
+    whole = isinstance(kind, T.IntegralType)
 
     @F.pandas_udf("int")
-    def slice_of(ids):
-        values = ids.to_numpy(dtype="float64", na_value=-np.inf)
-        return pd.Series(np.searchsorted(bounds, values, side="right").astype("int32"))
-
-    dealt = docs.withColumn("slice", slice_of("id")).withColumn("h", F.xxhash64("text"))
-    key = F.struct("id", "h")
-    firsts = dealt.groupBy("slice").agg(F.min(key).alias("f")).orderBy("slice").collect()  # one row per slice
-    if not firsts:
-        return dealt.withColumn("extra", F.lit(False))
+    def slice_of(ids: pd.Series, h: pd.Series) -> pd.Series:
+        missing = ids.isna().to_numpy() if whole else np.zeros(len(ids), bool)
+        values = ids.fillna(0).to_numpy("int64") if whole else ids.to_numpy("float64", na_value=0.0)
+        return pd.Series(np.searchsorted(bounds, ordered_bytes(values, missing, h.to_numpy("int64")), side="right").astype("int32"))
+
+    return slice_of
+
+
+def sliced_by_id(docs: DataFrame, slices: int | None, slice_bytes: int = SLICE_BYTES) -> tuple[DataFrame, int]:
+    """(id, text, slice, h, extra): rows dealt by id and text hash, a copy of each slice's first row for the slice before; and how many slices.
+
+    Bounds come from about ``KEYS_PER_SLICE`` keys for each slice, weighed by the bytes of their texts. What reaches the driver
+    grows with the number of slices, one for ``slice_bytes`` of text.
+    """
+    kind = docs.schema["id"].dataType
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    keys = stored(hashed.groupBy("id", "h").agg(F.sum(F.octet_length("text") + 32).alias("bytes")), "fingerprint-keys")
+    total = keys.agg(F.sum("bytes")).first()[0] or 0
+    least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices or max(least, -(-total // slice_bytes))
+    exact = isinstance(kind, (T.IntegralType, T.DoubleType, T.FloatType))
+    # A double stands for a decimal id; then equal doubles are not cut by the hash. Missing ids get the least key there is.
+    number = F.col("id") if isinstance(kind, T.IntegralType) else F.coalesce(F.col("id").cast("double"), F.lit(float("-inf")))
+    place = F.col("h") if exact else F.lit(0).cast("long")
+    sample = hashed_share(keys.withColumn("k", F.xxhash64("id", "h")), "k", KEYS_PER_SLICE * slices)
+    picked = sample.select(F.col("id").isNull().alias("missing"), number.alias("id"), place.alias("h"), "bytes").toPandas()
+    whole = isinstance(kind, T.IntegralType)
+    missing = picked["missing"].to_numpy(bool) & whole
+    values = picked["id"].fillna(0).to_numpy("int64" if whole else "float64")
+    coded = ordered_bytes(values, missing, picked["h"].to_numpy("int64"))
+    order = np.argsort(coded, kind="stable")
+    weights = np.cumsum(picked["bytes"].to_numpy("float64")[order])
+    cuts = np.searchsorted(weights, weights[-1] * np.arange(1, slices) / slices) if len(weights) else []
+    bounds = np.unique(coded[order][cuts])
+    slice_of = slice_column(kind, bounds)
+    dealt = hashed.withColumn("slice", slice_of(number, place))
+    firsts = keys.withColumn("slice", slice_of(number, place)).groupBy("slice").agg(F.min(F.struct("id", "h")).alias("f")).orderBy("slice").collect()
     copies = docs.sparkSession.createDataFrame(
         [(f["f"]["id"], f["f"]["h"], firsts[i - 1]["slice"]) for i, f in enumerate(firsts)],
-        T.StructType([T.StructField("id2", docs.schema["id"].dataType), T.StructField("h2", T.LongType()), T.StructField("to", T.IntegerType())]),
+        T.StructType([T.StructField("id2", kind), T.StructField("h2", T.LongType()), T.StructField("to", T.IntegerType())]),
     )
     # One row per slice is broadcast; rows alike in id and text count once.
-    found = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(copies), F.expr("id <=> id2 and h = h2")).dropDuplicates(["to"])
+    found = hashed.join(F.broadcast(copies), F.expr("id <=> id2 and h = h2")).dropDuplicates(["to"])
     extra = found.select("id", "text", F.col("to").alias("slice"), "h", F.lit(True).alias("extra"))
-    return dealt.withColumn("extra", F.lit(False)).select("id", "text", "slice", "h", "extra").unionByName(extra)
+    return dealt.withColumn("extra", F.lit(False)).select("id", "text", "slice", "h", "extra").unionByName(extra), slices
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, width: int = WIDTH, slices: int | None = None) -> DataFrame:
@@ -162,10 +205,9 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first follows the last). Columns: id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. A table of one row has itself as the next.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    slices = slices or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sliced_by_id(rows, slices).repartition(slices, "slice").sortWithinPartitions("slice", "extra", "id", "h")
+    dealt, slices = sliced_by_id(rows, slices)
+    dealt = dealt.repartitionById(slices, F.col("slice")).sortWithinPartitions("slice", "extra", "id", "h")
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches):
