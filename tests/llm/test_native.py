@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import boosting, line_quality, personal_data
 from tidewatch.llm.queries import OP5_SQL
@@ -116,6 +117,20 @@ def test_spans_of_the_trees_against_all_pairs(table):
     assert added > 100
 
 
+def test_spans_are_learnt_from_all_texts(table):
+    """Every settled candidate counts, and a table too long for the driver gives the same spans."""
+    rows = private_rows(random.Random(3), 3600)
+    docs = table(rows)
+    vectors = personal_data.settled_vectors(docs).agg(F.sum("times"), F.count("*")).first()
+    settled_ones = personal_data.prepared(docs, "doc_id", "text").select(F.inline("candidates")).where("label is not null").count()
+    assert vectors[0] == settled_ones > 12_000 and vectors[1] < 2_000
+    few = table(rows[:480])
+    models = [personal_data.fit(few), personal_data.fit(few, most=1)]
+    assert len(models[1].trees.trees) == boosting.TREES
+    spans = [sorted((r.doc_id, r.spans) for r in personal_data.personal_data(few, m).collect()) for m in models]
+    assert spans[0] == spans[1]
+
+
 def test_redaction_of_odd_rows(table, odd):
     docs = table(odd, clashing=True)
     model = personal_data.fit(docs)

@@ -7,8 +7,8 @@ overlapping: numbers with separators, dotted numbers, long mixed tokens, assignm
 ``password``, written-out addresses. A candidate is described by its format (length, digits, letters,
 separators, checksums) and its context (words and signs before it, the characters around it).
 
-Candidates that strict rules settle either way are the labels: those of about ``SAMPLE_TEXTS`` texts, those of
-the least id hash, and of them at most ``SAMPLE`` are collected, as numbers. On the driver, trees are boosted on four fifths of them, and the
+Candidates that strict rules settle either way are the labels: those of all texts, counted by what describes
+them. Trees are boosted on four fifths of them, by id and place, and the
 rest sets for each generator the margin from which candidates are right in ``PRECISION`` of cases. The
 trees then run as SQL expressions over every candidate of every text. Accepted candidates add spans where
 they overlap no strict one and no longer accepted one.
@@ -25,13 +25,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.boosting import Boosted, boost, threshold
-from tidewatch.llm.common import hashed_share
+from tidewatch.llm.boosting import Boosted, boost, boost_table, threshold
+from tidewatch.llm.common import stored
+from tidewatch.session import BROADCAST_ROWS, is_bounded
 
 KINDS = ["email", "ip", "card", "phone", "number", "address", "token", "secret", "contact"]
-SAMPLE = 12_000
-SAMPLE_TEXTS = 40_000
 PRECISION = 0.99
+#: Margins that thresholds are looked for among are rounded to this, where Spark counts them.
+MARGIN_STEP = 1 / 1024
 CONTEXT = 24
 #: Pieces of a text placed in one go.
 BLOCK = 64
@@ -310,30 +311,49 @@ def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return candidates(strict_spans(rows))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, precision: float = PRECISION) -> SpanModel:
-    """Boosted trees and thresholds from settled candidates of the rows given; without any, nothing is added."""
-    settled_ones = (
-        prepared(hashed_share(docs, id_col, SAMPLE_TEXTS), id_col, text_col)
+def settled_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(kept_out, features, label, times): how often each description of a settled candidate occurs in all texts."""
+    return (
+        prepared(docs, id_col, text_col)
         # explode would have Spark infer a filter that computes the candidates once more
         .select("id", F.explode_outer("candidates").alias("c"))
         .where("c.label is not null")
-        .select(F.xxhash64(F.col("id").cast("string"), "c.s", "c.k").alias("h"), *[f"c.{f}" for f in FEATURES], "c.label")
-        .orderBy("h", *FEATURES)
-        .limit(sample)
-        .collect()
+        .groupBy((F.pmod(F.xxhash64(F.col("id").cast("string"), "c.s", "c.k"), F.lit(5)) == 0).alias("kept_out"), *[F.col(f"c.{f}").alias(f) for f in FEATURES], F.col("c.label").alias("label"))
+        .agg(F.count(F.lit(1)).alias("times"))
     )
-    table = np.array([tuple(r)[1:] for r in settled_ones], float).reshape(-1, len(FEATURES) + 1)
-    x, y = table[:, :-1], table[:, -1]
-    kept_out = np.arange(len(y)) % 5 == 0 if len(y) >= 100 else np.ones(len(y), bool)
-    used = ~kept_out if len(y) >= 100 else kept_out
-    if not len(y) or y[used].sum() == 0:
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION, most: int = BROADCAST_ROWS) -> SpanModel:
+    """Boosted trees and thresholds from the settled candidates of all rows; without any, nothing is added.
+
+    Candidates differ in few ways, so their counts come to the driver; more than ``most`` different ones stay a table.
+    """
+    vectors = stored(settled_vectors(docs, id_col, text_col), "settled-candidates")
+    n = vectors.agg(F.sum("times")).first()[0] or 0
+    used = ~F.col("kept_out") if n >= 100 else F.lit(True)
+    if vectors.where(used & (F.col("label") == 1)).isEmpty():
         return SpanModel(Boosted(-10.0, []), {})
-    model = boost(x[used], y[used])
-    margin = model.margin(x[kept_out])
-    kinds = x[kept_out, 0].astype(int)
-    # a kind without rows to calibrate on has the threshold of all kinds together
-    least = {k: threshold(*((v[kinds == k] if (kinds == k).any() else v) for v in (margin, y[kept_out])), precision) for k in range(4, len(KINDS))}
-    return SpanModel(model, least)
+    rest = F.col("kept_out") if n >= 100 else F.lit(True)
+    if is_bounded(vectors, most):
+        # in a fixed order, so that sums come out the same every time
+        rows = vectors.select(*FEATURES, "label", "times", used.alias("used"), rest.alias("rest")).orderBy(*FEATURES, "label", "kept_out").collect()
+        table = np.array([tuple(r) for r in rows], float)
+        x, y, times, train, test = table[:, : len(FEATURES)], table[:, -4], table[:, -3], table[:, -2] > 0, table[:, -1] > 0
+        model = boost(x[train], y[train], times=times[train])
+        margin, right, counts, kinds, step = model.margin(x[test]), y[test], times[test], x[test, 0].astype(int), 0.0
+    else:
+        model = boost_table(vectors.where(used), FEATURES, "label", "times")
+        place = F.round(F.expr(model.sql(FEATURES)) / MARGIN_STEP).alias("m")
+        found = vectors.where(rest).groupBy("kind", place, "label").agg(F.sum("times").alias("times")).orderBy("kind", "m", "label").collect()
+        table = np.array([tuple(r) for r in found], float).reshape(-1, 4)
+        kinds, margin, right, counts, step = table[:, 0].astype(int), table[:, 1] * MARGIN_STEP, table[:, 2], table[:, 3], MARGIN_STEP
+
+    def least(k: int) -> float:
+        # a kind without rows to calibrate on has the threshold of all kinds together
+        of_kind_k = kinds == k if (kinds == k).any() else np.ones(len(kinds), bool)
+        return threshold(margin[of_kind_k], right[of_kind_k], precision, counts[of_kind_k], step)
+
+    return SpanModel(model, {k: least(k) for k in range(4, len(KINDS))})
 
 
 def detected(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
