@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import relocate
 from tidewatch.operators.ordering import in_order
+from tidewatch.session import PART_ROWS
 
 KEY = ["system_source", "event_num"]
 
@@ -93,16 +96,23 @@ def violations(
     registry: DataFrame | None = None,
     key: str = "eid",
     vector_sizes: dict[str, int] | None = None,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """(rule, key, n): repeated or missing keys, keys without a registry row, wrong vector lengths."""
+    """(rule, key, n): repeated or missing keys, keys without a registry row, wrong vector lengths.
+
+    Keys are dealt out into parts of about ``part_rows`` rows, as parts of a bounded number of bytes hold any number of short keys.
+    """
+    size = max(table.count(), registry.count() if registry is not None else 0)
+    parts = max(math.ceil(size / part_rows), table.sparkSession.sparkContext.defaultParallelism)
+    counts = table.select(key).repartition(parts, key).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     checks = [
-        table.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull())
+        counts.filter((F.col("n") > 1) | F.col(key).isNull())
         .select(F.lit("primary key").alias("rule"), F.col(key).cast("string").alias("key"), "n")
     ]
     if registry is not None:
         checks.append(
-            table.join(registry.select(key), key, "left_anti").groupBy(key).count()
-            .select(F.lit("foreign key"), F.col(key).cast("string"), F.col("count"))
+            counts.join(registry.select(key).repartition(parts, key), key, "left_anti")
+            .select(F.lit("foreign key"), F.col(key).cast("string"), "n")
         )
     for column, size in (vector_sizes or {}).items():
         checks.append(
