@@ -7,6 +7,7 @@ from tidewatch.functions import columns as C
 from tidewatch.functions.vectors import cosine, read_vector, to_vector, unit_vector, write_vector
 from tidewatch.operators import joins as J
 from tidewatch.operators.groups import date_spine, groups_of_size, histogram, with_group_end
+from tidewatch.plans.measures import source_similarity
 from tidewatch.session import require_columns, scratch_path, shared_dir
 from tidewatch.sources.dictionaries import liwc_dictionary
 from tidewatch.sources.pages import REPORT_FIELDS, anchors, by_id, by_tag, extract_fields, narratives, split_bad
@@ -212,3 +213,39 @@ def test_many_tags_and_fields_of_a_page(spark):
     got = extract_fields(pages, "html", fields).collect()
     assert got[0]["a"] == "x" * 3000 + "end" and got[0]["q"] == "y" and got[0]["none"] is None and got[0]["b"] is None
     assert (got[1]["b"], got[1]["c"], got[1]["a"]) == ("one", "two", None)
+
+
+def test_key_checks_deal_keys_out_by_their_number(spark):
+    """The more keys, the more parts, whatever their bytes; repeated, missing and unknown keys are found."""
+    table = spark.range(1000).select((F.col("id") % 900).alias("eid")).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    found = R.violations(table, spark.range(850).select(F.col("id").alias("eid")), part_rows=50)
+    assert found.rdd.getNumPartitions() == 2 * 21
+    rows = {(r.rule, r.key): r.n for r in found.collect()}
+    expected = {("primary key", str(i)): 2 for i in range(100)} | {("primary key", None): 1}
+    assert rows == expected | {("foreign key", str(i)): 1 for i in range(850, 900)} | {("foreign key", None): 1}
+
+
+def test_long_texts_are_bound_in_short_blocks(spark):
+    left = spark.range(400).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    right = spark.range(400).select((F.col("id") * 3).alias("place"), (F.col("id") + 7).alias("score"))
+    assert J.rows_in_block(left, 400, 20_000) == 19 and J.rows_in_block(right, 400, 20_000) == 1250
+    sizes = J.in_order(left, [], ["id"], ordinal="_row", block_rows=19, longest=400).rows.groupBy("_row").count().count()
+    bound = J.bind_columns(left, right, ["id"], ["place"], block_bytes=20_000)
+    assert sizes == 400 and [(r.id, r.score) for r in bound.orderBy("id").collect()] == [(i, i + 7) for i in range(400)]
+
+
+@pytest.mark.parametrize("block_rows", [20, 1000])
+def test_shared_vectors_give_the_same_similarities(spark, block_rows):
+    """Ids put in order, vectors met afterwards: as with a vector beside each event."""
+    shared = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i)]) for i in range(7)] + [(7, None)], "vec_id long, vec array<double>")
+    raw = spark.range(300).select(
+        F.col("id").cast("string").alias("eid"), (F.col("id") % 4).alias("unit"),
+        F.concat(F.lit("20"), F.lpad((F.col("id") * 7 % 26).cast("string"), 2, "0"), F.lit("-03-04")).alias("day"))
+    registry = raw.select("eid", F.lit("nrc").alias("system_source"))
+    ids = raw.select("eid", (F.col("eid").cast("long") * 5 % 8).alias("vec_id"))
+    args = (registry, raw, "nrc", "unit", "day", ["vec"])
+    options = dict(min_events=10, block_rows=block_rows)
+    by_id = source_similarity(ids, *args, shared=shared, **options)
+    beside = source_similarity(ids.join(shared, "vec_id").drop("vec_id"), *args, **options)
+    values = [{r.eid: (r.t, r.cos_sim_rw_vec_1) for r in d.collect()} for d in (by_id, beside)]
+    assert values[0] == values[1] and len(values[0]) > 250 and "vec_id" not in by_id.columns

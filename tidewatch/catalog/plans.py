@@ -190,9 +190,9 @@ def source_similarity_query(spark, sf_dir):
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lit("nrc").alias("system_source"),
         F.col("o_orderkey").cast("string").alias("event_num"),
     ).withColumn("eid", event_id())
-    embeddings = o.join(v, "vec_id").select("eid", "vec")
+    embeddings = o.join(v.select("vec_id"), "vec_id", "left_semi").select("eid", "vec_id")
     rows = source_similarity(embeddings, o.select("eid", "system_source"), o.select("eid", "unit", "day"), "nrc",
-                             "unit", "day", ["vec"], min_events=60)
+                             "unit", "day", ["vec"], min_events=60, shared=v)
     return rounded(rows.select("eid", "unit", "cos_sim_rw_vec_1"), "cos_sim_rw_vec_1")
 
 
