@@ -7,7 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordering import in_order
+from tidewatch.operators.ordering import BLOCK_ROWS, in_order
+from tidewatch.session import text_bytes
+
+#: What is numbered in one task.
+BLOCK_BYTES = 64_000_000
 
 
 def left_join(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> DataFrame:
@@ -32,15 +36,26 @@ def join_metrics(first: DataFrame, *others: DataFrame, on: list[str]) -> DataFra
     return reduce(lambda a, b: a.join(b, on, "left"), others, first)
 
 
+def rows_in_block(df: DataFrame, rows: int, block_bytes: int = BLOCK_BYTES) -> int:
+    """How many of the table's rows one task may number, by what its texts and other columns take on average."""
+    texts = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = 8 * len(df.columns) + (text_bytes(df, texts) / max(rows, 1) if texts else 0)
+    return max(1, min(BLOCK_ROWS, int(block_bytes / size)))
+
+
 def bind_columns(
-    left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]
+    left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str], block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Row n beside row n, in the given orders. A differing number of rows is an error."""
+    """Row n beside row n, in the given orders. A differing number of rows is an error.
+
+    Rows with long texts are numbered in shorter blocks, so that no task reads more than about ``block_bytes``.
+    """
     n_left, n_right = left.count(), right.count()
     if n_left != n_right:
         raise ValueError(f"{n_left} rows cannot be bound to {n_right}")
-    a = in_order(left, [], left_order, ordinal="_row").rows
-    b = in_order(right, [], right_order, ordinal="_row").rows
+    blocks = [rows_in_block(side, n_left, block_bytes) for side in (left, right)]
+    a = in_order(left, [], left_order, ordinal="_row", block_rows=blocks[0], longest=n_left).rows
+    b = in_order(right, [], right_order, ordinal="_row", block_rows=blocks[1], longest=n_right).rows
     return a.join(b, "_row").drop("_row")
 
 
