@@ -1,11 +1,16 @@
 """Text functions and narrative scores on edge cases."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch import session
 from tidewatch.functions import text as X
 from tidewatch.functions.columns import valid_text
+from tidewatch.functions.text import words
+from tidewatch.operators import scoring
 from tidewatch.operators.groups import ordered_text
 from tidewatch.operators.scoring import (
     dictionary_hits,
@@ -23,7 +28,7 @@ from tidewatch.operators.scoring import (
     token_statistics,
     tokens,
 )
-from tidewatch.session import scratch_path
+from tidewatch.session import parts_of, scratch_path
 from tidewatch.sources.dictionaries import feature_names, liwc_dictionary, read_dictionary
 
 TEXTS = [
@@ -207,3 +212,27 @@ def test_a_text_without_words_has_a_zero_vector(spark):
     df = spark.createDataFrame([(1, "one two"), (2, ""), (3, None), (4, "!?")], "eid int, text string")
     got = {r["eid"]: r["embedding"] for r in text_vectors(df, "eid", "text", dim=8).collect()}
     assert sorted(got) == [1, 2, 3, 4] and any(got[1]) and all(got[i] == [0.0] * 8 for i in (2, 3, 4))
+
+
+def test_parts_of_term_counts_follow_the_length_of_the_texts(spark, monkeypatch):
+    docs = spark.range(300).select("id", F.concat_ws(" ", F.lit("reports"), F.repeat(F.lit("engine stopped "), 40), F.col("id")).alias("text"))
+    usual = {tuple(r) for r in scoring.term_counts(docs, "id", "text").collect()}
+    monkeypatch.setattr(scoring, "parts_of", lambda df, text: parts_of(df, text, 5_000))
+    small = scoring.term_counts(docs, "id", "text")
+    assert small.rdd.getNumPartitions() == math.ceil(session.text_bytes(docs, ["text"]) / 5_000) > 30
+    assert {tuple(r) for r in small.collect()} == usual and len(usual) == 1200
+
+
+def test_words_of_texts_stay_where_they_are_while_few_fit_a_long_dictionary(spark):
+    docs = spark.createDataFrame([(1, "the thin thing in the end"), (2, "thin air"), (3, None)], "id long, text string")
+    patterns = spark.createDataFrame([("a", "x", "th*"), ("a", "y", "the"), ("a", "z", "in the"), ("b", "x", "t*")], "dict string, category string, pattern string")
+    found = scoring.dictionary_hits(docs, "id", "text", patterns, broadcast_rows=0)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().sparkPlan().toString()
+    expected = sorted({tuple(r) for r in scoring.dictionary_hits(docs, "id", "text", patterns).collect()})
+    assert sorted(tuple(r) for r in found.collect()) == expected and (1, "a_z", 1) in expected
+    texts = docs.select("id", F.explode(words("text")).alias("token"))
+    table = scoring.dictionary_table(patterns).filter("n_tokens = 1")
+    feature = F.concat_ws("_", "dict", "category").alias("feature")
+    sides = table.filter("NOT is_prefix").select(F.col("stem").alias("token"), feature), table.filter("is_prefix").select("stem", "n_tokens", feature)
+    ways = [sorted(tuple(r) for r in scoring._hits_by_vocabulary(texts, "id", *sides, n).collect()) for n in (0, 100)]
+    assert ways[0] == ways[1] and (1, "b_x", 4) in ways[0]

@@ -244,12 +244,13 @@ def _from_products(products: DataFrame, by: list[str]) -> DataFrame:
 # -- similarity of neighbouring documents ----------------------------------------------------------
 
 
-def neighbour_similarity(counts: DataFrame, previous: DataFrame, key: str) -> DataFrame:
+def neighbour_similarity(counts: DataFrame, previous: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """Cosine of a document's term counts with those of the one before it.
 
     ``counts`` is (key, term, n), ``previous`` is (key, previous key). Every count goes to the pair in
     which its document is the later one and to the pair in which it is the earlier one; all sums of
-    a pair come from these rows, so the work follows the number of terms, not of document pairs.
+    a pair come from these rows, so the work follows the number of terms, not of document pairs. ``parts`` is how many tasks
+    share the pairs' terms.
     """
     following = previous.filter("previous IS NOT NULL").select(
         F.col("previous").alias(key), F.col(key).alias("_next")
@@ -264,7 +265,8 @@ def neighbour_similarity(counts: DataFrame, previous: DataFrame, key: str) -> Da
     )
     cells = counts.join(following, key, "left").select("term", F.inline(F.array_compact(sides)))
     # together by pair, so that the sums by term and the sums by pair move nothing any more
-    cells = cells.repartition("_pair").groupBy("_pair", "term").agg(
+    dealt = cells.repartition(parts, "_pair") if parts else cells.repartition("_pair")
+    cells = dealt.groupBy("_pair", "term").agg(
         F.max("late").alias("late"), F.max("early").alias("early")
     )
     late, early = F.col("late").cast("double"), F.col("early").cast("double")
