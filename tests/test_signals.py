@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators.joint_signals import EIGEN_METRICS, JOINT_METRICS, eigen_metrics, information_path, joint_signals, multi_information
 from tidewatch.operators.ordering import in_order
 from tidewatch.operators.series import inter_event_times, rolling_burstiness
+from tidewatch.plans.measures import unit_signals
 from tidewatch.operators.signals import (
     attach_outcomes,
     crossing_count,
@@ -262,3 +263,12 @@ def test_join_and_outcomes(spark):
     assert joined.count() == 3
     out = attach_outcomes(joined, spark.createDataFrame([("e1", 1)], "eid string, harm int"), "unit").collect()
     assert [(r["eid"], r["harm"]) for r in out] == [("e1", 1)]
+
+
+def test_single_counts_without_the_joint_ones(spark):
+    rows = [(u, i, float((i * 37 + u) % 11), float((i * i) % 7)) for u in range(2) for i in range(90)]
+    series = spark.createDataFrame(rows, "unit long, at long, x double, y double").withColumn("eid", F.col("at"))
+    both = unit_signals(series, "unit", "at", ["x", "y"], burn_in=50)
+    single = unit_signals(series, "unit", "at", ["x", "y"], burn_in=50, joint=False)
+    assert "multi_crossed" in both.columns and "multi_crossed" not in single.columns
+    assert sorted(map(str, both.drop("multi_crossed").collect())) == sorted(map(str, single.collect())) and single.count() == 180

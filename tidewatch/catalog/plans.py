@@ -211,7 +211,7 @@ FROM whole w LEFT JOIN counts USING (event_id) GROUP BY 1, 2""",
 def unit_measure_signals(spark, sf_dir):
     """Crossing counts of the three measures on their own; the joint count is checked elsewhere."""
     metrics = ["cos_sim_rw_vec_1", "inter_event_dur", "b_param"]
-    return unit_signals(measures(spark, sf_dir), "user_id", "ts", metrics, "event_id", BURN_IN).select(
+    return unit_signals(measures(spark, sf_dir), "user_id", "ts", metrics, "event_id", BURN_IN, joint=False).select(
         "event_id", "user_id", *[f"{m}_crossed" for m in metrics])
 
 
