@@ -3,6 +3,7 @@
 import datetime as dt
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -497,6 +498,83 @@ def test_a_point_visits_few_tiles_of_a_long_series(spark):
     assert rows < 5 * 2 * n < len(sizes) * n / 5
 
 
+def test_short_series_share_a_search(spark):
+    df = spark.range(0, 4000).selectExpr("cast(id % 80 as string) AS unit", "id DIV 80 AS i", "sin(id * id) AS x", "cos(id) AS y")
+    points = M.delay_points(df, ["unit"], ["i"], "x", 3, 2)
+    dims = df.selectExpr("unit", "3 AS E").distinct()
+    for found in (M.forecasts(points, ["unit"], 3, 2, [(2, 1), (3, 2)]), M.forecasts(points.withColumn("E", F.lit(2)), ["unit"], 3, 2, None, scored=True),
+                  M.cross_map(df, ["unit"], ["i"], "x", "y", dims, 3, [10, 30], 12)):
+        # a stream of whole series, not a call and a message for each of them
+        plan = plan_of(found)
+        assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
+    lengths, kinds = np.tile(np.arange(45, 95), 40), np.repeat([2, 3], 1000)
+    stacks = list(M._alike(lengths, kinds))
+    assert sorted(np.concatenate(stacks)) == list(range(2000)) and len(stacks) < 150
+    assert all(len(set(kinds[s])) == 1 and len(s) * max(lengths[s]) ** 2 <= M.STACKED for s in stacks)
+
+
+def brute_forecasts(x, e, step):
+    """{t: (predicted, actual)} by hand; an equally near earlier point comes first."""
+    n, out = len(x), {}
+    known = [t for t in range(e, n - step + 1) if all(np.isfinite(x[t - 1 - j]) for j in range(e)) and np.isfinite(x[t - 1 + step])]
+    for t in known:
+        near = sorted((math.sqrt(sum((x[t - 1 - j] - x[s - 1 - j]) ** 2 for j in range(e))), s) for s in known if s != t)[: e + 1]
+        if near:
+            d0 = near[0][0]
+            w = [math.exp(-d / d0) if d0 > 0 else float(d == 0) for d, _ in near]
+            out[t] = (sum(a * x[s - 1 + step] for a, (_, s) in zip(w, near)) / sum(w), x[t - 1 + step])
+    return out
+
+
+def test_stacked_series_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    series = {(f"u{k}", None if k % 5 else k): rng.normal(size=n).round(1) for k, n in enumerate([1, 2, 5, 9, 23, 24, 25, 40, 40, 41])}
+    series["ties", 1] = np.arange(30.0) % 4
+    series["gaps", 1] = np.where(np.arange(50) % 7 == 3, np.nan, rng.normal(size=50).round(1))
+    series["ends", 1] = np.where(np.arange(40) == 20, np.inf, rng.normal(size=40))
+    series["flat", 1] = np.full(30, 0.1)
+    rows = [(*key, i, float(v)) for key, x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "unit string, k int, i int, x double")
+    keys, pairs = ["unit", "k"], [(2, 1), (3, 1), (3, 2), (3, 4), (1, 3)]
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        points = M.delay_points(df, keys, ["i"], "x", 3, 4)
+        found = M.forecasts(points, keys, 3, 4, pairs)
+        got = {(r["unit"], r["k"], r["E"], r["step"], r["t"]): (r["predicted"], r["actual"]) for r in found.collect()}
+        scores = {tuple(r)[:4]: tuple(r)[4:] for r in M.forecasts(points, keys, 3, 4, pairs, scored=True).collect()}
+        chosen = points.withColumn("E", F.when(F.col("unit") < "u", 2).otherwise(3))
+        own = {tuple(r)[:4]: tuple(r)[4:] for r in M.forecasts(chosen, keys, 3, 4, None, scored=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    want = {(*key, e, s, t): pair for key, x in series.items() for e, s in pairs for t, pair in brute_forecasts(x, e, s).items()}
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    reference = {tuple(r)[:4]: tuple(r)[4:] for r in M.skill(found, [*keys, "E", "step"]).collect()}
+    assert set(scores) == set(reference) == {k[:4] for k in want}
+    for k, (n, rho) in reference.items():
+        assert scores[k][0] == n
+        assert scores[k][1] == (None if rho is None else pytest.approx(rho, abs=1e-9)) or k[0] == "flat"
+    assert all(scores[k][1] is None for k in scores if k[0] == "flat")
+    assert {k[2:] for k in own if k[0] == "ties"} == {(2, s) for s in range(1, 5)}
+    assert all(own[k] == pytest.approx(scores[k], abs=1e-9) for k in own if k in scores and None not in scores[k])
+
+
+@pytest.mark.parametrize("sizes", [[6, 20, 37], None])
+def test_stacked_cross_map_against_brute_force(spark, sizes):
+    rng = np.random.default_rng(4)
+    units = {f"u{k}": (2 + k % 2, rng.normal(size=(n, 2)).round(1)) for k, n in enumerate([2, 12, 30, 31, 31, 45])}
+    rows = [(u, i, float(a), float(b)) for u, (_, xy) in units.items() for i, (a, b) in enumerate(xy)]
+    df = spark.createDataFrame(rows, "unit string, i int, x double, y double")
+    dims = spark.createDataFrame([(u, e) for u, (e, _) in units.items()], "unit string, E int")
+    got = {tuple(r)[:3]: r["rho"] for r in M.cross_map(df, ["unit"], ["i"], "x", "y", dims, 3, sizes, 12).collect()}
+    for u, (e, xy) in units.items():
+        if len(xy) > 10:
+            want = brute_cross_map(xy[:, 1], xy[:, 0], e, sizes or M.unit_sizes(len(xy), e), 12, u)
+            assert {k[1:] for k in got if k[0] == u} == set(want)
+            assert all(got[u, *k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().toString()
 

@@ -33,10 +33,10 @@ skills AS (SELECT user_id, e, step, count(*) AS n_forecasts, covar_samp(predicte
  / nullif(stddev_samp(predicted) * stddev_samp(actual), 0) AS rho FROM forecast GROUP BY 1, 2, 3)"""
 
 
-def forecasts(spark, sf_dir, pairs):
+def skills(spark, sf_dir, pairs):
     seq = event_series(spark, sf_dir)
     points = M.delay_points(seq.rows.drop("t"), UNIT, ORDER, "value", max(DIMS), 10, longest=seq.longest)
-    return M.forecasts(points, UNIT, max(DIMS), 10, pairs, longest=seq.longest)
+    return M.forecasts(points, UNIT, max(DIMS), 10, pairs, longest=seq.longest, scored=True)
 
 
 @query(
@@ -44,8 +44,7 @@ def forecasts(spark, sf_dir, pairs):
     f"""WITH {skill_sql([(e, 1) for e in DIMS])} SELECT user_id, e AS E, n_forecasts, round(rho, 6) + 0.0 AS rho FROM skills""",
 )
 def forecast_skill_by_dimension(spark, sf_dir):
-    found = forecasts(spark, sf_dir, [(e, 1) for e in DIMS])
-    return rounded(M.skill(found, ["user_id", "E"]), "rho")
+    return rounded(skills(spark, sf_dir, [(e, 1) for e in DIMS]).drop("step"), "rho")
 
 
 @query(
@@ -53,8 +52,7 @@ def forecast_skill_by_dimension(spark, sf_dir):
     f"""WITH {skill_sql([(e, 1) for e in DIMS])} SELECT user_id, arg_max(e, abs(rho)) AS E FROM skills GROUP BY 1""",
 )
 def best_dimension(spark, sf_dir):
-    found = forecasts(spark, sf_dir, [(e, 1) for e in DIMS])
-    return M.best_dimension(M.skill(found, ["user_id", "E"]), UNIT)
+    return M.best_dimension(skills(spark, sf_dir, [(e, 1) for e in DIMS]), UNIT)
 
 
 @query(
@@ -65,8 +63,8 @@ SELECT user_id, round(slope, 6) + 0.0 AS rho_slope, round(greatest(0, 1 - abs(r
  + 5 * (1 - r*r)^3 / 16))), 6) + 0.0 AS rho_p FROM fit""",
 )
 def skill_decay_over_steps(spark, sf_dir):
-    found = forecasts(spark, sf_dir, [(3, s) for s in range(1, 11)])
-    return rounded(M.slope_test(M.skill(found, ["user_id", "step"]), UNIT), "rho_slope", "rho_p")
+    found = skills(spark, sf_dir, [(3, s) for s in range(1, 11)])
+    return rounded(M.slope_test(found, UNIT), "rho_slope", "rho_p")
 
 
 SIZES, ITERATIONS = [10, 20, 40], 10
