@@ -560,6 +560,17 @@ def test_stacked_series_against_brute_force(spark):
     assert all(own[k] == pytest.approx(scores[k], abs=1e-9) for k in own if k in scores and None not in scores[k])
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_equal_distances_of_unequal_squares(spark, block):
+    # two sums of squares may differ in their last bit and have one root: the earlier point is the neighbour
+    x = np.random.default_rng(20).integers(0, 60, 60) / 10
+    df = spark.createDataFrame([("u", i, float(v)) for i, v in enumerate(x)], "unit string, i int, x double")
+    points = M.delay_points(df, ["unit"], ["i"], "x", 3, 1)
+    got = {r["t"]: r["predicted"] for r in M.forecasts(points, ["unit"], 3, 1, [(3, 1)], block).collect()}
+    want = brute_forecasts(x, 3, 1)
+    assert set(got) == set(want) and all(got[t] == pytest.approx(want[t][0], abs=1e-9) for t in want)
+
+
 @pytest.mark.parametrize("sizes", [[6, 20, 37], None])
 def test_stacked_cross_map_against_brute_force(spark, sizes):
     rng = np.random.default_rng(4)
