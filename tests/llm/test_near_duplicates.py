@@ -62,6 +62,25 @@ def test_links_join_the_groups_that_all_links_join(spark):
         assert brute_components(nodes, links) == want
 
 
+def test_variants_of_fingerprints_are_not_broadcast(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    spark.createDataFrame([(signed(rng.getrandbits(64)),) for _ in range(500)] + [(k,) for k in range(40)], "fp bigint").write.parquet(f"{tmp_path}/nodes")
+    nodes, want, kept = spark.read.parquet(f"{tmp_path}/nodes"), None, simhash.stored
+    for least in (True, False):  # full buckets few enough to broadcast, or not
+        plans = []
+        monkeypatch.setattr(simhash, "stored", lambda df, label: plans.append((label, df._jdf.queryExecution().sparkPlan().toString())) or kept(df, label))
+        monkeypatch.setattr(simhash, "is_bounded", lambda df: least, raising=False)
+        links = simhash.fingerprint_links(nodes, bucket=4)
+        made = [p for label, p in plans if label.startswith("bucket-index")]
+        assert len(made) == 2 and all(("BroadcastHashJoin" in p) == least and ("SortMergeJoin" in p) != least for p in made)
+        assert not re.search("BuildLeft", "".join(made))
+        plan = links._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 3
+        groups = brute_components(range(40), [(r.a, r.b) for r in links.collect() if 0 <= min(r.a, r.b) and max(r.a, r.b) < 40])
+        want = want or groups
+        assert groups == want and set(groups.values()) == {0}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7)]
     got = {r.node: r.group for r in connected(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

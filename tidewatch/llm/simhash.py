@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import attach, id_and_text, stored
 from tidewatch.llm.components import connected
+from tidewatch.session import is_bounded
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -142,7 +143,8 @@ def fingerprint_links(nodes: DataFrame, distance: int = MAX_DISTANCE, bucket: in
         last = level == len(LEVELS) - 1
         sizes = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         few = sizes if last else sizes.where(F.col("n") <= bucket)
-        members = index.join(few, "key").groupBy("key").agg(F.collect_list("fp").alias("fps"))
+        # by merging: Spark takes the variants for no larger than the fingerprints they are made from, and would broadcast them
+        members = index.join(few.hint("merge"), "key").groupBy("key").agg(F.collect_list("fp").alias("fps"))
         links = bucket_links(members, distance)
         found = links if found is None else found.unionByName(links)
         if last:
@@ -150,7 +152,8 @@ def fingerprint_links(nodes: DataFrame, distance: int = MAX_DISTANCE, bucket: in
         many = stored(sizes.where(F.col("n") > bucket).select("key"), f"full-buckets-{level}")
         if many.isEmpty():
             break
-        index = stored(next_index(index.join(many, "key"), level + 1), f"bucket-index-{level + 1}")
+        full = F.broadcast(many) if is_bounded(many) else many.hint("merge")
+        index = stored(next_index(index.join(full, "key"), level + 1), f"bucket-index-{level + 1}")
     return found.distinct()
 
 
