@@ -236,3 +236,39 @@ def test_words_of_texts_stay_where_they_are_while_few_fit_a_long_dictionary(spar
     sides = table.filter("NOT is_prefix").select(F.col("stem").alias("token"), feature), table.filter("is_prefix").select("stem", "n_tokens", feature)
     ways = [sorted(tuple(r) for r in scoring._hits_by_vocabulary(texts, "id", *sides, n).collect()) for n in (0, 100)]
     assert ways[0] == ways[1] and (1, "b_x", 4) in ways[0]
+
+
+def test_only_rare_words_of_texts_move_to_a_long_dictionary(spark, monkeypatch):
+    rare = [(i, f"the thin thing in the end of them t{i} x{i}") for i in range(60)]
+    docs = spark.createDataFrame([*rare, (60, "in the"), (61, None), (None, "of them")], "id long, text string")
+    patterns = spark.createDataFrame([("a", "x", "th*"), ("a", "y", "the"), ("a", "z", "in the"), ("a", "z", "of th*"), ("b", "x", "t*"), ("b", "y", "x1*"), ("b", "z", "zebra")], "dict string, category string, pattern string")
+    usual = sorted(map(str, scoring.dictionary_hits(docs, "id", "text", patterns).collect()))
+    made, kept, ways = {}, session.stored, []
+    hits = scoring._hits_by_vocabulary
+
+    def seen(df, label):
+        made[label] = kept(df, label)
+        return made[label]
+
+    monkeypatch.setattr(scoring, "stored", seen, raising=False)
+    for most in (200, 20, 0):  # all words are frequent, those of all texts are, or none
+        monkeypatch.setattr(scoring, "_hits_by_vocabulary", lambda *sides: hits(*sides, most))
+        made.clear()
+        assert sorted(map(str, scoring.dictionary_hits(docs, "id", "text", patterns, broadcast_rows=0).collect())) == usual
+        phrases = {r["token"] for r in made["vocabulary"].collect() if " " in r["token"]}
+        assert phrases == {"in the", "of them"}  # no others begin with the first word of a pattern of two
+        moved = made.get("hits-and-rare-words")
+        ways.append({r["token"] for r in moved.filter("token IS NOT NULL").collect()} if moved else None)
+    own = {f"{c}{i}" for i in range(60) for c in "tx"}
+    assert ways[0] is None and ways[1] == own and ways[2] == own | phrases | set("the thin thing in end of them".split())
+
+
+def test_vocabulary_is_not_broadcast_to_a_long_dictionary(spark, monkeypatch):
+    words_ = session.stored(spark.createDataFrame([("the",), ("thin",), ("of them",)], "token string"), "vocabulary")  # a small file
+    table = scoring.dictionary_table(spark.createDataFrame([("a", "x", "th*"), ("a", "y", "the")], "dict string, category string, pattern string"))
+    sides = table.filter("NOT is_prefix").select(F.col("stem").alias("token"), F.lit("y").alias("feature")), table.filter("is_prefix").select("stem", "n_tokens", F.lit("x").alias("feature"))
+    monkeypatch.setattr(scoring, "is_bounded", lambda df: False)
+    found = token_features(words_, *sides)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == [("the", "x"), ("the", "y"), ("thin", "x")]
