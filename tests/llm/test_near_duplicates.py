@@ -69,7 +69,7 @@ def test_variants_of_fingerprints_are_not_broadcast(spark, tmp_path, monkeypatch
     for least in (True, False):  # full buckets few enough to broadcast, or not
         plans = []
         monkeypatch.setattr(simhash, "stored", lambda df, label: plans.append((label, df._jdf.queryExecution().sparkPlan().toString())) or kept(df, label))
-        monkeypatch.setattr(simhash, "is_bounded", lambda df: least, raising=False)
+        monkeypatch.setattr("tidewatch.session.is_bounded", lambda df, max_rows: least)
         links = simhash.fingerprint_links(nodes, bucket=4)
         made = [p for label, p in plans if label.startswith("bucket-index")]
         assert len(made) == 2 and all(("BroadcastHashJoin" in p) == least and ("SortMergeJoin" in p) != least for p in made)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import corpus_pipeline
 from tidewatch.llm.queries import ORACLE, QUERIES
@@ -59,3 +60,24 @@ def test_empty_documents(spark, table, tmp_path):
     path = str(tmp_path)
     table([]).write.parquet(f"{path}/documents.parquet")
     assert corpus_pipeline.run(spark, path).collect() == []
+
+
+def test_near_and_substring_dedup_broadcast_only_what_is_counted_few(spark, table, tmp_path, monkeypatch):
+    rows, _ = corpus()
+    table([*rows, (500, rows[3][1], "en", "h")]).write.parquet(f"{tmp_path}/docs")
+    docs, plans, kept = spark.read.parquet(f"{tmp_path}/docs"), {}, corpus_pipeline.stored
+    texts = {}
+    for few in (True, False):
+        monkeypatch.setattr("tidewatch.session.is_bounded", lambda df, max_rows: few)
+        monkeypatch.setattr("tidewatch.llm.simhash.stored", lambda df, label: plans.update({label: joins(df)}) or kept(df, label))
+        near = corpus_pipeline.first_of_near_duplicates(spark, docs, None)
+        cut = corpus_pipeline.without_repeated_passages(spark, kept(near, "near"), None)
+        assert plans["fingerprint-links"] == {"SortMergeJoin"}  # the variants, which Spark takes for as small as the fingerprints
+        assert ("SortMergeJoin" in joins(near, "fp")) != few and ("SortMergeJoin" in joins(cut, "h")) != few
+        texts[few] = sorted((r.doc_id, r.text) for r in cut.collect())
+    assert texts[True] == texts[False] and len(texts[True]) == 150
+
+
+def joins(df, key=""):
+    """The kinds of joins of a plan, those on a column of the name given."""
+    return set(re.findall(rf"(\w+Join) \[[^\]]*{key and rf'\b{key}#'}", df._jdf.queryExecution().sparkPlan().toString()))

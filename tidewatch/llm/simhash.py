@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import attach, id_and_text, stored
 from tidewatch.llm.components import connected
-from tidewatch.session import is_bounded
+from tidewatch.session import counted_side
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -152,8 +152,7 @@ def fingerprint_links(nodes: DataFrame, distance: int = MAX_DISTANCE, bucket: in
         many = stored(sizes.where(F.col("n") > bucket).select("key"), f"full-buckets-{level}")
         if many.isEmpty():
             break
-        full = F.broadcast(many) if is_bounded(many) else many.hint("merge")
-        index = stored(next_index(index.join(full, "key"), level + 1), f"bucket-index-{level + 1}")
+        index = stored(next_index(index.join(counted_side(many), "key"), level + 1), f"bucket-index-{level + 1}")
     return found.distinct()
 
 
@@ -169,8 +168,8 @@ def near_duplicates(
     groups = connected(links)
     labelled = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("group", "fp"))
     least = labelled.groupBy("group").agg(F.min("least").alias("component_id"))
-    # stored, so that both sides of the last join are plain shuffles and a hot fingerprint is split
+    # stored, so that both sides of the last join are plain shuffles and a hot fingerprint is split, unless few are broadcast
     named = stored(labelled.join(least, "group").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select(
+    return prints.join(counted_side(named), "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.common import bounded_slices, stored
+from tidewatch.session import counted_side
 
 SENTENCES = 2
 WORDS = 5
@@ -124,8 +125,8 @@ def remove_repeats(
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = spans(rows, sentences, words)
     repeated = found.groupBy("h", "c").agg(F.min("id").alias("id0"), F.count("*").alias("n")).where("n > 1").drop("n")
-    repeated = stored(repeated, "repeated-spans")  # then both sides of the join are plain shuffles, and a hot span is split
-    later = found.join(repeated, ["h", "c"]).where("again or id > id0 or (id is null and id0 is not null)")
+    repeated = stored(repeated, "repeated-spans")  # then both sides of the join are plain shuffles, and a hot span is split, unless few are broadcast
+    later = found.join(counted_side(repeated), ["h", "c"]).where("again or id > id0 or (id is null and id0 is not null)")
     marks = later.groupBy("id", "th").agg(F.collect_set(F.struct("at", "size")).alias("_marks"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"))
     marks = marks.select(F.col("id").alias("id1"), F.col("th").alias("th1"), F.col("_marks").alias("marks"))
